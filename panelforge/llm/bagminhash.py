@@ -26,9 +26,11 @@ from panelforge.llm.components import components
 #: 28 bands of 5 registers miss a pair of similarity 0.8 with odds of 1.5e-5.
 BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
+#: Rounds in which each node meets one member of each of its buckets.
+STARS = 2
 #: Pairs of a bucket whose ends are not yet in one class are verified if so many registers agree: at a similarity of
-#: 0.8 the expected count is 112 with a deviation of 4.7; 84 lies six deviations below.
-LEAST_AGREE = 84
+#: 0.8 the expected count is 112 with a deviation of 4.7; 91 lies more than four deviations below (odds of 2e-5).
+LEAST_AGREE = 91
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ONE = 1.0 / (1 << 53)
@@ -145,21 +147,29 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """Verified links of pairs(a, b): only texts that occur in a pair are moved, the hot side is split by AQE."""
-    pairs = written(pairs, f"{name}-pairs")
-    ends = pairs.select(F.col("a").alias("tk")).unionByName(pairs.select(F.col("b").alias("tk"))).distinct()
-    held = written(texts.join(ends, "tk", "left_semi").dropDuplicates(["tk"]), f"{name}-texts")
-    rows = pairs.join(held.select(F.col("tk").alias("b"), F.col("text").alias("text_b")), "b").join(held.select(F.col("tk").alias("a"), F.col("text").alias("text_a")), "a")
+    """Verified links of pairs(a, b); AQE splits the side of a text that occurs in many pairs."""
+    rows = pairs.join(texts.select(F.col("tk").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("tk").alias("a"), F.col("text").alias("text_a")), "a")
     links = rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint, similarity double")
     return written(links, f"{name}-links")
 
 
+def _rooted(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(tk, key, root) of the members of buckets that are still in several classes."""
+    if links is None:
+        return buckets.withColumn("root", F.col("tk"))
+    roots = components(links.select("a", "b"), "bagminhash-roots")
+    at = buckets.join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
+    several = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return at.join(several, "key")
+
+
 def near_duplicate_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, tk, class_id per row of docs; links: a, b, similarity between the keys of different texts).
 
-    Equal texts are one node, so groups of copies never meet as pairs. In each bucket every node is first verified
-    against the bucket's least node. Where the members of a bucket are still in several classes, all pairs across
-    classes that agree in enough registers are verified as well, so no link that could join two classes is left out.
+    Equal texts are one node, so groups of copies never meet as pairs. In STARS rounds every node is verified against
+    one member of each of its buckets, another one in every bucket and round, unless both are in one class by then.
+    What the buckets then still hold in different classes is verified in all pairs across classes that agree in enough
+    registers, so no link that could join two classes is left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -167,25 +177,30 @@ def near_duplicate_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = texts.groupBy("tk").agg(F.min("doc_id").alias("doc_id"))
     sketch = written(texts.select("tk", "text").mapInArrow(_sketch, SKETCH).dropDuplicates(["tk"]), "bagminhash-sketch")
     bands = sketch.select("tk", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("tk").alias("head"), F.count("*").alias("n")).where("n > 1")
-    buckets = written(bands.join(shared.select("key", "head"), "key"), "bagminhash-buckets")
-    pairs = buckets.where("tk <> head").select(F.col("head").alias("a"), F.col("tk").alias("b")).distinct()
-    plain = texts.select("tk", "text")
-    links = _verified(pairs, plain, "bagminhash")
-    roots = components(links, "bagminhash-roots")
-
-    at = buckets.select("tk", "key").join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
-    open_keys = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = written(at.join(open_keys, "key").join(sketch.select("tk", "size", "registers"), "tk"), "bagminhash-open")
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    buckets = written(bands.join(shared, "key"), "bagminhash-buckets")
+    # one way of joining at every size: the texts that share a bucket are moved once, then read from this table
+    plain = written(texts.select("tk", "text").join(buckets.select("tk").distinct().hint("merge"), "tk", "left_semi").dropDuplicates(["tk"]), "bagminhash-texts")
+    links = done = None
+    for star in range(STARS):
+        at = _rooted(buckets, links)
+        order = F.xxhash64("key", "tk", F.lit(star))
+        heads = at.groupBy("key").agg(F.min_by(F.struct("tk", "root"), order).alias("h"))
+        pairs = at.join(heads, "key").where("root <> h.root").select(F.least("tk", "h.tk").alias("a"), F.greatest("tk", "h.tk").alias("b")).distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = written(pairs, f"bagminhash-pairs-{star}")
+        found = _verified(pairs, plain, f"bagminhash-{star}")
+        links, done = (found, pairs) if links is None else (links.unionByName(found), done.unionByName(pairs))
+
+    left = written(_rooted(buckets, links).join(sketch.select("tk", "size", "registers"), "tk"), "bagminhash-open")
     x, y = left.alias("x"), left.alias("y")
     agree = F.expr(f"size(filter(sequence(0, {REGISTERS - 1}), i -> substring(x.registers, 2 * i + 1, 2) = substring(y.registers, 2 * i + 1, 2)))")
     close = (F.col("x.tk") < F.col("y.tk")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size"))
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & close & (agree >= LEAST_AGREE)).select(F.col("x.tk").alias("a"), F.col("y.tk").alias("b")).distinct()
-    across = across.join(pairs, ["a", "b"], "left_anti")
-    more = _verified(across, plain, "bagminhash-across")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = components(links.select("a", "b"), "bagminhash-roots")
+    across = written(across.join(done, ["a", "b"], "left_anti"), "bagminhash-across")
+    links = links.unionByName(_verified(across, plain, "bagminhash-across"))
+    roots = components(links.select("a", "b"), "bagminhash-roots")
     classed = nodes.join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
     classed = written(classed, "bagminhash-classed")
     least = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
