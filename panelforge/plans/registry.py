@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from panelforge.plans import ts_xs
 
-def oracle_sql() -> dict:
-    return {}
+MODULES = (ts_xs,)
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
+
+
+def flagship(spark: SparkSession, root: str) -> DataFrame:
+    return queries()["xs12_signal_monthly"](spark, root)
