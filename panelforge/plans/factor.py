@@ -1,0 +1,385 @@
+"""Queries of the accounting, sorting, regression, bootstrap and portfolio operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelforge.functions.core import ratio
+from panelforge.operators import accounting as acc
+from panelforge.operators import portfolio as pf
+from panelforge.operators import regress as rg
+from panelforge.operators import ts
+from panelforge.plans.base_sql import FDMT, RETD, STMT, WE, bucket, guard, we
+from panelforge.sources import tables as t
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def add(name: str, sql: str | None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def r(x, digits: int = 6):
+    return F.round(x, digits)
+
+
+def column(name: str, make, expr: str, digits: int = 6):
+    """A single expression over the quarterly panel."""
+    add(name, f"WITH {STMT} SELECT entity, dt, round({expr}, {digits}) + 0.0 AS value FROM stmt")(lambda s, d: t.stmt_q(s, d).select("entity", "dt", r(make(), digits).alias("value")))
+
+
+def frame(name: str, make, ctes: str, expr: str, digits: int = 6):
+    """An operator that adds column v to the quarterly panel; ctes end in a table named last."""
+    add(name, f"WITH {STMT}, {ctes} SELECT entity, dt, round({expr}, {digits}) + 0.0 AS value FROM last_")(lambda s, d: make(t.stmt_q(s, d)).select("entity", "dt", r("v", digits).alias("value")))
+
+
+def _lag(x: str, n: int = 1) -> str:
+    return f"lag({x}, {n}) OVER {WE}"
+
+
+def _growth(x: str, out: str, q: int, table: str, name: str) -> str:
+    """CTEs: positive x, padded forward, its growth over q rows as `out` in a table `name`."""
+    return f"""{name}_p AS (SELECT *, CASE WHEN {x} > 0 THEN {x} END AS {out}_v FROM {table}),
+{name}_f AS (SELECT *, last_value({out}_v IGNORE NULLS) OVER (PARTITION BY entity ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {out}_f FROM {name}_p),
+{name} AS (SELECT *, CASE WHEN {out}_v IS NOT NULL THEN {out}_f / nullif(lag({out}_f, {q}) OVER {WE}, 0) - 1 END AS {out} FROM {name}_f)"""
+
+
+column("acc1_ttm_mean", lambda: acc.ttm_mean("revenue"), guard("avg(revenue)", "revenue", 4), 3)
+column("acc2_ttm_sum", lambda: acc.ttm_sum("revenue"), guard("sum(revenue)", "revenue", 4), 4)
+column("acc4_change", lambda: acc.change("revenue", 4), f"revenue - {_lag('revenue', 4)}", 4)
+column("acc7_square", lambda: F.col("units") * F.col("units"), "units * units", 2)
+column("acc8_compound_growth", lambda: acc.compound_growth("revenue", 8), f"CASE WHEN count(revenue) OVER {we(8)} >= 8 THEN revenue / nullif({_lag('revenue', 7)}, 0) - 1 END")
+column("acc9_history_std", lambda: acc.history_std("revenue", 8), guard("stddev_samp(revenue)", "revenue", 8), 2)
+column("acc13_ratio", lambda: acc.quotient("revenue", "profit"), "revenue / nullif(CASE WHEN profit > 0 THEN profit END, 0)")
+column("acc13_ratio_smooth", lambda: acc.quotient("revenue", "assets", smooth=True), f"revenue / nullif((assets + {_lag('assets')}) / 2, 0)")
+column("acc18_change_over_lag", lambda: acc.change_over_lag("revenue", "assets", 4), f"(revenue - {_lag('revenue', 4)}) / nullif({_lag('assets', 4)}, 0)")
+column("acc20_three_ratio", lambda: ratio(F.col("revenue") - F.col("cost"), "assets"), "(revenue - cost) / nullif(assets, 0)")
+column("prj3_equation", lambda: acc.equation("revenue - cost + tax"), "revenue - cost + tax", 4)
+
+add("acc3_ttm_cumulative", f"""WITH {STMT}, e AS (SELECT entity, year(dt) + 1 AS y, revenue AS e FROM stmt WHERE month(dt) = 12), a AS (SELECT *, {_lag('revenue', 4)} AS ago FROM stmt)
+SELECT a.entity, a.dt, round(revenue - ago + e, 4) + 0.0 AS value FROM a LEFT JOIN e ON e.entity = a.entity AND e.y = year(a.dt)""")(lambda s, d: acc.ttm_cumulative(t.stmt_q(s, d), "revenue", "v").select("entity", "dt", r("v", 4).alias("value")))
+frame("acc5_growth", lambda x: acc.growth(x, "profit", "v", 4), _growth("profit", "g", 4, "stmt", "last_"), "g", 5)
+frame("acc6_mean_growth", lambda x: acc.mean_growth(x, "revenue", "v", 8), _growth("revenue", "g", 1, "stmt", "last_"), guard("avg(g)", "g", 8, 4), 5)
+frame("acc10_downside_std", lambda x: acc.downside_std(x, "revenue", "v", 8), f"last_ AS (SELECT *, CASE WHEN revenue - {_lag('revenue')} < 0 THEN revenue - {_lag('revenue')} ELSE 0.0 END AS d FROM stmt)", guard("stddev_samp(d)", "d", 8), 2)
+frame("acc11_growth_std", lambda x: acc.growth(x, "revenue", "g").withColumn("v", acc.history_std("g", 8)), _growth("revenue", "g", 1, "stmt", "last_"), guard("stddev_samp(g)", "g", 8), 5)
+frame("acc12_growth_downside_std", lambda x: acc.downside_std(acc.growth(x, "revenue", "g"), "g", "v", 8), _growth("revenue", "g", 1, "stmt", "gg") + f", last_ AS (SELECT *, CASE WHEN g - {_lag('g')} < 0 THEN g - {_lag('g')} ELSE 0.0 END AS d FROM gg)", guard("stddev_samp(d)", "d", 8), 5)
+_RT = "rt AS (SELECT *, revenue / nullif(CASE WHEN assets > 0 THEN assets END, 0) AS q FROM stmt)"
+_q = lambda x: x.withColumn("q", acc.quotient("revenue", "assets"))
+frame("acc14_ratio_change", lambda x: _q(x).withColumn("v", acc.change("q", 4)), f"{_RT}, last_ AS (SELECT * FROM rt)", f"q - {_lag('q', 4)}")
+frame("acc15_ratio_growth", lambda x: acc.growth(_q(x), "q", "v", 4), f"{_RT}, " + _growth("q", "g", 4, "rt", "last_"), "g")
+frame("acc16_ratio_history_std", lambda x: _q(x).withColumn("v", acc.history_std("q", 8)), f"{_RT}, last_ AS (SELECT * FROM rt)", guard("stddev_samp(q)", "q", 8))
+frame("acc16_ratio_compound", lambda x: _q(x).withColumn("v", acc.compound_growth("q", 8)), f"{_RT}, last_ AS (SELECT * FROM rt)", f"CASE WHEN count(q) OVER {we(8)} >= 8 THEN q / nullif({_lag('q', 7)}, 0) - 1 END")
+frame("acc16_ratio_downside_std", lambda x: acc.downside_std(_q(x), "q", "v", 8), f"{_RT}, last_ AS (SELECT *, CASE WHEN q - {_lag('q')} < 0 THEN q - {_lag('q')} ELSE 0.0 END AS d FROM rt)", guard("stddev_samp(d)", "d", 8))
+_GG = _growth("revenue", "g", 4, "stmt", "ga") + ", " + _growth("cost", "h", 4, "ga", "last_")
+frame("acc17_growth_difference", lambda x: acc.growth_difference(x, "revenue", "cost", "v", 4), _GG, "g - h", 5)
+frame("acc19_growth_ratio", lambda x: acc.growth_ratio(x, "revenue", "cost", "v", 4), _GG, "g / nullif(h, 0)", 4)
+
+_fields, _bases = ["revenue", "cost", "tax"], ["assets", "units"]
+_PAIR = f"""WITH {STMT}, x AS (SELECT entity, dt, other, x FROM stmt UNPIVOT (x FOR other IN (revenue, cost, tax))), y AS (SELECT entity, dt, base, y FROM stmt UNPIVOT (y FOR base IN (assets, units))),
+j AS (SELECT x.entity, x.dt, other, base, x, y, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM x JOIN y ON y.entity = x.entity AND y.dt = x.dt WINDOW w AS (PARTITION BY x.entity, other, base ORDER BY x.dt)),
+k AS (SELECT entity, dt, other, base, x / nullif(y, 0) AS ratio, x / nullif(y, 0) - x0 / nullif(y0, 0) AS ratio_chg, x / nullif(y, 0) / nullif(x0 / nullif(y0, 0), 0) - 1 AS ratio_growth,
+  (x - x0) / nullif(y0, 0) AS chg_over_lag, (x - x0) / nullif(x0, 0) - (y - y0) / nullif(y0, 0) AS growth_dif, (x - x0) / nullif(x0, 0) AS growth FROM j)
+SELECT kind || '__' || other || '__' || base AS indicator, entity, dt, round(value, 9) + 0.0 AS value FROM k UNPIVOT INCLUDE NULLS (value FOR kind IN (ratio, ratio_chg, ratio_growth, chg_over_lag, growth_dif, growth))"""
+
+
+@add("acc21_pair_family", _PAIR)
+def acc21(s, d):
+    x = t.stmt_q(s, d).select("entity", "dt", *_fields, *_bases)
+    return acc.pair_family(x, _fields, _bases).withColumn("value", r("value", 9))
+
+
+#: Statement fields of the catalogue, made of those that the given tables have.
+FIELDS = {
+    "oper_rev": "revenue", "tot_oper_rev": "revenue + tax", "oper_cost": "cost * 12", "tot_oper_cost": "cost * 12 + tax", "oper_profit": "profit",
+    "net_profit_excl_min_int_inc": "profit - tax", "net_profit_incl_min_int_inc": "profit - tax / 2", "net_profit_after_ded_nr_lp": "profit - tax * 2",
+    "net_cash_flows_oper_act": "revenue - cost * 15", "tot_assets": "assets", "tot_liab": "assets / 3 + cost", "cap_stk": "units + 100", "cash_div": "tax / 4", "s_fa_roe": "profit / nullif(assets, 0)",
+    "tot_cur_assets": "assets / 4 + revenue", "tot_cur_liab": "assets / 5 + cost", "intang_assets": "assets / 50", "tot_shrhldr_eqy_excl_min_int": "assets - assets / 3 - cost", "fix_assets": "assets / 2",
+    "inventories": "cost * 4", "tot_non_cur_liab": "assets / 10", "freefloat_cap": "revenue * 6", "cap": "revenue / 1000 + 1", "non_oper_rev": "tax / 10", "non_oper_exp": "tax / 20", "inc_tax": "tax", "fin_exp": "cost / 7",
+    "int_exp": "cost / 9", "selling_dist_exp": "cost / 3", "gerl_admin_exp": "cost / 2", "notes_rcv": "revenue / 9", "acct_rcv": "revenue / 6", "notes_payable": "cost / 2", "acct_payable": "cost",
+    "s_fa_arturn": "revenue / nullif(assets, 0)", "monetary_cap": "assets / 8", "ebitda": "profit + cost / 2",
+}
+
+
+@add("factor_catalog", f"WITH {STMT}, f AS (SELECT entity, dt, " + ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in FIELDS.items()) + " FROM stmt), w AS (SELECT entity, dt, " + ", ".join(f"CAST({x.sql()} AS DOUBLE) AS {x.name}" for x in acc.CATALOG) + " FROM f) SELECT indicator, entity, dt, round(value, 3) + 0.0 AS value FROM w UNPIVOT INCLUDE NULLS (value FOR indicator IN (" + ", ".join(x.name for x in acc.CATALOG) + "))")
+def catalog(s, d):
+    f = t.stmt_q(s, d).select("entity", "dt", *[F.expr(e).cast("double").alias(k) for k, e in FIELDS.items()])
+    return acc.factors(f).withColumn("value", r("value", 3))
+
+
+# ---- sorts and diagnostics on the monthly cross-section
+
+_X = FDMT + ", x AS (SELECT *, ret_m AS sig FROM fdmt WHERE ret_m IS NOT NULL AND ret_1m IS NOT NULL)"
+_PORT = f"""{_X}, b AS (SELECT *, {bucket('sig', 5, 'dt')} AS bucket FROM x),
+p AS (SELECT dt, bucket, count(*) AS n, avg(ret_1m) AS ret_eq, sum(ret_1m * cap) / nullif(sum(cap), 0) AS ret_vw FROM b GROUP BY 1, 2)"""
+
+
+def _x(s, d):
+    return t.fdmt_m(s, d).where("ret_m is not null and ret_1m is not null").withColumn("sig", F.col("ret_m"))
+
+
+@add("srt1_decile_portfolios", f"WITH {_PORT} SELECT dt, bucket, n, round(ret_eq, 6) + 0.0 AS ret_eq, round(ret_vw, 6) + 0.0 AS ret_vw FROM p")
+def srt1(s, d):
+    return pf.sorted_portfolios(_x(s, d), "sig", "ret_1m", "cap", 5).select("dt", "bucket", "n", r("ret_eq").alias("ret_eq"), r("ret_vw").alias("ret_vw"))
+
+
+_SPREAD = _PORT + ", sp AS (SELECT dt, max(ret_eq) FILTER (WHERE bucket = 5) - max(ret_eq) FILTER (WHERE bucket = 1) AS spread_eq, max(ret_vw) FILTER (WHERE bucket = 5) - max(ret_vw) FILTER (WHERE bucket = 1) AS spread_vw FROM p GROUP BY 1)"
+
+
+def _spread(s, d):
+    return pf.spread(pf.sorted_portfolios(_x(s, d), "sig", "ret_1m", "cap", 5), 5)
+
+
+@add("srt1_spread", f"WITH {_SPREAD} SELECT dt, round(spread_eq, 6) + 0.0 AS spread_eq, round(spread_vw, 6) + 0.0 AS spread_vw FROM sp")
+def srt1b(s, d):
+    return _spread(s, d).select("dt", r("spread_eq").alias("spread_eq"), r("spread_vw").alias("spread_vw"))
+
+
+@add("srt4_double_sort", f"""WITH {_X}, a AS (SELECT *, {bucket('cap', 3, 'dt')} AS g1 FROM x), b AS (SELECT *, {bucket('sig', 3, 'dt', 'g1')} AS g2 FROM a)
+SELECT dt, g1, g2, round(avg(ret_1m), 6) + 0.0 AS ret FROM b GROUP BY 1, 2, 3""")
+def srt4(s, d):
+    return pf.double_sort(_x(s, d), "cap", "sig", "ret_1m", 3, 3).withColumn("ret", r("ret"))
+
+
+@add("agg6_mean_t", f"WITH {_SPREAD} SELECT round(avg(spread_eq), 6) + 0.0 AS mean, round(avg(spread_eq) / nullif(stddev_samp(spread_eq) / sqrt(count(spread_eq)), 0), 4) + 0.0 AS t FROM sp")
+def agg6(s, d):
+    m, tv = pf.mean_t("spread_eq")
+    return _spread(s, d).agg(r(m).alias("mean"), r(tv, 4).alias("t"))
+
+
+_IC = f"""{_X}, rk AS (SELECT *, rank() OVER (PARTITION BY dt ORDER BY sig) + (count(*) OVER (PARTITION BY dt, sig) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY dt ORDER BY ret_1m) + (count(*) OVER (PARTITION BY dt, ret_1m) - 1) / 2.0 AS ry FROM x),
+a AS (SELECT dt, count(*) AS n, CASE WHEN regr_sxx(ret_1m, sig) > 0 THEN regr_slope(ret_1m, sig) END AS slope, regr_sxx(ret_1m, sig) AS sxx, regr_syy(ret_1m, sig) AS syy, regr_sxy(ret_1m, sig) AS sxy, covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) AS ic FROM rk GROUP BY 1),
+ic AS (SELECT dt, n, slope, CASE WHEN n > 2 THEN slope / nullif(sqrt(greatest(syy - slope * sxy, 0) / (n - 2) / nullif(sxx, 0)), 0) END AS t, ic FROM a)"""
+
+
+def _ic(s, d):
+    return pf.information_coefficient(_x(s, d), "sig", "ret_1m")
+
+
+@add("dia1_information_coefficient", f"WITH {_IC} SELECT dt, n, round(slope, 5) + 0.0 AS slope, round(t, 4) + 0.0 AS t, round(ic, 6) + 0.0 AS ic FROM ic")
+def dia1(s, d):
+    return _ic(s, d).select("dt", "n", r("slope", 5).alias("slope"), r("t", 4).alias("t"), r("ic").alias("ic"))
+
+
+@add("dia3_ic_summary", f"""WITH {_IC} SELECT count(*) AS months, round(avg(ic), 6) + 0.0 AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg(ic) / nullif(stddev_samp(ic), 0), 5) + 0.0 AS ir, count(*) FILTER (WHERE t > 0) AS t_positive,
+count(*) FILTER (WHERE abs(t) > 2) AS t_large, count(*) FILTER (WHERE ic > 0.02) AS ic_large FROM ic""")
+def dia3(s, d):
+    return _ic(s, d).agg(F.count("*").alias("months"), r(F.avg("ic")).alias("ic_mean"), r(F.stddev_samp("ic")).alias("ic_std"), r(ratio(F.avg("ic"), F.stddev_samp("ic")), 5).alias("ir"), F.count_if(F.col("t") > 0).alias("t_positive"), F.count_if(F.abs("t") > 2).alias("t_large"), F.count_if(F.col("ic") > 0.02).alias("ic_large"))
+
+
+@add("dia7_coverage_by_size", f"WITH {FDMT}, b AS (SELECT *, {bucket('cap', 4, 'dt')} AS bucket FROM fdmt) SELECT dt, bucket, round(CAST(count(ret_m) AS DOUBLE) / count(*), 6) AS coverage FROM b GROUP BY 1, 2")
+def dia7(s, d):
+    from panelforge.operators.xs import quantile
+
+    return quantile(t.fdmt_m(s, d), "cap", 4).groupBy("dt", "bucket").agg(r(F.count("ret_m").cast("double") / F.count("*")).alias("coverage"))
+
+
+_MK = f"{_X}, mk AS (SELECT dt, avg(ret_m) AS mkt FROM x GROUP BY 1), z AS (SELECT x.*, mkt FROM x JOIN mk ON mk.dt = x.dt)"
+_OLS = """SELECT {k}, n, round(my - beta * mx, 6) + 0.0 AS alpha, round(beta, 5) + 0.0 AS beta, round((my - beta * mx) / nullif(sqrt(greatest(syy - beta * sxy, 0) / (n - 2) * (1.0 / n + mx * mx / nullif(sxx, 0))), 0), 4) + 0.0 AS t FROM
+(SELECT {k}, count(*) AS n, regr_slope(ret_m, mkt) AS beta, regr_sxx(ret_m, mkt) AS sxx, regr_syy(ret_m, mkt) AS syy, regr_sxy(ret_m, mkt) AS sxy, avg(mkt) AS mx, avg(ret_m) AS my FROM {t} GROUP BY ALL)"""
+
+
+def _mk(s, d):
+    x = _x(s, d)
+    return x.join(F.broadcast(x.groupBy("dt").agg(F.avg("ret_m").alias("mkt"))), "dt")
+
+
+def _ols_out(df, *keys):
+    return df.select(*keys, "n", r("alpha").alias("alpha"), r("beta", 5).alias("beta"), r("t", 4).alias("t"))
+
+
+@add("reg1_pricing", f"WITH {_MK} " + _OLS.format(k="entity", t="z"))
+def reg1(s, d):
+    return _ols_out(rg.ols(_mk(s, d), "ret_m", "mkt", "entity"), "entity")
+
+
+_NW = " + ".join(f"2 * (1 - {k} / 6.0) * coalesce(sum(l{k}), 0)" for k in range(1, 6))
+
+
+@add("reg4_fama_macbeth", f"""WITH {_X}, sl AS (SELECT dt, count(*) AS n, regr_slope(ret_1m, sig) AS u0 FROM x GROUP BY 1 HAVING count(*) > 2 AND regr_sxx(ret_1m, sig) > 0), u AS (SELECT dt, u0, u0 - avg(u0) OVER () AS u FROM sl),
+l AS (SELECT *, {", ".join(f"u * lag(u, {k}) OVER (ORDER BY dt) AS l{k}" for k in range(1, 6))} FROM u)
+SELECT 'ret_m' AS indicator, count(*) AS periods, round(avg(u0), 6) + 0.0 AS mean, round(avg(u0) / nullif(sqrt(greatest(sum(u * u) + {_NW}, 0)) / count(*), 0), 4) + 0.0 AS t FROM l""")
+def reg4(s, d):
+    x = _x(s, d).withColumn("indicator", F.lit("ret_m"))
+    return rg.fama_macbeth(x, "ret_1m", "sig", 5, "indicator").select("indicator", "periods", r("mean").alias("mean"), r("t", 4).alias("t"))
+
+
+
+_D = "d0 AS (SELECT rep, pos, (rep * 1000003 + pos * 7919 + 7) % 2147483647 AS z FROM (SELECT unnest(range(20)) AS rep) CROSS JOIN (SELECT unnest(range((SELECT count(DISTINCT dt) FROM z))) AS pos))"
+for _i, _m in enumerate((48271, 69621, 16807)):
+    _D += f", e{_i} AS (SELECT rep, pos, (z * {_m} + 12345) % 2147483647 AS z FROM d{_i}), d{_i + 1} AS (SELECT rep, pos, (z * (z % 65521 + 1)) % 2147483647 AS z FROM e{_i})"
+_BST = f"""WITH {_MK}, {_D}, al AS (SELECT entity, avg(ret_m) - regr_slope(ret_m, mkt) * avg(mkt) AS alpha FROM z GROUP BY 1),
+dk AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS k FROM (SELECT DISTINCT dt FROM z)),
+rows_ AS (SELECT z.entity, k, ret_m - alpha AS ret_m, mkt FROM z JOIN al ON al.entity = z.entity JOIN dk ON dk.dt = z.dt),
+bs AS (SELECT rep, entity, ret_m, mkt FROM d3 JOIN rows_ ON k = d3.z % (SELECT count(*) FROM dk)) """
+
+
+@add("bst1_bootstrap_alpha", _BST + _OLS.format(k="rep, entity", t="bs"))
+def bst1(s, d):
+    return _ols_out(rg.bootstrap_alpha(_mk(s, d).select("entity", "dt", "ret_m", "mkt"), "ret_m", "mkt", 20), "rep", "entity")
+
+
+@add("bst8_bootstrap_p", _BST + f", o AS ({_OLS.format(k='rep, entity', t='bs')}), a AS ({_OLS.format(k='entity', t='z')}) SELECT a.entity, round((count(*) FILTER (WHERE o.t < a.t) + count(*) FILTER (WHERE o.t <= a.t) + CASE WHEN count(*) FILTER (WHERE o.t <= a.t) > count(*) FILTER (WHERE o.t < a.t) THEN 1 ELSE 0 END) / (2.0 * count(o.t)), 6) AS p FROM a JOIN o ON o.entity = a.entity GROUP BY 1")
+def bst8(s, d):
+    z = _mk(s, d).select("entity", "dt", "ret_m", "mkt")
+    o = _ols_out(rg.bootstrap_alpha(z, "ret_m", "mkt", 20), "rep", "entity").select("entity", F.col("t").alias("drawn"))
+    a = _ols_out(rg.ols(z, "ret_m", "mkt", "entity"), "entity").select("entity", "t")
+    return a.join(o, "entity").groupBy("entity").agg(r(rg.percentile_of_score("drawn", "t")).alias("p"))
+
+
+# ---- books and performance
+
+_TOP = f"""{_X}, tn AS (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY sig DESC, entity) AS place FROM x), tp AS (SELECT * FROM tn WHERE place <= 10)"""
+
+
+@add("pf1_top_n", f"WITH {_TOP} SELECT dt, entity, CAST(place AS INTEGER) AS place FROM tp")
+def pf1(s, d):
+    return pf.top_n(_x(s, d), "sig", 10).select("dt", "entity", "place")
+
+
+def _w(mode: str) -> str:
+    raw = {"1": "least(greatest(sig, avg(sig) OVER p - 3 * stddev_samp(sig) OVER p), avg(sig) OVER p + 3 * stddev_samp(sig) OVER p)", "2": "atan(sig / nullif(sum(abs(sig)) OVER p, 0))", "3": "1.0"}[mode]
+    return f"""wa AS (SELECT *, CAST({raw} AS DOUBLE) AS w0 FROM tp WINDOW p AS (PARTITION BY dt)), wb AS (SELECT *, CASE WHEN min(w0) OVER (PARTITION BY dt) < 0 THEN w0 - 2 * min(w0) OVER (PARTITION BY dt) ELSE w0 END AS w1 FROM wa),
+book AS (SELECT dt, entity, round(w1 / nullif(sum(w1) OVER (PARTITION BY dt), 0), {{0}}) AS weight FROM wb)"""
+
+
+@add("pf2_weights_clamped", f"WITH {_TOP}, {_w('1').format(8)} SELECT dt, entity, round(weight, 5) AS weight FROM book WHERE weight <> 0")
+def pf2(s, d):
+    return pf.weights(pf.top_n(_x(s, d), "sig", 10), "sig", 1).select("dt", "entity", r("weight", 5).alias("weight"))
+
+
+@add("pf2_weights_arctan", f"WITH {_TOP}, {_w('2').format(8)} SELECT dt, entity, round(weight, 5) AS weight FROM book WHERE weight <> 0")
+def pf2b(s, d):
+    return pf.weights(pf.top_n(_x(s, d), "sig", 10), "sig", 2).select("dt", "entity", r("weight", 5).alias("weight"))
+
+
+@add("pf4_band_membership", f"""WITH {_X}, a AS (SELECT dt, entity, row_number() OVER (PARTITION BY dt ORDER BY sig DESC, entity) AS place FROM x)
+SELECT dt, entity, coalesce(last_value(CASE WHEN place <= 10 THEN 1 WHEN place > 30 THEN 0 END IGNORE NULLS) OVER (PARTITION BY entity ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS held FROM a""")
+def pf4(s, d):
+    return pf.band_membership(_x(s, d), "sig", 10, 30).select("dt", "entity", "held")
+
+
+_BOOK = f"{_TOP}, {_w('3').format(8)}"
+_ORD = f"""{_BOOK}, nd AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS nx FROM (SELECT DISTINCT dt FROM book)), hb AS (SELECT nx AS dt, entity, weight AS b FROM book JOIN nd ON nd.dt = book.dt WHERE nx IS NOT NULL),
+od AS (SELECT dt, entity, round(coalesce(weight, 0) - coalesce(b, 0), 8) AS delta FROM book FULL JOIN hb USING (dt, entity))"""
+
+
+def _book(s, d):
+    return pf.weights(pf.top_n(_x(s, d), "sig", 10), "sig", 3).select("dt", "entity", "weight")
+
+
+@add("pf5_orders", f"WITH {_ORD} SELECT dt, entity, delta + 0.0 AS delta, CASE WHEN delta > 0 THEN 'buy' WHEN delta < 0 THEN 'sell' ELSE 'keep' END AS side FROM od")
+def pf5(s, d):
+    return pf.orders(_book(s, d)).withColumn("delta", F.col("delta") + 0.0)
+
+
+_COST = _ORD + """, ct AS (SELECT dt, 0.002 * sum(abs(delta)) + 0.001 * sum(CASE WHEN delta < 0 THEN -delta ELSE 0 END) AS cost, sum(CASE WHEN delta < 0 THEN -delta ELSE 0 END) AS turnover FROM od GROUP BY 1)"""
+
+
+@add("pf6_costs", f"WITH {_COST} SELECT dt, round(CAST(cost AS DOUBLE), 8) AS cost, round(turnover, 6) AS turnover FROM ct")
+def pf6(s, d):
+    return pf.trading_costs(pf.orders(_book(s, d))).select("dt", r("cost", 8).alias("cost"), r("turnover").alias("turnover"))
+
+
+_NET = _COST + """, gr AS (SELECT book.dt, sum(weight * coalesce(ret_1m, 0)) AS gross FROM book JOIN x ON x.dt = book.dt AND x.entity = book.entity GROUP BY 1), nt AS (SELECT gr.dt, gross, gross - coalesce(cost, 0) AS net FROM gr LEFT JOIN ct ON ct.dt = gr.dt)"""
+
+
+def _net(s, d):
+    b = _book(s, d)
+    return pf.book_returns(b, _x(s, d), "ret_1m", pf.trading_costs(pf.orders(b)))
+
+
+@add("pf7_book_returns", f"WITH {_NET} SELECT dt, round(gross, 6) + 0.0 AS gross, round(net, 6) + 0.0 AS net FROM nt")
+def pf7(s, d):
+    return _net(s, d).select("dt", r("gross").alias("gross"), r("net").alias("net"))
+
+
+_STR = _NET + ", bm AS (SELECT dt, avg(ret_1m) AS bench FROM x GROUP BY 1), st AS (SELECT 'top' AS strategy, nt.dt, net / 5 AS net, bench / 5 AS bench FROM nt JOIN bm ON bm.dt = nt.dt)"
+
+
+def _strategy(s, d):
+    bench = _x(s, d).groupBy("dt").agg(F.avg("ret_1m").alias("bench"))
+    return _net(s, d).join(bench, "dt").select(F.lit("top").alias("strategy"), "dt", (F.col("net") / 5).alias("net"), (F.col("bench") / 5).alias("bench"))
+
+
+@add("pf8_hedged", f"""WITH {_STR}, a AS (SELECT *, (row_number() OVER (PARTITION BY strategy ORDER BY dt) - 1) // 12 AS seg FROM st),
+b AS (SELECT *, product(1 + net) OVER (PARTITION BY strategy, seg ORDER BY dt) - product(1 + bench) OVER (PARTITION BY strategy, seg ORDER BY dt) + 1 AS v FROM a),
+e AS (SELECT strategy, seg, max_by(v, dt) AS e FROM b GROUP BY 1, 2), p AS (SELECT *, product(e) OVER (PARTITION BY strategy ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
+SELECT b.strategy, b.dt, round(coalesce(before, 1) * v, 6) AS nav FROM b JOIN p ON p.strategy = b.strategy AND p.seg = b.seg""")
+def pf8(s, d):
+    return pf.hedged(_strategy(s, d), "net", "bench", 12).select("strategy", "dt", r("nav").alias("nav"))
+
+
+def _perf(key: str) -> str:
+    return f"""pn AS (SELECT *, product(1 + net) OVER (PARTITION BY {key} ORDER BY dt) AS nav FROM st), pd AS (SELECT *, nav / nullif(max(nav) OVER (PARTITION BY {key} ORDER BY dt), 0) - 1 AS dd FROM pn),
+pa AS (SELECT {key}, count(*) AS n, max_by(nav, dt) AS last, regr_slope(net, bench) AS beta, avg(net) AS m, avg(bench) AS mb, stddev_samp(net) AS sd, avg(net - bench) AS ma, stddev_samp(net - bench) AS sda, min(dd) AS mdd FROM pd GROUP BY 1)
+SELECT {key}, n, round(last - 1, 5) + 0.0 AS total, round(pow(greatest(last, 0), 12.0 / n) - 1, 5) + 0.0 AS annual, round(beta, 5) + 0.0 AS beta, round((m - beta * mb) * 12, 5) + 0.0 AS alpha, round(sd * sqrt(12), 5) AS volatility, round(m * sqrt(12) / nullif(sd, 0), 5) + 0.0 AS sharpe,
+round(ma * sqrt(12) / nullif(sda, 0), 5) + 0.0 AS information, round(mdd, 5) + 0.0 AS max_drawdown FROM pa"""
+
+
+def _perf_out(df, key):
+    return df.select(key, "n", *[r(c, 5).alias(c) for c in ("total", "annual", "beta", "alpha", "volatility", "sharpe", "information", "max_drawdown")])
+
+
+@add("pf9_performance", f"WITH {_STR}, {_perf('strategy')}")
+def pf9(s, d):
+    return _perf_out(pf.performance(_strategy(s, d), "net", "bench", 12), "strategy")
+
+
+@add("pf10_performance_by_year", f"WITH {_STR.replace(chr(39) + 'top' + chr(39) + ' AS strategy', 'CAST(year(nt.dt) AS INTEGER) AS yr')}, {_perf('yr')}")
+def pf10(s, d):
+    return _perf_out(pf.performance(_strategy(s, d).withColumn("yr", F.year("dt")), "net", "bench", 12, 0.0, "yr"), "yr")
+
+
+# ---- technical indicators
+
+_P = f"{RETD}, pd AS (SELECT * FROM ret_d)"
+
+
+@add("ind1_momentum", f"WITH {RETD} SELECT entity, dt, " + ", ".join(f"round(close / nullif(lag(close, {n}) OVER {WE}, 0) - 1, 5) + 0.0 AS mom_{n}" for n in (1, 10, 20, 50)) + f", round(lag(close, 20) OVER {WE} * 0 + (close / nullif(lag(close, 50) OVER {WE}, 0) - close / nullif(lag(close, 20) OVER {WE}, 0)), 5) + 0.0 AS mom_50_20 FROM ret_d")
+def ind1(s, d):
+    g = ts.growth(t.ret_d(s, d), "close", 1, 10, 20, 50)
+    return g.select("entity", "dt", *[r(f"mom_{n}", 5).alias(f"mom_{n}") for n in (1, 10, 20, 50)], r(F.col("mom_50") - F.col("mom_20"), 5).alias("mom_50_20"))
+
+
+@add("ind3_max_return", f"WITH {RETD} SELECT entity, dt, {guard('max(ret)', 'ret', 20)} AS value FROM ret_d")
+def ind3(s, d):
+    return t.ret_d(s, d).select("entity", "dt", ts.ts_max("ret", 20).alias("value"))
+
+
+@add("ind6_max_return_monthly", f"WITH {RETD} SELECT entity, last_day(dt) AS month_end, max(ret) AS value FROM ret_d GROUP BY 1, 2")
+def ind6(s, d):
+    return t.ret_d(s, d).groupBy("entity", F.last_day("dt").alias("month_end")).agg(F.max("ret").alias("value"))
+
+
+@add("ind7_success", f"WITH {FDMT} SELECT entity, dt, round(1 - (rank() OVER (PARTITION BY dt ORDER BY ret_m) + (count(*) OVER (PARTITION BY dt, ret_m) - 1) / 2.0) / count(*) OVER (PARTITION BY dt), 6) + 0.0 AS value FROM fdmt WHERE ret_m IS NOT NULL")
+def ind7(s, d):
+    from panelforge.operators.xs import rank
+
+    return t.fdmt_m(s, d).where("ret_m is not null").select("entity", "dt", r(1 - rank("ret_m")).alias("value"))
+
+
+_TO = f"{RETD}, tv AS (SELECT entity, dt, ret, volume / 100 AS tv FROM ret_d)"
+
+
+@add("ind10_turnover", f"WITH {_TO} SELECT entity, dt, " + ", ".join(f"round({guard('avg(tv)', 'tv', n, n // 2)}, 9) AS avg_{n}, round({guard('stddev_samp(tv)', 'tv', n, n // 2)}, 6) AS std_{n}" for n in (10, 60)) + " FROM tv")
+def ind10(s, d):
+    x = t.ret_d(s, d).withColumn("tv", F.col("volume") / 100)
+    return x.select("entity", "dt", *[c for n in (10, 60) for c in (r(ts.ts_mean("tv", n, n // 2), 9).alias(f"avg_{n}"), r(ts.ts_std("tv", n, n // 2)).alias(f"std_{n}"))])
+
+
+@add("ind11_relative_turnover", f"WITH {_TO} SELECT entity, dt, round({guard('avg(tv)', 'tv', 60, 30)} / nullif({guard('avg(tv)', 'tv', 30, 15)}, 0), 12) AS value FROM tv")
+def ind11(s, d):
+    x = t.ret_d(s, d).withColumn("tv", F.col("volume") / 100)
+    return x.select("entity", "dt", r(ratio(ts.ts_mean("tv", 60, 30), ts.ts_mean("tv", 30, 15)), 12).alias("value"))
+
+
+@add("ind14_range_and_volatility", f"WITH {RETD} SELECT entity, dt, round({guard('max(high)', 'high', 20)} / nullif({guard('min(low)', 'low', 20)}, 0), 6) AS range_20, round({guard('stddev_samp(ret)', 'ret', 60, 30)}, 6) AS vol_60 FROM ret_d")
+def ind14(s, d):
+    return t.ret_d(s, d).select("entity", "dt", r(ratio(ts.ts_max("high", 20), ts.ts_min("low", 20))).alias("range_20"), r(ts.ts_std("ret", 60, 30)).alias("vol_60"))

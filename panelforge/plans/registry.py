@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.plans import ts_xs
+from panelforge.plans import factor, misc, ts_xs
 
-MODULES = (ts_xs,)
+MODULES = (ts_xs, factor, misc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
