@@ -1,6 +1,6 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
-Voters are words of a lexicon (stated ones, and words that the training labels single out) and patterns; each votes
+Voters are words of a lexicon (stated ones, and words and stems that the training labels single out) and patterns; each votes
 toxic, clean or abstains. The label model estimates by expectation-maximisation how often each voter fires on either
 class; pairs of voters that agree beyond what their classes explain share one vote. A logistic regression on the
 presence of words and pattern rates is then trained on the posterior labels and scores every whole text.
@@ -30,7 +30,9 @@ LEXICON = (
     "failure filth filthy fool freak garbage gilipollas hate idiot idiota idiote imbécile imbécil jerk kill liar loser maldito moron pathetic pig rat "
     "repulsive retard ridiculous salaud scum shit shut slime stupid stupide subhuman suck trash ugly useless vermin versager worthless wretched"
 ).split()
-LIMIT, MINED, THRESHOLD = 8000, 200, 0.7
+LIMIT, MINED, THRESHOLD = 8000, 400, 0.7
+#: Lengths of stems: inflecting languages spell one insult in many ways.
+STEMS = (4, 5)
 WORD = re.compile(r"\w+")
 PATTERNS = (
     ("second_person", re.compile(r"\byou(?:'re| are)\s+(?:an?|such|so|the|all)?\b", re.I)),
@@ -41,7 +43,10 @@ PATTERNS = (
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+    """The words of a whole text, and the stems that longer words begin with (marked by a star)."""
+    words = set(WORD.findall((text or "").lower()))
+    stems = {w[:n] for w in words for n in STEMS if len(w) > n}
+    return words | {s + "*" for s in stems}
 
 
 def pattern_hits(text: str | None) -> list[int]:
@@ -49,7 +54,8 @@ def pattern_hits(text: str | None) -> list[int]:
 
 
 def mine(bags: list[set[str]], label: np.ndarray, most: int = MINED) -> list[str]:
-    """Words that toxic training texts have far oftener than clean ones, by a smoothed log-odds z-score."""
+    """Words and stems that toxic training texts have far oftener than clean ones, by the log-likelihood ratio of
+    their document counts."""
     seen = [Counter(), Counter()]
     for b, y in zip(bags, label, strict=True):
         seen[int(y)].update(b)
@@ -57,12 +63,12 @@ def mine(bags: list[set[str]], label: np.ndarray, most: int = MINED) -> list[str
     scored = []
     for w, a in seen[1].items():
         b = seen[0].get(w, 0)
-        if a < 5:
+        if a < 5 or a / n1 < 5 * (b + 0.5) / n0:
             continue
-        odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-        z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if z > 4 and odds > 2:
-            scored.append((-z, w))
+        share = (a + b) / (n0 + n1)
+        gain = a * np.log(a / (n1 * share)) + (b * np.log(b / (n0 * share)) if b else 0.0)
+        if gain > 8:
+            scored.append((-gain, w))
     return [w for _, w in sorted(scored)[:most]]
 
 
@@ -129,9 +135,20 @@ def fit(texts: list[str | None], label: np.ndarray) -> ToxicityModel:
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
+    # posteriors are cautious: a scale and shift fitted to the labels of the training rows set the level of the scores
+    z = x @ w + b
+    scale, shift, centre = 1.0, 0.0, float((z[label == 1].mean() + z[label == 0].mean()) / 2)
+    for _ in range(200):
+        q = 1 / (1 + np.exp(-np.clip(scale * (z - centre) + shift, -30, 30)))
+        v = q * (1 - q) + 1e-9
+        g = np.array([((q - label) * (z - centre)).sum() + 0.1 * (scale - 1), (q - label).sum() + 0.1 * shift])
+        h = np.array([[(v * (z - centre) ** 2).sum() + 0.1, (v * (z - centre)).sum()], [(v * (z - centre)).sum(), v.sum() + 0.1]])
+        step = np.clip(np.linalg.solve(h, g), -0.5, 0.5)
+        scale, shift = float(np.clip(scale - step[0], 0.2, 10)), shift - float(step[1])
+    w, b = w * scale, scale * (b - centre) + shift
     # a stated insult that no training row holds keeps the weight of the lexicon
     unseen = (x.sum(axis=0) == 0) & (np.r_[[word in LEXICON for word in terms], [False] * len(PATTERNS)])
-    w[unseen] = 4.0
+    w[unseen] = max(4.0, 1.0 - b)
     return ToxicityModel(dict(zip(terms, w[:k].tolist(), strict=True)), tuple(w[k:].tolist()), float(b))
 
 
