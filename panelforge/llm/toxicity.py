@@ -53,17 +53,23 @@ def pattern_hits(text: str | None) -> list[int]:
     return [int(p.search(text or "") is not None) for _, p in PATTERNS]
 
 
-def mine(bags: list[set[str]], label: np.ndarray, most: int = MINED) -> list[str]:
+def mine(texts: list[str | None], label: np.ndarray, most: int = MINED) -> list[str]:
     """Words and stems that toxic training texts have far oftener than clean ones, by the log-likelihood ratio of
-    their document counts."""
+    their document counts. Only words of several toxic texts are counted in the clean ones, and no text's words are
+    kept, so the driver holds little more than the texts."""
     seen = [Counter(), Counter()]
-    for b, y in zip(bags, label, strict=True):
-        seen[int(y)].update(b)
+    for t, y in zip(texts, label, strict=True):
+        if y:
+            seen[1].update(words_of(t))
+    seen[1] = Counter({w: n for w, n in seen[1].items() if n >= 5})
+    for t, y in zip(texts, label, strict=True):
+        if not y:
+            seen[0].update(seen[1].keys() & words_of(t))
     n0, n1 = max(1, int((label == 0).sum())), max(1, int((label == 1).sum()))
     scored = []
     for w, a in seen[1].items():
         b = seen[0].get(w, 0)
-        if a < 5 or a / n1 < 5 * (b + 0.5) / n0:
+        if a / n1 < 5 * (b + 0.5) / n0:
             continue
         share = (a + b) / (n0 + n1)
         gain = a * np.log(a / (n1 * share)) + (b * np.log(b / (n0 * share)) if b else 0.0)
@@ -110,12 +116,11 @@ class ToxicityModel:
 
 def fit(texts: list[str | None], label: np.ndarray) -> ToxicityModel:
     """Lexicon and patterns vote, the label model weighs them, a logistic regression learns its posteriors."""
-    bags = [words_of(t) for t in texts]
-    terms = list(dict.fromkeys([*LEXICON, *(mine(bags, label) if len(texts) else [])]))
+    terms = list(dict.fromkeys([*LEXICON, *(mine(texts, label) if len(texts) else [])]))
     at = {w: i for i, w in enumerate(terms)}
     k, x = len(terms), np.zeros((len(texts), len(terms) + len(PATTERNS)))
-    for i, (b, t) in enumerate(zip(bags, texts, strict=True)):
-        x[i, [at[w] for w in b & at.keys()]] = 1
+    for i, t in enumerate(texts):
+        x[i, [at[w] for w in at.keys() & words_of(t)]] = 1
         x[i, k:] = pattern_hits(t)
     fixed = np.r_[[4.0 if w in LEXICON else 0.0 for w in terms], [0.5] * len(PATTERNS)]
     if not len(texts) or not 0 < label.sum() < len(label):
