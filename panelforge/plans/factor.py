@@ -374,10 +374,10 @@ def ind10(s, d):
     return x.select("entity", "dt", *[c for n in (10, 60) for c in (r(ts.ts_mean("tv", n, n // 2), 9).alias(f"avg_{n}"), r(ts.ts_std("tv", n, n // 2)).alias(f"std_{n}"))])
 
 
-@add("ind11_relative_turnover", f"WITH {_TO} SELECT entity, dt, round({guard('avg(tv)', 'tv', 60, 30)} / nullif({guard('avg(tv)', 'tv', 30, 15)}, 0), 12) AS value FROM tv")
+# whole volumes have exact sums, so the ratio is compared to the last bit, without rounding
+@add("ind11_relative_turnover", f"WITH {RETD} SELECT entity, dt, {guard('avg(volume)', 'volume', 60, 30)} / nullif({guard('avg(volume)', 'volume', 30, 15)}, 0) AS value FROM ret_d")
 def ind11(s, d):
-    x = t.ret_d(s, d).withColumn("tv", F.col("volume") / 100)
-    return x.select("entity", "dt", r(ratio(ts.ts_mean("tv", 60, 30), ts.ts_mean("tv", 30, 15)), 12).alias("value"))
+    return t.ret_d(s, d).select("entity", "dt", ratio(ts.ts_mean("volume", 60, 30), ts.ts_mean("volume", 30, 15)).alias("value"))
 
 
 @add("ind14_range_and_volatility", f"WITH {RETD} SELECT entity, dt, round({guard('max(high)', 'high', 20)} / nullif({guard('min(low)', 'low', 20)}, 0), 6) AS range_20, round({guard('stddev_samp(ret)', 'ret', 60, 30)}, 6) AS vol_60 FROM ret_d")
