@@ -38,14 +38,15 @@ def fama_macbeth(df: DataFrame, y: str, x: str, lags: int = 5, *keys: str) -> Da
     return newey_west(slopes, "slope", lags, *keys)
 
 
-def draws(spark_range: DataFrame, length: int, seed: int) -> DataFrame:
-    """Adds draw in 0..length-1 to rows (rep, pos), by whole-number arithmetic that any engine repeats."""
+def draws(positions: DataFrame, length: int | str, seed: int, by: str | None = None) -> DataFrame:
+    """Adds draw in 0..length-1 to rows (rep, pos), by whole-number arithmetic that any engine repeats; draws differ by
+    the whole-number key `by` where one is given, and are shared otherwise."""
     p = 2147483647
-    z: Column = (F.col("rep") * 1000003 + F.col("pos") * 7919 + seed) % p
-    out = spark_range.withColumn("__z", z)
+    z: Column = F.col("rep") * 1000003 + F.col("pos") * 7919 + seed
+    out = positions.withColumn("__z", (z if by is None else z + F.col(by) * 50021) % p)
     for m in (48271, 69621, 16807):
         out = out.withColumn("__z", (F.col("__z") * m + 12345) % p).withColumn("__z", (F.col("__z") * (F.col("__z") % 65521 + 1)) % p)
-    return out.withColumn("draw", F.col("__z") % length).drop("__z")
+    return out.withColumn("draw", F.col("__z") % (F.col(length) if isinstance(length, str) else length)).drop("__z")
 
 
 def bootstrap_alpha(df: DataFrame, y: str, x: str, reps: int, seed: int = 7, remove_alpha: bool = True) -> DataFrame:
@@ -71,3 +72,47 @@ def percentile_of_score(sample: str, score: str) -> Column:
     """Mean of the strict and weak share of a sample below a score (kind 'rank'), as an aggregate."""
     left, right = F.sum(F.when(col(sample) < col(score), 1).otherwise(0)), F.sum(F.when(col(sample) <= col(score), 1).otherwise(0))
     return (left + right + F.when(right > left, 1).otherwise(0)) / (2 * F.count(sample))
+
+
+def bootstrap_residuals(df: DataFrame, y: str, x: str, reps: int, seed: int = 7) -> DataFrame:
+    """For each (rep, entity) the regression on the factor as it was of beta x plus a residual drawn among the entity's
+    own, independently of other entities: the distribution of t where there is no alpha."""
+    ok = df.where(col(y).isNotNull() & col(x).isNotNull())
+    fit = ols(ok, y, x, "entity").where(F.col("beta").isNotNull()).select("entity", "alpha", "beta", F.col("n").alias("__n"))
+    rows = ok.join(fit, "entity").withColumn("pos", F.row_number().over(Window.partitionBy("entity").orderBy("dt")).cast("long") - 1)
+    rows = rows.select("entity", "pos", x, "__n", "beta", (col(y) - F.col("alpha") - F.col("beta") * col(x)).alias("__e"))
+    grid = rows.drop("__e").withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
+    drawn = draws(grid, "__n", seed, "entity").join(rows.select("entity", F.col("pos").alias("draw"), "__e"), ["entity", "draw"])
+    return ols(drawn.withColumn(y, F.col("beta") * col(x) + F.col("__e")), y, x, "rep", "entity")
+
+
+def plant(replicates: DataFrame, fits: DataFrame, count: int, size: float = 3.0, seed: int = 11) -> DataFrame:
+    """In each replicate, `count` entities get an alpha of `size` standard errors of their own fit, up and down in turn.
+    An alpha that is added to the returns moves the estimate by as much and leaves its error."""
+    lots = draws(replicates.withColumn("pos", F.col("entity")), 2147483647, seed)
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("draw", "entity"))
+    out = lots.withColumn("__k", place).join(fits.select("entity", F.col("se").alias("__se")), "entity")
+    shift = F.when(F.col("__k") <= count, size * F.col("__se") * F.when(F.col("__k") % 2 == 1, 1).otherwise(-1)).otherwise(0.0)
+    alpha = F.col("alpha") + F.coalesce(shift, F.lit(0.0))
+    return out.select("rep", "entity", "n", "beta", "se", (F.col("__k") <= count).alias("planted"), alpha.alias("alpha"), ratio(alpha, "se").alias("t"))
+
+
+def replicate_bands(replicates: DataFrame, fits: DataFrame, points: list[float]) -> DataFrame:
+    """For each percentile of the cross-section of t: its value in the data, the 5 % and 95 % points over replicates, and
+    the share of replicates that reach the value."""
+    at = F.array(*map(F.lit, points))
+    real = fits.groupBy().agg(F.percentile("t", at).alias("q")).select(F.posexplode("q").alias("k", "realized"))
+    reps = replicates.groupBy("rep").agg(F.percentile("t", at).alias("q")).select("rep", F.posexplode("q").alias("k", "v"))
+    both = reps.join(F.broadcast(real), "k")
+    band = both.groupBy("k").agg(F.first("realized").alias("realized"), F.percentile("v", 0.05).alias("low"), F.percentile("v", 0.95).alias("high"), F.avg((F.col("v") >= F.col("realized")).cast("double")).alias("p"))
+    return band.withColumn("point", F.element_at(at, F.col("k") + 1)).drop("k")
+
+
+def predictions(df: DataFrame, y: str, x: str, months: int, *keys: str) -> DataFrame:
+    """y predicted from x by the cross-sectional coefficients of earlier dates: their mean over the trailing `months`
+    dates before. Every smoothing starts from the coefficients themselves."""
+    ok = df.where(col(y).isNotNull() & col(x).isNotNull())
+    fit = ok.groupBy(*keys, "dt").agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("b"), (F.avg(y) - F.regr_slope(y, x) * F.avg(x)).alias("a")).where("n > 2")
+    w = Window.partitionBy(*keys).orderBy("dt").rowsBetween(-months, -1)
+    mean = lambda c: F.when(F.count(c).over(w) >= months, F.avg(c).over(w))
+    return df.join(fit.select(*keys, "dt", mean("a").alias("__a"), mean("b").alias("__b")), [*keys, "dt"]).withColumn("predicted", F.col("__a") + F.col("__b") * col(x)).drop("__a", "__b")

@@ -233,6 +233,72 @@ def bst8(s, d):
     return a.join(o, "entity").groupBy("entity").agg(r(rg.percentile_of_score("drawn", "t")).alias("p"))
 
 
+_FIT = "ft AS (SELECT entity, n, sy - b * sx AS a, b, sqrt(greatest(syy - b * sxy, 0) / nullif(CASE WHEN n > 2 THEN n - 2 END, 0) * (1.0 / n + sx * sx / nullif(sxx, 0))) AS se FROM (SELECT entity, count(*) AS n, regr_slope(ret_m, mkt) AS b, avg(ret_m) AS sy, avg(mkt) AS sx, regr_sxx(ret_m, mkt) AS sxx, regr_syy(ret_m, mkt) AS syy, regr_sxy(ret_m, mkt) AS sxy FROM z GROUP BY 1))"
+
+
+def _drawn(table: str, keep: str, start: str, name: str) -> str:
+    out = f"{name}0 AS (SELECT {keep}, ({start}) % 2147483647 AS z FROM {table})"
+    for i, m in enumerate((48271, 69621, 16807)):
+        out += f", {name}e{i} AS (SELECT * EXCLUDE (z), (z * {m} + 12345) % 2147483647 AS z FROM {name}{i}), {name}{i + 1} AS (SELECT * EXCLUDE (z), (z * (z % 65521 + 1)) % 2147483647 AS z FROM {name}e{i})"
+    return out
+
+
+@add("bst2_residual_bootstrap", f"""WITH {_MK}, {_FIT}, rw AS (SELECT z.entity, row_number() OVER (PARTITION BY z.entity ORDER BY dt) - 1 AS pos, mkt, n, b, ret_m - a - b * mkt AS e FROM z JOIN ft ON ft.entity = z.entity WHERE b IS NOT NULL),
+gd AS (SELECT rw.*, rep FROM rw CROSS JOIN (SELECT unnest(range(10)) AS rep)), {_drawn("gd", "rep, entity, mkt, n, b", "rep * 1000003 + pos * 7919 + 7 + entity * 50021", "q")},
+bs AS (SELECT rep, q3.entity, q3.mkt, q3.b * q3.mkt + rw.e AS ret_m FROM q3 JOIN rw ON rw.entity = q3.entity AND rw.pos = q3.z % q3.n) """ + _OLS.format(k="rep, entity", t="bs"))
+def bst2(s, d):
+    return _ols_out(rg.bootstrap_residuals(_mk(s, d).select("entity", "dt", "ret_m", "mkt"), "ret_m", "mkt", 10), "rep", "entity")
+
+
+_REP = _BST + f""", {_FIT}, rp AS (SELECT rep, entity, n, my - b * mx AS alpha, b, sqrt(greatest(syy - b * sxy, 0) / (n - 2) * (1.0 / n + mx * mx / nullif(sxx, 0))) AS se FROM
+(SELECT rep, entity, count(*) AS n, regr_slope(ret_m, mkt) AS b, regr_sxx(ret_m, mkt) AS sxx, regr_syy(ret_m, mkt) AS syy, regr_sxy(ret_m, mkt) AS sxy, avg(mkt) AS mx, avg(ret_m) AS my FROM bs GROUP BY ALL))"""
+
+
+@add("bst6_planted", _REP + f""", {_drawn("rp", "rp.*", "rep * 1000003 + entity * 7919 + 11", "q")}, pl AS (SELECT q3.*, row_number() OVER (PARTITION BY rep ORDER BY z % 2147483647, entity) AS k FROM q3),
+pa AS (SELECT rep, pl.entity, k <= 3 AS planted, alpha + CASE WHEN k <= 3 THEN 3 * ft.se * CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END ELSE 0 END AS alpha, pl.se FROM pl JOIN ft ON ft.entity = pl.entity)
+SELECT rep, entity, planted, round(alpha, 6) + 0.0 AS alpha, round(alpha / nullif(se, 0), 4) + 0.0 AS t FROM pa""")
+def bst6(s, d):
+    z = _mk(s, d).select("entity", "dt", "ret_m", "mkt")
+    planted = rg.plant(rg.bootstrap_alpha(z, "ret_m", "mkt", 20), rg.ols(z, "ret_m", "mkt", "entity"), 3)
+    return planted.select("rep", "entity", "planted", r("alpha").alias("alpha"), r("t", 4).alias("t"))
+
+
+@add("bst7_replicate_bands", _REP + """, qr AS (SELECT rep, unnest([0.05, 0.5, 0.95]) AS point, unnest(quantile_cont(alpha / nullif(se, 0), [0.05, 0.5, 0.95])) AS v FROM rp GROUP BY 1), qf AS (SELECT unnest([0.05, 0.5, 0.95]) AS point, unnest(quantile_cont(a / nullif(se, 0), [0.05, 0.5, 0.95])) AS realized FROM ft)
+SELECT CAST(qr.point AS DOUBLE) AS point, round(realized, 4) + 0.0 AS realized, round(quantile_cont(v, 0.05), 4) + 0.0 AS low, round(quantile_cont(v, 0.95), 4) + 0.0 AS high, round(avg(CASE WHEN v >= realized THEN 1.0 ELSE 0.0 END), 6) AS p FROM qr JOIN qf ON qf.point = qr.point GROUP BY qr.point, realized""")
+def bst7(s, d):
+    z = _mk(s, d).select("entity", "dt", "ret_m", "mkt")
+    b = rg.replicate_bands(rg.bootstrap_alpha(z, "ret_m", "mkt", 20), rg.ols(z, "ret_m", "mkt", "entity"), [0.05, 0.5, 0.95])
+    return b.select("point", *[r(c, 4).alias(c) for c in ("realized", "low", "high")], r("p").alias("p"))
+
+
+_PRED = f"""{_X}, il AS (SELECT entity, dt, ret_1m, unnest(['ret_m', 'volume']) AS indicator, unnest([ret_m, volume]) AS v FROM x), fi AS (SELECT indicator, dt, b, my - b * mv AS a FROM (SELECT indicator, dt, CASE WHEN regr_sxx(ret_1m, v) > 0 THEN regr_slope(ret_1m, v) END AS b, avg(ret_1m) AS my, avg(v) AS mv FROM il GROUP BY 1, 2 HAVING count(*) > 2)),
+fs AS (SELECT indicator, dt, CASE WHEN count(a) OVER w >= 12 THEN avg(a) OVER w END AS a, CASE WHEN count(b) OVER w >= 12 THEN avg(b) OVER w END AS b FROM fi WINDOW w AS (PARTITION BY indicator ORDER BY dt ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+pr AS (SELECT il.*, a + b * v AS predicted FROM il JOIN fs ON fs.indicator = il.indicator AND fs.dt = il.dt)"""
+
+
+def _pred(s, d):
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("indicator"), F.col(c).alias("v")) for c in ("ret_m", "volume")]))
+    il = _x(s, d).select("entity", "dt", "ret_1m", pair.alias("i")).select("entity", "dt", "ret_1m", "i.*")
+    return rg.predictions(il, "ret_1m", "v", 12, "indicator").where("predicted is not null")
+
+
+@add("reg6_prediction", f"WITH {_PRED} SELECT indicator, entity, dt, round(predicted, 5) + 0.0 AS predicted FROM pr WHERE predicted IS NOT NULL")
+def reg6(s, d):
+    return _pred(s, d).select("indicator", "entity", "dt", r("predicted", 5).alias("predicted"))
+
+
+@add("reg8_forecast_combination", f"""WITH {_PRED}, zz AS (SELECT entity, dt, ret_1m, (predicted - avg(predicted) OVER p) / nullif(stddev_samp(predicted) OVER p, 0) AS z FROM pr WHERE predicted IS NOT NULL WINDOW p AS (PARTITION BY indicator, dt)),
+cz AS (SELECT entity, dt, any_value(ret_1m) AS ret_1m, round(sum(z), 9) AS score FROM zz GROUP BY 1, 2), bz AS (SELECT dt, ret_1m, {bucket("score", 5, "dt")} AS g FROM cz)
+SELECT dt, count(*) AS n, round(avg(ret_1m) FILTER (WHERE g = 5) - avg(ret_1m) FILTER (WHERE g = 1), 6) + 0.0 AS spread FROM bz GROUP BY 1""")
+def reg8(s, d):
+    from panelforge.functions.core import bucket as buckets
+    from panelforge.operators.xs import zscore
+
+    z = _pred(s, d).withColumn("z", zscore("predicted", "indicator", "dt"))
+    c = z.groupBy("entity", "dt").agg(F.first("ret_1m").alias("ret_1m"), r(F.sum("z"), 9).alias("score")).withColumn("g", buckets("score", 5, "dt"))
+    return c.groupBy("dt").agg(F.count("*").alias("n"), r(F.avg(F.when(F.col("g") == 5, F.col("ret_1m"))) - F.avg(F.when(F.col("g") == 1, F.col("ret_1m")))).alias("spread"))
+
+
 # ---- books and performance
 
 _TOP = f"""{_X}, tn AS (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY sig DESC, entity) AS place FROM x), tp AS (SELECT * FROM tn WHERE place <= 10)"""

@@ -252,3 +252,34 @@ def ind15(s, d):
     )
     idio = F.sqrt(F.greatest(F.col("syy") - F.col("beta") * F.col("sxy"), F.lit(0.0)) / F.col("n"))
     return g.where("n >= 15").select("entity", "month_end", r("hl", 5).alias("high_low"), r("vol").alias("vol"), r("beta", 5).alias("beta"), r(idio).alias("idio"))
+
+
+@add("ind2_momentum_spread", f"WITH {RETD} SELECT entity, dt, " + ", ".join(f"round((close / nullif(lag(close, {a}) OVER {WE}, 0) - 1) - (close / nullif(lag(close, {b}) OVER {WE}, 0) - 1), 5) + 0.0 AS mom_{a}_{b}" for a in (120, 250) for b in (10, 20)) + " FROM ret_d")
+def ind2(s, d):
+    g = ts.growth(t.ret_d(s, d), "close", 10, 20, 120, 250)
+    return g.select("entity", "dt", *[r(F.col(f"mom_{a}") - F.col(f"mom_{b}"), 5).alias(f"mom_{a}_{b}") for a in (120, 250) for b in (10, 20)])
+
+
+_MF = PXM + ", f AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY entity ORDER BY month_end ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM px_m)"
+_ME = "(PARTITION BY entity ORDER BY month_end)"
+
+
+@add("ind5_ind9_lagged_momentum", f"""WITH {_MF}, g AS (SELECT entity, month_end, CASE WHEN close IS NOT NULL THEN p / nullif(lag(p, 1) OVER {_ME}, 0) - 1 END AS m1, CASE WHEN close IS NOT NULL THEN p / nullif(lag(p, 6) OVER {_ME}, 0) - 1 END AS m6, CASE WHEN close IS NOT NULL THEN p / nullif(lag(p, 11) OVER {_ME}, 0) - 1 END AS m11, CASE WHEN close IS NOT NULL THEN p / nullif(lag(p, 12) OVER {_ME}, 0) - 1 END AS m12 FROM f)
+SELECT entity, month_end, round(m12 - m1, 5) + 0.0 AS mom_12_1, round((1 + m12) / nullif(1 + m6, 0) - 1, 5) + 0.0 AS mom_12_6, round(lag(m11, 1) OVER {_ME}, 5) + 0.0 AS mom_11_lagged FROM g""")
+def ind5(s, d):
+    g = ts.growth(t.px_m(s, d).withColumnRenamed("month_end", "dt"), "close", 1, 6, 11, 12)
+    out = g.withColumns({"a": F.col("mom_12") - F.col("mom_1"), "b": ratio(1 + F.col("mom_12"), 1 + F.col("mom_6")) - 1, "c": ts.delay("mom_11", 1)})
+    return out.select("entity", F.col("dt").alias("month_end"), r("a", 5).alias("mom_12_1"), r("b", 5).alias("mom_12_6"), r("c", 5).alias("mom_11_lagged"))
+
+
+@add("reg12_prominence", f"""WITH {_ST}, o AS (SELECT industry, 'market' AS bench, st.ret AS y, mkt AS a FROM st JOIN mk ON mk.dt = st.dt UNION ALL SELECT industry, 'size', st.ret, smb FROM st JOIN sz ON sz.dt = st.dt WHERE smb IS NOT NULL),
+g AS (SELECT industry, bench, count(*) AS n, avg(y) AS my, avg(a) AS ma, regr_slope(y, a) AS b, regr_sxx(y, a) AS sxx, regr_syy(y, a) AS syy, regr_sxy(y, a) AS sxy FROM o GROUP BY 1, 2),
+h AS (SELECT industry, (my - b * ma) / nullif(sqrt(greatest(syy - b * sxy, 0) / (n - 2) * (1.0 / n + ma * ma / nullif(sxx, 0))), 0) AS t FROM g WHERE n > 2)
+SELECT industry, round(min(abs(t)), 4) AS least_t, min(abs(t)) > 1 AS both_, max(abs(t)) > 1 AS any_ FROM h GROUP BY 1""")
+def reg12(s, d):
+    from panelforge.operators.regress import ols
+
+    f = F.explode(F.array(*[F.struct(F.lit(n).alias("bench"), F.col(c).alias("a")) for n, c in (("market", "mkt"), ("size", "smb"))]))
+    x = _st(s, d).join(_factors(s, d), "dt").select("industry", "ret", f.alias("f")).select("industry", "ret", "f.*")
+    o = ols(x, "ret", "a", "industry", "bench").where("n > 2").withColumn("t", F.abs("t"))
+    return o.groupBy("industry").agg(r(F.min("t"), 4).alias("least_t"), (F.min("t") > 1).alias("both_"), (F.max("t") > 1).alias("any_"))
