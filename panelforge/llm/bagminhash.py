@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import SIMILARITY, mix, read, shingle_hashes, small_batches, text_key, text_of, word_hashes, written
@@ -172,17 +172,69 @@ def _rooted(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
     if links is None:
         return buckets.withColumn("root", F.col("tk"))
     roots = components(links.select("a", "b"), "bagminhash-roots")
-    at = buckets.join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
+    at = buckets.drop("root").join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
+    return _several(at)
+
+
+def _several(at: DataFrame) -> DataFrame:
     several = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     return at.join(several, "key")
 
 
-def _star(at: DataFrame) -> DataFrame:
-    """Each member of a bucket with one of its members, another one in every bucket."""
-    heads = at.groupBy("key").agg(F.min_by(F.struct("tk", "root"), F.xxhash64("key", "tk")).alias("h"))
+def _shingle_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tk, text) to one row (shingle, lo, hi, n) per distinct shingle of a batch: its least and greatest text, its count."""
+    for batch in batches:
+        bags = [bag(x) for x in batch.column(1).to_pylist()]
+        if not bags:
+            continue
+        items, counts = np.concatenate([x for x, _ in bags]), np.concatenate([n for _, n in bags])
+        owner = np.repeat(np.asarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64), [len(x) for x, _ in bags])
+        if not len(items):
+            continue
+        order = np.lexsort((owner, items))
+        items, counts, owner = items[order], counts[order], owner[order]
+        first = np.flatnonzero(np.append(True, items[1:] != items[:-1]))
+        last = np.append(first[1:], len(items)) - 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(items[first].view(np.int64)), pa.array(owner[first]), pa.array(owner[last]), pa.array(np.add.reduceat(counts, first).astype(np.int64))],
+            names=["shingle", "lo", "hi", "n"])
+
+
+def _within_reach(at: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (tk, key, root, size, reach) of at without those that can't have a link to another text of their bucket.
+
+    reach is what a text shares at most with any other: its size without the shingles that no other text of at holds.
+    With a text of size m it has a similarity of at most reach / (size + m - reach), and m is at least reach and at
+    least the least size in the bucket. The bound is exact, and takes one grouping of the shingles instead of pairs.
+    """
+    nodes = at.select("tk").distinct()
+    owners = texts.join(nodes.hint("merge"), "tk", "left_semi").select("tk", "text").mapInArrow(_shingle_owners, "shingle bigint, lo bigint, hi bigint, n bigint")
+    single = owners.groupBy("shingle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).where("lo = hi")
+    alone = single.groupBy(F.col("lo").alias("tk")).agg(F.sum("n").alias("alone"))
+    sizes = sketch.select("tk", "size").join(nodes, "tk").join(alone, "tk", "left")
+    sizes = written(sizes.select("tk", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("reach")), "bagminhash-reach")
+    rows = at.join(sizes, "tk")
+    least = rows.groupBy("key").agg(F.min("size").alias("least"))
+    near = F.col("reach") >= SIMILARITY * (F.col("size") + F.greatest("least", "reach") - F.col("reach"))
+    return _several(rows.join(least, "key").where(near).drop("least"))
+
+
+def _star(at: DataFrame, order: Column) -> DataFrame:
+    """Each member of a bucket with that one of its members that is first in an order."""
+    heads = at.groupBy("key").agg(F.min_by(F.struct("tk", "root"), order).alias("h"))
     return at.join(heads, "key").where("root <> h.root").select(F.col("tk").alias("x"), F.col("h.tk").alias("y"))
 
 
+def _any_first() -> Column:
+    """Another member in every bucket."""
+    return F.xxhash64("key", "tk")
+
+
+def _plainest_first() -> Column:
+    """The text with the fewest shingles of its own, which is most like what its group has in common."""
+    return F.struct(F.col("size") - F.col("reach"), F.xxhash64("tk"))
+
+
 def _neighbours(at: DataFrame, sketch: DataFrame, turn: int) -> DataFrame:
     """Each member of a bucket with the one before it in the order of its registers, which begins at another register
     in every bucket and round: those that share the longest run of registers are next to each other."""
@@ -194,12 +246,30 @@ def _neighbours(at: DataFrame, sketch: DataFrame, turn: int) -> DataFrame:
     return rows.where("root <> h.root").select(F.col("tk").alias("x"), F.col("h.tk").alias("y"))
 
 
+def _across(at: DataFrame, sketch: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket across classes that agree in enough registers and may reach the similarity. Of each
+    bucket, the class of most members is only met by the others, never by itself. A pair is made in its first common
+    band: a text that is not in that bucket any more has no link there."""
+    most = at.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    rows = at.join(sketch.select("tk", "bands", "registers"), "tk")
+    x, y = rows.join(most, "key").where("root <> most").alias("x"), rows.alias("y")
+    once = F.expr("y.root = x.most or x.tk < y.tk") & (F.expr("array_position(transform(x.bands, (k, i) -> k = y.bands[i]), true)") == F.expr("array_position(x.bands, x.key)"))
+    agree = F.expr(f"size(filter(sequence(0, {REGISTERS - 1}), i -> substring(x.registers, 2 * i + 1, 2) = substring(y.registers, 2 * i + 1, 2)))")
+    both = F.least("x.reach", "y.reach", "x.size", "y.size")
+    close = (F.col("x.root") != F.col("y.root")) & (both >= SIMILARITY * (F.col("x.size") + F.col("y.size") - both))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close & (agree >= LEAST_AGREE) & once)
+    return pairs.select(F.least("x.tk", "y.tk").alias("a"), F.greatest("x.tk", "y.tk").alias("b"))
+
+
 def near_duplicate_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, tk, class_id per row of docs; links: a, b, similarity between the keys of different texts).
 
     Equal texts are one node, so groups of copies never meet as pairs. In the first round every node is verified against
-    one member of each of its buckets, in the others against likely neighbours that are not in its class by then. What the buckets then still hold in different classes is verified in all pairs across classes that agree in enough
-    registers, so no link that could join two classes is left out.
+    one member of each of its buckets. Texts of buckets in several classes that can't resemble any other there, by an
+    exact bound, are then settled; the rest are verified against the plainest text of the bucket, and against likely
+    neighbours that are not in their class by then.
+    What the buckets then still hold in different classes is verified in all pairs across classes that agree in enough
+    registers and may reach the similarity, so no link that could join two classes is left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -214,7 +284,9 @@ def near_duplicate_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = done = None
     for turn in range(ROUNDS):
         at = _rooted(buckets, links)
-        pairs = _star(at) if turn == 0 else _neighbours(at, sketch, turn)
+        if turn == 1:
+            at = buckets = written(_within_reach(written(at, "bagminhash-open"), sketch, plain), "bagminhash-near")
+        pairs = _star(at, _any_first() if turn == 0 else _plainest_first()) if turn < 2 else _neighbours(at, sketch, turn)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -222,12 +294,7 @@ def near_duplicate_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = _verified(pairs, plain, f"bagminhash-{turn}")
         links, done = (found, pairs) if links is None else (links.unionByName(found), done.unionByName(pairs))
 
-    left = written(_rooted(buckets, links).join(sketch.select("tk", "size", "registers"), "tk"), "bagminhash-open")
-    x, y = left.alias("x"), left.alias("y")
-    agree = F.expr(f"size(filter(sequence(0, {REGISTERS - 1}), i -> substring(x.registers, 2 * i + 1, 2) = substring(y.registers, 2 * i + 1, 2)))")
-    close = (F.col("x.tk") < F.col("y.tk")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size"))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & close & (agree >= LEAST_AGREE)).select(F.col("x.tk").alias("a"), F.col("y.tk").alias("b")).distinct()
-    across = written(across.join(done, ["a", "b"], "left_anti"), "bagminhash-across")
+    across = written(_across(written(_rooted(buckets, links), "bagminhash-open"), sketch).join(done, ["a", "b"], "left_anti"), "bagminhash-across")
     links = links.unionByName(_verified(across, plain, "bagminhash-across"))
     roots = components(links.select("a", "b"), "bagminhash-roots")
     classed = nodes.join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
