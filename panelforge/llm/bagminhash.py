@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import SIMILARITY, mix, read, shingle_hashes, small_batches, text_key, text_of, word_hashes, written
@@ -26,8 +26,6 @@ from panelforge.llm.components import components
 #: 28 bands of 5 registers miss a pair of similarity 0.8 with odds of 1.5e-5.
 BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
-#: Rounds in which each node meets one member of each of its buckets, before all pairs across classes.
-ROUNDS = 4
 #: Pairs of a bucket whose ends are not yet in one class are verified if so many registers agree: at a similarity of
 #: 0.8 the expected count is 112 with a deviation of 4.7; 91 lies more than four deviations below (odds of 2e-5).
 LEAST_AGREE = 91
@@ -167,10 +165,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     return written(links, f"{name}-links")
 
 
-def _rooted(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
+def _rooted(buckets: DataFrame, links: DataFrame) -> DataFrame:
     """(tk, key, root) of the members of buckets that are still in several classes."""
-    if links is None:
-        return buckets.withColumn("root", F.col("tk"))
     roots = components(links.select("a", "b"), "bagminhash-roots")
     at = buckets.drop("root").join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
     return _several(at)
@@ -235,17 +231,6 @@ def _plainest_first() -> Column:
     return F.struct(F.col("size") - F.col("reach"), F.xxhash64("tk"))
 
 
-def _neighbours(at: DataFrame, sketch: DataFrame, turn: int) -> DataFrame:
-    """Each member of a bucket with the one before it in the order of its registers, which begins at another register
-    in every bucket and round: those that share the longest run of registers are next to each other."""
-    first = (F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(REGISTERS)) * 2 + 1).cast("int")
-    turned = F.concat(F.expr("substring(registers, first)"), F.expr("substring(registers, 1, first - 1)"))
-    rows = at.join(sketch.select("tk", "registers"), "tk").withColumn("first", first).select("tk", "root", "key", turned.alias("order"))
-    w = Window.partitionBy("key").orderBy("order", "tk")
-    rows = rows.select("tk", "root", F.lag(F.struct("tk", "root")).over(w).alias("h"))
-    return rows.where("root <> h.root").select(F.col("tk").alias("x"), F.col("h.tk").alias("y"))
-
-
 def _across(at: DataFrame, sketch: DataFrame) -> DataFrame:
     """All pairs (a, b) of a bucket across classes that agree in enough registers and may reach the similarity. Of each
     bucket, the class of most members is only met by the others, never by itself. A pair is made in its first common
@@ -264,10 +249,8 @@ def _across(at: DataFrame, sketch: DataFrame) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, tk, class_id per row of docs; links: a, b, similarity between the keys of different texts).
 
-    Equal texts are one node, so groups of copies never meet as pairs. In the first round every node is verified against
-    one member of each of its buckets. Texts of buckets in several classes that can't resemble any other there, by an
-    exact bound, are then settled; the rest are verified against the plainest text of the bucket, and against likely
-    neighbours that are not in their class by then.
+    Equal texts are one node, so groups of copies never meet as pairs. Texts that can't resemble any other of their
+    buckets, by an exact bound, are settled first. The others are verified against two members of each of their buckets.
     What the buckets then still hold in different classes is verified in all pairs across classes that agree in enough
     registers and may reach the similarity, so no link that could join two classes is left out.
     """
@@ -281,20 +264,13 @@ def near_duplicate_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = written(bands.join(shared, "key"), "bagminhash-buckets")
     # one way of joining at every size: the texts that share a bucket are moved once, then read from this table
     plain = written(texts.select("tk", "text").join(buckets.select("tk").distinct().hint("merge"), "tk", "left_semi").dropDuplicates(["tk"]), "bagminhash-texts")
-    links = done = None
-    for turn in range(ROUNDS):
-        at = _rooted(buckets, links)
-        if turn == 1:
-            at = buckets = written(_within_reach(written(at, "bagminhash-open"), sketch, plain), "bagminhash-near")
-        pairs = _star(at, _any_first() if turn == 0 else _plainest_first()) if turn < 2 else _neighbours(at, sketch, turn)
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"bagminhash-pairs-{turn}")
-        found = _verified(pairs, plain, f"bagminhash-{turn}")
-        links, done = (found, pairs) if links is None else (links.unionByName(found), done.unionByName(pairs))
-
-    across = written(_across(written(_rooted(buckets, links), "bagminhash-open"), sketch).join(done, ["a", "b"], "left_anti"), "bagminhash-across")
+    near = written(_within_reach(buckets.withColumn("root", F.col("tk")), sketch, plain), "bagminhash-near")
+    pairs = _star(near, _any_first()).unionByName(_star(near, _plainest_first()))
+    done = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "bagminhash-pairs")
+    links = _verified(done, plain, "bagminhash")
+
+    across = _across(written(_rooted(near, links), "bagminhash-open"), sketch)
+    across = written(across.join(done, ["a", "b"], "left_anti"), "bagminhash-across")
     links = links.unionByName(_verified(across, plain, "bagminhash-across"))
     roots = components(links.select("a", "b"), "bagminhash-roots")
     classed = nodes.join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
