@@ -247,7 +247,10 @@ def _across(at: DataFrame, sketch: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, tk, class_id per row of docs; links: a, b, similarity between the keys of different texts).
+    """(members: doc_id, tk, root, class_id per row of docs; links: a, b, similarity between the keys of different texts).
+
+    root is the class itself, a text key. class_id is its least doc_id: null where all ids are, and the same for two
+    classes where one id has different texts, so it names a class in results but doesn't tell classes apart.
 
     Equal texts are one node, so groups of copies never meet as pairs. Texts that can't resemble any other of their
     buckets, by an exact bound, are settled first. The others are verified against two members of each of their buckets.
@@ -276,15 +279,14 @@ def near_duplicate_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classed = nodes.join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
     classed = written(classed, "bagminhash-classed")
     least = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = classed.join(least, "root").select("tk", "class_id")
-    return texts.select("doc_id", "tk").join(classes, "tk"), links
+    classes = classed.join(least, "root").select("tk", "root", "class_id")
+    return texts.select("doc_id", "tk").join(classes, "tk").select("doc_id", "tk", "root", "class_id"), links
 
 
 def keepers(members: DataFrame) -> DataFrame:
     """The (tk, doc_id) of one row per class: its least doc_id, then the least text key."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk"))
-    group = F.when(F.col("class_id").isNull(), F.col("tk")).alias("alone")
-    return members.groupBy("class_id", group).agg(first.alias("k")).select("k.tk", "k.doc_id")
+    return members.groupBy("root").agg(first.alias("k")).select("k.tk", "k.doc_id")
 
 
 def op2_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from panelforge.llm import bagminhash, chat_format, decontamination, fingerprints, packing, pii, quality_mil, secrets, sharding, toxicity
 from panelforge.llm.common import text_of
 
@@ -65,6 +66,17 @@ def test_near_duplicates(spark):
     assert bagminhash.near_duplicate_classes(docs(spark, []))[0].count() == 0
 
 
+def test_keepers_of_repeated_and_null_ids(spark):
+    def pair(seed):
+        base = words(200, seed)
+        return " ".join(base), " ".join([*base[:100], "other", *base[101:]])
+
+    (a, a2), (b, b2), (c, c2) = pair(21), pair(22), pair(23)
+    rows = docs(spark, [(1, a), (5, a2), (1, b), (6, b2), (None, c), (None, c2)])
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()), key=str)
+    assert kept in [sorted([(1, a), (1, b), (None, x)], key=str) for x in (c, c2)]
+
+
 def test_packing(spark):
     df = docs(spark, [*ODD, (9, "<|endoftext|> special")])
     got = packing.pack(packing.tokenized_pieces(df)).collect()
