@@ -4,8 +4,8 @@ Every document becomes the ids of its whole text, then one end id. Overlong docu
 which are sequences of their own; the rests are packed, longest first, each into the open window with the least room
 that still holds it. A segment tree indexed by remaining room finds that window in logarithmic time.
 
-The rests are dealt by a hash of (doc_id, text) to the session's shuffle partitions and packed there without their
-ids, at most `GROUP` at a time, so memory is bounded and only numbers are moved.
+The pieces are dealt by a hash of (doc_id, start, length) to the session's shuffle partitions and packed there without
+their ids, a batch at a time into one tree per partition: a task holds the numbers of its open windows, not its rows.
 
 Defined results: a null text is empty and gives the end id alone; null or repeated doc_ids are packed like any other;
 ties are packed by doc_id, then start; empty tables give empty results; other columns of the input are ignored.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import read, small_batches, text_of
 
-WINDOW, END, GROUP = 2048, 1, 262_144
+WINDOW, END = 2048, 1
 SPECIAL = "<|endoftext|>"
 
 
@@ -82,7 +83,7 @@ class RoomTree:
     def __init__(self, size: int) -> None:
         self.leaves = 1 << size.bit_length()
         self.count = [0] * (2 * self.leaves)
-        self.open: list[list[int]] = [[] for _ in range(size + 1)]
+        self.open = [array("q") for _ in range(size + 1)]
 
     def _add(self, room: int, by: int) -> None:
         i = room + self.leaves
@@ -111,20 +112,27 @@ class RoomTree:
         return room, self.open[room].pop()
 
 
-def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[int]]:
-    """(window, offset) of each length; lengths must be in decreasing order and at most `window`."""
-    tree, at, offset, used = RoomTree(window), [], [], 0
-    for n in lengths:
-        room, w = tree.take(n) or (window, used)
-        used += w == used
-        at.append(w)
-        offset.append(window - room)
-        if room > n:
-            tree.put(room - n, w)
-    return at, offset
+class BestFit:
+    """Best-fit decreasing over batches: lengths come in decreasing order, at most `window`; open windows stay open."""
 
+    def __init__(self, window: int = WINDOW) -> None:
+        self.window, self.used, self.tree = window, 0, RoomTree(window)
 
-def pack(pieces: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+    def place(self, lengths: list[int]) -> tuple[list[int], list[int]]:
+        """(window, offset) of each length of the next batch."""
+        tree, at, offset = self.tree, [], []
+        for n in lengths:
+            # a full window shares with nothing
+            room, w = (n < self.window and tree.take(n)) or (self.window, self.used)
+            self.used += w == self.used
+            at.append(w)
+            offset.append(self.window - room)
+            if room > n:
+                tree.put(room - n, w)
+        return at, offset
+
+
+def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """Adds sequence_id and offset to rows that have doc_id, start and length; all other columns stay."""
     spark = pieces.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -137,34 +145,15 @@ def pack(pieces: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFra
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, used, held, rows = TaskContext.get().partitionId() << 40, 0, [], 0
+        base, fit = TaskContext.get().partitionId() << 40, BestFit(window)
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= group:
-                out, used = _place(held, base, used, window)
-                yield from out
-                held, rows = [], 0
-        if held:
-            yield from _place(held, base, used, window)[0]
+            at, offset = fit.place(batch.column("length").to_pylist())
+            columns = [*batch.columns, pa.array(np.array(at, dtype=np.int64) + base), pa.array(offset, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "sequence_id", "offset"])
 
     return dealt.mapInArrow(place, schema)
 
 
-def _place(held: list[pa.RecordBatch], base: int, used: int, window: int) -> tuple[list[pa.RecordBatch], int]:
-    """Pack the rows of some batches, which arrive in decreasing order of length."""
-    lengths = [n for b in held for n in b.column("length").to_pylist()]
-    at, offset = best_fit_decreasing(lengths, window)
-    ids = np.array(at, dtype=np.int64) + (base + used)
-    offset, out, i = np.array(offset, dtype=np.int64), [], 0
-    for b in held:
-        n = b.num_rows
-        columns = [*b.columns, pa.array(ids[i : i + n]), pa.array(offset[i : i + n])]
-        out.append(pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "sequence_id", "offset"]))
-        i += n
-    return out, used + (max(at) + 1 if at else 0)
-
-
 def op5_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = tokenized_pieces(read(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -92,6 +92,21 @@ def test_packing(spark):
     assert ids == [*exact.encode("<|endoftext|> special", add_special_tokens=False).ids, 1]
 
 
+def test_packing_of_a_large_partition(spark):
+    """Long pieces, then as many short ones that just fill their windows: one sequence for two pieces at any size."""
+    n = 140_000
+    length = F.when(F.col("id") < n, 1500).otherwise(packing.WINDOW - 1500).cast("long")
+    pieces = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), length.alias("length"))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        windows = packing.pack(pieces).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.min("offset").alias("lo"), F.max("offset").alias("hi"))
+        got = windows.groupBy("n", "lo", "hi").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert [tuple(r) for r in got] == [(packing.WINDOW, 0, 1500, n)]
+
+
 def brute_secrets(t):
     out = [("assign", *m.span()) for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 6]
     out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
