@@ -58,56 +58,50 @@ def ols_multi(df: DataFrame, y: str, xs: Sequence[str], *keys: str) -> DataFrame
 
 
 def cross_sections(df: DataFrame, value: str, series: str = "series", **fixed: Column) -> DataFrame:
-    """(dt, values: array of (s, v)) of the dates on which every series has a value, so that sums of products agree
-    with each other; `fixed` adds aggregates of a date, such as its market return, as further members."""
+    """(dt, values: array of (s, v) of the series that have a value on a date); `fixed` adds aggregates of a date, such
+    as its market return, as columns, and drops dates without them."""
     members = F.collect_list(F.struct(F.col(series).cast("string").alias("s"), F.col(value).cast("double").alias("v")))
     one = df.where(col(value).isNotNull()).groupBy("dt").agg(members.alias("values"), *[v.cast("double").alias(k) for k, v in fixed.items()])
-    # one row per date: small by nature
-    one = one.withColumn("__n", F.max(F.size("values")).over(Window.partitionBy())).where(F.size("values") == F.col("__n"))
-    return one.select("dt", F.concat("values", F.array(*[F.struct(F.lit(k).alias("s"), F.col(k).alias("v")) for k in fixed])) if fixed else F.col("values")).toDF("dt", "values")
+    return one.dropna(subset=list(fixed))
 
 
 def gram(sections: DataFrame) -> DataFrame:
-    """(a, b, p: sum of products over dates) of all series: as many rows as squared series, which are the portfolios
-    of a study and not its entities. Products are combined before they are shuffled."""
+    """(a, b, n, sa, sb, p) per pair of series over the dates that both have: their number, the sum of each series and
+    of the products. As many rows as squared series, which are the portfolios of a study and not its entities.
+    Products are combined before they are shuffled."""
     x = sections.select("values", F.explode("values").alias("x")).select("x", F.explode("values").alias("y"))
-    return x.groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("p"))
+    sums = [F.count("*").alias("n"), F.sum("x.v").alias("sa"), F.sum("y.v").alias("sb"), F.sum(F.col("x.v") * F.col("y.v")).alias("p")]
+    return x.groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(*sums)
 
 
 def matched_counts(df: DataFrame, value: str, market: str, hurdle: float = 1.96, series: str = "series") -> DataFrame:
     """For each model of the market and two series: how many of the other series it prices (|t| of alpha < hurdle).
 
-    The sums of products are taken once; a regression of any model is then a lookup of ten numbers.
+    Each regression has the dates on which its own three series and the market have a value, so a series with gaps
+    takes no dates from the regressions without it. One that can't be fitted prices nothing. The sums of products of a
+    regression are aggregates over (model, asset), combined before they are shuffled.
     """
-    sums = gram(cross_sections(df, value, series, **{"__1": F.lit(1.0), "__m": F.max(market)}))
-    names = sums.where("b = '__1' and a not in ('__1', '__m')").select(F.col("a").alias("series"))
-    model = names.select(F.col("series").alias("f1")).join(names.select(F.col("series").alias("f2")), F.col("f1") < F.col("f2"))
-    row = sums.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "p"))).alias("row"))
-    fixed = sums.where("a in ('__1', '__m')")
-    fixed = fixed.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.concat("a", F.lit("|"), "b"), "p"))).alias("fixed"))
-    need = model.join(row.withColumnRenamed("a", "f1").withColumnRenamed("row", "r1"), "f1").join(row.withColumnRenamed("a", "f2").withColumnRenamed("row", "r2"), "f2")
-    # one row: the products with the constant and the market
-    need = need.join(F.broadcast(fixed))
-    asset = row.select(F.col("a").alias("asset"), F.col("row").alias("ry")).where("asset not in ('__1', '__m')")
-    need = need.join(asset, (F.col("asset") != F.col("f1")) & (F.col("asset") != F.col("f2")))
-    at = lambda m, k: F.element_at(m, k)
-    one, mk = F.lit("__1"), F.lit("__m")
-    xx = [
-        [at("fixed", F.lit("__1|__1")), at("fixed", F.lit("__1|__m")), at("r1", one), at("r2", one)],
-        [at("fixed", F.lit("__1|__m")), at("fixed", F.lit("__m|__m")), at("r1", mk), at("r2", mk)],
-        [at("r1", one), at("r1", mk), at("r1", F.col("f1")), at("r1", F.col("f2"))],
-        [at("r2", one), at("r2", mk), at("r1", F.col("f2")), at("r2", F.col("f2"))],
-    ]
-    xy = [at("ry", one), at("ry", mk), at("ry", F.col("f1")), at("ry", F.col("f2"))]
-    need = need.select("f1", "f2", "asset", F.array(*[c for r in xx for c in r]).alias("xx"), F.array(*xy).alias("xy"), at("ry", F.col("asset")).alias("yy"))
+    sections = cross_sections(df, value, series, __m=F.max(market))
+    names = df.where(col(value).isNotNull() & col(market).isNotNull()).select(F.col(series).cast("string").alias("s")).distinct()
+    f1, f2, asset = (names.select(F.col("s").alias(c)) for c in ("f1", "f2", "asset"))
+    every = f1.join(f2, F.col("f1") < F.col("f2")).join(asset, (F.col("asset") != F.col("f1")) & (F.col("asset") != F.col("f2")))
+    x = sections.select("__m", "values", F.explode("values").alias("x1"))
+    x = x.select("__m", "values", "x1", F.explode("values").alias("x2")).where("x1.s < x2.s")
+    x = x.select("__m", "x1", "x2", F.explode("values").alias("y")).where("y.s <> x1.s and y.s <> x2.s")
+    terms = [F.lit(1.0), F.col("__m"), F.col("x1.v"), F.col("x2.v"), F.col("y.v")]
+    pair = [(i, j) for i in range(5) for j in range(i, 5)]
+    sums = x.groupBy(F.col("x1.s").alias("f1"), F.col("x2.s").alias("f2"), F.col("y.s").alias("asset"))
+    sums = sums.agg(F.array(*[F.sum(terms[i] * terms[j]) for i, j in pair]).alias("sums"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array(b["xx"].tolist(), dtype=float).reshape(len(b), 4, 4)
-            _, t, _ = _solve(x[:, 0, 0], x, np.array(b["xy"].tolist(), dtype=float).reshape(len(b), 4), b["yy"].to_numpy(float))
+            x, flat = np.empty((len(b), 5, 5)), np.array(b["sums"].tolist(), dtype=float).reshape(len(b), len(pair))
+            for k, (i, j) in enumerate(pair):
+                x[:, i, j] = x[:, j, i] = flat[:, k]
+            _, t, _ = _solve(x[:, 0, 0], x[:, :4, :4], x[:, :4, 4], x[:, 4, 4])
             yield b[["f1", "f2", "asset"]].assign(t=t[:, 0])
 
-    t = need.mapInPandas(solve, "f1 string, f2 string, asset string, t double")
+    t = every.join(sums.mapInPandas(solve, "f1 string, f2 string, asset string, t double"), ["f1", "f2", "asset"], "left")
     return t.groupBy("f1", "f2").agg(F.count_if(F.abs("t") < hurdle).alias("matched"), F.count("*").alias("assets"))
 
 
@@ -137,22 +131,23 @@ def spanning_test(df: DataFrame, assets: Sequence[str], factors: Sequence[str],
 
 
 def principal_components(df: DataFrame, value: str, k: int, series: str = "series") -> DataFrame:
-    """(component, series, loading, share of variance) of centred series over their common dates; the loading of
-    greatest size is positive. The covariance is aggregated by Spark and its spectrum taken in one task: it has as
-    many entries as squared series, not as rows."""
+    """(component, series, loading, share of variance) of centred series; the loading of greatest size is positive.
+
+    Each covariance is taken over the dates that its two series share (0 where those are fewer than two), so with gaps
+    the least shares may be below zero. They are aggregated by Spark and the spectrum taken in one task: it has as many
+    entries as squared series, not as rows."""
 
     def spectrum(g: pd.DataFrame) -> pd.DataFrame:
-        m = g.pivot(index="a", columns="b", values="p").sort_index().sort_index(axis=1)
-        total, n = m["__1"].drop("__1").to_numpy(), m.loc["__1", "__1"]
-        m = m.drop(index="__1", columns="__1")
-        share, vectors = np.linalg.eigh(m.to_numpy() - np.outer(total, total) / n)
+        g = g.assign(c=np.where(g["n"] > 1, (g["p"] - g["sa"] * g["sb"] / g["n"]) / np.maximum(g["n"] - 1, 1), 0.0))
+        m = g.pivot(index="a", columns="b", values="c").sort_index().sort_index(axis=1).fillna(0.0)
+        share, vectors = np.linalg.eigh(m.to_numpy())
         out = []
         for c, i in enumerate(np.argsort(-share)[:k]):
             v = vectors[:, i] * np.sign(vectors[np.argmax(np.abs(vectors[:, i])), i])
             out += [(c + 1, s, float(z), float(share[i] / share.sum())) for s, z in zip(m.index, v, strict=True)]
         return pd.DataFrame(out, columns=["component", "series", "loading", "share"])
 
-    sums = gram(cross_sections(df, value, series, **{"__1": F.lit(1.0)}))
+    sums = gram(cross_sections(df, value, series))
     return sums.groupBy().applyInPandas(spectrum, "component int, series string, loading double, share double")
 
 

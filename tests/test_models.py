@@ -79,6 +79,37 @@ def test_matched_counts(spark, returns):
     assert len(places) == 10 and max(places) == 1.0
 
 
+def test_sparse_series_takes_no_dates_from_others(spark, returns):
+    """Series f has a value on two dates, d on every third: each regression and covariance keeps its own dates."""
+    market, series = returns
+    have = {k: np.ones(len(DAYS), bool) for k in "abcde"} | {"f": np.arange(len(DAYS)) < 2}
+    have["d"] = np.arange(len(DAYS)) % 3 == 0
+    series = series | {"f": series["a"] + 1.0}
+    rows = [(k, d, float(v[i]), float(market[i])) for k, v in series.items() for i, d in enumerate(DAYS) if have[k][i]]
+    df = spark.createDataFrame(rows, "series string, dt date, x double, mkt double")
+    want = {}
+    for i, a in enumerate("abcdef"):
+        for b in "abcdef"[i + 1 :]:
+            matched = 0
+            for y in set("abcdef") - {a, b}:
+                on = have[a] & have[b] & have[y]
+                if on.sum() > 4:
+                    matched += abs(fit(series[y][on], market[on], series[a][on], series[b][on])[1][0]) < 1.96
+            want[a, b] = (matched, 4)
+    got = models.matched_counts(df, "x", "mkt")
+    assert {(r["f1"], r["f2"]): (r["matched"], r["assets"]) for r in got.collect()} == want
+    assert max(r["share"] for r in models.model_performance(got).collect()) > 0
+    cov = np.zeros((6, 6))
+    for i, a in enumerate("abcdef"):
+        for j, b in enumerate("abcdef"):
+            on = have[a] & have[b]
+            cov[i, j] = np.cov(series[a][on], series[b][on])[0, 1] if on.sum() > 1 else 0.0
+    share, vectors = np.linalg.eigh(cov)
+    v = vectors[:, -1] * np.sign(vectors[np.argmax(np.abs(vectors[:, -1])), -1])
+    first = models.principal_components(df, "x", 1).orderBy("series").collect()
+    assert np.allclose([r["loading"] for r in first], v) and np.allclose(first[0]["share"], share[-1] / share.sum())
+
+
 def test_ratings_need_coverage_and_see_the_first_fall(spark):
     rows = [("s", d, v) for d, v in zip(DAYS, [-0.5, 1.0, None, 0.1], strict=False)]
     got = combine.ratings(spark.createDataFrame(rows, "s string, dt date, r double"), "r", 2, 0.95, "s").orderBy("dt").collect()
