@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from panelforge.functions.core import average_rank, bucket, by_date, col, ratio
 
@@ -50,19 +53,44 @@ def clip_mad(df: DataFrame, x: str, *keys: str, k: float = 4.5) -> DataFrame:
     return df.withColumn(x, F.when(col(x).isNotNull(), clipped)).drop("__m", "__d")
 
 
+def medcouple(values: np.ndarray) -> float:
+    """Median of the kernel ((v - m) - (m - z)) / (v - z) over all pairs of the upper (v >= m) with the lower half (z <= m).
+
+    Of the pairs of k values tied at the median m, k have the kernel 0, and half of the others -1 and 1 each. The kernel
+    grows with v and z, so a bisection counts the pairs up to a bound on the sorted lower half and makes no pairs.
+    """
+    if not len(values):
+        return 0.0
+    z = np.sort(values) - np.median(values)
+    up, low, ties = z[z > 0], z[z < 0], int((z == 0).sum())
+    total = (len(up) + ties) * (len(low) + ties)
+    least, greatest = ties * len(low) + ties * (ties - 1) // 2, ties * len(up) + ties * (ties - 1) // 2
+
+    def at(r: int) -> float:
+        """The kernel of rank r."""
+        if r <= least or r > total - greatest:
+            return -1.0 if r <= least else 1.0
+        lo, hi = -1.0, 1.0
+        while lo < (mid := (lo + hi) / 2) < hi and hi - lo > 1e-16:
+            n = least + (ties if mid >= 0 else 0) + int(np.searchsorted(low, -up * ((1 - mid) / (1 + mid)), "right").sum())
+            lo, hi = (lo, mid) if n >= r else (mid, hi)
+        return hi
+
+    return (at((total + 1) // 2) + at(total // 2 + 1)) / 2
+
+
+@F.pandas_udf(DoubleType())
+def _medcouples(values: pd.Series) -> pd.Series:
+    return values.map(medcouple).astype(float)
+
+
 def adjusted_boxplot(df: DataFrame, x: str, *keys: str) -> DataFrame:
-    """Clamp to the greatest and least values inside a skewness-adjusted boxplot (medcouple). The kernel of the
-    medcouple pairs the upper with the lower half of a cross-section, so its cost is quadratic in a date's rows."""
+    """Clamp to the greatest and least values inside a skewness-adjusted boxplot (medcouple)."""
     keys = keys or ("dt",)
     w = by_date(*keys)
     q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = df.groupBy(*keys).agg(q.alias("q"))
-    rows = df.where(col(x).isNotNull()).select(*keys, col(x).alias("v")).join(stats, list(keys)).select(*keys, "v", F.col("q")[1].alias("m"))
-    up, low = rows.where("v >= m").alias("u"), rows.where("v <= m").select(*keys, F.col("v").alias("z"))
-    # ties with the median have a kernel of their own; distinct values keep the rule simple
-    h = up.join(low, list(keys)).where("v > z").select(*keys, (((F.col("v") - F.col("m")) - (F.col("m") - F.col("z"))) / (F.col("v") - F.col("z"))).alias("h"))
-    mc = h.groupBy(*keys).agg(F.percentile("h", 0.5).alias("mc"))
-    lim = stats.join(mc, list(keys), "left").withColumn("mc", F.coalesce("mc", F.lit(0.0)))
+    stats = df.groupBy(*keys).agg(q.alias("q"), F.collect_list(col(x).cast("double")).alias("v"))
+    lim = stats.select(*keys, "q", _medcouples("v").alias("mc"))
     iqr = F.col("q")[2] - F.col("q")[0]
     lo = F.col("q")[0] - 1.5 * F.exp(F.when(F.col("mc") >= 0, -3.5).otherwise(-4.0) * F.col("mc")) * iqr
     hi = F.col("q")[2] + 1.5 * F.exp(F.when(F.col("mc") >= 0, 4.0).otherwise(3.5) * F.col("mc")) * iqr

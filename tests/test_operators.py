@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelforge.functions.core import by_entity, ffill, pct_change
@@ -47,6 +48,28 @@ def test_signal_moves_to_the_next_date_only(spark):
     assert before == {(r["entity"], r["dt"]): r["signal"] for r in xs.signal(changed, "x", 2).collect()}
 
 
+def brute_medcouple(values):
+    z = np.sort(np.array(values) - np.median(values))
+    up, low, ties = z[z >= 0], z[z <= 0], int((z == 0).sum())
+    h = [(v + u) / (v - u) for v in up for u in low if v > u]
+    return float(np.median([*h, *np.sign(np.subtract.outer(np.arange(ties), np.arange(ties))).ravel()]))
+
+
+def test_medcouple_counts_ties_at_the_median(spark):
+    rng = np.random.default_rng(3)
+    cases = [rng.lognormal(size=n) for n in (1, 2, 3, 40, 41)] + [rng.integers(-3, 6, n).astype(float) for n in (2, 9, 30, 61)]
+    cases += [[0.0] * 9 + [1.0, 2.0, 4.0, 9.0, 30.0, -1.0], [2.0] * 5, [0.0, 0.0, 0.0, 1.0, 50.0]]
+    for c in cases:
+        assert abs(xs.medcouple(np.array(c)) - brute_medcouple(c)) < 1e-12
+    values = [-3.0, *[0.0] * 6, 1.0, 1.0, 1.5, 2.0, 2.5, 13.0]
+    q1, q3, mc = *np.quantile(values, [0.25, 0.75]), brute_medcouple(values)
+    lo, hi = q1 - 1.5 * np.exp((-3.5 if mc >= 0 else -4) * mc) * (q3 - q1), q3 + 1.5 * np.exp((4 if mc >= 0 else 3.5) * mc) * (q3 - q1)
+    inside = [v for v in values if lo <= v <= hi]
+    got = xs.adjusted_boxplot(spark.createDataFrame([(dt.date(2020, 1, 1), v) for v in [*values, None]], "dt date, x double"), "x")
+    want = sorted(min(max(v, min(inside)), max(inside)) for v in values)
+    assert sorted(r["x"] for r in got.where("x is not null").collect()) == want and got.count() == len(values) + 1
+
+
 def test_quarter_grid_ends_on_quarter_ends(spark):
     df = spark.createDataFrame([(1, dt.date(2020, 6, 30)), (1, dt.date(2020, 12, 31))], "entity int, dt date")
     assert [r["dt"] for r in resample.quarter_grid(df).orderBy("dt").collect()] == [dt.date(2020, 6, 30), dt.date(2020, 9, 30), dt.date(2020, 12, 31)]
