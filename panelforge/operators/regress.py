@@ -51,8 +51,9 @@ def draws(positions: DataFrame, length: int | str, seed: int, by: str | None = N
 
 def bootstrap_alpha(df: DataFrame, y: str, x: str, reps: int, seed: int = 7, remove_alpha: bool = True) -> DataFrame:
     """Time-index bootstrap shared across entities: for each (rep, entity) the regression of y on x over resampled
-    dates, after each entity's own alpha was removed. A replicate is one more key; only the dates are drawn, so the
-    draw table has reps x dates rows and is joined by the rank of the date."""
+    dates, after each entity's own alpha was removed. A replicate is one more key; only the dates are drawn: a date has
+    the list of the replicates that drew it, joined by its rank. Rows are dealt by entity before they are repeated, so
+    that the sums of all replicates are taken in place."""
     spark = df.sparkSession
     # one row per date: small by nature
     dates = df.select("dt").distinct().withColumn("k", F.row_number().over(Window.orderBy("dt")).cast("long") - 1)
@@ -60,12 +61,13 @@ def bootstrap_alpha(df: DataFrame, y: str, x: str, reps: int, seed: int = 7, rem
     if not length:
         return ols(df.withColumn("rep", F.lit(0).cast("long")), y, x, "rep", "entity")
     grid = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(spark.range(length).select(F.col("id").alias("pos")))
-    drawn = draws(grid, length, seed).select("rep", F.col("draw").alias("k"))
+    drawn = draws(grid, length, seed).groupBy(F.col("draw").alias("k")).agg(F.collect_list("rep").alias("reps"))
     if remove_alpha:
         df = df.join(ols(df, y, x, "entity").select("entity", "alpha"), "entity").withColumn(y, col(y) - F.col("alpha")).drop("alpha")
-    rows = df.join(F.broadcast(dates), "dt").select("entity", "k", y, x)
+    rows = df.join(F.broadcast(dates), "dt").select("entity", "k", y, x).repartition("entity")
     # repeated draws of a date in a replicate are repeated rows, as they must be
-    return ols(drawn.join(rows, "k"), y, x, "rep", "entity")
+    rows = rows.join(F.broadcast(drawn), "k").select(F.explode("reps").alias("rep"), "entity", y, x)
+    return ols(rows, y, x, "rep", "entity")
 
 
 def percentile_of_score(sample: str, score: str) -> Column:

@@ -227,12 +227,24 @@ def bst1(s, d):
 
 @add("bst8_bootstrap_p", _BST + f", o AS ({_OLS.format(k='rep, entity', t='bs')}), a AS ({_OLS.format(k='entity', t='z')}) SELECT a.entity, round((count(*) FILTER (WHERE o.t < a.t) + count(*) FILTER (WHERE o.t <= a.t) + CASE WHEN count(*) FILTER (WHERE o.t <= a.t) > count(*) FILTER (WHERE o.t < a.t) THEN 1 ELSE 0 END) / (2.0 * count(o.t)), 6) AS p FROM a JOIN o ON o.entity = a.entity GROUP BY 1")
 def bst8(s, d):
-    z = _mk(s, d).select("entity", "dt", "ret_m", "mkt")
-    o = _ols_out(rg.bootstrap_alpha(z, "ret_m", "mkt", 20), "rep", "entity").select("entity", F.col("t").alias("drawn"))
+    return _bootstrap_p(_mk(s, d).select("entity", "dt", "ret_m", "mkt"), 20)
+
+
+#: Replicates of the reference. SQL repeats every row so often, so it is given for 20 and these have brute force in tests.
+REPLICATES = 1000
+
+
+def _bootstrap_p(z, reps):
+    o = _ols_out(rg.bootstrap_alpha(z, "ret_m", "mkt", reps), "rep", "entity").select("entity", F.col("t").alias("drawn"))
     a = _ols_out(rg.ols(z, "ret_m", "mkt", "entity"), "entity").select("entity", "t")
     return a.join(o, "entity").groupBy("entity").agg(r(rg.percentile_of_score("drawn", "t")).alias("p"))
 
 
+@add("bst8_bootstrap_p_1000", None)
+def bst8_full(s, d):
+    return _bootstrap_p(_mk(s, d).select("entity", "dt", "ret_m", "mkt"), REPLICATES)
+
+
 _FIT = "ft AS (SELECT entity, n, sy - b * sx AS a, b, sqrt(greatest(syy - b * sxy, 0) / nullif(CASE WHEN n > 2 THEN n - 2 END, 0) * (1.0 / n + sx * sx / nullif(sxx, 0))) AS se FROM (SELECT entity, count(*) AS n, regr_slope(ret_m, mkt) AS b, avg(ret_m) AS sy, avg(mkt) AS sx, regr_sxx(ret_m, mkt) AS sxx, regr_syy(ret_m, mkt) AS syy, regr_sxy(ret_m, mkt) AS sxy FROM z GROUP BY 1))"
 
 
@@ -266,11 +278,19 @@ def bst6(s, d):
 @add("bst7_replicate_bands", _REP + """, qr AS (SELECT rep, unnest([0.05, 0.5, 0.95]) AS point, unnest(quantile_cont(alpha / nullif(se, 0), [0.05, 0.5, 0.95])) AS v FROM rp GROUP BY 1), qf AS (SELECT unnest([0.05, 0.5, 0.95]) AS point, unnest(quantile_cont(a / nullif(se, 0), [0.05, 0.5, 0.95])) AS realized FROM ft)
 SELECT CAST(qr.point AS DOUBLE) AS point, round(realized, 4) + 0.0 AS realized, round(quantile_cont(v, 0.05), 4) + 0.0 AS low, round(quantile_cont(v, 0.95), 4) + 0.0 AS high, round(avg(CASE WHEN v >= realized THEN 1.0 ELSE 0.0 END), 6) AS p FROM qr JOIN qf ON qf.point = qr.point GROUP BY qr.point, realized""")
 def bst7(s, d):
-    z = _mk(s, d).select("entity", "dt", "ret_m", "mkt")
-    b = rg.replicate_bands(rg.bootstrap_alpha(z, "ret_m", "mkt", 20), rg.ols(z, "ret_m", "mkt", "entity"), [0.05, 0.5, 0.95])
+    return _bands(_mk(s, d).select("entity", "dt", "ret_m", "mkt"), 20)
+
+
+def _bands(z, reps):
+    b = rg.replicate_bands(rg.bootstrap_alpha(z, "ret_m", "mkt", reps), rg.ols(z, "ret_m", "mkt", "entity"), [0.05, 0.5, 0.95])
     return b.select("point", *[r(c, 4).alias(c) for c in ("realized", "low", "high")], r("p").alias("p"))
 
 
+@add("bst7_replicate_bands_1000", None)
+def bst7_full(s, d):
+    return _bands(_mk(s, d).select("entity", "dt", "ret_m", "mkt"), REPLICATES)
+
+
 _PRED = f"""{_X}, il AS (SELECT entity, dt, ret_1m, unnest(['ret_m', 'volume']) AS indicator, unnest([ret_m, volume]) AS v FROM x), fi AS (SELECT indicator, dt, b, my - b * mv AS a FROM (SELECT indicator, dt, CASE WHEN regr_sxx(ret_1m, v) > 0 THEN regr_slope(ret_1m, v) END AS b, avg(ret_1m) AS my, avg(v) AS mv FROM il GROUP BY 1, 2 HAVING count(*) > 2)),
 fs AS (SELECT indicator, dt, CASE WHEN count(a) OVER w >= 12 THEN avg(a) OVER w END AS a, CASE WHEN count(b) OVER w >= 12 THEN avg(b) OVER w END AS b FROM fi WINDOW w AS (PARTITION BY indicator ORDER BY dt ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
 pr AS (SELECT il.*, a + b * v AS predicted FROM il JOIN fs ON fs.indicator = il.indicator AND fs.dt = il.dt)"""

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from panelforge.operators import combine, models
+from panelforge.plans import factor
 
 DAYS = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(40)]
 
@@ -110,6 +111,33 @@ def test_sparse_series_takes_no_dates_from_others(spark, returns):
     assert np.allclose([r["loading"] for r in first], v) and np.allclose(first[0]["share"], share[-1] / share.sum())
 
 
+def test_bootstraps_of_the_full_count(spark, returns, monkeypatch):
+    """p-values and bands of 1000 replicates against a loop over the same draws."""
+    market, series = returns
+    rows = [(k, d, float(series[c][i]), float(market[i])) for k, c in enumerate("ae") for i, d in enumerate(DAYS)]
+    z = spark.createDataFrame(rows, "entity int, dt date, ret_m double, mkt double")
+    monkeypatch.setattr(factor, "_mk", lambda s, d: z)
+    n, t = len(DAYS), np.empty((1000, 2))
+    for rep in range(1000):
+        v = (rep * 1000003 + np.arange(n) * 7919 + 7) % 2147483647
+        for m in (48271, 69621, 16807):
+            v = (v * m + 12345) % 2147483647
+            v = v * (v % 65521 + 1) % 2147483647
+        k = v % n
+        for e, c in enumerate("ae"):
+            alpha = fit(series[c], market)[0][0]
+            t[rep, e] = fit(series[c][k] - alpha, market[k])[1][0]
+    real = np.array([fit(series[c], market)[1][0] for c in "ae"])
+    p = {r["entity"]: r["p"] for r in factor.QUERIES["bst8_bootstrap_p_1000"](spark, "").collect()}
+    below, upto = (t.round(4) < real.round(4)).sum(axis=0), (t.round(4) <= real.round(4)).sum(axis=0)
+    assert np.allclose([p[0], p[1]], (below + upto + (upto > below)) / 2000, atol=0.0011)
+    bands = factor.QUERIES["bst7_replicate_bands_1000"](spark, "").orderBy("point").collect()
+    q = np.quantile(t, [0.05, 0.5, 0.95], axis=1)
+    assert np.allclose([r["low"] for r in bands], np.quantile(q, 0.05, axis=1), atol=1e-4)
+    assert np.allclose([r["high"] for r in bands], np.quantile(q, 0.95, axis=1), atol=1e-4)
+    assert np.allclose([r["p"] for r in bands], (q >= np.quantile(real, [0.05, 0.5, 0.95])[:, None]).mean(axis=1), atol=0.0011)
+
+
 def test_ratings_need_coverage_and_see_the_first_fall(spark):
     rows = [("s", d, v) for d, v in zip(DAYS, [-0.5, 1.0, None, 0.1], strict=False)]
     got = combine.ratings(spark.createDataFrame(rows, "s string, dt date, r double"), "r", 2, 0.95, "s").orderBy("dt").collect()
