@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import SIMILARITY, mix, read, shingle_hashes, small_batches, text_key, text_of, word_hashes, written
+from panelforge.llm.common import SIMILARITY, drop, mix, read, shingle_hashes, small_batches, text_key, text_of, word_hashes, written
 from panelforge.llm.components import components
 
 #: 28 bands of 5 registers miss a pair of similarity 0.8 with odds of 1.5e-5.
@@ -32,6 +32,8 @@ LEAST_AGREE = 91
 
 #: A task keeps the bags of texts that it has seen until they hold so many shingles (16 bytes each).
 HELD_WORDS = 4_000_000
+#: Members of a bucket are met across classes in so many at a time; a larger bucket is dealt over several tasks.
+SALT_ROWS = 1000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _ONE = 1.0 / (1 << 53)
@@ -165,9 +167,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     return written(links, f"{name}-links")
 
 
-def _rooted(buckets: DataFrame, links: DataFrame) -> DataFrame:
+def _rooted(buckets: DataFrame, links: DataFrame, scratch: list[str]) -> DataFrame:
     """(tk, key, root) of the members of buckets that are still in several classes."""
-    roots = components(links.select("a", "b"), "bagminhash-roots")
+    roots = components(links.select("a", "b"), "bagminhash-roots", scratch)
     at = buckets.drop("root").join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
     return _several(at)
 
@@ -196,7 +198,7 @@ def _shingle_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             names=["shingle", "lo", "hi", "n"])
 
 
-def _within_reach(at: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
+def _within_reach(at: DataFrame, sketch: DataFrame, texts: DataFrame, scratch: list[str]) -> DataFrame:
     """Rows (tk, key, root, size, reach) of at without those that can't have a link to another text of their bucket.
 
     reach is what a text shares at most with any other: its size without the shingles that no other text of at holds.
@@ -208,7 +210,7 @@ def _within_reach(at: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFra
     single = owners.groupBy("shingle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).where("lo = hi")
     alone = single.groupBy(F.col("lo").alias("tk")).agg(F.sum("n").alias("alone"))
     sizes = sketch.select("tk", "size").join(nodes, "tk").join(alone, "tk", "left")
-    sizes = written(sizes.select("tk", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("reach")), "bagminhash-reach")
+    sizes = written(sizes.select("tk", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("reach")), "bagminhash-reach", scratch)
     rows = at.join(sizes, "tk")
     least = rows.groupBy("key").agg(F.min("size").alias("least"))
     near = F.col("reach") >= SIMILARITY * (F.col("size") + F.greatest("least", "reach") - F.col("reach"))
@@ -233,16 +235,19 @@ def _plainest_first() -> Column:
 
 def _across(at: DataFrame, sketch: DataFrame) -> DataFrame:
     """All pairs (a, b) of a bucket across classes that agree in enough registers and may reach the similarity. Of each
-    bucket, the class of most members is only met by the others, never by itself. A pair is made in its first common
-    band: a text that is not in that bucket any more has no link there."""
-    most = at.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-    rows = at.join(sketch.select("tk", "bands", "registers"), "tk")
-    x, y = rows.join(most, "key").where("root <> most").alias("x"), rows.alias("y")
+    bucket, the class of most members is only met by the others, never by itself; those others are dealt over as many
+    salts as the bucket's size asks for, each of which meets the whole bucket. A pair is made in its first common band:
+    a text that is not in that bucket any more has no link there."""
+    most = at.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
+    most = most.select("key", "most", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+    rows = at.join(sketch.select("tk", "bands", "registers"), "tk").join(most, "key")
+    x = rows.where("root <> most").withColumn("salt", F.pmod(F.xxhash64("tk"), F.col("salts")).cast("int")).alias("x")
+    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
     once = F.expr("y.root = x.most or x.tk < y.tk") & (F.expr("array_position(transform(x.bands, (k, i) -> k = y.bands[i]), true)") == F.expr("array_position(x.bands, x.key)"))
     agree = F.expr(f"size(filter(sequence(0, {REGISTERS - 1}), i -> substring(x.registers, 2 * i + 1, 2) = substring(y.registers, 2 * i + 1, 2)))")
     both = F.least("x.reach", "y.reach", "x.size", "y.size")
     close = (F.col("x.root") != F.col("y.root")) & (both >= SIMILARITY * (F.col("x.size") + F.col("y.size") - both))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close & (agree >= LEAST_AGREE) & once)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.salt") == F.col("y.salt")) & close & (agree >= LEAST_AGREE) & once)
     return pairs.select(F.least("x.tk", "y.tk").alias("a"), F.greatest("x.tk", "y.tk").alias("b"))
 
 
@@ -257,27 +262,29 @@ def near_duplicate_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     What the buckets then still hold in different classes is verified in all pairs across classes that agree in enough
     registers and may reach the similarity, so no link that could join two classes is left out.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, []
     small_batches(spark)
     texts = docs.select(F.col("doc_id"), text_key().alias("tk"), text_of().alias("text"))
     nodes = texts.groupBy("tk").agg(F.min("doc_id").alias("doc_id"))
-    sketch = written(texts.select("tk", "text").mapInArrow(_sketch, SKETCH).dropDuplicates(["tk"]), "bagminhash-sketch")
+    sketch = written(texts.select("tk", "text").mapInArrow(_sketch, SKETCH).dropDuplicates(["tk"]), "bagminhash-sketch", scratch)
     bands = sketch.select("tk", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = written(bands.join(shared, "key"), "bagminhash-buckets")
+    buckets = written(bands.join(shared, "key"), "bagminhash-buckets", scratch)
     # one way of joining at every size: the texts that share a bucket are moved once, then read from this table
-    plain = written(texts.select("tk", "text").join(buckets.select("tk").distinct().hint("merge"), "tk", "left_semi").dropDuplicates(["tk"]), "bagminhash-texts")
-    near = written(_within_reach(buckets.withColumn("root", F.col("tk")), sketch, plain), "bagminhash-near")
+    plain = texts.select("tk", "text").join(buckets.select("tk").distinct().hint("merge"), "tk", "left_semi").dropDuplicates(["tk"])
+    plain = written(plain, "bagminhash-texts", scratch)
+    near = written(_within_reach(buckets.withColumn("root", F.col("tk")), sketch, plain, scratch), "bagminhash-near", scratch)
     pairs = _star(near, _any_first()).unionByName(_star(near, _plainest_first()))
-    done = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "bagminhash-pairs")
+    done = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "bagminhash-pairs", scratch)
     links = _verified(done, plain, "bagminhash")
 
-    across = _across(written(_rooted(near, links), "bagminhash-open"), sketch)
-    across = written(across.join(done, ["a", "b"], "left_anti"), "bagminhash-across")
+    across = _across(written(_rooted(near, links, scratch), "bagminhash-open", scratch), sketch)
+    across = written(across.join(done, ["a", "b"], "left_anti"), "bagminhash-across", scratch)
     links = links.unionByName(_verified(across, plain, "bagminhash-across"))
-    roots = components(links.select("a", "b"), "bagminhash-roots")
+    roots = components(links.select("a", "b"), "bagminhash-roots", scratch)
     classed = nodes.join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
     classed = written(classed, "bagminhash-classed")
+    drop(spark, scratch)
     least = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     classes = classed.join(least, "root").select("tk", "root", "class_id")
     return texts.select("doc_id", "tk").join(classes, "tk").select("doc_id", "tk", "root", "class_id"), links

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,32 +18,59 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts stays small in a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 32 << 20) -> None:
+    """Bound the rows and the bytes of an Arrow batch of the session, so that a batch of long texts stays small in a
+    Python worker; smaller bounds that are set stay."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(key).rstrip("bB")  # plain bytes; a value in larger units is replaced
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, most)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of its own only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared checkpoint folder. Where none is set, a folder of this machine for a session that has no
+    other machine (tests); on a cluster that is an error, as executors would not see each other's files."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a table in the shared folder: survives the loss of executors, computed once."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """Cut the lineage by a table in the shared folder: survives the loss of executors, computed once. Its path is
+    added to scratch, for a table that is only needed until a later one is written."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def drop(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete tables that written() made and nothing reads any more."""
+    while scratch:
+        at, fs = _file_system(spark, scratch.pop())
+        fs.delete(at, True)
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
