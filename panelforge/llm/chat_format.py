@@ -1,7 +1,8 @@
 """Chat formatting with typed content parts, by DataFrame functions alone.
 
 A turn is a list of typed parts (text, image, audio, document). A visitor flattens them in order: text is escaped,
-any other part becomes a placeholder, and its reference and expanded token count are recorded. A turn is then written
+any other part becomes the placeholder of its kind, and its kind, reference and expanded token count are recorded; a
+plain text column is a list of one text part. A turn is then written
 as OPEN role MIDDLE body CLOSE. Inside texts and roles the characters that begin any mark are replaced by entities, so
 no text can forge a mark and the change can be undone exactly.
 
@@ -20,6 +21,8 @@ from panelforge.llm.common import let, read, text_of
 OPEN, MIDDLE, CLOSE = "<|start|>", "<|message|>", "<|end|>"
 #: Each mark begins with one of these characters, "&" begins an entity.
 ENTITIES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
+#: Kinds of parts that have a placeholder of their own; any other kind becomes OTHER and is named in its attachment.
+PLACED, OTHER = ("image", "audio", "document"), "other"
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 #: Tokens that a model sees in place of a placeholder.
 PATCH, AUDIO_PER_SECOND, TOKENS_PER_PAGE = 28, 25, 512
@@ -55,11 +58,18 @@ def _is_text(p: Column) -> Column:
 def visit(parts: Column) -> tuple[Column, Column]:
     """(body with ordered placeholders, attachments in the same order) of a list of typed parts."""
     parts = F.coalesce(parts, F.array().cast(PARTS))
-    body = F.array_join(F.transform(parts, lambda p: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escape(p["type"]), F.lit("|>")))), "")
+    place = lambda p: F.concat(F.lit("<|"), F.when(p["type"].isin(*PLACED), p["type"]).otherwise(F.lit(OTHER)), F.lit("|>"))
+    body = F.array_join(F.transform(parts, lambda p: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(place(p))), "")
     attached = F.transform(F.filter(parts, lambda p: ~_is_text(p)), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")))
     return body, attached
 
 
+def text_part(col: str = "text") -> Column:
+    """A part list that holds a text column as its one part."""
+    absent = {"ref": "string", "width": "int", "height": "int", "seconds": "double", "pages": "int"}
+    return F.array(F.struct(F.lit("text").alias("type"), text_of(col).alias("text"), *[F.lit(None).cast(k).alias(c) for c, k in absent.items()]))
+
+
 def format_conversations(df: DataFrame, parts: str | None = None, train_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conv_id: formatted text, loss_spans (turn index, start, length in code points of the formatted
     text: the bodies a model is trained on), attachments (turn index, type, ref, tokens) and expanded_tokens.
@@ -67,10 +77,7 @@ def format_conversations(df: DataFrame, parts: str | None = None, train_roles: t
     parts names a column of type PARTS; without it the column text is the one part of each turn. The formatted text of
     a conversation is one value, so its turns meet in one task; everything before that is per row.
     """
-    if parts:
-        body, attached = visit(F.col(parts).cast(PARTS))
-    else:
-        body, attached = escape(text_of()), F.array().cast("array<struct<type:string,ref:string,tokens:bigint>>")
+    body, attached = visit(F.col(parts).cast(PARTS) if parts else text_part())
     role = F.coalesce(F.col("role"), F.lit(""))
     rows = df.select(F.col("conv_id"), F.col("turn"), role.alias("role"), body.alias("body"), attached.alias("attached"))
     rows = rows.withColumn("head", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE)))
@@ -116,6 +123,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
     )
 
 
@@ -129,6 +138,6 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, x)) AS turns_sha256,
   CAST(coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(t, '' ORDER BY turn, role, x) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(rx) + length(x) + 27) AS BIGINT) AS formatted_chars
+  CAST(sum(length(rx) + length(x) + 27) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
 FROM e GROUP BY conv_id
 """
