@@ -1,28 +1,32 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
-Voters are words of a lexicon (stated ones, and words and stems that the training labels single out) and patterns; each votes
-toxic, clean or abstains. The label model estimates by expectation-maximisation how often each voter fires on either
-class; pairs of voters that agree beyond what their classes explain share one vote. A logistic regression on the
-presence of words and pattern rates is then trained on the posterior labels and scores every whole text.
-
-The classifier is fitted on at most `limit` labelled rows (the ones with the least hash of their id); scoring covers
-every row. Defined results: a null or empty text has the score of the intercept alone; null doc_ids are never in the
-training rows and not held out; repeated rows get equal scores; without labels of both classes the stated lexicon
-alone decides; empty tables give empty results; other columns are ignored.
+Voters are words of a stated lexicon, words and stems that a bounded set of labelled rows proposes, and patterns; each
+votes toxic or abstains. The label model estimates by expectation-maximisation how often each voter fires in either
+class (its accuracy) and, along a tree of the strongest dependences, how often it fires given the vote of another (its
+correlation); it never sees a label. A logistic regression on the voters and on how many of a sort fire is trained on
+the posteriors alone. Labels propose voters and set one number, the level that the scores are centred on.
+
+The classifier is fitted on at most `limit` labelled rows (the ones with the least hash of their id); at most MINED
+voters are proposed; scoring covers every word of every row. Texts stay on the executors: the driver gets counts of
+terms and the votes of the training rows. Defined results: a null or empty text has the score of the intercept alone;
+null doc_ids are never in the training rows and not held out; repeated rows get equal scores; without labels of both
+classes the stated lexicon alone decides; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import read, small_batches, text_of
+from panelforge.llm.common import read, small_batches, text_of, written
 
 #: Common insults, as voters of their own.
 LEXICON = (
@@ -31,148 +35,227 @@ LEXICON = (
     "repulsive retard ridiculous salaud scum shit shut slime stupid stupide subhuman suck trash ugly useless vermin versager worthless wretched"
 ).split()
 LIMIT, MINED, THRESHOLD = 8000, 400, 0.7
+#: A proposed voter fires in at least so many toxic rows.
+LEAST_ROWS = 4
 #: Lengths of stems: inflecting languages spell one insult in many ways.
-STEMS = (4, 5)
+STEMS = (3, 4, 5, 6)
 WORD = re.compile(r"\w+")
+_INSULT = rf"(?:{'|'.join(LEXICON)})"
 PATTERNS = (
-    ("second_person", re.compile(r"\byou(?:'re| are)\s+(?:an?|such|so|the|all)?\b", re.I)),
-    ("shut_up", re.compile(r"\bshut\s+up\b", re.I)),
-    ("kill_yourself", re.compile(r"\bkill\s+yourself\b", re.I)),
-    ("go_away", re.compile(r"\b(?:get lost|go to hell|drop dead)\b", re.I)),
+    ("insult_near_insult", re.compile(rf"\b{_INSULT}\b(?=[^\0]{{0,300}}?\b{_INSULT}\b)")),
+    ("insult_at_a_break", re.compile(rf"(?:^|[.!?\n])\s*{_INSULT}\b|\b{_INSULT}\s*(?:[.!?\n]|$)")),
+    ("insult_inside_a_sentence", re.compile(rf"\w {_INSULT} \w")),
+    ("second_person", re.compile(rf"\byou(?:'re| are)?\s+(?:(?:an?|such|so|the|all|are)\s+){{0,3}}{_INSULT}\b")),
+    ("attack", re.compile(r"\b(?:shut\s+up|kill\s+yourself|get\s+lost|go\s+to\s+hell|drop\s+dead)\b")),
 )
+_HINT = re.compile(rf"{_INSULT}|lost|hell|drop")
+_LEXICON = frozenset(LEXICON)
 
 
-def words_of(text: str | None) -> set[str]:
-    """The words of a whole text, and the stems that longer words begin with (marked by a star)."""
-    words = set(WORD.findall((text or "").lower()))
-    stems = {w[:n] for w in words for n in STEMS if len(w) > n}
-    return words | {s + "*" for s in stems}
+def _often(k: int, words: int) -> bool:
+    """Whether k different words of one stem are many among the different words of a text."""
+    return k > 1 and k * 200 >= words
 
 
-def pattern_hits(text: str | None) -> list[int]:
-    return [int(p.search(text or "") is not None) for _, p in PATTERNS]
+def terms_of(text: str | None) -> set[str]:
+    """The words of a whole text; stems that longer words begin with, with one star, and with two where many do."""
+    words = set(WORD.findall((text or "").lower()))
+    out = set(words)
+    for n in STEMS:
+        for s, k in Counter(w[:n] for w in words if len(w) > n).items():
+            out.add(s + "*")
+            if _often(k, len(words)):
+                out.add(s + "**")
+    return out
 
 
-def mine(texts: list[str | None], label: np.ndarray, most: int = MINED) -> list[str]:
-    """Words and stems that toxic training texts have far oftener than clean ones, by the log-likelihood ratio of
-    their document counts. Only words of several toxic texts are counted in the clean ones, and no text's words are
-    kept, so the driver holds little more than the texts."""
-    seen = [Counter(), Counter()]
-    for t, y in zip(texts, label, strict=True):
-        if y:
-            seen[1].update(words_of(t))
-    seen[1] = Counter({w: n for w, n in seen[1].items() if n >= 5})
-    for t, y in zip(texts, label, strict=True):
-        if not y:
-            seen[0].update(seen[1].keys() & words_of(t))
-    n0, n1 = max(1, int((label == 0).sum())), max(1, int((label == 1).sum()))
-    scored = []
-    for w, a in seen[1].items():
-        b = seen[0].get(w, 0)
-        if a / n1 < 5 * (b + 0.5) / n0:
-            continue
-        share = (a + b) / (n0 + n1)
-        gain = a * np.log(a / (n1 * share)) + (b * np.log(b / (n0 * share)) if b else 0.0)
-        if gain > 8:
-            scored.append((-gain, w))
-    return [w for _, w in sorted(scored)[:most]]
-
-
-def label_model(votes: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of each row, share of each voter) of a generative model with class-wise firing rates.
-
-    votes: rows x voters of 0/1. Voters whose agreement exceeds what the classes explain are correlated; a voter's
-    share of its log-odds is one over the number of voters it is correlated with (itself included).
+def pattern_hits(text: str | None) -> list[int]:
+    low = (text or "").lower()
+    if not _HINT.search(low):
+        return [0] * len(PATTERNS)
+    return [int(p.search(low) is not None) for _, p in PATTERNS]
+
+
+class Voters:
+    """The votes of a list of terms and of the patterns on whole texts."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.terms, self.at = terms, {w: i for i, w in enumerate(terms)}
+        self.stems = [(n, frozenset(w.rstrip("*") for w in terms if w.endswith("*") and len(w.rstrip("*")) == n)) for n in STEMS]
+        self.stated = np.array([w in _LEXICON for w in terms] + [False] * len(PATTERNS))
+        self.size = len(terms) + len(PATTERNS)
+
+    def fired(self, text: str | None) -> list[int]:
+        words = set(WORD.findall((text or "").lower()))
+        at = self.at
+        out = [at[w] for w in at.keys() & words]
+        for n, known in self.stems:
+            if known:
+                for s, k in Counter(s for w in words if len(w) > n and (s := w[:n]) in known).items():
+                    out += [at[x] for x in ((s + "*", s + "**") if _often(k, len(words)) else (s + "*",)) if x in at]
+        return out + [len(self.terms) + i for i, hit in enumerate(pattern_hits(text)) if hit]
+
+
+def dependences(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The parent of each voter (-1: none) in the tree of the strongest correlations that the classes leave unexplained."""
+    n, k = votes.shape
+    rest = np.zeros((k, k))
+    for w in (p, 1 - p):
+        rate = (votes.T @ w + 1e-3) / (w.sum() + 2e-3)
+        cov = (votes * w[:, None]).T @ votes / max(w.sum(), 1e-9) - np.outer(rate, rate)
+        sd = np.sqrt(rate * (1 - rate))
+        rest += (cov / np.outer(sd, sd).clip(1e-9)) ** 2 * w.sum() / n
+    np.fill_diagonal(rest, 0)
+    parent, best, root = np.full(k, -1), np.full(k, 0.01), np.zeros(k, dtype=bool)
+    # Prim's way: the voter with the strongest tie to the tree joins it; a weak tie begins a tree of its own
+    for _ in range(k):
+        i = int(np.argmax(np.where(root, -1, best)))
+        root[i] = True
+        closer = ~root & (rest[i] > best)
+        best[closer], parent[closer] = rest[i][closer], i
+    return parent
+
+
+def label_model(votes: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of each row, firing rates of each voter [class, parent's vote, voter], parent of each voter).
+
+    votes: rows x voters of 0/1. Expectation-maximisation of a two-class model, first with independent voters, then with
+    each voter depending on the class and on its parent's vote.
     """
     n, k = votes.shape
-    p = np.clip(np.where(votes.any(axis=1), 0.9, prior / 4), 1e-3, 1 - 1e-3)
-    share = np.ones(k)
+    hits = votes.sum(axis=1)
+    p = np.where(hits >= 3, 0.95, np.where(hits == 2, 0.6, np.where(hits == 1, 0.2, 0.01)))
+    parent, other = np.full(k, -1), np.zeros_like(votes)
+    rate = np.zeros((2, 2, k))
     for turn in range(rounds):
-        on = (votes.T @ p + 1) / (p.sum() + 4)
-        off = (votes.T @ (1 - p) + 0.05) / ((1 - p).sum() + 4)
-        on = np.maximum(on, off * 1.01)
-        if turn == rounds // 2 and k > 1:
-            rest = votes - np.outer(p, on) - np.outer(1 - p, off)
-            cov = rest.T @ rest / max(n, 1)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            share = 1 / (np.abs(cov / np.outer(sd, sd)) > 0.5).sum(axis=1).clip(1)
-        hit, miss = np.log(on / off) * share, np.log((1 - on).clip(1e-6) / (1 - off).clip(1e-6)) * share
-        logit = np.log(prior / (1 - prior)) + votes @ hit + (1 - votes) @ miss
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return p, share
+        if turn == rounds // 2:
+            parent = dependences(votes, p)
+            other = np.where(parent >= 0, votes[:, parent], 0.0)
+        for c, w in ((1, p), (0, 1 - p)):
+            a, b = (1.0, 3.0) if c else (0.05, 4.0)  # a voter is believed to fire more in toxic texts
+            base = (votes.T @ w + a) / (w.sum() + a + b)
+            for u in (0, 1):
+                own = w[:, None] * (other == u)
+                rate[c, u] = ((own * votes).sum(axis=0) + 4 * base) / (own.sum(axis=0) + 4)
+        share = (p.sum() + 1) / (n + 8)
+        on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]).clip(1e-9) / (1 - rate[0]).clip(1e-9))
+        # the vote and the parent's vote pick one of four log-odds of each voter
+        z = off[0].sum() + votes @ (on[0] - off[0]) + other @ (off[1] - off[0]) + (votes * other) @ (on[1] - off[1] - on[0] + off[0])
+        p = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + z, -30, 30)))
+    return p, rate, parent
+
+
+def features(votes: np.ndarray, stated: np.ndarray) -> np.ndarray:
+    """The votes, and how many stated and how many other voters fire: a stated word that no training row holds still counts."""
+    return np.column_stack([votes, np.log1p(votes[:, stated].sum(axis=1)), np.log1p(votes[:, ~stated].sum(axis=1))])
+
+
+def logistic(x: np.ndarray, target: np.ndarray, steps: int = 600) -> tuple[np.ndarray, float]:
+    """Weights and intercept fitted to soft targets by Adam."""
+    w, b = np.zeros(x.shape[1]), 0.0
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for t in range(1, steps + 1):
+        g = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - target
+        grad = np.r_[x.T @ g / len(x) + 1e-3 * w, g.mean()]
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    return w, float(b)
+
+
+def level(z: np.ndarray, label: np.ndarray) -> float:
+    """The cut of z that tells the labelled rows apart best (by F1), half way between the two values around it."""
+    order = np.argsort(-z, kind="stable")
+    y = label[order]
+    hits, taken = np.cumsum(y), np.arange(1, len(y) + 1)
+    ends = np.r_[z[order][1:] != z[order][:-1], True]
+    i = int(np.argmax(np.where(ends, 2 * hits / (taken + y.sum()), -1)))
+    below = z[order][i + 1] if i + 1 < len(z) else z[order][i] - 2
+    return float((z[order][i] + below) / 2)
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    weights: dict[str, float]
-    patterns: tuple[float, ...]
+    terms: list[str]
+    weights: np.ndarray
     bias: float
+    voters: Voters = field(init=False, repr=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "voters", Voters(self.terms))
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(map(self.weights.__getitem__, self.weights.keys() & words_of(text)))
-        z += sum(w * h for w, h in zip(self.patterns, pattern_hits(text), strict=True))
+        at, v = self.voters.fired(text), self.voters
+        stated = sum(bool(v.stated[i]) for i in at)
+        z = self.bias + sum(self.weights[i] for i in at) + self.weights[v.size] * np.log1p(stated) + self.weights[v.size + 1] * np.log1p(len(at) - stated)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[str | None], label: np.ndarray) -> ToxicityModel:
-    """Lexicon and patterns vote, the label model weighs them, a logistic regression learns its posteriors."""
-    terms = list(dict.fromkeys([*LEXICON, *(mine(texts, label) if len(texts) else [])]))
-    at = {w: i for i, w in enumerate(terms)}
-    k, x = len(terms), np.zeros((len(texts), len(terms) + len(PATTERNS)))
-    for i, t in enumerate(texts):
-        x[i, [at[w] for w in at.keys() & words_of(t)]] = 1
-        x[i, k:] = pattern_hits(t)
-    fixed = np.r_[[4.0 if w in LEXICON else 0.0 for w in terms], [0.5] * len(PATTERNS)]
-    if not len(texts) or not 0 < label.sum() < len(label):
-        return ToxicityModel(dict(zip(terms, fixed[:k], strict=True)), tuple(fixed[k:]), -2.0)
-    prior = float(label.mean().clip(0.01, 0.5))
-    # voters that the labelled rows show to be worse than chance abstain
-    rate1, rate0 = x[label == 1].mean(axis=0), x[label == 0].mean(axis=0)
-    useful = rate1 >= rate0
-    posterior, _ = label_model(x * useful, prior)
-    # the labels of the training rows are one more voter, the most reliable of all
-    target = 0.5 * posterior + 0.5 * label
-    w, b = np.zeros(x.shape[1]), np.log(prior / (1 - prior))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, 601):
-        g = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - target
-        grad = np.r_[x.T @ g / len(x) + 1e-4 * w, g.mean()]
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    # posteriors are cautious: a scale and shift fitted to the labels of the training rows set the level of the scores
-    z = x @ w + b
-    scale, shift, centre = 1.0, 0.0, float((z[label == 1].mean() + z[label == 0].mean()) / 2)
-    for _ in range(200):
-        q = 1 / (1 + np.exp(-np.clip(scale * (z - centre) + shift, -30, 30)))
-        v = q * (1 - q) + 1e-9
-        g = np.array([((q - label) * (z - centre)).sum() + 0.1 * (scale - 1), (q - label).sum() + 0.1 * shift])
-        h = np.array([[(v * (z - centre) ** 2).sum() + 0.1, (v * (z - centre)).sum()], [(v * (z - centre)).sum(), v.sum() + 0.1]])
-        step = np.clip(np.linalg.solve(h, g), -0.5, 0.5)
-        scale, shift = float(np.clip(scale - step[0], 0.2, 10)), shift - float(step[1])
-    w, b = w * scale, scale * (b - centre) + shift
-    # a stated insult that no training row holds keeps the weight of the lexicon
-    unseen = (x.sum(axis=0) == 0) & (np.r_[[word in LEXICON for word in terms], [False] * len(PATTERNS)])
-    w[unseen] = max(4.0, 1.0 - b)
-    return ToxicityModel(dict(zip(terms, w[:k].tolist(), strict=True)), tuple(w[k:].tolist()), float(b))
+def fit(terms: list[str], votes: np.ndarray, label: np.ndarray) -> ToxicityModel:
+    """The label model weighs the votes, a logistic regression learns its posteriors, the labels set the level."""
+    stated = Voters(terms).stated
+    if not len(votes) or not 0 < label.sum() < len(label):
+        return ToxicityModel(terms, np.r_[np.zeros(votes.shape[1]), 6.0, 0.0], -2.0)
+    posterior, _, _ = label_model(votes)
+    x = features(votes, stated)
+    w, b = logistic(x, posterior)
+    return ToxicityModel(terms, w, b - level(x @ w + b, label) + float(np.log(THRESHOLD / (1 - THRESHOLD))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, remainder: Column, limit: int) -> DataFrame:
-    """Texts and labels of at most `limit` labelled rows, those with the least hash of their id; the ids that are
-    broadcast are as bounded."""
+    """Texts and labels of at most `limit` labelled ids, those with the least hash; an id that repeats counts once, with
+    its least text. The ids that are broadcast are as bounded."""
     picked = labels.where(remainder & F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").select("text", "label")
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("r")).select("r.text", "r.label")
 
 
 def held_out(mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == rest, F.lit(False))
 
 
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, label) to the counts of each term in the rows of either label, added up over the task."""
+    seen = [Counter(), Counter()]
+    for batch in batches:
+        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen[int(y > 0)].update(terms_of(text))
+    for part in range(0, len(keys := list(seen[0].keys() | seen[1].keys())), 50_000):
+        own = keys[part : part + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([seen[1][k] for k in own], pa.int64()), pa.array([seen[0][k] for k in own], pa.int64())], names=["term", "toxic", "clean"])
+
+
+def mine(rows: DataFrame, toxic: int, clean: int, most: int = MINED) -> list[str]:
+    """Terms that toxic rows have far oftener than clean ones, first by the log-likelihood ratio of their row counts."""
+    counts = rows.mapInArrow(_term_counts, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    n1, n0 = F.lit(float(max(1, toxic))), F.lit(float(max(1, clean)))
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    share = (a + b) / (n1 + n0)
+    gain = a * F.log(a / (n1 * share)) + F.when(b > 0, b * F.log(b / (n0 * share))).otherwise(0.0)
+    found = counts.where(F.col("a") >= LEAST_ROWS).where(a / n1 >= 5 * (b + 0.5) / n0).withColumn("gain", F.round(gain, 6)).where("gain > 6")
+    return [r["term"] for r in found.orderBy(F.desc("gain"), "term").limit(most).collect()]
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> ToxicityModel:
-    rows = training_rows(docs, labels, "toxic", ~held_out(3, 1), limit).collect()
-    rows.sort(key=lambda r: (r["text"], r["label"]))
-    return fit([r["text"] for r in rows], np.array([float(r["label"]) for r in rows]))
+    """Three passes over the bounded training rows: their labels, their terms, their votes."""
+    small_batches(docs.sparkSession)
+    rows = written(training_rows(docs, labels, "toxic", ~held_out(3, 1), limit), "toxicity-rows")
+    sizes = {int(r["y"]): r["n"] for r in rows.groupBy((F.col("label") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    mined = mine(rows, sizes.get(1, 0), sizes.get(0, 0)) if len(sizes) == 2 else []
+    terms = list(dict.fromkeys([*LEXICON, *mined]))
+    voters = Voters(terms)
+
+    @F.pandas_udf("array<int>")
+    def fired(text: pd.Series) -> pd.Series:
+        return pd.Series([sorted(voters.fired(t)) for t in text], dtype=object)
+
+    got = rows.select(fired("text").alias("at"), "label").collect()
+    got.sort(key=lambda r: (r["at"], r["label"]))
+    votes = np.zeros((len(got), voters.size))
+    for i, r in enumerate(got):
+        votes[i, r["at"]] = 1
+    return fit(terms, votes, np.array([float(r["label"] > 0) for r in got]))
 
 
 def toxicity_score(spark: SparkSession, model: ToxicityModel):
