@@ -2,12 +2,13 @@
 
 The prefix array of a text holds sum(code * B**i) of its code points under two prime moduli, so the hash of any span
 costs two look-ups; equal spans are told at once, and the longest common extension of two positions by binary search.
-A fingerprint holds the length, the hash of the whole text and the least hashes of all its spans of a fixed width;
-the likeness of two fingerprints estimates the share of spans that their texts have in common.
+A fingerprint holds the length, the hash of the whole text and the least hashes of all its spans of a fixed width (16,
+4 or 1 by the length of the text; short texts hold those of the smaller widths too); the likeness of two fingerprints
+estimates the share of spans that their texts have in common, at the smaller of their widths.
 
 Defined results: a null text is empty; two empty texts are alike (1), an empty and another text are not (0); equal
 texts have equal fingerprints; documents follow each other by descending doc_id, null ids last, ties by the key of the
-text (rows that repeat follow each other); the last is followed by the first, a single document by itself; empty
+text (rows that repeat follow each other, in one task); the last is followed by the first, a single document by itself; empty
 tables give empty results; other columns are ignored.
 """
 
@@ -95,6 +96,11 @@ def _inverse(k: int, n: int) -> np.ndarray:
     return t
 
 
+WIDTHS = (16, 4, 1)
+#: Texts of fewer code points hold the hashes of the smaller widths too: an edit can take them across a step of width.
+SHORT = 96
+
+
 def width_for(n: int) -> int:
     return 16 if n >= 48 else 4 if n >= 12 else 1
 
@@ -110,32 +116,40 @@ def _sketch(spans: np.ndarray) -> np.ndarray:
 
 
 class Fingerprint:
-    """Length, hash of the whole text and least span hashes; str() and parse() are inverse."""
+    """Length, hash of the whole text and least span hashes, for its own width first; str() and parse() are inverse."""
 
-    def __init__(self, n: int, whole: int, sketch: np.ndarray) -> None:
-        self.n, self.whole, self.sketch = n, whole, sketch
+    def __init__(self, n: int, whole: int, sketches: list[np.ndarray]) -> None:
+        self.n, self.whole, self.sketches = n, whole, sketches
 
     def __str__(self) -> str:
-        return f"{self.n:x}-{self.whole:016x}-{self.sketch.astype('>u4').tobytes().hex()}"
+        return "-".join([f"{self.n:x}", f"{self.whole:016x}", *(s.astype(">u4").tobytes().hex() for s in self.sketches)])
 
     @staticmethod
     def parse(text: str) -> Fingerprint:
-        n, whole, sketch = text.split("-")
-        return Fingerprint(int(n, 16), int(whole, 16), np.frombuffer(bytes.fromhex(sketch), dtype=">u4").astype(np.uint32))
+        n, whole, *sketches = text.split("-")
+        return Fingerprint(int(n, 16), int(whole, 16), [np.frombuffer(bytes.fromhex(s), dtype=">u4").astype(np.uint32) for s in sketches])
+
+    def at(self, width: int) -> np.ndarray:
+        """The least hashes of the spans of a width; none if it isn't held."""
+        i = WIDTHS.index(width) - WIDTHS.index(width_for(self.n))
+        return self.sketches[i] if 0 <= i < len(self.sketches) else np.empty(0, dtype=np.uint32)
 
     def likeness(self, other: Fingerprint) -> float:
         if (self.n, self.whole) == (other.n, other.whole):
             return 1.0
-        union = np.union1d(self.sketch, other.sketch)[:KEPT]
+        width = min(width_for(self.n), width_for(other.n))
+        x, y = self.at(width), other.at(width)
+        union = np.union1d(x, y)[:KEPT]
         if not len(union):
             return 0.0
-        both = np.intersect1d(self.sketch, other.sketch, assume_unique=True)
+        both = np.intersect1d(x, y, assume_unique=True)
         return len(np.intersect1d(union, both, assume_unique=True)) / len(union)
 
 
 def _print_of(h: PrefixHash, spans: np.ndarray) -> Fingerprint:
     a, b = h.span(0, h.n)
-    return Fingerprint(h.n, a << 31 | b, _sketch(spans))
+    smaller = [w for w in WIDTHS if w < width_for(h.n)] if h.n < SHORT else []
+    return Fingerprint(h.n, a << 31 | b, [_sketch(spans), *(_sketch(h.spans(w)) for w in smaller)])
 
 
 class Held:
@@ -185,35 +199,50 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*out, strict=True), _KINDS, strict=True)], schema=_KINDS)
 
 
+def _cuts(keys: DataFrame, parts: int) -> np.ndarray:
+    """The last (o, tk) of each of `parts` ranges of keys in ascending order, as Spark's range partitioning draws them."""
+    dealt = keys.repartitionByRange(parts, "o", "tk").groupBy(F.spark_partition_id().alias("p"))
+    tops = dealt.agg(F.max(F.struct("o", "tk")).alias("top")).collect()
+    return np.array(sorted((r["top"]["o"], r["top"]["tk"]) for r in tops), dtype=np.int64).reshape(-1, 2)
+
+
+def _range(cuts: np.ndarray, o: np.ndarray, tk: np.ndarray) -> np.ndarray:
+    """How many cuts lie before each (o, tk)."""
+    at, end = np.searchsorted(cuts[:, 0], o, "left"), np.searchsorted(cuts[:, 0], o, "right")
+    for v in np.unique(o[at < end]):
+        i, j = np.searchsorted(cuts[:, 0], [v, v + 1] if v < 2**63 - 1 else [v, v], "left")
+        j = j if v < 2**63 - 1 else len(cuts)
+        own = o == v
+        at[own] = i + np.searchsorted(cuts[i:j, 1], tk[own], "left")
+    return at
+
+
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and the likenesses to it and to the next document.
 
-    Documents are cut into ranges of doc_id (approximate quantiles of all ids). The first document of each range also
-    goes to the range before it, so every range is worked through alone and texts are moved once.
+    Documents are cut into ranges of (doc_id, key of the text), so that one id with many texts is many ranges. The first
+    document of each range also goes to the range before it: every range is worked through alone, texts are moved once.
     """
     spark = docs.sparkSession
     small_batches(spark, 200)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts or 4 * n
     least = -(2**63)
-    order = F.coalesce(F.col("doc_id"), F.lit(least))
-    ids = docs.select(order.alias("o"))
-    found = ids.agg(F.percentile_approx("o", [(i + 1) / parts for i in range(parts)], 100 * parts)).first()[0] or []
-    cuts = np.unique(np.array(found, dtype=np.int64))
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least)).alias("o"), (-1 - text_key()).alias("tk"), text_of().alias("text"))
+    cuts = _cuts(rows.select("o", "tk"), parts or 4 * n)
 
     @F.pandas_udf("int")
-    def range_of(o: pd.Series) -> pd.Series:
-        return pd.Series((len(cuts) - np.searchsorted(cuts, o.to_numpy(), side="left")).astype("int32"))
-
-    tops = sorted((r["p"], r["top"]) for r in ids.withColumn("p", range_of("o")).groupBy("p").agg(F.max("o").alias("top")).collect())
-    # at most one row per range
-    follow = [(top, tops[i - 1][0], i == 0) for i, (_, top) in enumerate(tops)]
-    follow = spark.createDataFrame(follow, "o bigint, before int, wraps boolean")
-    rows = docs.select(F.col("doc_id").cast("bigint"), order.alias("o"), text_key().alias("tk"), text_of().alias("text")).withColumn("p", range_of("o"))
-    rows = rows.join(F.broadcast(follow), "o", "left")
+    def range_of(o: pd.Series, tk: pd.Series) -> pd.Series:
+        # the highest ids come first
+        return pd.Series((len(cuts) - 1 - _range(cuts, o.to_numpy(), tk.to_numpy())).astype("int32"))
+
+    # a cut is the last key of its range in ascending order, so its first document; it also follows the range before
+    m = len(cuts)
+    follow = [(int(o), int(tk), (m - 2 - k) % m) for k, (o, tk) in enumerate(cuts)]
+    follow = spark.createDataFrame(follow, "o bigint, tk bigint, before int")
+    rows = rows.withColumn("p", range_of("o", "tk")).join(F.broadcast(follow), ["o", "tk"], "left")
     goes = F.array(F.struct(F.col("p").alias("part"), F.lit(0).alias("ahead")), F.struct(F.col("before").alias("part"), F.lit(1).alias("ahead")))
     rows = rows.select("doc_id", "o", "tk", "text", F.explode(F.filter(goes, lambda g: g["part"].isNotNull())).alias("g"))
-    rows = rows.select("g.part", "g.ahead", "doc_id", "o", "tk", "text").repartition(n, "part").sortWithinPartitions("part", "ahead", F.desc("o"), "tk")
+    rows = rows.select("g.part", "g.ahead", "doc_id", "o", "tk", "text").repartition(n, "part").sortWithinPartitions("part", "ahead", F.desc("o"), F.desc("tk"))
     return rows.select("part", "ahead", "doc_id", "text").mapInArrow(_compare, RESULT)
 
 
