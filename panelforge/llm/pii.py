@@ -1,10 +1,12 @@
 """Personal data in texts by weak supervision.
 
-Expressions propose spans. Labelers (checksum, gazetteer, context words, shape, digit share) vote personal, not
-personal or abstain on each; expectation-maximisation over the counts of all vote patterns of the whole table
-estimates the labelers' reliabilities, and a logistic regression trained on the posteriors is the final span
-classifier. Base spans (email, ip, card, phone) always stay; the classifier decides which further spans (national
-number, iban, mac, local phone, person) are added. Spans that overlap a base span are not added.
+Expressions, a gazetteer of first names and context words propose spans. Labelers (checksum, gazetteer, context words,
+shape, edges) vote personal, not personal or abstain on each; expectation-maximisation over the counts of all vote
+patterns of the whole table estimates the labelers' reliabilities for every kind of span, and a logistic regression
+trained on the posteriors is the final span classifier. Base spans (email, ip, card, phone) always stay; the classifier
+decides which further spans (national number, iban, mac, local phone, account, person) are added. Spans that overlap a
+base span are not added; of proposals that overlap, the leftmost, then longest, then first kind is taken. A classifier that
+saw no proposal adds nothing.
 
 The table is read twice: once for the counts of vote patterns (kinds times 3 to the number of labelers at most, so
 bounded however long the table is), once to apply the model.
@@ -27,7 +29,7 @@ from panelforge.llm.common import read, small_batches, text_of
 from panelforge.llm.secrets import joined
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "national", "iban", "mac", "local_phone", "person")
+KINDS = (*BASE, "national", "iban", "mac", "local_phone", "account", "person")
 #: The base expressions; possessive digits keep long runs of digits linear, and match the same spans.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -44,6 +46,13 @@ EXTRA = (
 #: First names, and words that announce personal data.
 NAMES = frozenset("alice anna anne antonio bob carlos carmen charles claire david elena emma eva francois hans james jean john jose juan julia karl laura louis lucia luis maria marie mark martin mary michael paul peter pierre robert sarah sofia thomas william".split())
 CONTEXT = re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax|ssn|social|iban|account|konto|bank|mac|device|name|contact|address|born|from|dear|signed)\b")
+#: Two words with capitals; proposed as a person where the gazetteer has the first.
+CAPITALS = re.compile(r"\b([A-ZÀ-Ý]\w+)\x20[A-ZÀ-Ý]\w+")
+#: What context words announce: a name, or the digits of an account.
+ANNOUNCED = (
+    ("person", re.compile(r"\b(?:[Nn]ame|[Cc]ontact|[Ss]igned|[Dd]ear)(?:\x20is|\x20by)?[:,]?\x20([A-ZÀ-Ý]\w+(?:\x20[A-ZÀ-Ý]\w+)?)")),
+    ("account", re.compile(r"\b(?:[Aa]ccount|[Kk]onto|[Pp]assport|[Ll]icen[cs]e|SSN|ssn)(?:\x20(?:no|nr|number))?[.:#]?\x20?#?([0-9](?:[\x20-]?[0-9]){5,17})(?![\w-])", re.A)),
+)
 AGAINST = re.compile(r"(?i)\b(?:version|isbn|order|part|model|figure|table|page|chapter|invoice)\b")
 
 
@@ -105,39 +114,64 @@ LABELERS: tuple[tuple[str, Callable[[str, str, str, str], int]], ...] = (
 )
 
 
+def proposals(text: str) -> list[tuple[str, int, int]]:
+    """Spans proposed by expressions, by the gazetteer and by context words; none overlaps another."""
+    found = [(kind, *m.span()) for kind, pattern in EXTRA for m in pattern.finditer(text)]
+    found += [("person", *m.span()) for m in CAPITALS.finditer(text) if m[1].lower() in NAMES]
+    found += [(kind, *m.span(1)) for kind, pattern in ANNOUNCED for m in pattern.finditer(text)]
+    out, free = [], 0
+    for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
+        if s >= free:
+            out.append((kind, s, e))
+            free = e
+    return out
+
+
 def extra_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
     """Proposed spans that overlap no base span, with their votes as a pattern of the characters 1, 0 and -."""
     out = []
-    for kind, pattern in EXTRA:
-        for m in pattern.finditer(text):
-            s, e = m.span()
-            if any(s < f and b < e for _, b, f in base):
-                continue
-            before, after = text[max(0, s - 40) : s], text[e : e + 8]
-            votes = "".join("-" if (v := f(kind, m[0], before, after)) < 0 else str(v) for _, f in LABELERS)
-            out.append((kind, s, e, votes))
+    for kind, s, e in proposals(text):
+        if any(s < f and b < e for _, b, f in base):
+            continue
+        before, after = text[max(0, s - 40) : s], text[e : e + 8]
+        votes = "".join("-" if (v := f(kind, text[s:e], before, after)) < 0 else str(v) for _, f in LABELERS)
+        out.append((kind, s, e, votes))
     return out
 
 
-def reliabilities(patterns: dict[tuple[str, str], int], rounds: int = 40) -> tuple[np.ndarray, dict[tuple[str, str], float]]:
-    """(labelers x {vote 1 if personal, vote 1 if not}, posterior of each pattern) by expectation-maximisation."""
+def reliabilities(patterns: dict[tuple[str, str], int], rounds: int = 60) -> tuple[dict[str, np.ndarray], dict[tuple[str, str], float]]:
+    """(kind: labelers x {vote 1 if personal, vote 1 if not}, posterior of each pattern) by expectation-maximisation.
+
+    patterns: how often each (kind, votes) was seen. Every kind has its own share of personal spans and its own rates;
+    a prior of ten spans holds the rates of rare kinds near those of all kinds together.
+    """
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], dtype=float)
-    votes = np.array([[{"1": 1, "0": 0, "-": -1}[c] for c in v] for _, v in keys], dtype=float).reshape(len(keys), len(LABELERS))
-    cast = votes >= 0
-    yes, share = votes == 1, np.where(cast.any(axis=1), np.where(cast, votes, 0).sum(axis=1) / np.maximum(cast.sum(axis=1), 1), 0.5)
+    width = len(keys[0][1]) if keys else len(LABELERS)
+    votes = np.array([[{"1": 1, "0": 0, "-": -1}[c] for c in v] for _, v in keys], dtype=float).reshape(len(keys), width)
+    cast, yes = votes >= 0, votes == 1
+    share = np.where(cast.any(axis=1), np.where(cast, votes, 0).sum(axis=1) / np.maximum(cast.sum(axis=1), 1), 0.5)
     p = np.clip(share, 0.05, 0.95)
-    rate = np.zeros((len(LABELERS), 2))
+    kinds = sorted({k for k, _ in keys})
+    of = np.array([kinds.index(k) for k, _ in keys], dtype=int)
+    rate = np.full((len(kinds), width, 2), 0.5)
     for _ in range(rounds):
         for c, q in enumerate((p, 1 - p)):
             w = n * q
-            hit, all_ = (w[:, None] * yes).sum(axis=0), (w[:, None] * cast).sum(axis=0)
+            hit, seen = np.zeros((len(kinds), width)), np.zeros((len(kinds), width))
+            np.add.at(hit, of, w[:, None] * yes)
+            np.add.at(seen, of, w[:, None] * cast)
             a, b = (4, 1) if c == 0 else (1, 4)  # a labeler is believed to be better than chance
-            rate[:, c] = (hit + a) / (all_ + a + b)
-        prior = ((n * p).sum() + 1) / (n.sum() + 2)
-        lr = np.where(yes, np.log(rate[:, 0] / rate[:, 1]), np.log((1 - rate[:, 0]) / (1 - rate[:, 1]))) * cast
-        p = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + lr.sum(axis=1), -30, 30)))
-    return rate, dict(zip(keys, p.tolist(), strict=True))
+            pooled = (hit.sum(axis=0) + a) / (seen.sum(axis=0) + a + b)
+            rate[:, :, c] = (hit + 10 * pooled) / (seen + 10)
+        mass, total = np.zeros(len(kinds)), np.zeros(len(kinds))
+        np.add.at(mass, of, n * p)
+        np.add.at(total, of, n)
+        prior = (mass + 1) / (total + 2)
+        r = rate[of].clip(1e-6, 1 - 1e-6)
+        lr = np.where(yes, np.log(r[:, :, 0] / r[:, :, 1]), np.log((1 - r[:, :, 0]) / (1 - r[:, :, 1]))) * cast
+        p = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior))[of] + lr.sum(axis=1), -30, 30)))
+    return dict(zip(kinds, rate, strict=True)), dict(zip(keys, p.tolist(), strict=True))
 
 
 def _features(kind: str, votes: str) -> np.ndarray:
@@ -149,18 +183,21 @@ def _features(kind: str, votes: str) -> np.ndarray:
     return x
 
 
-def span_classifier(patterns: dict[tuple[str, str], int], steps: int = 300) -> np.ndarray:
-    """Weights of a logistic regression, fitted to the posteriors with the patterns' counts as weights."""
-    _, posterior = reliabilities(patterns)
+def span_classifier(patterns: dict[tuple[str, str], int], steps: int = 50) -> np.ndarray:
+    """Weights of a logistic regression on kind and votes, fitted to the posteriors of all proposals by Newton steps with
+    a ridge (votes and kinds are collinear). Without proposals all weights are zero, which accepts nothing."""
     keys = sorted(patterns)
+    w = np.zeros(len(KINDS) + 2 * len(LABELERS))
     if not keys:
-        return np.zeros(len(KINDS) + 2 * len(LABELERS))
+        return w
+    _, posterior = reliabilities(patterns)
     x, y = np.array([_features(*k) for k in keys]), np.array([posterior[k] for k in keys])
-    n = np.log1p(np.array([patterns[k] for k in keys], dtype=float))
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):  # Newton steps would be singular: votes and kinds are collinear
+    n = np.array([patterns[k] for k in keys], dtype=float)
+    for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 0.5 * (x.T @ (n * (p - y)) / n.sum() + 1e-3 * w)
+        gradient = x.T @ (n * (p - y)) + 0.1 * w
+        hessian = (x.T * (n * p * (1 - p))) @ x + 0.1 * np.eye(len(w))
+        w -= np.clip(np.linalg.solve(hessian, gradient), -2, 2)
     return w
 
 
@@ -179,7 +216,7 @@ def fit(docs: DataFrame) -> np.ndarray:
 def spans_of(text: str | None, weights: np.ndarray) -> list[tuple[str, int, int]]:
     """Base spans and those added, by start, then kind."""
     base = base_spans(text or "")
-    added = [(k, s, e) for k, s, e, v in extra_spans(text or "", base) if _features(k, v) @ weights >= 0]
+    added = [(k, s, e) for k, s, e, v in extra_spans(text or "", base) if _features(k, v) @ weights > 0]
     return sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
