@@ -187,7 +187,8 @@ def test_classifiers(spark):
     model = quality_mil.fit([quality_mil.passages(t) for t in [bad, good] * 40], np.array([0.0, 1.0] * 40))
     low, high, _ = model.score([quality_mil.passages(t) for t in (bad, good, None)])
     assert low < 0.3 < high
-    tox = toxicity.fit([f"w{i} idiot v{i}" if i % 4 == 0 else f"good day {i}" for i in range(200)], np.array([float(i % 4 == 0) for i in range(200)]))
+    rows = docs(spark, [(i, f"w{i} idiot v{i}" if i % 4 == 0 else f"good day {i}") for i in range(200)])
+    tox = toxicity.train(rows, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
     assert tox.score("what an idiot") > 0.7 > tox.score("good day") and 0 <= tox.score(None) < 0.7
     score = toxicity.toxicity_score(spark, tox)
     assert docs(spark, ODD).select(score(text_of())).count() == len(ODD)
