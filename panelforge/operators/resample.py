@@ -26,13 +26,16 @@ def densify(df: DataFrame, grid: DataFrame, *on: str) -> DataFrame:
 
 
 def monthly_bars(px: DataFrame) -> DataFrame:
+    """Bars of the months between an entity's first and last, with the return of the month and of the next one. A month
+    without a price and the first month have no return; a return after a gap is on the last price before it."""
     bars = px.groupBy("entity", F.last_day("dt").alias("month_end")).agg(
         F.sum("volume").alias("volume"), F.min_by("close", "dt").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", "dt").alias("close"), (F.sum(F.round(F.col("amount") * 100).cast("long")).cast("double") / 100.0).alias("amount"), F.max("dt").alias("trd_dt"),
     )
     out = densify(bars, month_grid(bars), "entity", "month_end")
     w = by_entity(None, "entity", order="month_end")
-    out = out.withColumn("ret_m", F.least(ratio("close", F.lag("close").over(w)) - 1, F.lit(1.0)))
+    out = out.withColumn("__last", ffill("close", w))
+    out = out.withColumn("ret_m", F.when(F.col("close").isNotNull(), ratio("close", F.lag("__last").over(w)) - 1)).drop("__last")
     return out.withColumn("ret_1m", F.lead("ret_m").over(w))
 
 
@@ -55,13 +58,17 @@ def convert_frequency(df: DataFrame, value: str, limit: int) -> DataFrame:
 
 
 def as_of_daily(stmt: DataFrame, calendar: DataFrame, value: str, limit: int) -> DataFrame:
-    """Statement values on the trading days from the day they are known, at most `limit` days long."""
+    """Statement values on the trading days from the day they are known, at most `limit` days long. Each value is laid
+    out over its own days, so nothing is joined by a range and the rows made are those of the result."""
     known = stmt.groupBy("entity", F.col("trd_dt").alias("dt")).agg(F.max_by(value, "dt").alias(value))
-    known = on_or_after(known, calendar)
-    span = known.groupBy("entity").agg(F.min("dt").alias("first"))
-    grid = calendar.join(F.broadcast(span), F.col("dt") >= F.col("first")).select("entity", "dt")
-    out = grid.join(known, ["entity", "dt"], "left").withColumn(value, ffill(value, by_entity(), limit))
-    return out.where(F.col(value).isNotNull())
+    known = on_or_after(known, calendar).where(F.col(value).isNotNull())
+    # one row per trading day: small by nature
+    days = F.broadcast(calendar.select("dt", F.row_number().over(Window.orderBy("dt")).alias("k")))
+    at = known.join(days, "dt").drop("dt")
+    # least skips the null of an entity's last value, which then holds for all of its days
+    end = F.least(F.col("k") + limit, F.lead("k").over(by_entity(None, "entity", order="k")) - 1)
+    at = at.withColumn("__end", end).select("entity", value, F.explode(F.sequence("k", "__end")).alias("k"))
+    return at.join(days, "k").select("entity", "dt", value)
 
 
 def next_trading_day(calendar: DataFrame) -> DataFrame:

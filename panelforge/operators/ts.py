@@ -59,7 +59,8 @@ def ts_argmin(df: DataFrame, x: str, n: int) -> DataFrame:
 
 
 def ts_rank(x: str, n: int) -> Column:
-    """Average rank of the newest of n values as a share of n."""
+    """Average rank of the newest of n values as a share of n. A row holds the n values of its window while it is
+    worked on: meant for windows of up to some hundreds of rows."""
     held = F.collect_list(x).over(W(n))
     below, same = F.size(F.filter(held, lambda v: v < col(x))), F.size(F.filter(held, lambda v: v == col(x)))
     return F.when(F.count(x).over(W(n)) >= n, (below + (same + 1) / 2) / n)
@@ -114,10 +115,14 @@ def growth(df: DataFrame, x: str, *spans: int, prefix: str = "mom") -> DataFrame
 
 def rolling_beta(df: DataFrame, y: str, x: str, n: int, least: int | None = None) -> DataFrame:
     """Adds beta and idio: regression of y on x over n rows of a dense calendar, where missing y count as the mean of
-    those present (at least half, or `least`). idio is the deviation of the residuals with divisor n. All are rolling sums."""
+    those present (at least half, or `least`). idio is the deviation of the residuals with divisor n. All are differences
+    of running sums, so errors are relative to the largest sum of an entity's history, not of the window."""
     v = F.when(col(y).isNotNull(), col(x))
     s = {"nv": F.count(y), "sy": F.sum(y), "sxy": F.sum(v * col(y)), "sxv": F.sum(v), "sx": F.sum(x), "sxx": F.sum(col(x) * col(x)), "syy": F.sum(col(y) * col(y)), "na": F.count(x)}
-    df = df.withColumns({f"__{k}": a.over(W(n)) for k, a in s.items()})
+    # running sums cost one addition a row; a sliding frame would add up n rows for each
+    upto = W().rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"__{k}": F.coalesce(a.over(upto), F.lit(0)) for k, a in s.items()})
+    df = df.withColumns({f"__{k}": F.col(f"__{k}") - F.coalesce(F.lag(f"__{k}", n).over(W()), F.lit(0)) for k in s})
     mean = ratio("__sy", "__nv")
     num, den = F.col("__sxy") - mean * F.col("__sxv"), F.col("__sxx") - F.col("__sx") * F.col("__sx") / n
     full = (F.col("__na") >= n) & (F.col("__nv") >= (n // 2 if least is None else least))

@@ -1,18 +1,22 @@
 """The panels of panelforge.sources.tables as common table expressions of the SQL that queries are held against."""
 
 # Sums run over whole cents and quantities are whole, so both engines reach the same bits before any division.
-PXD = """px_d AS (SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS dt, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 / nullif(sum(l_quantity), 0) AS close,
-  max(l_extendedprice / nullif(l_quantity, 0)) AS high, min(l_extendedprice / nullif(l_quantity, 0)) AS low,
-  sum(l_quantity) AS volume, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS amount FROM lineitem GROUP BY 1, 2)"""
-RETD = PXD + """, ret_d AS (SELECT *, least(close / nullif(lag(close) OVER (PARTITION BY entity ORDER BY dt), 0) - 1, 1.0) AS ret FROM px_d)"""
+PXD = """px_raw AS (SELECT l_suppkey AS entity, CAST(l_shipdate AS DATE) AS dt, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 / nullif(sum(l_quantity), 0) AS c,
+  max(l_extendedprice / nullif(l_quantity, 0)) AS h, min(l_extendedprice / nullif(l_quantity, 0)) AS l,
+  sum(l_quantity) AS volume, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS amount FROM lineitem GROUP BY 1, 2),
+px_d AS (SELECT entity, dt, 100.0 + 100.0 * c / (c + 2000.0) AS close, 100.0 + 100.0 * h / (h + 2000.0) AS high, 100.0 + 100.0 * l / (l + 2000.0) AS low, volume, amount FROM px_raw)"""
+# returns by a join of each row with the one before it, in place of a window function
+RETD = PXD + """, num_d AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY dt) AS rn FROM px_d),
+ret_d AS (SELECT a.* EXCLUDE (rn), a.close / b.close - 1 AS ret FROM num_d a LEFT JOIN num_d b ON b.entity = a.entity AND b.rn = a.rn - 1)"""
 PXM = PXD + """, bars AS (SELECT entity, last_day(dt) AS month_end, sum(volume) AS volume, min_by(close, dt) AS open, max(high) AS high, min(low) AS low,
   max_by(close, dt) AS close, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / 100.0 AS amount, max(dt) AS trd_dt FROM px_d GROUP BY 1, 2),
 grid_m AS (SELECT entity, last_day(CAST(unnest(generate_series(date_trunc('month', a), date_trunc('month', b), INTERVAL 1 MONTH)) AS DATE)) AS month_end
   FROM (SELECT entity, min(month_end) AS a, max(month_end) AS b FROM bars GROUP BY 1)),
-px_m0 AS (SELECT g.entity, g.month_end, volume, open, high, low, close, amount, trd_dt,
-  least(close / nullif(lag(close) OVER (PARTITION BY g.entity ORDER BY g.month_end), 0) - 1, 1.0) AS ret_m
-  FROM grid_m g LEFT JOIN bars b ON b.entity = g.entity AND b.month_end = g.month_end),
-px_m AS (SELECT *, lead(ret_m) OVER (PARTITION BY entity ORDER BY month_end) AS ret_1m FROM px_m0)"""
+ago AS (SELECT a.entity, a.month_end, max(b.month_end) AS before FROM bars a JOIN bars b ON b.entity = a.entity AND b.month_end < a.month_end GROUP BY 1, 2),
+px_m0 AS (SELECT g.entity, g.month_end, b.volume, b.open, b.high, b.low, b.close, b.amount, b.trd_dt, b.close / p.close - 1 AS ret_m
+  FROM grid_m g LEFT JOIN bars b ON b.entity = g.entity AND b.month_end = g.month_end
+  LEFT JOIN ago ON ago.entity = g.entity AND ago.month_end = g.month_end LEFT JOIN bars p ON p.entity = g.entity AND p.month_end = ago.before),
+px_m AS (SELECT a.*, b.ret_m AS ret_1m FROM px_m0 a LEFT JOIN px_m0 b ON b.entity = a.entity AND b.month_end = last_day(CAST(a.month_end + INTERVAL 1 DAY AS DATE)))"""
 IND = """ind AS (SELECT s_suppkey AS entity, s_nationkey AS industry, n_regionkey AS sector FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
 FDMT = PXM + ", " + IND + """, fdmt AS (SELECT m.entity, month_end AS dt, close, volume, amount AS cap, ret_m, ret_1m, industry, sector
   FROM px_m m JOIN ind ON ind.entity = m.entity WHERE close IS NOT NULL)"""

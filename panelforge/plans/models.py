@@ -33,13 +33,13 @@ def r(x, digits: int = 6):
 
 # ---- strategies: the industries' mean monthly returns
 
-_ST = FDMT + """, x AS (SELECT *, least(ret_m, 0.5) AS rm FROM fdmt WHERE ret_m IS NOT NULL), mk AS (SELECT dt, avg(rm) AS mkt FROM x GROUP BY 1),
+_ST = FDMT + """, x AS (SELECT *, ret_m AS rm FROM fdmt WHERE ret_m IS NOT NULL), mk AS (SELECT dt, avg(rm) AS mkt FROM x GROUP BY 1),
 big AS (SELECT *, percent_rank() OVER (PARTITION BY dt ORDER BY cap) AS pc FROM x), sz AS (SELECT dt, avg(rm) FILTER (WHERE pc < 0.5) - avg(rm) FILTER (WHERE pc >= 0.5) AS smb FROM big GROUP BY 1),
 st AS (SELECT sector, industry, x.dt, avg(rm) AS ret FROM x GROUP BY 1, 2, 3)"""
 
 
 def _x(s, d):
-    return t.fdmt_m(s, d).where("ret_m is not null").withColumn("rm", F.least("ret_m", F.lit(0.5)))
+    return t.fdmt_m(s, d).where("ret_m is not null").withColumn("rm", F.col("ret_m"))
 
 
 def _st(s, d):
@@ -147,7 +147,7 @@ for _mode, _raw in (("equal", "1.0"), ("score", "score"), ("place", "max(place)
 
 
 @add("cmb6_mixed_signal", f"""WITH {FDMT}, z AS (SELECT entity, dt, ret_1m, unnest(['cap', 'volume']) AS indicator, unnest([(cap - avg(cap) OVER p) / nullif(stddev_samp(cap) OVER p, 0), (volume - avg(volume) OVER p) / nullif(stddev_samp(volume) OVER p, 0)]) AS value FROM fdmt WINDOW p AS (PARTITION BY dt)),
-w AS (SELECT make_date(year(dt), 12, 31) AS rebalance, indicator, avg(least(ret_1m, 0.5) * value) FILTER (WHERE month(dt) < 12) AS weight FROM z GROUP BY 1, 2)
+w AS (SELECT make_date(year(dt), 12, 31) AS rebalance, indicator, avg(ret_1m * value) FILTER (WHERE month(dt) < 12) AS weight FROM z GROUP BY 1, 2)
 SELECT entity, dt, round(avg(value * weight), 6) + 0.0 AS value FROM z JOIN w ON w.indicator = z.indicator AND w.rebalance = make_date(year(dt) - 1, 12, 31) GROUP BY 1, 2""")
 def cmb6(s, d):
     from panelforge.operators.xs import zscore
@@ -155,7 +155,7 @@ def cmb6(s, d):
     f = t.fdmt_m(s, d).withColumns({"zc": zscore("cap"), "zv": zscore("volume")})
     z = f.select("entity", "dt", "ret_1m", F.explode(F.array(F.struct(F.lit("cap").alias("indicator"), F.col("zc").alias("value")), F.struct(F.lit("volume").alias("indicator"), F.col("zv").alias("value")))).alias("i")).select("entity", "dt", "ret_1m", "i.*")
     # the return of the next month is known at the year's end for all months but December
-    seen = F.when(F.month("dt") < 12, F.least("ret_1m", F.when(F.col("ret_1m").isNotNull(), 0.5)) * F.col("value"))
+    seen = F.when(F.month("dt") < 12, F.col("ret_1m") * F.col("value"))
     w = z.groupBy(F.make_date(F.year("dt"), F.lit(12), F.lit(31)).alias("rebalance"), "indicator").agg(F.avg(seen).alias("weight"))
     return cb.mixed_signal(z, w).withColumn("value", r("value"))
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelforge.functions.core import by_entity, ratio
 
@@ -20,9 +21,19 @@ def jdbc_table(spark: SparkSession, url: str, name: str, column: str, lower, upp
 
 
 def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t", encoding: str = "UTF-8", skip: int = 0) -> DataFrame:
-    """A text table with descriptor rows under its header; rows that don't fit the schema's first column are dropped."""
-    raw = spark.read.option("sep", sep).option("encoding", encoding).option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
-    return raw.where(F.col(raw.columns[0]).isNotNull()) if skip else raw
+    """A text table with a header and `skip` descriptor rows under it; fields that don't fit the schema are null.
+
+    The descriptor rows are the first of each file. A file is one task only where there are rows to skip: their place is
+    that of Spark's own row order in a file that isn't split."""
+    names = [f.name for f in StructType.fromDDL(schema).fields]
+    options = {"sep": sep, "encoding": encoding, "header": True, "mode": "PERMISSIVE"}
+    if not skip:
+        return spark.read.options(**options).schema(schema).csv(path)
+    # read as text, so that descriptors are seen as they are; multiLine keeps a file whole
+    raw = spark.read.options(**options, multiLine=True, enforceSchema=True).schema(", ".join(f"`{c}` string" for c in names)).csv(path)
+    raw = raw.withColumns({"__file": F.input_file_name(), "__at": F.monotonically_increasing_id()})
+    raw = raw.withColumn("__n", F.row_number().over(Window.partitionBy("__file").orderBy("__at"))).where(F.col("__n") > skip)
+    return raw.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in StructType.fromDDL(schema).fields])
 
 
 def keyed_read(df: DataFrame, fields: Sequence[str], key: str | None = None, date: str | None = None, keys: Sequence | None = None, start=None, end=None) -> DataFrame:
@@ -65,13 +76,11 @@ def store(df: DataFrame, path: str, *by: str, mode: str = "overwrite") -> None:
 def store_missing(df: DataFrame, path: str, key: str) -> None:
     """Append only the keys that the table doesn't hold yet."""
     spark = df.sparkSession
-    try:
-        held = spark.read.parquet(path).select(key).distinct()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         store(df, path, key)
         return
+    held = spark.read.parquet(path).select(key).distinct()
     store(df.join(held, key, "left_anti"), path, key, mode="append")
 
 
@@ -84,22 +93,28 @@ def _cents(c: str):
     return F.sum(_hundredths(c))
 
 
+def _calm(x):
+    """A price between 100 and 200 that grows with x > 0: the given prices jump by factors of hundreds from row to row,
+    which a market's don't, and a bounded price needs no cut of the returns."""
+    return 100.0 + 100.0 * x / (x + 2000.0)
+
+
 def px_d(spark: SparkSession, root: str) -> DataFrame:
-    """Daily prices: entity is the supplier."""
+    """Daily prices that stand in for a market's: entity is the supplier."""
     price = F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0))
     return (
         table(spark, root, "lineitem")
         .groupBy(F.col("l_suppkey").alias("entity"), F.to_date("l_shipdate").alias("dt"))
         .agg(
-            (_cents("l_extendedprice").cast("double") / 100.0 / F.nullif(F.sum("l_quantity"), F.lit(0.0))).alias("close"), F.max(price).alias("high"), F.min(price).alias("low"),
+            _calm(_cents("l_extendedprice").cast("double") / 100.0 / F.nullif(F.sum("l_quantity"), F.lit(0.0))).alias("close"), _calm(F.max(price)).alias("high"), _calm(F.min(price)).alias("low"),
             F.sum("l_quantity").alias("volume"), (_cents("l_extendedprice").cast("double") / 100.0).alias("amount"),
         )
     )
 
 
 def ret_d(spark: SparkSession, root: str) -> DataFrame:
-    """Daily prices with the return on the row before, at most 1 (the prices that stand in for a market's jump)."""
-    return px_d(spark, root).withColumn("ret", F.least(ratio("close", F.lag("close").over(by_entity())) - 1, F.lit(1.0)))
+    """Daily prices with the return on the row before; an entity's first row has none."""
+    return px_d(spark, root).withColumn("ret", ratio("close", F.lag("close").over(by_entity())) - 1)
 
 
 def px_m(spark: SparkSession, root: str) -> DataFrame:
