@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.plans import factor, misc, models, ts_xs
+from panelforge.plans import evaluate, factor, misc, models, ts_xs
 
-MODULES = (ts_xs, factor, misc, models)
+MODULES = (ts_xs, factor, misc, models, evaluate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
