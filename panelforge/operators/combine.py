@@ -56,6 +56,17 @@ def choose(graded: DataFrame, score: str, name: str, category: str, top: int, we
     return best.withColumn("weight", ratio("__w", F.sum("__w").over(w))).drop("__w")
 
 
+def choose_grid(graded: DataFrame, score: str, name: str, category: str, tops: Sequence[int], modes: Sequence[str]) -> DataFrame:
+    """choose for all numbers and ways of weighing at once: (top, mode, columns of graded, place, weight). The best
+    variants are found once; a choice of fewer is a part of that of more."""
+    best = choose(graded, score, name, category, max(tops)).drop("weight")
+    best = best.withColumn("top", F.explode(F.array(*map(F.lit, tops)))).where("place <= top").withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
+    w = Window.partitionBy("top", "mode", category)
+    raw = F.when(F.col("mode") == "equal", F.lit(1.0)).when(F.col("mode") == "score", col(score)).otherwise((F.max("place").over(w) + 1 - F.col("place")).cast("double"))
+    best = best.withColumn("__w", raw)
+    return best.withColumn("weight", ratio("__w", F.sum("__w").over(w))).drop("__w")
+
+
 def mixed_signal(signals: DataFrame, weights: DataFrame, name: str = "indicator") -> DataFrame:
     """(entity, dt, value): the mean of weighted signals that aren't null; weights(rebalance, name, weight) hold after
     their date up to and with the next. Dates are mapped to their rebalance first, so that the join has equal keys."""

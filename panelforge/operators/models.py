@@ -5,6 +5,7 @@ Sums of products are aggregated by Spark; only the small systems that they form
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -105,29 +106,58 @@ def matched_counts(df: DataFrame, value: str, market: str, hurdle: float = 1.96,
     return t.groupBy("f1", "f2").agg(F.count_if(F.abs("t") < hurdle).alias("matched"), F.count("*").alias("assets"))
 
 
+def f_survival(f: float, d1: float, d2: float) -> float:
+    """P(F > f) of an F distribution, by the continued fraction of the incomplete beta function."""
+    if not f > 0:
+        return 1.0 if f == f else float("nan")
+    x, a, b = d2 / (d2 + d1 * f), d2 / 2, d1 / 2
+    if x > (a + 1) / (a + b + 2):
+        return 1 - f_survival(1 / f, d2, d1)
+    head = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    out = d
+    for m in range(1, 500):
+        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + t * d or tiny), 1 + t / c or tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return head * out
+
+
 def spanning_test(df: DataFrame, assets: Sequence[str], factors: Sequence[str], *keys: str) -> DataFrame:
-    """Joint test that all assets have no alpha on the factors, per key: f, n (rows), from the residual covariance.
+    """Joint test that all assets have no alpha on the factors, per key: n (rows), f and its p.
 
-    df is wide in assets and factors, at most a few tens of each; the dates of one key fit a task.
-    """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    df is wide in assets and factors, at most a few tens of each. Spark adds up the products of the columns, combined
+    before they are shuffled; a task solves the small systems of the keys."""
     size, k = len(assets), len(factors)
+    names = ["__1", *factors, *assets]
+    pair = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    ok = df.dropna(subset=[*assets, *factors]).withColumn("__1", F.lit(1.0))
+    sums = ok.groupBy(*keys).agg(F.array(*[F.sum(F.col(names[i]).cast("double") * F.col(names[j])) for i, j in pair]).alias("sums"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
-    def test(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        n, f = len(g), np.nan
-        if n > size + k:
-            x, y = g[list(factors)].to_numpy(float), g[list(assets)].to_numpy(float)
-            design = np.column_stack([np.ones(n), x])
-            coef, _, rank, _ = np.linalg.lstsq(design, y, rcond=None)
-            res = y - design @ coef
-            sigma, mean = res.T @ res / n, x.mean(axis=0)
-            omega = (x - mean).T @ (x - mean) / n
-            if rank == k + 1 and np.linalg.matrix_rank(sigma) == size:
-                f = (n - size - k) / size * (coef[0] @ np.linalg.solve(sigma, coef[0])) / (1 + mean @ np.linalg.solve(omega, mean))
-        return pd.DataFrame([[*key, n, f]])
-
-    ok = df.dropna(subset=[*assets, *factors])
-    return ok.groupBy(*keys).applyInPandas(test, f"{kinds}, n long, f double").withColumn("f", F.nanvl("f", F.lit(None).cast("double")))
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for flat in batch["sums"]:
+                m = np.empty((len(names), len(names)))
+                for v, (i, j) in zip(flat, pair, strict=True):
+                    m[i, j] = m[j, i] = v
+                n, f = m[0, 0], np.nan
+                xx, xy, yy = m[: k + 1, : k + 1], m[: k + 1, k + 1 :], m[k + 1 :, k + 1 :]
+                if n > size + k and np.linalg.matrix_rank(xx) == k + 1:
+                    coef = np.linalg.solve(xx, xy)
+                    sigma, mean = (yy - coef.T @ xy) / n, xx[0, 1:] / n
+                    omega = xx[1:, 1:] / n - np.outer(mean, mean)
+                    if np.linalg.matrix_rank(sigma) == size:
+                        f = (n - size - k) / size * (coef[0] @ np.linalg.solve(sigma, coef[0])) / (1 + mean @ np.linalg.solve(omega, mean))
+                out.append((int(n), f, f_survival(f, size, n - size - k)))
+            yield batch[list(keys)].assign(**{c: [r[i] for r in out] for i, c in enumerate(("n", "f", "p"))})
+
+    out = sums.mapInPandas(test, f"{kinds}, n long, f double, p double")
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("f", "p")})
 
 
 def principal_components(df: DataFrame, value: str, k: int, series: str = "series") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,68 @@ def bootstrap_residuals(df: DataFrame, y: str, x: str, reps: int, seed: int = 7)
     return ols(drawn.withColumn(y, F.col("beta") * col(x) + F.col("__e")), y, x, "rep", "entity")
 
 
+def bootstrap_cross_section(df: DataFrame, y: str, x: str, reps: int, seed: int = 7) -> DataFrame:
+    """For each (rep, entity) the regression on the factor of beta x plus the residual of a drawn date, the same draw for
+    all entities, which keeps how residuals go together; dates without a residual of the entity are left out."""
+    rows, dates = _residual_rows(df, y, x)
+    grid = _date_draws(df.sparkSession, dates, reps, seed)
+    drawn = rows.select("entity", "beta", F.col("k").alias("pos"), x).join(F.broadcast(grid), "pos")
+    drawn = drawn.join(rows.select("entity", F.col("k").alias("draw"), "__e"), ["entity", "draw"])
+    return ols(drawn.withColumn(y, F.col("beta") * col(x) + F.col("__e")), y, x, "rep", "entity")
+
+
+def bootstrap_residual_and_factor(df: DataFrame, y: str, x: str, reps: int, seed: int = 7, on_drawn: bool = False) -> DataFrame:
+    """As bootstrap_residuals, with the factor drawn too: one draw of dates for all entities and another stream of
+    residuals for each. The pseudo returns are regressed on the factor as it was, or as it was drawn."""
+    rows, dates = _residual_rows(df, y, x)
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("entity").orderBy("k")).cast("long") - 1)
+    grid = rows.select("entity", "beta", "k", "pos", "__n", x).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
+    own = draws(grid, "__n", seed, "entity").join(rows.select("entity", F.col("pos").alias("draw"), "__e"), ["entity", "draw"]).drop("draw")
+    # the factor of each (rep, date): replicates times dates
+    factor = dates.join(df.where(col(x).isNotNull()).groupBy("dt").agg(F.max(x).alias("__fx")), "dt").select(F.col("k").alias("draw"), "__fx")
+    drawn = _date_draws(df.sparkSession, dates, reps, seed + 6).join(factor, "draw").select("rep", F.col("pos").alias("k"), "__fx")
+    own = own.join(F.broadcast(drawn), ["rep", "k"])
+    out = own.withColumn(y, F.col("beta") * F.col("__fx") + F.col("__e"))
+    return ols(out, y, "__fx" if on_drawn else x, "rep", "entity")
+
+
+def _residual_rows(df: DataFrame, y: str, x: str) -> tuple[DataFrame, DataFrame]:
+    """(entity, k, x, beta, __n, __e of each complete row, k being the rank of its date; dates and their ranks)."""
+    ok = df.where(col(y).isNotNull() & col(x).isNotNull())
+    # one row per date: small by nature
+    dates = df.select("dt").distinct().withColumn("k", F.row_number().over(Window.orderBy("dt")).cast("long") - 1)
+    fit = ols(ok, y, x, "entity").where(F.col("beta").isNotNull()).select("entity", "alpha", "beta", F.col("n").alias("__n"))
+    rows = ok.join(fit, "entity").join(F.broadcast(dates), "dt")
+    return rows.select("entity", "k", x, "beta", "__n", (col(y) - F.col("alpha") - F.col("beta") * col(x)).alias("__e")), dates
+
+
+def _date_draws(spark, dates: DataFrame, reps: int, seed: int) -> DataFrame:
+    """(rep, pos, draw) of one draw of as many dates as there are, per replicate."""
+    length = max(1, dates.count())
+    return draws(spark.range(reps).select(F.col("id").alias("rep")).crossJoin(spark.range(length).select(F.col("id").alias("pos"))), length, seed)
+
+
+def scaled_intercepts(df: DataFrame, y: str, x: str, asset: str = "asset", candidate: str = "candidate", *keys: str) -> DataFrame:
+    """How far each candidate factor shrinks the intercepts of assets, against no factor at all: si_mean and si_median, the
+    relative change of the mean and median of |intercept| over the standard error of the asset's mean.
+
+    df: one row per (keys, asset, candidate, date), with the asset's return y and the candidate's x."""
+    ok = df.where(col(y).isNotNull() & col(x).isNotNull())
+    a = ok.groupBy(*keys, candidate, asset).agg(F.count("*").alias("n"), F.avg(y).alias("base"), F.stddev_samp(y).alias("sd"), F.avg(x).alias("mx"), F.regr_slope(y, x).alias("b"))
+    se = F.col("sd") / F.sqrt(F.col("n").cast("double"))
+    a = a.select(*keys, candidate, ratio(F.abs("base"), se).alias("before"), ratio(F.abs(F.col("base") - F.col("b") * F.col("mx")), se).alias("after")).dropna()
+    m = a.groupBy(*keys, candidate).agg(F.avg("before").alias("m0"), F.avg("after").alias("m1"), F.percentile("before", 0.5).alias("d0"), F.percentile("after", 0.5).alias("d1"))
+    return m.select(*keys, candidate, ratio(F.col("m1") - F.col("m0"), "m0").alias("si_mean"), ratio(F.col("d1") - F.col("d0"), "d0").alias("si_median"))
+
+
+def controlled_slopes(df: DataFrame, y: str, x: str, controls: Sequence[str], lags: int, *keys: str) -> DataFrame:
+    """Fama-MacBeth of y on x with controls: slopes of x per (keys, date), then their mean, Newey-West error and t."""
+    from panelforge.operators.models import ols_multi
+
+    s = ols_multi(df, y, [x, *controls], *keys, "dt").where(F.col("n") > len(controls) + 2)
+    return newey_west(s.select(*keys, "dt", F.col("betas")[0].alias("slope")).where("slope is not null"), "slope", lags, *keys)
+
+
 def plant(replicates: DataFrame, fits: DataFrame, count: int, size: float = 3.0, seed: int = 11) -> DataFrame:
     """In each replicate, `count` entities get an alpha of `size` standard errors of their own fit, up and down in turn.
     An alpha that is added to the returns moves the estimate by as much and leaves its error."""

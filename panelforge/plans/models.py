@@ -76,7 +76,7 @@ def reg9(s, d):
     sectors = _x(s, d).groupBy("sector", "dt").agg(F.avg("rm").alias("ret"))
     wide = sectors.groupBy("dt").pivot("sector", [0, 1, 2, 3, 4]).agg(F.first("ret")).join(_factors(s, d), "dt")
     wide = wide.select("dt", "mkt", "smb", *[F.col(str(i)).alias(f"a{i}") for i in range(5)])
-    return md.spanning_test(wide.withColumn("study", F.lit("sectors")), ["a0", "a1", "a2", "a3"], ["mkt", "smb"], "study").select("study", "n", r("f").alias("f"))
+    return md.spanning_test(wide.withColumn("study", F.lit("sectors")), ["a0", "a1", "a2", "a3"], ["mkt", "smb"], "study").select("study", "n", r("f").alias("f"), r("p").alias("p"))
 
 
 @add("reg10_principal_components", None)

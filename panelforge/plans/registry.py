@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.plans import evaluate, factor, misc, models, ts_xs
+from panelforge.plans import access, evaluate, factor, misc, models, study, ts_xs
 
-MODULES = (ts_xs, factor, misc, models, evaluate)
+MODULES = (ts_xs, factor, misc, models, evaluate, study, access)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
