@@ -152,8 +152,8 @@ def xs8(s, d):
 
 
 @add("xs9_adjusted_boxplot", f"""WITH {FDMT}, st AS (SELECT dt, quantile_cont(ret_m, 0.25) AS q1, quantile_cont(ret_m, 0.5) AS q2, quantile_cont(ret_m, 0.75) AS q3 FROM fdmt GROUP BY 1),
-v AS (SELECT f.dt, ret_m AS v, q2 AS m FROM fdmt f JOIN st ON st.dt = f.dt WHERE ret_m IS NOT NULL),
-h AS (SELECT a.dt, median(((a.v - a.m) - (a.m - b.v)) / (a.v - b.v)) AS mc FROM v a JOIN v b ON a.dt = b.dt AND a.v >= a.m AND b.v <= b.m AND a.v > b.v GROUP BY 1),
+v AS (SELECT f.dt, entity, ret_m AS v, q2 AS m FROM fdmt f JOIN st ON st.dt = f.dt WHERE ret_m IS NOT NULL),
+h AS (SELECT a.dt, median(CASE WHEN a.v > b.v THEN ((a.v - a.m) - (a.m - b.v)) / (a.v - b.v) ELSE sign(a.entity - b.entity) END) AS mc FROM v a JOIN v b ON a.dt = b.dt AND a.v >= a.m AND b.v <= b.m GROUP BY 1),
 l AS (SELECT st.dt, q1 - 1.5 * exp((CASE WHEN coalesce(mc, 0) >= 0 THEN -3.5 ELSE -4.0 END) * coalesce(mc, 0)) * (q3 - q1) AS lo, q3 + 1.5 * exp((CASE WHEN coalesce(mc, 0) >= 0 THEN 4.0 ELSE 3.5 END) * coalesce(mc, 0)) * (q3 - q1) AS hi FROM st LEFT JOIN h ON h.dt = st.dt),
 i AS (SELECT f.entity, f.dt, ret_m, CASE WHEN ret_m BETWEEN lo AND hi THEN ret_m END AS i FROM fdmt f JOIN l ON l.dt = f.dt)
 SELECT entity, dt, round(CASE WHEN ret_m IS NOT NULL THEN least(greatest(ret_m, min(i) OVER (PARTITION BY dt)), max(i) OVER (PARTITION BY dt)) END, 6) + 0.0 AS value FROM i""")
