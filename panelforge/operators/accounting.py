@@ -105,18 +105,21 @@ class FactorSpec:
     y: str = ""
     q: int = 0
 
-    def column(self) -> Column:
+    def padded(self) -> Column | None:
+        """What growth is taken of: the positive values of x, or of x / y, before gaps are padded; None for other kinds."""
+        x = equation(self.x)
+        return {"growth": lambda: positive(x), "ratio_growth": lambda: positive(ratio(x, positive(equation(self.y))))}.get(self.kind, lambda: None)()
+
+    def column(self, filled: str | None = None) -> Column:
+        """The factor as a column; growth needs the name of its padded values."""
         x, y = equation(self.x), equation(self.y) if self.y else None
         rows = W(self.q) if self.q else None
         if self.kind == "level":
             return x
         if self.kind == "square":
             return x * x
-        if self.kind == "growth":
-            return ratio(positive(x), F.lag(positive(x), self.q).over(W())) - 1
-        if self.kind == "ratio_growth":
-            z = positive(ratio(x, positive(y)))
-            return ratio(z, F.lag(z, self.q).over(W())) - 1
+        if self.kind in ("growth", "ratio_growth"):
+            return F.when(self.padded().isNotNull(), ratio(filled, F.lag(filled, self.q).over(W())) - 1)
         if self.kind == "compound":
             return F.when(F.count(x).over(rows) >= self.q, ratio(x, F.lag(x, self.q - 1).over(W())) - 1)
         if self.kind == "ratio_compound":
@@ -134,23 +137,6 @@ class FactorSpec:
             return F.when(F.count(x).over(rows) >= self.q, F.stddev_samp(x).over(rows))
         raise ValueError(self.kind)
 
-    def sql(self) -> str:
-        """The same definition in SQL."""
-        lag = lambda e, n: f"lag({e}, {n}) OVER (PARTITION BY entity ORDER BY dt)"
-        pos = lambda e: f"(CASE WHEN {e} > 0 THEN {e} END)"
-        div = lambda a, b: f"(({a}) / nullif({b}, 0))"
-        rows = lambda n: f"(PARTITION BY entity ORDER BY dt ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-        x, y, q = f"({self.x})", f"({self.y})", self.q
-        z = div(x, pos(y)) if self.y else ""
-        return {
-            "level": lambda: x, "square": lambda: f"{x} * {x}", "growth": lambda: f"{div(pos(x), lag(pos(x), q))} - 1", "ratio_growth": lambda: f"{div(pos(z), lag(pos(z), q))} - 1",
-            "compound": lambda: f"CASE WHEN count({x}) OVER {rows(q)} >= {q} THEN {div(x, lag(x, q - 1))} - 1 END",
-            "ratio_compound": lambda: f"CASE WHEN count({z}) OVER {rows(q)} >= {q} THEN {div(z, lag(z, q - 1))} - 1 END",
-            "ratio": lambda: z, "plain_ratio": lambda: div(x, y), "smooth_ratio": lambda: div(x, f"(({pos(y)} + {lag(pos(y), 1)}) / 2)"),
-            "ttm_ratio": lambda: div(f"CASE WHEN count({x}) OVER {rows(4)} >= 4 THEN avg({x}) OVER {rows(4)} END", pos(y)),
-            "std": lambda: f"CASE WHEN count({x}) OVER {rows(q)} >= {q} THEN stddev_samp({x}) OVER {rows(q)} END",
-        }[self.kind]()
-
 
 _OCF, _NPX, _NPI, _EQ, _REV, _TOR = "net_cash_flows_oper_act", "net_profit_excl_min_int_inc", "net_profit_incl_min_int_inc", "tot_shrhldr_eqy_excl_min_int", "oper_rev", "tot_oper_rev"
 _EBIT = f"{_NPX} + inc_tax + fin_exp"
@@ -188,8 +174,10 @@ CATALOG = tuple(
 
 
 def factors(df: DataFrame, specs: tuple[FactorSpec, ...] = CATALOG) -> DataFrame:
-    """(indicator, entity, dt, value) of all specs in one pass: one sort by entity, then an unpivot."""
-    wide = df.select("entity", "dt", *[s.column().alias(s.name) for s in specs])
+    """(indicator, entity, dt, value) of all specs in one job: one sort by entity, then an unpivot."""
+    fill = {(s.x, s.y): f"__fill_{i}" for i, s in enumerate(specs) if s.padded() is not None}
+    df = df.withColumns({name: ffill(next(s for s in specs if (s.x, s.y) == k and s.padded() is not None).padded(), W()) for k, name in fill.items()})
+    wide = df.select("entity", "dt", *[s.column(fill.get((s.x, s.y))).alias(s.name) for s in specs])
     return wide.unpivot(["entity", "dt"], [s.name for s in specs], "indicator", "value")
 
 

@@ -106,11 +106,11 @@ for _last in (False, True):
 _FLD = f"{STMT}, f AS (SELECT entity, dt, " + ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in FIELDS.items()) + " FROM stmt)"
 
 
-@add("prj2_derived_fields", f"WITH {_FLD}, g AS (SELECT * REPLACE (CASE WHEN entity % 2 = 0 THEN notes_rcv END AS notes_rcv, CASE WHEN entity % 3 = 0 THEN acct_rcv END AS acct_rcv) FROM f) SELECT entity, dt, round(tot_assets - tot_liab, 6) AS net_asset, round(non_oper_rev - non_oper_exp, 7) AS net_non_oper, round(oper_cost + gerl_admin_exp + fin_exp, 3) AS period_cost, round(CASE WHEN notes_rcv IS NOT NULL OR acct_rcv IS NOT NULL THEN coalesce(notes_rcv, 0) + coalesce(acct_rcv, 0) END, 3) AS receivable, round(notes_payable + acct_payable, 6) AS payable, round(oper_rev - oper_cost, 6) + 0.0 AS gross_income FROM g")
+@add("prj2_derived_fields", f"WITH {_FLD}, g AS (SELECT * REPLACE (CASE WHEN entity % 2 = 0 THEN notes_rcv END AS notes_rcv, CASE WHEN entity % 3 = 0 THEN acct_rcv END AS acct_rcv) FROM f) SELECT entity, dt, round(tot_assets - tot_liab, 6) AS net_asset, round(non_oper_rev - non_oper_exp, 7) AS net_non_oper, round(oper_cost + gerl_admin_exp + fin_exp, 6) AS period_cost, round(CASE WHEN notes_rcv IS NOT NULL OR acct_rcv IS NOT NULL THEN coalesce(notes_rcv, 0) + coalesce(acct_rcv, 0) END, 6) AS receivable, round(notes_payable + acct_payable, 6) AS payable, round(oper_rev - oper_cost, 6) + 0.0 AS gross_income FROM g")
 def prj2(s, d):
     f = t.stmt_q(s, d).select("entity", "dt", *[F.expr(e).cast("double").alias(k) for k, e in FIELDS.items()])
     f = f.withColumns({"notes_rcv": F.when(F.col("entity") % 2 == 0, F.col("notes_rcv")), "acct_rcv": F.when(F.col("entity") % 3 == 0, F.col("acct_rcv"))})
-    digits = {"net_asset": 6, "net_non_oper": 7, "period_cost": 3, "receivable": 3, "payable": 6, "gross_income": 6}
+    digits = {"net_asset": 6, "net_non_oper": 7, "period_cost": 6, "receivable": 6, "payable": 6, "gross_income": 6}
     return ac.derived_fields(f).select("entity", "dt", *[r(c, k).alias(c) for c, k in digits.items()])
 
 

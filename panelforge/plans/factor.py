@@ -99,15 +99,62 @@ def acc21(s, d):
 FIELDS = {
     "oper_rev": "revenue", "tot_oper_rev": "revenue + tax", "oper_cost": "cost * 12", "tot_oper_cost": "cost * 12 + tax", "oper_profit": "profit",
     "net_profit_excl_min_int_inc": "profit - tax", "net_profit_incl_min_int_inc": "profit - tax / 2", "net_profit_after_ded_nr_lp": "profit - tax * 2",
-    "net_cash_flows_oper_act": "revenue - cost * 15", "tot_assets": "assets", "tot_liab": "assets / 3 + cost", "cap_stk": "units + 100", "cash_div": "tax / 4", "s_fa_roe": "profit / nullif(assets, 0)",
-    "tot_cur_assets": "assets / 4 + revenue", "tot_cur_liab": "assets / 5 + cost", "intang_assets": "assets / 50", "tot_shrhldr_eqy_excl_min_int": "assets - assets / 3 - cost", "fix_assets": "assets / 2",
-    "inventories": "cost * 4", "tot_non_cur_liab": "assets / 10", "freefloat_cap": "revenue * 6", "cap": "revenue / 1000 + 1", "non_oper_rev": "tax / 10", "non_oper_exp": "tax / 20", "inc_tax": "tax", "fin_exp": "cost / 7",
-    "int_exp": "cost / 9", "selling_dist_exp": "cost / 3", "gerl_admin_exp": "cost / 2", "notes_rcv": "revenue / 9", "acct_rcv": "revenue / 6", "notes_payable": "cost / 2", "acct_payable": "cost",
-    "s_fa_arturn": "revenue / nullif(assets, 0)", "monetary_cap": "assets / 8", "ebitda": "profit + cost / 2",
+    "net_cash_flows_oper_act": "revenue - cost * 15", "tot_assets": "assets", "tot_liab": "assets / 3 + cost", "cap_stk": "units + 100", "cash_div": "tax / 4 + units / 10", "s_fa_roe": "profit / nullif(assets, 0)",
+    "tot_cur_assets": "assets / 4 + revenue", "tot_cur_liab": "assets / 5 + cost", "intang_assets": "assets / 50 + tax", "tot_shrhldr_eqy_excl_min_int": "assets - assets / 3 - cost", "fix_assets": "assets / 2 - cost",
+    "inventories": "cost * 4 + units", "tot_non_cur_liab": "assets / 10 + units * 5", "freefloat_cap": "revenue * 6 + units", "cap": "revenue / 1000 + 1", "non_oper_rev": "tax / 10 + units", "non_oper_exp": "tax / 20", "inc_tax": "tax", "fin_exp": "cost / 7 + units / 3",
+    "int_exp": "cost / 9 + tax / 5", "selling_dist_exp": "cost / 3 + tax / 7", "gerl_admin_exp": "cost / 2 + units", "notes_rcv": "revenue / 9 - tax / 2", "acct_rcv": "revenue / 6 + cost", "notes_payable": "cost / 2 + tax", "acct_payable": "cost + units",
+    "s_fa_arturn": "revenue / nullif(assets - cost, 0)", "monetary_cap": "assets / 8 + tax", "ebitda": "profit + cost / 2",
 }
 
 
-@add("factor_catalog", f"WITH {STMT}, f AS (SELECT entity, dt, " + ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in FIELDS.items()) + " FROM stmt), w AS (SELECT entity, dt, " + ", ".join(f"CAST({x.sql()} AS DOUBLE) AS {x.name}" for x in acc.CATALOG) + " FROM f) SELECT indicator, entity, dt, round(value, 3) + 0.0 AS value FROM w UNPIVOT INCLUDE NULLS (value FOR indicator IN (" + ", ".join(x.name for x in acc.CATALOG) + "))")
+def _listed(name: str, rows: list[tuple], *columns: str) -> str:
+    """A CTE of long rows (entity, dt, indicator, columns) from rows of (indicator, expressions)."""
+    cells = [", ".join(f"CAST({r_[i + 1]} AS DOUBLE)" for r_ in rows) for i in range(len(columns))]
+    return f"{name} AS (SELECT entity, dt, unnest([{', '.join(repr(r_[0]) for r_ in rows)}]) AS indicator, " + ", ".join(f"unnest([{c}]) AS {k}" for c, k in zip(cells, columns, strict=True)) + " FROM f)"
+
+
+# The definitions of the named factors once more, written out for SQL and not taken from the catalogue.
+_NP, _NI, _CF, _EB = "net_profit_excl_min_int_inc", "net_profit_incl_min_int_inc", "net_cash_flows_oper_act", "net_profit_excl_min_int_inc + inc_tax + fin_exp"
+_NETA, _TA, _CUT = "tot_assets - tot_liab", "tot_assets", "net_profit_after_ded_nr_lp"
+_GROW = [
+    ("G_saleEarnings_sq_yoy", "oper_profit", 4), ("G_earnings_sq_yoy", _NP, 4), ("G_sales_sq_yoy", "oper_rev", 4), ("G_ocfGrowth_yoy", _CF, 4), ("G_netCashFlow", _CF, 4), ("G_totalAssets", _TA, 4), ("G_roe", "s_fa_roe", 4),
+    ("G_totalOperatingRevenue", "tot_oper_rev", 4), ("G_NetProfit", _NP, 4), ("G_esp1Ygrowth_yoy", f"{_NP} / nullif(CASE WHEN cap_stk > 0 THEN cap_stk END, 0)", 4),
+    ("G_netOperateCashFlowPerShare", f"{_CF} / nullif(CASE WHEN cap_stk > 0 THEN cap_stk END, 0)", 4), ("G_netAssetsPerShare", _NETA, 4), ("G_totalOperatingRevenue12Qavg", "tot_oper_rev", 12),
+    ("G_netProfit3YRAvg", _NP, 12), ("G_earnings_ltg", _NP, 20), ("G_sales_ltg", "oper_rev", 20),
+]
+_COMP = [
+    ("G_dividend3YR", "cash_div", 12), ("G_netProfitCAGR3", _NP, 12), ("G_operatingRevenueCAGR3", "oper_rev", 12), ("G_epscagr5", "oper_profit", 20), ("G_netProfitCAGR5", _NP, 20), ("G_operatingRevenueCAGR5", "oper_rev", 20),
+    ("V_peg_nY", f"{_TA} / nullif(CASE WHEN {_NP} > 0 THEN {_NP} END, 0)", 20),
+]
+_OVER_POSITIVE = [
+    ("Q_cashDividendCover", _CF, "cash_div"), ("Q_cashRateOfSales", _CF, "oper_rev"), ("Q_cashToCurrentLiability", _CF, "tot_cur_liab"), ("Q_cashToLiability", _CF, "tot_liab"), ("Q_currentAssetsToAsset", "tot_cur_assets", _TA),
+    ("Q_currentRatio", "tot_cur_assets", "tot_cur_liab"), ("Q_debtAssetsRatio", "tot_liab", _TA), ("Q_intangibleAssetRatio", "intang_assets", _TA), ("Q_dividendCover", _NP, "cash_div"),
+    ("Q_equityToAsset", "tot_shrhldr_eqy_excl_min_int", _TA), ("Q_netProfitCashCover", _CF, _NP), ("Q_NPCutToNetRevenue", _CUT, "tot_oper_rev"), ("Q_netProfitRatio", _NI, "tot_oper_rev"), ("Q_netProfitToRevenue", _NP, "tot_oper_rev"),
+    ("Q_netProfitToTotProfit", _NP, "oper_profit"), ("Q_NPCutToNetProfit", _CUT, _NP), ("Q_operatingExpenseRate", "selling_dist_exp", "tot_oper_rev"), ("Q_operatingProfitToAsset", "oper_profit", _TA),
+    ("Q_operCashInToCurrentDebt", _CF, "oper_rev"), ("Q_roe", _NP, "tot_shrhldr_eqy_excl_min_int"), ("Q_operatingCostToTOR", "tot_oper_rev", "tot_oper_cost"), ("V_bp", "tot_shrhldr_eqy_excl_min_int", _TA), ("V_ep", _NP, _TA),
+    ("V_sp", "oper_rev", _TA), ("V_cfp", _CF, _TA), ("V_ebitda_p", "ebitda", "cap"), ("V_dp", "cash_div", _TA),
+]
+_OVER_ANY = [
+    ("Q_grossIncomeRatio", "oper_rev - oper_cost", "oper_rev"), ("Q_mlev", "tot_non_cur_liab", "tot_non_cur_liab + freefloat_cap"), ("Q_netNonOItoTP", "non_oper_rev - non_oper_exp", _NP), ("Q_interestCover", _EB, "int_exp"),
+    ("Q_operatingProfitToEquity", "oper_profit", _NETA), ("Q_periodCostsRate", "oper_cost + gerl_admin_exp + fin_exp", "tot_oper_cost"), ("Q_quickRatio", "tot_cur_assets - inventories", "tot_cur_liab"),
+    ("Q_receivableToPayable", "notes_rcv + acct_rcv", "notes_payable + acct_payable"), ("Q_roe_ebit", _EB, _TA), ("V_sales_EV", "oper_rev", "tot_assets + tot_non_cur_liab - monetary_cap"), ("G_ebitToTLiability", _EB, "tot_oper_rev"),
+]
+_OVER_MEAN = [("Q_equityTurnover", "tot_oper_rev", _NETA), ("Q_fixedAssetTurnover", "tot_oper_rev", "fix_assets"), ("Q_inventoryTurnover", "oper_rev", "inventories"), ("Q_operCashInToAsset", _CF, _TA)]
+_WI = "(PARTITION BY indicator, entity ORDER BY dt)"
+_CATALOG_SQL = f"""WITH {STMT}, f AS (SELECT entity, dt, {", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in FIELDS.items())} FROM stmt),
+{_listed("g0", _GROW, "x", "q")}, g1 AS (SELECT *, CASE WHEN x > 0 THEN x END AS v FROM g0), g2 AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY indicator, entity ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM g1),
+g3 AS (SELECT a.indicator, a.entity, a.dt, CASE WHEN v IS NOT NULL THEN p / nullif(lag(p, CAST(q AS INTEGER)) OVER {_WI}, 0) - 1 END AS value FROM g2 a),
+{_listed("c0", _COMP, "x", "q")}, c1 AS (SELECT *, row_number() OVER {_WI} AS n FROM c0), c2 AS (SELECT a.indicator, a.entity, a.dt, CASE WHEN (SELECT count(b.x) FROM c1 b WHERE b.indicator = a.indicator AND b.entity = a.entity AND b.n BETWEEN a.n - a.q + 1 AND a.n) >= a.q THEN a.x / nullif(lag(a.x, CAST(a.q - 1 AS INTEGER)) OVER (PARTITION BY a.indicator, a.entity ORDER BY a.dt), 0) - 1 END AS value FROM c1 a),
+{_listed("p0", _OVER_POSITIVE, "x", "y")}, {_listed("a0", _OVER_ANY, "x", "y")}, {_listed("m0", _OVER_MEAN, "x", "y")}, m1 AS (SELECT *, CASE WHEN y > 0 THEN y END AS v FROM m0),
+r0 AS (SELECT entity, dt, {_NI} AS x, tot_assets AS y FROM f),
+al AS (SELECT indicator, entity, dt, value FROM g3 UNION ALL SELECT indicator, entity, dt, value FROM c2 UNION ALL SELECT indicator, entity, dt, CASE WHEN y > 0 THEN x / y END FROM p0 UNION ALL SELECT indicator, entity, dt, CASE WHEN y <> 0 THEN x / y END FROM a0
+UNION ALL SELECT indicator, entity, dt, x / nullif((v + lag(v) OVER {_WI}) / 2, 0) FROM m1
+UNION ALL SELECT 'Q_roa', entity, dt, CASE WHEN count(x) OVER {we(4)} >= 4 AND y > 0 THEN avg(x) OVER {we(4)} / y END FROM r0 UNION ALL SELECT 'Q_earningsStability', entity, dt, {guard('stddev_samp(x)', 'x', 8)} FROM r0
+UNION ALL SELECT 'Q_artRate', entity, dt, s_fa_arturn FROM f UNION ALL SELECT 'V_p_square', entity, dt, cap * cap FROM f)
+SELECT indicator, entity, dt, round(value, 3) + 0.0 AS value FROM al"""
+
+
+@add("factor_catalog", _CATALOG_SQL)
 def catalog(s, d):
     f = t.stmt_q(s, d).select("entity", "dt", *[F.expr(e).cast("double").alias(k) for k, e in FIELDS.items()])
     return acc.factors(f).withColumn("value", r("value", 3))
