@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import bagminhash, decontamination, packing, pii, quality_mil
-from panelforge.llm.common import read, text_key, text_of, written
+from panelforge.llm.common import drop, read, text_key, text_of, written
 
 KEY = "__stage_key"
 
@@ -66,7 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return written(STAGES[-1][1](spark, docs, sf_dir), f"pipeline-{STAGES[-1][0]}")
+    """All stages over documents; what a stage wrote goes when the next one is written."""
+    docs, held = read(spark, sf_dir, "documents"), []
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", new := [])
+        drop(spark, held)
+        held = new
+    return docs
