@@ -1,6 +1,7 @@
 """Personal data in texts by weak supervision.
 
-Expressions, a gazetteer of first names and context words propose spans. Labelers (checksum, gazetteer, context words,
+Expressions, a gazetteer of first names and context words propose spans, from the runs of digits and the words with
+capitals of a text. Labelers (checksum, gazetteer, context words,
 shape, edges) vote personal, not personal or abstain on each; expectation-maximisation over the counts of all vote
 patterns of the whole table estimates the labelers' reliabilities for every kind of span, and a logistic regression
 trained on the posteriors is the final span classifier. Base spans (email, ip, card, phone) always stay; the classifier
@@ -18,7 +19,7 @@ repeated rows give equal results; null doc_ids stay; empty tables give empty res
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,27 +33,24 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "national", "iban", "mac", "local_phone", "account", "person")
 #: The base expressions; possessive digits keep long runs of digits linear, and match the same spans.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL_END = re.compile(r"[^A-Za-z0-9._%+-]")
-IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-EXTRA = (
-    ("national", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", re.A)),
-    ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", re.A)),
-    ("mac", re.compile(r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b", re.A)),
-    ("local_phone", re.compile(r"(?<![\w+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])", re.A)),
-    ("person", re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\b\.?\x20[A-ZÀ-Ý]\w+(?:\x20[A-ZÀ-Ý]\w+)?")),
-)
+RUN = re.compile(r"[0-9]+")
+#: Tried only where a run of digits begins (or a bracket before it).
+NATIONAL = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", re.A)
+LOCAL_PHONE = re.compile(r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])", re.A)
+ACCOUNT = re.compile(r"[0-9](?:[\x20-]?[0-9]){5,17}(?![\w-])", re.A)
+ACCOUNT_WORD = re.compile(r"(?i)\b(?:account|konto|passport|licen[cs]e|ssn)(?:\x20(?:no|nr|number))?[.:#]?\x20?#?$")
+IBAN = re.compile(r"[A-Z][A-Z][0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", re.A)
+MAC = re.compile(r"(?<!\w)(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b", re.A)
+#: Words with capitals, one or two; a person where the gazetteer has the first of two, or a title or word announces them.
+CAPITALS = re.compile(r"[A-ZÀ-Ý]\w+(?:\x20[A-ZÀ-Ý]\w+)?")
+TITLE = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)$")
+ANNOUNCED = re.compile(r"\b(?:[Nn]ame|[Cc]ontact|[Ss]igned|[Dd]ear)(?:\x20is|\x20by)?[:,]?\x20$")
 #: First names, and words that announce personal data.
 NAMES = frozenset("alice anna anne antonio bob carlos carmen charles claire david elena emma eva francois hans james jean john jose juan julia karl laura louis lucia luis maria marie mark martin mary michael paul peter pierre robert sarah sofia thomas william".split())
 CONTEXT = re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax|ssn|social|iban|account|konto|bank|mac|device|name|contact|address|born|from|dear|signed)\b")
-#: Two words with capitals; proposed as a person where the gazetteer has the first.
-CAPITALS = re.compile(r"\b([A-ZÀ-Ý]\w+)\x20[A-ZÀ-Ý]\w+")
-#: What context words announce: a name, or the digits of an account.
-ANNOUNCED = (
-    ("person", re.compile(r"\b(?:[Nn]ame|[Cc]ontact|[Ss]igned|[Dd]ear)(?:\x20is|\x20by)?[:,]?\x20([A-ZÀ-Ý]\w+(?:\x20[A-ZÀ-Ý]\w+)?)")),
-    ("account", re.compile(r"\b(?:[Aa]ccount|[Kk]onto|[Pp]assport|[Ll]icen[cs]e|SSN|ssn)(?:\x20(?:no|nr|number))?[.:#]?\x20?#?([0-9](?:[\x20-]?[0-9]){5,17})(?![\w-])", re.A)),
-)
 AGAINST = re.compile(r"(?i)\b(?:version|isbn|order|part|model|figure|table|page|chapter|invoice)\b")
 
 
@@ -87,9 +85,12 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", s, e) for s, e in emails(text)] if "@" in text else []
-    for m in IP.finditer(text):
-        if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split(".")):
-            out.append(("ip", m.start(), m.end()))
+    free = 0
+    for run in RUN.finditer(text):
+        if run.start() >= free and (m := IP.match(text, run.start())):
+            free = m.end()
+            if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split(".")):
+                out.append(("ip", m.start(), m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append(("card", m.start(), m.end()))
@@ -109,16 +110,52 @@ LABELERS: tuple[tuple[str, Callable[[str, str, str, str], int]], ...] = (
     ("gazetteer", lambda k, s, a, z: (1 if any(w.lower() in NAMES for w in s.split()) else -1) if k == "person" else -1),
     ("context", lambda k, s, a, z: 1 if CONTEXT.search(a) else -1),
     ("against", lambda k, s, a, z: 0 if AGAINST.search(a) else -1),
-    ("shape", lambda k, s, a, z: int(len(s.split()) == 3) if k == "person" else int(len(set(_digits(s))) > 2)),
+    ("shape", lambda k, s, a, z: int(len(s.split()) > 1) if k == "person" else int(len(set(_digits(s))) > 2)),
     ("edges", lambda k, s, a, z: 0 if a[-1:] in tuple("=/#&%_") or z[:1] in tuple("=/#&%_") else 1),
 )
 
 
+def _inside_word(text: str, s: int, more: str = "") -> bool:
+    """Whether the character before a place makes it the middle of a word."""
+    return s > 0 and (text[s - 1].isalnum() or text[s - 1] == "_" or text[s - 1] in more)
+
+
+def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
+    """National numbers, local phone numbers and announced accounts, from each run of digits."""
+    for run in RUN.finditer(text):
+        s, n = run.start(), run.end() - run.start()
+        if n == 3:
+            if text[run.end() : run.end() + 1] == "-" and not _inside_word(text, s, "-") and (m := NATIONAL.match(text, s)):
+                yield "national", s, m.end()
+            at = s - (text[s - 1 : s] == "(")
+            if not _inside_word(text, at, "+-") and (m := LOCAL_PHONE.match(text, at)):
+                yield "local_phone", at, m.end()
+        if ACCOUNT_WORD.search(text[max(0, s - 24) : s]) and (m := ACCOUNT.match(text, s)):
+            yield "account", s, m.end()
+
+
+def _persons(text: str) -> Iterator[tuple[str, int, int]]:
+    """Words with capitals that the gazetteer has, or that a title or a word before them announces."""
+    for m in CAPITALS.finditer(text):
+        s, e = m.span()
+        if _inside_word(text, s):
+            continue
+        first, _, second = m[0].partition(" ")
+        if TITLE.match(first):
+            if second:
+                yield "person", s, e
+            elif (name := CAPITALS.match(text, e + 2)) and text[e : e + 2] == ". ":
+                yield "person", s, name.end()
+        elif (second and first.lower() in NAMES) or ANNOUNCED.search(text[max(0, s - 14) : s]):
+            yield "person", s, e
+
+
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Spans proposed by expressions, by the gazetteer and by context words; none overlaps another."""
-    found = [(kind, *m.span()) for kind, pattern in EXTRA for m in pattern.finditer(text)]
-    found += [("person", *m.span()) for m in CAPITALS.finditer(text) if m[1].lower() in NAMES]
-    found += [(kind, *m.span(1)) for kind, pattern in ANNOUNCED for m in pattern.finditer(text)]
+    found = [*_numbers(text), *_persons(text)]
+    found += [("iban", *m.span()) for m in IBAN.finditer(text) if not _inside_word(text, m.start())]
+    if text.count(":") >= 5:
+        found += [("mac", *m.span()) for m in MAC.finditer(text)]
     out, free = [], 0
     for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
         if s >= free:
