@@ -7,9 +7,10 @@ joins the distinct shingle hashes of every whole document with the samples, coun
 verifies candidates exactly: shared distinct shingles over the item's distinct shingles is at least 0.8.
 
 Words are runs of letters and digits in lower case. Defined results: items of fewer than five words have no shingle
-and are never found; null texts, null or repeated items and documents without five words match nothing; documents
-that repeat an id are one document for the search; null document ids are not searched; empty tables give empty
-results; other columns are ignored, whatever their names.
+and are never found; null texts, null items and documents without five words match nothing; an item id that repeats
+with other words is found by either; rows that repeat a document id are searched one by one, and the best of them
+counts; documents with a null id are searched and reported as null; empty tables give empty results; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import SHINGLE, SIMILARITY, let, read, text_of
 
-#: Samples of at most so many rows are broadcast (24 bytes each); larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Samples, and the shingles of the items, are broadcast up to so many bytes; beyond, they are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 SAMPLE = 16
 
 
@@ -53,11 +54,15 @@ def sampled(size: Column) -> Column:
     return F.least(size, F.lit(SAMPLE))
 
 
-def needed(size: Column) -> Column:
+def size_part(size: Column) -> Column:
+    """The part of an item by its number of shingles: 0 for 1, 1 for 2 and 3, 2 for 4 to 7 and so on."""
+    return F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
+
+
+def needed(part: Column, sample: Column) -> Column:
     """Hits that make a candidate, by size part. A contained item's hits are hypergeometric with a mean of 0.8 of the
     sample; smaller parts have less spread and need a larger share."""
-    part = F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
-    return F.when(part <= 3, F.ceil(sampled(size) * 0.5)).when(part == 4, F.ceil(sampled(size) * 0.4)).otherwise(F.ceil(sampled(size) * 0.3)).cast("int")
+    return F.ceil(sample * F.when(part <= 3, 0.5).when(part == 4, 0.4).otherwise(0.3)).cast("int")
 
 
 def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
@@ -65,18 +70,20 @@ def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
     bench = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), words(text_of()).alias("w"))
     bench = bench.select("item", shingles(F.col("w")).alias("shingles"), F.array_sort(shingle_keys(F.col("w"))).alias("keys")).where(F.size("keys") > 0)
     # rows that repeat an item id with other words stay items of their own
-    bench = bench.distinct().withColumn("part", F.xxhash64("keys"))
-    size = F.size("keys")
+    bench = bench.distinct().withColumns({"variant": F.xxhash64("keys"), "part": size_part(F.size("keys"))})
+    size = sampled(F.size("keys"))
     # xxhash64 orders shingles at random, so the first keys in order are a MinHash sample
-    sample = bench.select("item", "part", needed(size).alias("need"), F.explode(F.slice("keys", F.lit(1), sampled(size))).alias("key"))
-    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), text_of().alias("text"))
-    keys = texts.select("doc", F.explode(shingle_keys(words(F.col("text")))).alias("key"))
-    bounded = items.count() * SAMPLE <= BROADCAST_ROWS
-    hits = keys.join(F.broadcast(sample) if bounded else sample, "key")
+    sample = bench.select("item", "variant", needed(F.col("part"), size).alias("need"), F.explode(F.slice("keys", F.lit(1), size)).alias("key"))
+    rows, bytes_ = items.agg(F.count("*"), F.sum(F.octet_length(text_of()))).first()
+    # a sampled key is a row of 32 bytes; each word is in five shingles
+    small = F.broadcast if 32 * SAMPLE * rows <= BROADCAST_BYTES else lambda d: d
+    light = F.broadcast if 64 * rows + 6 * (bytes_ or 0) <= BROADCAST_BYTES else lambda d: d
+    texts = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(doc_id, text_of()).alias("k"), text_of().alias("text"))
+    keys = texts.select("k", F.explode(shingle_keys(words(F.col("text")))).alias("key"))
     # the keys of a document are distinct, so a row is a hit of its own
-    candidates = hits.groupBy("doc", "item", "part").agg(F.count("*").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("doc", "item", "part")
-    full = bench.select("item", "part", "shingles")
-    rows = texts.join(candidates, "doc").join(F.broadcast(full) if bounded else full, ["item", "part"])
+    hits = keys.join(small(sample), "key").groupBy("k", "item", "variant").agg(F.count("*").alias("hits"), F.max("need").alias("need"))
+    candidates = hits.where("hits >= need").select("k", "item", "variant")
+    rows = texts.join(candidates, "k").join(light(bench.select("item", "variant", "shingles")), ["item", "variant"])
     shared = F.size(F.array_intersect(F.col("shingles"), shingles(words(F.col("text")))))
     rows = rows.select("doc", "item", shared.alias("shared"), F.size("shingles").alias("of")).where(F.col("shared") >= SIMILARITY * F.col("of"))
     best = rows.groupBy("doc", "item").agg(F.max(F.struct((F.col("shared") / F.col("of")).alias("containment"), "shared", "of")).alias("m"))

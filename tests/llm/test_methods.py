@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat_format, fingerprints, packing, pii, queries, secrets, sharding, toxicity
+from panelforge.llm import chat_format, decontamination, fingerprints, packing, pii, queries, secrets, sharding, toxicity
 from panelforge.llm.common import exists, text_of, written
 from test_corpus import ODD, docs, words
 
@@ -237,6 +237,26 @@ def test_fingerprints_of_one_hot_id(spark):
     assert {r["fingerprint"]: r["near_next"] for r in got} == want
 
 
+# ---- 9 decontamination
+
+
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_containment_against_brute_force(spark, monkeypatch, most):
+    """Joined by broadcast or by shuffle, with null and repeated document ids, the pairs are those of all shingle sets."""
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
+    rng = random.Random(11)
+    items = [(i, words(rng.choice([5, 6, 9, 14, 30, 80]), 600 + i)) for i in range(30)]
+    rows = []
+    for i, w in items:
+        cut = [x if rng.random() > 0.03 * (i % 4) else "other" for x in w]
+        rows.append((None if i % 7 == 0 else i // 2, " ".join([*words(rng.randint(0, 400), 900 + i), *cut, *words(40, 800 + i)])))
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    want = {(d, i) for d, t in rows for i, w in items if len(grams(w) & grams(t.split())) >= 0.8 * len(grams(w))}
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_contained(docs(spark, [*rows, rows[3]]), table).collect()}
+    assert got == want and any(d is None for d, _ in got) and len(got) > 12
+
+
 # ---- 10 sharding
 
 
