@@ -58,11 +58,11 @@ def ols_multi(df: DataFrame, y: str, xs: Sequence[str], *keys: str) -> DataFrame
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("alpha", "alpha_t", "r2")})
 
 
-def cross_sections(df: DataFrame, value: str, series: str = "series", **fixed: Column) -> DataFrame:
-    """(dt, values: array of (s, v) of the series that have a value on a date); `fixed` adds aggregates of a date, such
-    as its market return, as columns, and drops dates without them."""
+def cross_sections(df: DataFrame, value: str, series: str = "series", keys: Sequence[str] = (), **fixed: Column) -> DataFrame:
+    """(keys, dt, values: array of (s, v) of the series that have a value on a date); `fixed` adds aggregates of a date,
+    such as its market return, as columns, and drops dates without them."""
     members = F.collect_list(F.struct(F.col(series).cast("string").alias("s"), F.col(value).cast("double").alias("v")))
-    one = df.where(col(value).isNotNull()).groupBy("dt").agg(members.alias("values"), *[v.cast("double").alias(k) for k, v in fixed.items()])
+    one = df.where(col(value).isNotNull()).groupBy(*keys, "dt").agg(members.alias("values"), *[v.cast("double").alias(k) for k, v in fixed.items()])
     return one.dropna(subset=list(fixed))
 
 
@@ -75,24 +75,31 @@ def gram(sections: DataFrame) -> DataFrame:
     return x.groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(*sums)
 
 
-def matched_counts(df: DataFrame, value: str, market: str, hurdle: float = 1.96, series: str = "series") -> DataFrame:
-    """For each model of the market and two series: how many of the other series it prices (|t| of alpha < hurdle).
+def matched_counts(df: DataFrame, value: str, market: str, hurdle: float = 1.96, series: str = "series", keys: Sequence[str] = ()) -> DataFrame:
+    """For each model of the market and two series: how many of the other series it prices (|t| of alpha < hurdle); with
+    keys, such as a replicate, for each of their values.
 
     Each regression has the dates on which its own three series and the market have a value, so a series with gaps
     takes no dates from the regressions without it. One that can't be fitted prices nothing. The sums of products of a
-    regression are aggregates over (model, asset), combined before they are shuffled.
+    regression are aggregates over (keys, model, asset), combined before they are shuffled: rows of cubed series, which
+    are the portfolios of a study.
     """
-    sections = cross_sections(df, value, series, __m=F.max(market))
-    names = df.where(col(value).isNotNull() & col(market).isNotNull()).select(F.col(series).cast("string").alias("s")).distinct()
-    f1, f2, asset = (names.select(F.col("s").alias(c)) for c in ("f1", "f2", "asset"))
-    every = f1.join(f2, F.col("f1") < F.col("f2")).join(asset, (F.col("asset") != F.col("f1")) & (F.col("asset") != F.col("f2")))
-    x = sections.select("__m", "values", F.explode("values").alias("x1"))
-    x = x.select("__m", "values", "x1", F.explode("values").alias("x2")).where("x1.s < x2.s")
-    x = x.select("__m", "x1", "x2", F.explode("values").alias("y")).where("y.s <> x1.s and y.s <> x2.s")
+    keys = list(keys)
+    sections = cross_sections(df, value, series, keys, __m=F.max(market))
+    names = df.where(col(value).isNotNull() & col(market).isNotNull()).select(*keys, F.col(series).cast("string").alias("s")).distinct()
+    named = lambda c: names.select(*[F.col(k).alias(f"{c}_{k}") for k in keys], F.col("s").alias(c))
+    same = lambda a, b: [F.col(f"{a}_{k}").eqNullSafe(F.col(f"{b}_{k}")) for k in keys]
+    every = named("f1").join(named("f2"), [F.col("f1") < F.col("f2"), *same("f1", "f2")])
+    every = every.join(named("asset"), [F.col("asset") != F.col("f1"), F.col("asset") != F.col("f2"), *same("f1", "asset")])
+    every = every.select(*[F.col(f"f1_{k}").alias(k) for k in keys], "f1", "f2", "asset")
+    x = sections.select(*keys, "__m", "values", F.explode("values").alias("x1"))
+    x = x.select(*keys, "__m", "values", "x1", F.explode("values").alias("x2")).where("x1.s < x2.s")
+    x = x.select(*keys, "__m", "x1", "x2", F.explode("values").alias("y")).where("y.s <> x1.s and y.s <> x2.s")
     terms = [F.lit(1.0), F.col("__m"), F.col("x1.v"), F.col("x2.v"), F.col("y.v")]
     pair = [(i, j) for i in range(5) for j in range(i, 5)]
-    sums = x.groupBy(F.col("x1.s").alias("f1"), F.col("x2.s").alias("f2"), F.col("y.s").alias("asset"))
+    sums = x.groupBy(*keys, F.col("x1.s").alias("f1"), F.col("x2.s").alias("f2"), F.col("y.s").alias("asset"))
     sums = sums.agg(F.array(*[F.sum(terms[i] * terms[j]) for i, j in pair]).alias("sums"))
+    own = [*keys, "f1", "f2", "asset"]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -100,10 +107,43 @@ def matched_counts(df: DataFrame, value: str, market: str, hurdle: float = 1.96,
             for k, (i, j) in enumerate(pair):
                 x[:, i, j] = x[:, j, i] = flat[:, k]
             _, t, _ = _solve(x[:, 0, 0], x[:, :4, :4], x[:, :4, 4], x[:, 4, 4])
-            yield b[["f1", "f2", "asset"]].assign(t=t[:, 0])
-
-    t = every.join(sums.mapInPandas(solve, "f1 string, f2 string, asset string, t double"), ["f1", "f2", "asset"], "left")
-    return t.groupBy("f1", "f2").agg(F.count_if(F.abs("t") < hurdle).alias("matched"), F.count("*").alias("assets"))
+            yield b[own].assign(t=t[:, 0])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*own).schema)
+    t = every.join(sums.mapInPandas(solve, f"{kinds}, t double"), own, "left")
+    return t.groupBy(*keys, "f1", "f2").agg(F.count_if(F.abs("t") < hurdle).alias("matched"), F.count("*").alias("assets"))
+
+
+def simulated_matches(df: DataFrame, value: str, market: str, planted: Sequence[int], reps: int, series: str = "series", seed: int = 7, size: float = 3.0) -> DataFrame:
+    """(planted, matched, low, mid, high, real): the distribution of matched counts if so many series had an alpha.
+
+    In each replicate the dates are drawn anew for all series, alphas are taken out, and `planted` series get one of
+    `size` standard errors, up and down in turn. Per number of planted series and matched count: the 5, 50 and 95 %
+    points over replicates of the share of models with that count, and the share in the data."""
+    from panelforge.operators.regress import _date_draws, ols
+
+    real = matched_counts(df, value, market, series=series)
+    ok = df.where(col(value).isNotNull() & col(market).isNotNull())
+    fit = ols(ok, value, market, series).select(series, "alpha", F.col("se").alias("__se"))
+    dates = ok.select("dt").distinct().withColumn("k", F.row_number().over(Window.orderBy("dt")).cast("long") - 1)
+    # replicates, planted numbers and series of a study, not entities: small
+    lots = ok.sparkSession.range(reps).select(F.col("id").alias("rep")).crossJoin(fit.select(series, "__se", "alpha"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", F.col(series).cast("string")), series))
+    lots = lots.withColumn("__k", place).withColumn("planted", F.explode(F.array(*map(F.lit, planted))))
+    shift = F.when(F.col("__k") <= F.col("planted"), size * F.col("__se") * F.when(F.col("__k") % 2 == 1, 1).otherwise(-1)).otherwise(0.0)
+    lots = lots.select("rep", "planted", series, (F.coalesce(shift, F.lit(0.0)) - F.col("alpha")).alias("__shift"))
+    drawn = _date_draws(ok.sparkSession, dates, reps, seed).select("rep", "pos", F.col("draw").alias("k")).join(dates, "k").select("rep", "pos", "dt")
+    pseudo = ok.join(F.broadcast(drawn), "dt").join(F.broadcast(lots), ["rep", series])
+    pseudo = pseudo.select("rep", "planted", F.col("pos").alias("dt"), series, (col(value) + F.col("__shift")).alias(value), market)
+    counts = matched_counts(pseudo, value, market, series=series, keys=["rep", "planted"])
+    share = lambda d, *k: d.groupBy(*k, "matched").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*k)))
+    got = share(counts, "rep", "planted")
+    # counts that a replicate never has are shares of zero
+    seen = got.select("planted", "matched").distinct().unionByName(real.select("matched").distinct().crossJoin(lots.select("planted").distinct()).select("planted", "matched")).distinct()
+    every = seen.crossJoin(got.select("rep").distinct()).join(got.select("rep", "planted", "matched", "share"), ["rep", "planted", "matched"], "left")
+    q = F.percentile(F.coalesce("share", F.lit(0.0)), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    out = every.groupBy("planted", "matched").agg(q.alias("q")).join(share(real).select("matched", F.col("share").alias("real")), "matched", "left")
+    return out.select("planted", "matched", F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high"), F.coalesce("real", F.lit(0.0)).alias("real"))
 
 
 def f_survival(f: float, d1: float, d2: float) -> float:

@@ -95,6 +95,13 @@ def mod4(s, d):
     return md.model_performance(md.matched_counts(_series(s, d), "ret", "mkt")).select("f1", "f2", r("share").alias("share"), r("place").alias("place"))
 
 
+@add("mod3_simulated_matches", None)
+def mod3(s, d):
+    x = _series(s, d).where("cast(series as int) < 10")
+    out = md.simulated_matches(x, "ret", "mkt", [0, 3], 20)
+    return out.select("planted", "matched", *[r(c).alias(c) for c in ("low", "mid", "high", "real")])
+
+
 # ---- combination
 
 @add("cmb1_variants", f"""WITH {PXD}, w AS (SELECT 0 AS "window", entity, dt, volume AS v FROM px_d UNION ALL SELECT n, entity, dt, CASE WHEN c >= n // 2 THEN v END FROM (

@@ -84,6 +84,24 @@ def store_missing(df: DataFrame, path: str, key: str) -> None:
     store(df.join(held, key, "left_anti"), path, key, mode="append")
 
 
+def column_store(df: DataFrame, path: str, *columns: str) -> None:
+    """A wide panel as one partition per column (indicator, entity, dt, value), which are read back one by one."""
+    store(df.unpivot(["entity", "dt"], [F.col(c).cast("double").alias(c) for c in columns], "indicator", "value"), path, "indicator")
+
+
+def columns_of(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """Some columns of a column store side by side; only their partitions are read."""
+    held = spark.read.parquet(path).where(F.col("indicator").isin(*columns))
+    return held.groupBy("entity", "dt").pivot("indicator", list(columns)).agg(F.first("value"))
+
+
+def store_bundle(frames: dict[str, DataFrame], path: str, key: str = "strategy") -> None:
+    """The frames of a result, each a table of its own under path, one partition per strategy: writing a strategy again
+    replaces its own partitions only."""
+    for name, df in frames.items():
+        df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(f"{path}/{name}")
+
+
 def _hundredths(c: str):
     return F.round(F.col(c) * 100).cast("long")
 

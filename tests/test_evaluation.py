@@ -206,3 +206,14 @@ def test_tables_that_hold_a_key_are_left(spark, tmp_path):
     assert sorted((r["field"], r["type"], r["category"]) for r in listing.collect()) == [("k", "string", None), ("v", "int", "number")]
     with pytest.raises(FileNotFoundError):
         access.first_found(spark, [path], "none")
+
+
+def test_column_store_and_bundle(spark, tmp_path):
+    df = panel(spark, [(1, D[0], 1.0, 2), (1, D[1], None, 3)], "entity int, dt date, a double, b int")
+    tables.column_store(df, str(tmp_path / "c"), "a", "b")
+    assert sorted(map(tuple, tables.columns_of(spark, str(tmp_path / "c"), "b", "a").collect())) == [(1, D[0], 2.0, 1.0), (1, D[1], 3.0, None)]
+    assert tables.columns_of(spark, str(tmp_path / "c"), "b").columns == ["entity", "dt", "b"]
+    one, two = (panel(spark, [(s, v)], "strategy string, x int") for s, v in (("s", 1), ("t", 2)))
+    for frame in (one, two, one.withColumn("x", F.col("x") + 5)):
+        tables.store_bundle({"nav": frame, "costs": frame}, str(tmp_path / "b"))
+    assert sorted((r["strategy"], r["x"]) for r in spark.read.parquet(str(tmp_path / "b" / "nav")).collect()) == [("s", 6), ("t", 2)]

@@ -80,6 +80,39 @@ def test_matched_counts(spark, returns):
     assert len(places) == 10 and max(places) == 1.0
 
 
+def test_simulated_matches(spark, returns):
+    """Shares of matched counts over replicates against a loop over the same draws."""
+    import xxhash
+
+    market, series = returns
+    df, n, reps = long(spark, market, series), len(DAYS), 4
+    got = {(r["planted"], r["matched"]): r for r in models.simulated_matches(df, "x", "mkt", [0, 2], reps).collect()}
+    real = {k: fit(series[k], market) for k in "abcde"}
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    shares = {}
+    for rep in range(reps):
+        v = (rep * 1000003 + np.arange(n) * 7919 + 7) % 2147483647
+        for m in (48271, 69621, 16807):
+            v = (v * m + 12345) % 2147483647
+            v = v * (v % 65521 + 1) % 2147483647
+        at = v % n
+        lot = lambda k, rep=rep: signed(xxhash.xxh64_intdigest(k.encode(), xxhash.xxh64_intdigest(int(rep).to_bytes(8, "little"), xxhash.xxh64_intdigest((7).to_bytes(4, "little"), 42))))
+        order = sorted("abcde", key=lot)
+        for planted in (0, 2):
+            x = {}
+            for i, k in enumerate(order):
+                (alpha, _), (t, _), _ = real[k]
+                shift = 3 * abs(alpha / t) * (1 if i % 2 == 0 else -1) if i < planted else 0.0
+                x[k] = series[k][at] - alpha + shift
+            counts = [sum(abs(fit(x[y], market[at], x[a], x[b])[1][0]) < 1.96 for y in set("abcde") - {a, b}) for i, a in enumerate("abcde") for b in "abcde"[i + 1 :]]
+            for c in range(4):
+                shares.setdefault((planted, c), []).append(counts.count(c) / 10)
+    base = [sum(abs(fit(series[y], market, series[a], series[b])[1][0]) < 1.96 for y in set("abcde") - {a, b}) for i, a in enumerate("abcde") for b in "abcde"[i + 1 :]]
+    assert {p for p, _ in got} == {0, 2}
+    for (planted, c), r in got.items():
+        assert np.allclose([r["low"], r["mid"], r["high"]], np.quantile(shares[planted, c], [0.05, 0.5, 0.95])) and r["real"] == base.count(c) / 10
+
+
 def test_sparse_series_takes_no_dates_from_others(spark, returns):
     """Series f has a value on two dates, d on every third: each regression and covariance keeps its own dates."""
     market, series = returns
