@@ -111,3 +111,11 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -
     return reconcile(old, new, keys, value).where("provenance <> 'same'")
 
 
+def dated_marks(df: DataFrame, names: DataFrame, pair: str, date: str, text: str = "text", order: str = "doc_id") -> DataFrame:
+    """(date, code, name, mark, order column): the name and mark pairs of texts with the first date in each, names mapped
+    to codes by names(name, code), the last row of each (date, code) in an order that tells texts apart. pair is an
+    expression with two groups, date one with one; names without a code are left out."""
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pair), 1).alias("name"), F.regexp_extract_all(text, F.lit(pair), 2).alias("mark"))
+    x = df.select(order, F.regexp_extract(text, date, 1).alias("date"), F.posexplode(both).alias("__k", "p")).select(order, "date", "__k", "p.*")
+    x = x.join(names, "name")
+    return keep_one(x, ["date", "code"], F.desc(order), F.desc("__k")).select("date", "code", "name", "mark", order)

@@ -75,12 +75,12 @@ def gram(sections: DataFrame) -> DataFrame:
     return x.groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(*sums)
 
 
-def matched_counts(df: DataFrame, value: str, market: str, hurdle: float = 1.96, series: str = "series", keys: Sequence[str] = ()) -> DataFrame:
-    """For each model of the market and two series: how many of the other series it prices (|t| of alpha < hurdle); with
+def model_alphas(df: DataFrame, value: str, market: str, series: str = "series", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, f1, f2, asset, t): for each model of the market and two series the t of the alpha of each other series; with
     keys, such as a replicate, for each of their values.
 
     Each regression has the dates on which its own three series and the market have a value, so a series with gaps
-    takes no dates from the regressions without it. One that can't be fitted prices nothing. The sums of products of a
+    takes no dates from the regressions without it. One that can't be fitted has no t. The sums of products of a
     regression are aggregates over (keys, model, asset), combined before they are shuffled: rows of cubed series, which
     are the portfolios of a study.
     """
@@ -110,10 +110,28 @@ def matched_counts(df: DataFrame, value: str, market: str, hurdle: float = 1.96,
             yield b[own].assign(t=t[:, 0])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*own).schema)
-    t = every.join(sums.mapInPandas(solve, f"{kinds}, t double"), own, "left")
+    out = sums.mapInPandas(solve, f"{kinds}, t double").withColumn("t", F.nanvl("t", F.lit(None).cast("double")))
+    return every.join(out, own, "left")
+
+
+def matched_counts(df: DataFrame, value: str, market: str, hurdle: float = 1.96, series: str = "series", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, f1, f2, matched, assets): how many of the other series each model prices (|t| of alpha < hurdle); one that
+    can't be fitted prices nothing."""
+    t = model_alphas(df, value, market, series, keys)
     return t.groupBy(*keys, "f1", "f2").agg(F.count_if(F.abs("t") < hurdle).alias("matched"), F.count("*").alias("assets"))
 
 
+def rarity_performance(alphas: DataFrame, hurdle: float = 1.96) -> DataFrame:
+    """(f1, f2, share, place): the share of other series that a model prices, each weighted by the share of models that
+    don't price it, and the share of models that do no better; from model_alphas."""
+    priced = F.coalesce((F.abs("t") < hurdle).cast("double"), F.lit(0.0))
+    x = alphas.withColumn("__p", priced)
+    x = x.withColumn("__w", 1 - F.avg("__p").over(Window.partitionBy("asset")))
+    out = x.groupBy("f1", "f2").agg(F.round(F.sum(F.col("__p") * F.col("__w")) / F.count("*"), 12).alias("share"))
+    # one row per model of a study
+    return out.withColumn("place", F.cume_dist().over(Window.orderBy("share")))
+
+
 def simulated_matches(df: DataFrame, value: str, market: str, planted: Sequence[int], reps: int, series: str = "series", seed: int = 7, size: float = 3.0) -> DataFrame:
     """(planted, matched, low, mid, high, real): the distribution of matched counts if so many series had an alpha.
 

@@ -85,6 +85,48 @@ def src9(s, d):
     )
 
 
+# ---- stores: written to the shared folder and read back
+
+@add("src7_delimited", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def src7(s, d):
+    path = t.scratch(s, "src7")
+    t.table(s, d, "customer").select("c_custkey", "c_name", "c_acctbal").write.option("sep", "\t").option("header", True).csv(path)
+    return t.delimited(s, path, "c_custkey long, c_name string, c_acctbal double")
+
+
+@add("src8_column_store", f"WITH {PXD} SELECT entity, dt, close, volume FROM px_d")
+def src8(s, d):
+    path = t.scratch(s, "src8")
+    t.column_store(t.px_d(s, d), path, "close", "high", "volume")
+    return t.columns_of(s, path, "close", "volume")
+
+
+@add("snk1_replaced_panel", f"WITH {PXD} SELECT entity, dt, close, CAST(year(dt) AS INTEGER) AS yr FROM px_d WHERE volume > 20")
+def snk1(s, d):
+    path, p = t.scratch(s, "snk1"), t.px_d(s, d).select("entity", "dt", "close", "volume", F.year("dt").alias("yr"))
+    t.store(p.drop("volume").limit(10), path, "yr")
+    t.store(p.where("volume > 20").drop("volume"), path, "yr")
+    return s.read.parquet(path)
+
+
+@add("snk2_missing_keys", f"WITH {STMT} SELECT dt, units, CASE WHEN entity % 2 = 0 THEN revenue ELSE -revenue END AS revenue, CAST(entity AS INTEGER) AS entity FROM stmt")
+def snk2(s, d):
+    path, q = t.scratch(s, "snk2"), t.stmt_q(s, d).select("entity", "dt", "units", "revenue")
+    t.store_missing(q.where("entity % 2 = 0"), path, "entity")
+    t.store_missing(q.withColumn("revenue", -F.col("revenue")), path, "entity")
+    return s.read.parquet(path)
+
+
+@add("snk3_result_bundle", f"WITH {FDMT} SELECT 'navs' AS frame, industry AS strategy, dt, round(avg(ret_m), 6) + 0.0 AS value FROM fdmt WHERE ret_m IS NOT NULL GROUP BY 2, 3 UNION ALL SELECT 'sizes', industry, dt, round(sum(cap), 2) FROM fdmt GROUP BY 2, 3")
+def snk3(s, d):
+    path, f = t.scratch(s, "snk3"), t.fdmt_m(s, d)
+    navs = f.where("ret_m is not null").groupBy(F.col("industry").alias("strategy"), "dt").agg(r(F.avg("ret_m")).alias("value"))
+    sizes = f.groupBy(F.col("industry").alias("strategy"), "dt").agg(r(F.sum("cap"), 2).alias("value"))
+    t.store_bundle({"navs": navs, "sizes": sizes}, path)
+    frames = [s.read.parquet(f"{path}/{n}").select(F.lit(n).alias("frame"), "strategy", "dt", "value") for n in ("navs", "sizes")]
+    return frames[0].unionByName(frames[1])
+
+
 # ---- types, duplicates, fields and names
 
 @add("cln2_adjust_types", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders")
@@ -264,9 +306,10 @@ def mkt3(s, d):
     return g.select("start", F.col("end").alias("end_"), "dt", "signal", r("nav", 5).alias("nav"), r("relative", 5).alias("relative"))
 
 
-@add("txt1_dated_marks", r"""WITH l AS (SELECT doc_id, regexp_extract(text, '(\d{4})', 1) AS yr, unnest(regexp_extract_all(text, '(\w+) = "([^"\n]*)"', 1)) AS name, unnest(regexp_extract_all(text, '(\w+) = "([^"\n]*)"', 2)) AS mark FROM documents)
-SELECT doc_id, yr, name, max(mark) AS mark, count(*) AS n FROM l GROUP BY 1, 2, 3""")
+@add("txt1_dated_marks", r"""WITH l AS (SELECT doc_id, regexp_extract(text, '([0-9]{4})', 1) AS date, unnest(regexp_extract_all(text, '([A-Za-z0-9_]+) = "([^"\n]*)"', 1)) AS name, unnest(regexp_extract_all(text, '([A-Za-z0-9_]+) = "([^"\n]*)"', 2)) AS mark, unnest(range(1, 1 + len(regexp_extract_all(text, '([A-Za-z0-9_]+) = "([^"\n]*)"', 1)))) AS k FROM documents)
+SELECT date, CAST(length(name) AS INTEGER) AS code, name, mark, doc_id FROM l WHERE length(name) > 3 QUALIFY row_number() OVER (PARTITION BY date, length(name) ORDER BY doc_id DESC, k DESC) = 1""")
 def txt1b(s, d):
-    pair = F.arrays_zip(F.regexp_extract_all("text", F.lit(r'([A-Za-z0-9_]+) = "([^"\n]*)"'), 1).alias("name"), F.regexp_extract_all("text", F.lit(r'([A-Za-z0-9_]+) = "([^"\n]*)"'), 2).alias("mark"))
-    x = t.table(s, d, "documents").select("doc_id", F.regexp_extract("text", r"([0-9]{4})", 1).alias("yr"), F.explode(pair).alias("p"))
-    return x.groupBy("doc_id", "yr", "p.name").agg(F.max("p.mark").alias("mark"), F.count("*").alias("n"))
+    x = t.table(s, d, "documents")
+    pair, date = r'([A-Za-z0-9_]+) = "([^"\n]*)"', r"([0-9]{4})"
+    names = x.select(F.explode(F.regexp_extract_all("text", F.lit(pair), 1)).alias("name")).distinct().where(F.length("name") > 3)
+    return cl.dated_marks(x, names.withColumn("code", F.length("name")), pair, date)

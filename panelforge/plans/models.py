@@ -95,6 +95,11 @@ def mod4(s, d):
     return md.model_performance(md.matched_counts(_series(s, d), "ret", "mkt")).select("f1", "f2", r("share").alias("share"), r("place").alias("place"))
 
 
+@add("mod4_rarity_performance", None)
+def mod4b(s, d):
+    return md.rarity_performance(md.model_alphas(_series(s, d), "ret", "mkt")).select("f1", "f2", r("share").alias("share"), r("place").alias("place"))
+
+
 @add("mod3_simulated_matches", None)
 def mod3(s, d):
     x = _series(s, d).where("cast(series as int) < 10")

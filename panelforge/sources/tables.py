@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,6 +50,18 @@ def keyed_read(df: DataFrame, fields: Sequence[str], key: str | None = None, dat
     return df.select(*[c for c in (key, date) if c], *fields)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared checkpoint folder; in a folder of this machine only for a session that has no
+    other (tests), as executors elsewhere would not see it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Catalog:
     """Field to table dictionary over named frames; a field in two tables is an error."""
 

@@ -217,3 +217,12 @@ def test_column_store_and_bundle(spark, tmp_path):
     for frame in (one, two, one.withColumn("x", F.col("x") + 5)):
         tables.store_bundle({"nav": frame, "costs": frame}, str(tmp_path / "b"))
     assert sorted((r["strategy"], r["x"]) for r in spark.read.parquet(str(tmp_path / "b" / "nav")).collect()) == [("s", 6), ("t", 2)]
+
+
+def test_dated_marks(spark):
+    from panelforge.operators import clean
+
+    docs = panel(spark, [(1, "on 2020.01.02\nAcme : 3\nOther : 4\nAcme : 5"), (2, "2020.01.02 Acme : 7"), (3, "no date Acme : 1"), (4, None)], "doc_id int, text string")
+    names = panel(spark, [("Acme", "c1")], "name string, code string")
+    got = clean.dated_marks(docs, names, r"(\S+)\s:\s(\d+)", r"(\d{4}.\d{2}.\d{2})")
+    assert sorted((r["date"], r["code"], r["mark"], r["doc_id"]) for r in got.collect()) == [("", "c1", "1", 3), ("2020.01.02", "c1", "7", 2)]

@@ -76,6 +76,15 @@ def test_matched_counts(spark, returns):
             rest = [k for k in "abcde" if k not in (a, b)]
             want[a, b] = (sum(abs(fit(series[k], market, series[a], series[b])[1][0]) < 1.96 for k in rest), 3)
     assert got == want and len({m for m, _ in got.values()}) > 1
+    priced = {}
+    for i, a in enumerate("abcde"):
+        for b in "abcde"[i + 1 :]:
+            for y in set("abcde") - {a, b}:
+                priced[a, b, y] = abs(fit(series[y], market, series[a], series[b])[1][0]) < 1.96
+    rare = {y: 1 - np.mean([v for k, v in priced.items() if k[2] == y]) for y in "abcde"}
+    weighted = {m: sum(v * rare[k[2]] for k, v in priced.items() if k[:2] == m) / 3 for m in want}
+    out = {(r["f1"], r["f2"]): r for r in models.rarity_performance(models.model_alphas(df, "x", "mkt")).collect()}
+    assert all(abs(out[m]["share"] - v) < 1e-9 and abs(out[m]["place"] - np.mean([round(w, 9) <= round(v, 9) for w in weighted.values()])) < 1e-9 for m, v in weighted.items())
     places = [r["place"] for r in models.model_performance(models.matched_counts(df, "x", "mkt")).collect()]
     assert len(places) == 10 and max(places) == 1.0
 
