@@ -75,50 +75,90 @@ def gram(sections: DataFrame) -> DataFrame:
     return x.groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(*sums)
 
 
+#: First factors of a block of models: a block is one row that holds the panel of the series, and one task's work.
+BLOCK = 16
+
+
+def _blocks(df: DataFrame, value: str, market: str, series: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, block, days): the whole panel of each key, as (market, values) of its dates, once per block of models.
+
+    The panel is that of a study's portfolios (dates times series, some megabytes), not of its entities."""
+    days = cross_sections(df, value, series, keys, __m=F.max(market))
+    whole = days.groupBy(*keys).agg(F.collect_list(F.struct("__m", "values")).alias("days"))
+    # a panel with gaps has more series than any of its dates
+    n = df.where(col(value).isNotNull() & col(market).isNotNull()).groupBy(*keys).agg(F.count_distinct(F.col(series).cast("string")).alias("__n"))
+    whole = whole.crossJoin(n) if not keys else whole.join(n, list(keys))
+    return whole.select(*keys, "days", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__n") / BLOCK).cast("int") - 1)).alias("block")).repartition(*keys, "block")
+
+
+def _alphas_of(days, block: int) -> Iterator[tuple[str, list[str], np.ndarray]]:
+    """For each first factor of a block: (its name, all names in order, t of alpha [second factor, asset])."""
+    names = sorted({v["s"] for d in days for v in d["values"]})
+    at = {s: i for i, s in enumerate(names)}
+    m, v = np.empty(len(days)), np.full((len(days), len(names)), np.nan)
+    for i, d in enumerate(days):
+        m[i] = d["__m"]
+        for x in d["values"]:
+            v[i, at[x["s"]]] = x["v"]
+    here = (~np.isnan(v)).astype(float)
+    v = np.nan_to_num(v)
+    for f in range(block * BLOCK, min((block + 1) * BLOCK, len(names))):
+        # dates of the first factor; sums over those of the second and the asset are products of matrices
+        w, x1 = here[:, f], v[:, f]
+        dot = lambda c, a, b: (a * (w * c)[:, None]).T @ b
+        one = np.ones(len(days))
+        n, sm, smm, s1, s11, s1m = (dot(c, here, here) for c in (one, m, m * m, x1, x1 * x1, x1 * m))
+        s2, s22, s2m, s12 = dot(one, v, here), dot(one, v * v, here), dot(m, v, here), dot(x1, v, here)
+        sy, syy, sym, s1y, s2y = dot(one, here, v), dot(one, here, v * v), dot(m, here, v), dot(x1, here, v), dot(one, v, v)
+        xx = np.stack([np.stack(r, -1) for r in ((n, sm, s1, s2), (sm, smm, s1m, s2m), (s1, s1m, s11, s12), (s2, s2m, s12, s22))], -2)
+        k = len(names)
+        _, t, _ = _solve(n.reshape(-1), xx.reshape(-1, 4, 4), np.stack([sy, sym, s1y, s2y], -1).reshape(-1, 4), syy.reshape(-1))
+        yield names[f], names, t[:, 0].reshape(k, k)
+
+
+def _models(names: list[str], first: str) -> list[tuple[int, list[int]]]:
+    """The second factors after the first one, and the assets that each model leaves."""
+    f = names.index(first)
+    return [(j, [a for a in range(len(names)) if a not in (f, j)]) for j in range(f + 1, len(names))]
+
+
 def model_alphas(df: DataFrame, value: str, market: str, series: str = "series", keys: Sequence[str] = ()) -> DataFrame:
     """(keys, f1, f2, asset, t): for each model of the market and two series the t of the alpha of each other series; with
     keys, such as a replicate, for each of their values.
 
     Each regression has the dates on which its own three series and the market have a value, so a series with gaps
-    takes no dates from the regressions without it. One that can't be fitted has no t. The sums of products of a
-    regression are aggregates over (keys, model, asset), combined before they are shuffled: rows of cubed series, which
-    are the portfolios of a study.
+    takes no dates from the regressions without it. One that can't be fitted has no t. The sums of products of all
+    regressions with one first factor are products of matrices, a block of first factors is a task.
     """
     keys = list(keys)
-    sections = cross_sections(df, value, series, keys, __m=F.max(market))
-    names = df.where(col(value).isNotNull() & col(market).isNotNull()).select(*keys, F.col(series).cast("string").alias("s")).distinct()
-    named = lambda c: names.select(*[F.col(k).alias(f"{c}_{k}") for k in keys], F.col("s").alias(c))
-    same = lambda a, b: [F.col(f"{a}_{k}").eqNullSafe(F.col(f"{b}_{k}")) for k in keys]
-    every = named("f1").join(named("f2"), [F.col("f1") < F.col("f2"), *same("f1", "f2")])
-    every = every.join(named("asset"), [F.col("asset") != F.col("f1"), F.col("asset") != F.col("f2"), *same("f1", "asset")])
-    every = every.select(*[F.col(f"f1_{k}").alias(k) for k in keys], "f1", "f2", "asset")
-    x = sections.select(*keys, "__m", "values", F.explode("values").alias("x1"))
-    x = x.select(*keys, "__m", "values", "x1", F.explode("values").alias("x2")).where("x1.s < x2.s")
-    x = x.select(*keys, "__m", "x1", "x2", F.explode("values").alias("y")).where("y.s <> x1.s and y.s <> x2.s")
-    terms = [F.lit(1.0), F.col("__m"), F.col("x1.v"), F.col("x2.v"), F.col("y.v")]
-    pair = [(i, j) for i in range(5) for j in range(i, 5)]
-    sums = x.groupBy(*keys, F.col("x1.s").alias("f1"), F.col("x2.s").alias("f2"), F.col("y.s").alias("asset"))
-    sums = sums.agg(F.array(*[F.sum(terms[i] * terms[j]) for i, j in pair]).alias("sums"))
-    own = [*keys, "f1", "f2", "asset"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x, flat = np.empty((len(b), 5, 5)), np.array(b["sums"].tolist(), dtype=float).reshape(len(b), len(pair))
-            for k, (i, j) in enumerate(pair):
-                x[:, i, j] = x[:, j, i] = flat[:, k]
-            _, t, _ = _solve(x[:, 0, 0], x[:, :4, :4], x[:, :4, 4], x[:, 4, 4])
-            yield b[own].assign(t=t[:, 0])
+            for row in b.to_dict("records"):
+                for f1, names, t in _alphas_of(row["days"], row["block"]):
+                    out = [(f1, names[j], names[a], t[j, a]) for j, rest in _models(names, f1) for a in rest]
+                    yield pd.DataFrame(out, columns=["f1", "f2", "asset", "t"]).assign(**{k: row[k] for k in keys})
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*own).schema)
-    out = sums.mapInPandas(solve, f"{kinds}, t double").withColumn("t", F.nanvl("t", F.lit(None).cast("double")))
-    return every.join(out, own, "left")
+    out = _blocks(df, value, market, series, keys).mapInPandas(solve, ", ".join(filter(None, [kinds, "f1 string, f2 string, asset string, t double"])))
+    return out.withColumn("t", F.nanvl("t", F.lit(None).cast("double")))
 
 
 def matched_counts(df: DataFrame, value: str, market: str, hurdle: float = 1.96, series: str = "series", keys: Sequence[str] = ()) -> DataFrame:
     """(keys, f1, f2, matched, assets): how many of the other series each model prices (|t| of alpha < hurdle); one that
-    can't be fitted prices nothing."""
-    t = model_alphas(df, value, market, series, keys)
-    return t.groupBy(*keys, "f1", "f2").agg(F.count_if(F.abs("t") < hurdle).alias("matched"), F.count("*").alias("assets"))
+    can't be fitted prices nothing. As model_alphas, with the counts taken where the regressions are."""
+    keys = list(keys)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.to_dict("records"):
+                for f1, names, t in _alphas_of(row["days"], row["block"]):
+                    priced = np.abs(t) < hurdle
+                    out = [(f1, names[j], int(priced[j, rest].sum()), len(rest)) for j, rest in _models(names, f1) if rest]
+                    yield pd.DataFrame(out, columns=["f1", "f2", "matched", "assets"]).assign(**{k: row[k] for k in keys})
+
+    return _blocks(df, value, market, series, keys).mapInPandas(count, ", ".join(filter(None, [kinds, "f1 string, f2 string, matched long, assets long"])))
 
 
 def rarity_performance(alphas: DataFrame, hurdle: float = 1.96) -> DataFrame:
