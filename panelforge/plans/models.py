@@ -70,7 +70,7 @@ def _series(s, d):
     return _st(s, d).join(_factors(s, d).select("dt", "mkt"), "dt").select(F.col("industry").cast("string").alias("series"), "dt", "ret", "mkt")
 
 
-# iterative or spectral: checked against numpy in tests/test_models.py
+# spectral, or of whole matrices: checked against numpy in tests/test_models.py
 @add("reg9_spanning_test", None)
 def reg9(s, d):
     sectors = _x(s, d).groupBy("sector", "dt").agg(F.avg("rm").alias("ret"))
@@ -85,17 +85,35 @@ def reg10(s, d):
     return md.principal_components(x, "ret", 3).select("component", "series", r("loading").alias("loading"), r("share").alias("share"))
 
 
-@add("mod2_matched_counts", None)
+# three regressors in closed form, over every model and asset: the inverse of the covariance of market and two series
+_TRI = _ST + """, sr AS (SELECT CAST(industry AS VARCHAR) AS s, st.dt, ret, mkt FROM st JOIN mk ON mk.dt = st.dt), tri AS (SELECT a.s AS f1, b.s AS f2, y.s AS asset, a.mkt AS m, a.ret AS u, b.ret AS v, y.ret AS y FROM sr a JOIN sr b ON b.dt = a.dt AND b.s > a.s JOIN sr y ON y.dt = a.dt AND y.s <> a.s AND y.s <> b.s),
+cv AS (SELECT f1, f2, asset, count(*) AS n, avg(m) AS m1, avg(u) AS m2, avg(v) AS m3, avg(y) AS my, var_pop(m) AS s11, var_pop(u) AS s22, var_pop(v) AS s33, covar_pop(m, u) AS s12, covar_pop(m, v) AS s13, covar_pop(u, v) AS s23,
+  covar_pop(m, y) AS c1, covar_pop(u, y) AS c2, covar_pop(v, y) AS c3, var_pop(y) AS syy FROM tri GROUP BY 1, 2, 3),
+dt3 AS (SELECT *, s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s13 * s23) + s13 * (s12 * s23 - s13 * s22) AS det FROM cv),
+iv AS (SELECT *, (s22 * s33 - s23 * s23) / det AS i11, (s13 * s23 - s12 * s33) / det AS i12, (s12 * s23 - s13 * s22) / det AS i13, (s11 * s33 - s13 * s13) / det AS i22, (s12 * s13 - s11 * s23) / det AS i23, (s11 * s22 - s12 * s12) / det AS i33 FROM dt3 WHERE det <> 0 AND n > 4),
+be AS (SELECT *, i11 * c1 + i12 * c2 + i13 * c3 AS b1, i12 * c1 + i22 * c2 + i23 * c3 AS b2, i13 * c1 + i23 * c2 + i33 * c3 AS b3 FROM iv),
+tv AS (SELECT f1, f2, asset, (my - b1 * m1 - b2 * m2 - b3 * m3) / nullif(sqrt(greatest(syy - b1 * c1 - b2 * c2 - b3 * c3, 0) * n / (n - 4) * (1 + m1 * (i11 * m1 + i12 * m2 + i13 * m3) + m2 * (i12 * m1 + i22 * m2 + i23 * m3) + m3 * (i13 * m1 + i23 * m2 + i33 * m3)) / n), 0) AS t FROM be),
+nm AS (SELECT DISTINCT s FROM sr), pr AS (SELECT a.s AS f1, b.s AS f2, y.s AS asset, CASE WHEN abs(t) < 1.96 THEN 1 ELSE 0 END AS p FROM nm a JOIN nm b ON b.s > a.s JOIN nm y ON y.s <> a.s AND y.s <> b.s LEFT JOIN tv ON tv.f1 = a.s AND tv.f2 = b.s AND tv.asset = y.s),
+mt AS (SELECT f1, f2, CAST(sum(p) AS BIGINT) AS matched, count(*) AS assets FROM pr GROUP BY 1, 2)"""
+
+
+@add("reg10_covariances", f"WITH {_ST}, sr AS (SELECT CAST(industry AS VARCHAR) AS s, st.dt, ret FROM st JOIN mk ON mk.dt = st.dt) SELECT a.s AS a, b.s AS b, count(*) AS n, round(covar_samp(a.ret, b.ret), 9) + 0.0 AS cov FROM sr a JOIN sr b ON b.dt = a.dt GROUP BY 1, 2")
+def reg10b(s, d):
+    g = md.gram(md.cross_sections(_series(s, d), "ret"))
+    return g.select("a", "b", "n", r((F.col("p") - F.col("sa") * F.col("sb") / F.col("n")) / (F.col("n") - 1), 9).alias("cov"))
+
+
+@add("mod2_matched_counts", f"WITH {_TRI} SELECT * FROM mt")
 def mod2(s, d):
     return md.matched_counts(_series(s, d), "ret", "mkt")
 
 
-@add("mod4_model_performance", None)
+@add("mod4_model_performance", f"WITH {_TRI} SELECT f1, f2, round(CAST(matched AS DOUBLE) / assets, 6) AS share, round(cume_dist() OVER (ORDER BY CAST(matched AS DOUBLE) / assets), 6) AS place FROM mt")
 def mod4(s, d):
     return md.model_performance(md.matched_counts(_series(s, d), "ret", "mkt")).select("f1", "f2", r("share").alias("share"), r("place").alias("place"))
 
 
-@add("mod4_rarity_performance", None)
+@add("mod4_rarity_performance", f"WITH {_TRI}, wt AS (SELECT *, 1 - avg(p) OVER (PARTITION BY asset) AS w FROM pr), sh AS (SELECT f1, f2, round(sum(p * w) / count(*), 12) AS share FROM wt GROUP BY 1, 2) SELECT f1, f2, round(share, 6) + 0.0 AS share, round(cume_dist() OVER (ORDER BY share), 6) AS place FROM sh")
 def mod4b(s, d):
     return md.rarity_performance(md.model_alphas(_series(s, d), "ret", "mkt")).select("f1", "f2", r("share").alias("share"), r("place").alias("place"))
 

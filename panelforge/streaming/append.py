@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from panelforge.operators.universe import signal_after
+from panelforge.operators.xs import signal
+
 
 def daily_panel(rows: DataFrame, entity: str, ts: str, value: str, late: str = "1 day") -> DataFrame:
     """(entity, dt, n, total, low, high) per day, from a stream or a table; on a stream a day is emitted once, when no row
@@ -18,3 +21,21 @@ def daily_panel(rows: DataFrame, entity: str, ts: str, value: str, late: str = "
 def append(panel: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append what the stream has so far to a table, each day once even if the job is started again."""
     return panel.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def append_signals(rows: DataFrame, panel: str, signals: str, checkpoint: str, x: str, least_rows: int, lookback: int = 62) -> StreamingQuery:
+    """Grow a table of signals from a stream of rows (entity, dt, x): each batch is added to the panel, and the signals of
+    the dates after those that the table holds are added to it. A batch is a folder of its own in both tables, so one that
+    runs again after a failure replaces what it wrote. A signal is dated by the next date with rows, so
+    batches should hold whole dates, in order."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{panel}/batch={number}")
+        held = [int(r["batch"]) for r in spark.read.parquet(panel).select("batch").distinct().collect() if r["batch"] < number]
+        known = spark.read.parquet(*[f"{signals}/batch={i}" for i in held]).agg(F.max("dt")).first()[0] if held else None
+        seen = spark.read.parquet(panel).where(F.col("batch") <= number).select("entity", "dt", x)
+        fresh = signal(seen, x, least_rows - 1) if known is None else signal_after(seen, x, least_rows, known, lookback)
+        fresh.write.mode("overwrite").parquet(f"{signals}/batch={number}")
+
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -25,3 +25,23 @@ def test_stream_equals_table(spark, tmp_path):
     assert rows == len(got) and got <= want
     # open are only the days that the watermark hasn't passed
     assert all((last.date() - r[1]).days <= 1 for r in want - got)
+
+
+def test_streamed_signals_are_those_of_the_whole(spark, tmp_path):
+    import datetime as dt
+
+    import numpy as np
+
+    from panelforge.operators.xs import signal
+    from panelforge.streaming.append import append_signals
+
+    rng = np.random.default_rng(8)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(30)]
+    whole = spark.createDataFrame([(e, d, float(rng.normal())) for d in days for e in range(5 if d.day % 7 else 2)], "entity int, dt date, x double")
+    at = {k: str(tmp_path / k) for k in ("in", "panel", "signals", "state")}
+    for i, (a, b) in enumerate(((0, 1), (1, 12), (12, 13), (13, 30))):
+        whole.where(F.col("dt").between(days[a], days[b - 1])).coalesce(1).write.parquet(f"{at['in']}/part{i}")
+        stream = spark.readStream.schema(whole.schema).parquet(f"{at['in']}/*")
+        append_signals(stream, at["panel"], at["signals"], at["state"], "x", 4).awaitTermination(120)
+    got = sorted(tuple(r)[:3] for r in spark.read.parquet(at["signals"]).select("entity", "dt", "signal").collect())
+    assert got == sorted(tuple(r) for r in signal(whole, "x", 3).select("entity", "dt", "signal").collect()) and len(got) > 100
