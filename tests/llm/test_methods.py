@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat_format, decontamination, fingerprints, packing, pii, queries, secrets, sharding, toxicity
+from panelforge.llm import chat_format, decontamination, fingerprints, packing, pii, quality_mil, queries, secrets, sharding, toxicity
 from panelforge.llm.common import exists, text_of, written
 from test_corpus import ODD, docs, words
 
@@ -344,3 +344,47 @@ def test_scratch_tables_go(spark):
     kept = list(paths)
     drop(spark, paths)
     assert paths == [] and not exists(spark, kept[0])
+
+
+# ---- 4 quality
+
+
+def test_attention_gradient_against_differences():
+    rng = np.random.default_rng(6)
+    bags = [rng.normal(size=(n, quality_mil.WIDTH)) for n in (1, 3, 2)]
+    x, starts, y, weight = np.concatenate(bags), np.array([0, 1, 4]), np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 1.0])
+    shape = {"E": (quality_mil.WIDTH, quality_mil.ENCODED), "e": (quality_mil.ENCODED,), "V": (quality_mil.ENCODED, quality_mil.GATE), "U": (quality_mil.ENCODED, quality_mil.GATE), "a": (quality_mil.GATE,), "c": (quality_mil.ENCODED,), "b": (1,)}
+    w = {k: rng.normal(0, 0.4, s) for k, s in shape.items()}
+
+    def loss(w):
+        p = quality_mil._forward(w, x, starts)["p"]
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / len(y)
+
+    g = quality_mil._gradient(w, x, starts, y, weight)
+    for k, s in shape.items():
+        for _ in range(3):
+            at = tuple(rng.integers(0, n) for n in s)
+            up, down = {**w, k: w[k].copy()}, {**w, k: w[k].copy()}
+            up[k][at] += 1e-6
+            down[k][at] -= 1e-6
+            assert abs((loss(up) - loss(down)) / 2e-6 - g[k][at]) < 1e-6
+    # the attention of a document adds up to one, and its score is that of the weighted passages
+    f = quality_mil._forward(w, x, starts)
+    assert np.allclose(np.add.reduceat(f["alpha"], starts), 1) and np.allclose(f["z"][1], (f["alpha"][1:4, None] * f["h"][1:4]).sum(axis=0))
+
+
+def test_quality_learns_from_rows_that_are_not_held_out(spark):
+    good = [(i, " ".join(words(90, i)).capitalize() + ".") for i in range(80)]
+    bad = [(100 + i, "buy now!!! $$$ ### " * (10 + i)) for i in range(80)]
+    rows = docs(spark, [*good, *bad, *((1000 + i, t) for i, t in ODD if i), (None, "x y")])
+    lab = spark.createDataFrame([*((i, 1, 0) for i, _ in good), *((i, 0, 0) for i, _ in bad), (None, 0, 0), (5000, None, None)], "doc_id long, quality int, toxic int")
+    model = quality_mil.train(rows, lab)
+    got = rows.select("doc_id", quality_mil.quality_score(spark, model)(text_of()).alias("s")).collect()
+    assert len(got) == rows.count() and all(0 <= r["s"] <= 1 for r in got)
+    right = [(r["s"] >= quality_mil.THRESHOLD) == (r["doc_id"] < 100) for r in got if r["doc_id"] is not None and r["doc_id"] < 1000]
+    assert np.mean(right) > 0.97
+    turned = lab.withColumn("quality", F.when(quality_mil.held_out(5, 0), 1 - F.col("quality")).otherwise(F.col("quality")))
+    probe = [quality_mil.passages(t) for _, t in good[:3]]
+    assert np.array_equal(quality_mil.train(rows, turned).score(probe), model.score(probe))
+    for odd in (lab.limit(0), lab.where("quality = 1")):
+        assert quality_mil.train(rows, odd).score(probe).tolist() == [1.0, 1.0, 1.0]
