@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,25 +54,69 @@ def draws(positions: DataFrame, length: int | str, seed: int, by: str | None = N
     return out.withColumn("draw", F.col("__z") % (F.col(length) if isinstance(length, str) else length)).drop("__z")
 
 
+def _lots(reps: int, pos: np.ndarray, seed: int) -> np.ndarray:
+    """The numbers that draws() takes modulo a length, for reps x pos."""
+    p = 2147483647
+    z = (np.arange(reps, dtype=np.int64)[:, None] * 1000003 + pos[None, :] * 7919 + seed) % p
+    for m in (48271, 69621, 16807):
+        z = (z * m + 12345) % p
+        z = z * (z % 65521 + 1) % p
+    return z
+
+
+@lru_cache(maxsize=2)
+def _drawn_counts(reps: int, length: int, seed: int) -> np.ndarray:
+    """How often each replicate draws each of so many dates: reps x dates."""
+    at = _lots(reps, np.arange(length, dtype=np.int64), seed) % length
+    out = np.zeros((reps, length))
+    np.add.at(out, (np.repeat(np.arange(reps), length), at.ravel()), 1.0)
+    return out
+
+
+def _fits(key, n: np.ndarray, sums: dict[str, np.ndarray], mx: float, my: float, alone: np.ndarray) -> pd.DataFrame:
+    """ols() of every replicate, from counts and sums of values less mx and my; alone: a single date was drawn."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ax, ay = sums["x"] / n, sums["y"] / n
+        sxx, sxy, syy = sums["xx"] - n * ax * ax, sums["xy"] - n * ax * ay, np.maximum(sums["yy"] - n * ay * ay, 0)
+        flat = alone | (sxx <= 1e-14 * sums["xx"])
+        beta = np.where(flat, np.nan, sxy / sxx)
+        alpha = ay + my - beta * (ax + mx)
+        s2 = np.where(n > 2, np.maximum(syy - beta * sxy, 0) / (n - 2), np.nan)
+        se = np.sqrt(s2 * (1 / n + (ax + mx) ** 2 / sxx))
+        t = np.where(se > 0, alpha / se, np.nan)
+    out = pd.DataFrame({"rep": np.arange(len(n)), "entity": key, "n": n.astype("int64"), "alpha": alpha, "beta": beta, "se": se, "t": t})
+    return out[n > 0]
+
+
+def _per_entity(rows: DataFrame, fit) -> DataFrame:
+    """fit for the rows of each entity, which are at most as many as there are dates; NaN becomes null."""
+    kind = rows.schema["entity"].dataType.simpleString()
+    out = rows.groupBy("entity").applyInPandas(fit, f"rep long, entity {kind}, n long, alpha double, beta double, se double, t double")
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("alpha", "beta", "se", "t")})
+
+
 def bootstrap_alpha(df: DataFrame, y: str, x: str, reps: int, seed: int = 7, remove_alpha: bool = True) -> DataFrame:
     """Time-index bootstrap shared across entities: for each (rep, entity) the regression of y on x over resampled
-    dates, after each entity's own alpha was removed. A replicate is one more key; only the dates are drawn: a date has
-    the list of the replicates that drew it, joined by its rank. Rows are dealt by entity before they are repeated, so
-    that the sums of all replicates are taken in place."""
-    spark = df.sparkSession
+    dates, after each entity's own alpha was removed. Rows are dealt by entity once and never repeated: the sums of all
+    replicates of an entity are the products of its rows with the number of times that each date was drawn."""
     # one row per date: small by nature
     dates = df.select("dt").distinct().withColumn("k", F.row_number().over(Window.orderBy("dt")).cast("long") - 1)
     length = dates.count()
     if not length:
         return ols(df.withColumn("rep", F.lit(0).cast("long")), y, x, "rep", "entity")
-    grid = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(spark.range(length).select(F.col("id").alias("pos")))
-    drawn = draws(grid, length, seed).groupBy(F.col("draw").alias("k")).agg(F.collect_list("rep").alias("reps"))
     if remove_alpha:
         df = df.join(ols(df, y, x, "entity").select("entity", "alpha"), "entity").withColumn(y, col(y) - F.col("alpha")).drop("alpha")
-    rows = df.join(F.broadcast(dates), "dt").select("entity", "k", y, x).repartition("entity")
-    # repeated draws of a date in a replicate are repeated rows, as they must be
-    rows = rows.join(F.broadcast(drawn), "k").select(F.explode("reps").alias("rep"), "entity", y, x)
-    return ols(rows, y, x, "rep", "entity")
+    rows = df.where(col(y).isNotNull() & col(x).isNotNull()).join(F.broadcast(dates), "dt")
+    rows = rows.select("entity", "k", col(y).cast("double").alias("y"), col(x).cast("double").alias("x"))
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        c = _drawn_counts(reps, length, seed)[:, g["k"].to_numpy()]
+        mx, my = g["x"].mean(), g["y"].mean()
+        a, b = g["x"].to_numpy() - mx, g["y"].to_numpy() - my
+        sums = {"x": c @ a, "y": c @ b, "xx": c @ (a * a), "xy": c @ (a * b), "yy": c @ (b * b)}
+        return _fits(g["entity"].iloc[0], c.sum(axis=1), sums, mx, my, (c > 0).sum(axis=1) < 2)
+
+    return _per_entity(rows, fit)
 
 
 def percentile_of_score(sample: str, score: str) -> Column:
@@ -80,14 +127,21 @@ def percentile_of_score(sample: str, score: str) -> Column:
 
 def bootstrap_residuals(df: DataFrame, y: str, x: str, reps: int, seed: int = 7) -> DataFrame:
     """For each (rep, entity) the regression on the factor as it was of beta x plus a residual drawn among the entity's
-    own, independently of other entities: the distribution of t where there is no alpha."""
+    own, independently of other entities (whose ids are whole numbers): the distribution of t where there is no alpha."""
     ok = df.where(col(y).isNotNull() & col(x).isNotNull())
-    fit = ols(ok, y, x, "entity").where(F.col("beta").isNotNull()).select("entity", "alpha", "beta", F.col("n").alias("__n"))
-    rows = ok.join(fit, "entity").withColumn("pos", F.row_number().over(Window.partitionBy("entity").orderBy("dt")).cast("long") - 1)
-    rows = rows.select("entity", "pos", x, "__n", "beta", (col(y) - F.col("alpha") - F.col("beta") * col(x)).alias("__e"))
-    grid = rows.drop("__e").withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
-    drawn = draws(grid, "__n", seed, "entity").join(rows.select("entity", F.col("pos").alias("draw"), "__e"), ["entity", "draw"])
-    return ols(drawn.withColumn(y, F.col("beta") * col(x) + F.col("__e")), y, x, "rep", "entity")
+    line = ols(ok, y, x, "entity").where(F.col("beta").isNotNull()).select("entity", "alpha", "beta")
+    rows = ok.join(line, "entity").select("entity", "dt", "beta", col(x).cast("double").alias("x"), (col(y) - F.col("alpha") - F.col("beta") * col(x)).alias("e"))
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("dt")
+        n, key, mx = len(g), g["entity"].iloc[0], g["x"].mean()
+        a, beta = g["x"].to_numpy() - mx, float(g["beta"].iloc[0])
+        drawn = beta * a + g["e"].to_numpy()[_lots(reps, np.arange(n, dtype=np.int64), seed + int(key) * 50021) % n]
+        full = np.full(reps, float(n))
+        sums = {"x": full * a.mean(), "y": drawn.sum(axis=1), "xx": np.full(reps, (a * a).sum()), "xy": drawn @ a, "yy": (drawn * drawn).sum(axis=1)}
+        return _fits(key, full, sums, mx, beta * mx, np.full(reps, n < 2))
+
+    return _per_entity(rows, fit)
 
 
 def bootstrap_cross_section(df: DataFrame, y: str, x: str, reps: int, seed: int = 7) -> DataFrame:
