@@ -95,24 +95,26 @@ def _per_entity(rows: DataFrame, fit) -> DataFrame:
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("alpha", "beta", "se", "t")})
 
 
+def _line(g: pd.DataFrame) -> tuple[float, float]:
+    """(alpha, beta) of y on x; beta is NaN where x is constant."""
+    a = g["x"].to_numpy() - g["x"].mean()
+    beta = (a @ g["y"].to_numpy()) / (a @ a) if len(g) > 1 and g["x"].min() < g["x"].max() else np.nan
+    return g["y"].mean() - beta * g["x"].mean(), beta
+
+
 def bootstrap_alpha(df: DataFrame, y: str, x: str, reps: int, seed: int = 7, remove_alpha: bool = True) -> DataFrame:
     """Time-index bootstrap shared across entities: for each (rep, entity) the regression of y on x over resampled
     dates, after each entity's own alpha was removed. Rows are dealt by entity once and never repeated: the sums of all
     replicates of an entity are the products of its rows with the number of times that each date was drawn."""
     # one row per date: small by nature
-    dates = df.select("dt").distinct().withColumn("k", F.row_number().over(Window.orderBy("dt")).cast("long") - 1)
-    length = dates.count()
-    if not length:
-        return ols(df.withColumn("rep", F.lit(0).cast("long")), y, x, "rep", "entity")
-    if remove_alpha:
-        df = df.join(ols(df, y, x, "entity").select("entity", "alpha"), "entity").withColumn(y, col(y) - F.col("alpha")).drop("alpha")
-    rows = df.where(col(y).isNotNull() & col(x).isNotNull()).join(F.broadcast(dates), "dt")
-    rows = rows.select("entity", "k", col(y).cast("double").alias("y"), col(x).cast("double").alias("x"))
+    place = {r["dt"]: i for i, r in enumerate(df.select("dt").distinct().orderBy("dt").collect())}
+    rows = df.where(col(y).isNotNull() & col(x).isNotNull()).select("entity", "dt", col(y).cast("double").alias("y"), col(x).cast("double").alias("x"))
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
-        c = _drawn_counts(reps, length, seed)[:, g["k"].to_numpy()]
-        mx, my = g["x"].mean(), g["y"].mean()
-        a, b = g["x"].to_numpy() - mx, g["y"].to_numpy() - my
+        c = _drawn_counts(reps, len(place), seed)[:, [place[d] for d in g["dt"]]]
+        alpha = _line(g)[0] if remove_alpha else 0.0
+        mx, my = g["x"].mean(), g["y"].mean() - alpha
+        a, b = g["x"].to_numpy() - mx, g["y"].to_numpy() - alpha - my
         sums = {"x": c @ a, "y": c @ b, "xx": c @ (a * a), "xy": c @ (a * b), "yy": c @ (b * b)}
         return _fits(g["entity"].iloc[0], c.sum(axis=1), sums, mx, my, (c > 0).sum(axis=1) < 2)
 
@@ -128,16 +130,15 @@ def percentile_of_score(sample: str, score: str) -> Column:
 def bootstrap_residuals(df: DataFrame, y: str, x: str, reps: int, seed: int = 7) -> DataFrame:
     """For each (rep, entity) the regression on the factor as it was of beta x plus a residual drawn among the entity's
     own, independently of other entities (whose ids are whole numbers): the distribution of t where there is no alpha."""
-    ok = df.where(col(y).isNotNull() & col(x).isNotNull())
-    line = ols(ok, y, x, "entity").where(F.col("beta").isNotNull()).select("entity", "alpha", "beta")
-    rows = ok.join(line, "entity").select("entity", "dt", "beta", col(x).cast("double").alias("x"), (col(y) - F.col("alpha") - F.col("beta") * col(x)).alias("e"))
+    rows = df.where(col(y).isNotNull() & col(x).isNotNull()).select("entity", "dt", col(y).cast("double").alias("y"), col(x).cast("double").alias("x"))
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("dt")
         n, key, mx = len(g), g["entity"].iloc[0], g["x"].mean()
-        a, beta = g["x"].to_numpy() - mx, float(g["beta"].iloc[0])
-        drawn = beta * a + g["e"].to_numpy()[_lots(reps, np.arange(n, dtype=np.int64), seed + int(key) * 50021) % n]
-        full = np.full(reps, float(n))
+        alpha, beta = _line(g)
+        a, e = g["x"].to_numpy() - mx, g["y"].to_numpy() - alpha - beta * g["x"].to_numpy()
+        drawn = beta * a + e[_lots(reps, np.arange(n, dtype=np.int64), seed + int(key) * 50021) % n]
+        full = np.full(reps, 0.0 if np.isnan(beta) else float(n))  # without a slope there are no residuals to draw
         sums = {"x": full * a.mean(), "y": drawn.sum(axis=1), "xx": np.full(reps, (a * a).sum()), "xy": drawn @ a, "yy": (drawn * drawn).sum(axis=1)}
         return _fits(key, full, sums, mx, beta * mx, np.full(reps, n < 2))
 
