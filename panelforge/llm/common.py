@@ -100,7 +100,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, dtype=np.uint64)
 
 
-def _table(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
         x = np.full(max(n, 2 * len(_powers)), _BASE, dtype=np.uint64)
@@ -122,7 +122,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     b, space, start = b[start[0] :], space[start[0] :], start - start[0]
     length = np.diff(start, append=len(b))
     at = np.arange(len(b)) - np.repeat(start, length)
-    value = (b.astype(np.uint64) + np.uint64(1)) * _table(int(length.max()) + 1)[at]
+    value = (b.astype(np.uint64) + np.uint64(1)) * powers(int(length.max()) + 1)[at]
     value[space] = 0
     return mix(np.add.reduceat(value, start))
 
@@ -136,3 +136,18 @@ def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     for i in range(k):
         out = out * _BASE + words[i : len(words) - k + 1 + i]
     return mix(out + np.uint64(k))
+
+
+def ranked(df: DataFrame, *order: Column, name: str, rank: str, scratch: list[str]) -> DataFrame:
+    """df with the place of each row (from 0) in an order of all rows, from a table in the shared folder: sorted by
+    ranges, and counted on from one range to the next; the driver sees one number a range. Ties take any order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    # the id has the partition in its high bits and the place within in the low 33
+    rows = rows.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__id")
+    rows, base, seen = written(rows, name, scratch), [], 0
+    for part, n in sorted(map(tuple, rows.groupBy("__part").count().collect())):
+        base.append((part, seen))
+        seen += n
+    base = df.sparkSession.createDataFrame(base, "__part long, __base long")
+    return rows.join(F.broadcast(base), "__part").withColumn(rank, F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
