@@ -10,10 +10,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.core import col
+from panelforge.operators import blocks
+from panelforge.sources.tables import stored
 
 
 def _solve(n: np.ndarray, xx: np.ndarray, xy: np.ndarray, yy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,107 +60,29 @@ def ols_multi(df: DataFrame, y: str, xs: Sequence[str], *keys: str) -> DataFrame
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("alpha", "alpha_t", "r2")})
 
 
-def cross_sections(df: DataFrame, value: str, series: str = "series", keys: Sequence[str] = (), **fixed: Column) -> DataFrame:
-    """(keys, dt, values: array of (s, v) of the series that have a value on a date); `fixed` adds aggregates of a date,
-    such as its market return, as columns, and drops dates without them."""
-    members = F.collect_list(F.struct(F.col(series).cast("string").alias("s"), F.col(value).cast("double").alias("v")))
-    one = df.where(col(value).isNotNull()).groupBy(*keys, "dt").agg(members.alias("values"), *[v.cast("double").alias(k) for k, v in fixed.items()])
-    return one.dropna(subset=list(fixed))
+def gram(df: DataFrame, value: str, series: str = "series", width: int = blocks.PAIR_BLOCK) -> DataFrame:
+    """(a, b, n, sa, sb, p) per pair of series over the dates that both have: their number, the sum of each series and
+    of the products. As many rows as squared series, which are the portfolios of a study and not its entities."""
+    return blocks.pair_sums(blocks.blocked(df, value, series, width=width))
 
 
-def gram(sections: DataFrame) -> DataFrame:
-    """(a, b, n, sa, sb, p) per pair of series over the dates that both have: their number, the sum of each series and
-    of the products. As many rows as squared series, which are the portfolios of a study and not its entities.
-    Products are combined before they are shuffled."""
-    x = sections.select("values", F.explode("values").alias("x")).select("x", F.explode("values").alias("y"))
-    sums = [F.count("*").alias("n"), F.sum("x.v").alias("sa"), F.sum("y.v").alias("sb"), F.sum(F.col("x.v") * F.col("y.v")).alias("p")]
-    return x.groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(*sums)
-
-
-#: First factors of a block of models: a block is one row that holds the panel of the series, and one task's work.
-BLOCK = 16
-
-
-def _blocks(df: DataFrame, value: str, market: str, series: str, keys: Sequence[str]) -> DataFrame:
-    """(keys, block, days): the whole panel of each key, as (market, values) of its dates, once per block of models.
-
-    The panel is that of a study's portfolios (dates times series, some megabytes), not of its entities."""
-    days = cross_sections(df, value, series, keys, __m=F.max(market))
-    whole = days.groupBy(*keys).agg(F.collect_list(F.struct("__m", "values")).alias("days"))
-    # a panel with gaps has more series than any of its dates
-    n = df.where(col(value).isNotNull() & col(market).isNotNull()).groupBy(*keys).agg(F.count_distinct(F.col(series).cast("string")).alias("__n"))
-    whole = whole.crossJoin(n) if not keys else whole.join(n, list(keys))
-    return whole.select(*keys, "days", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__n") / BLOCK).cast("int") - 1)).alias("block")).repartition(*keys, "block")
-
-
-def _alphas_of(days, block: int) -> Iterator[tuple[str, list[str], np.ndarray]]:
-    """For each first factor of a block: (its name, all names in order, t of alpha [second factor, asset])."""
-    names = sorted({v["s"] for d in days for v in d["values"]})
-    at = {s: i for i, s in enumerate(names)}
-    m, v = np.empty(len(days)), np.full((len(days), len(names)), np.nan)
-    for i, d in enumerate(days):
-        m[i] = d["__m"]
-        for x in d["values"]:
-            v[i, at[x["s"]]] = x["v"]
-    here = (~np.isnan(v)).astype(float)
-    v = np.nan_to_num(v)
-    for f in range(block * BLOCK, min((block + 1) * BLOCK, len(names))):
-        # dates of the first factor; sums over those of the second and the asset are products of matrices
-        w, x1 = here[:, f], v[:, f]
-        dot = lambda c, a, b: (a * (w * c)[:, None]).T @ b
-        one = np.ones(len(days))
-        n, sm, smm, s1, s11, s1m = (dot(c, here, here) for c in (one, m, m * m, x1, x1 * x1, x1 * m))
-        s2, s22, s2m, s12 = dot(one, v, here), dot(one, v * v, here), dot(m, v, here), dot(x1, v, here)
-        sy, syy, sym, s1y, s2y = dot(one, here, v), dot(one, here, v * v), dot(m, here, v), dot(x1, here, v), dot(one, v, v)
-        xx = np.stack([np.stack(r, -1) for r in ((n, sm, s1, s2), (sm, smm, s1m, s2m), (s1, s1m, s11, s12), (s2, s2m, s12, s22))], -2)
-        k = len(names)
-        _, t, _ = _solve(n.reshape(-1), xx.reshape(-1, 4, 4), np.stack([sy, sym, s1y, s2y], -1).reshape(-1, 4), syy.reshape(-1))
-        yield names[f], names, t[:, 0].reshape(k, k)
-
-
-def _models(names: list[str], first: str) -> list[tuple[int, list[int]]]:
-    """The second factors after the first one, and the assets that each model leaves."""
-    f = names.index(first)
-    return [(j, [a for a in range(len(names)) if a not in (f, j)]) for j in range(f + 1, len(names))]
-
-
-def model_alphas(df: DataFrame, value: str, market: str, series: str = "series", keys: Sequence[str] = ()) -> DataFrame:
+def model_alphas(df: DataFrame, value: str, market: str, series: str = "series", keys: Sequence[str] = (), width: int = blocks.BLOCK) -> DataFrame:
     """(keys, f1, f2, asset, t): for each model of the market and two series the t of the alpha of each other series; with
     keys, such as a replicate, for each of their values.
 
     Each regression has the dates on which its own three series and the market have a value, so a series with gaps
-    takes no dates from the regressions without it. One that can't be fitted has no t. The sums of products of all
-    regressions with one first factor are products of matrices, a block of first factors is a task.
-    """
-    keys = list(keys)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.to_dict("records"):
-                for f1, names, t in _alphas_of(row["days"], row["block"]):
-                    out = [(f1, names[j], names[a], t[j, a]) for j, rest in _models(names, f1) for a in rest]
-                    yield pd.DataFrame(out, columns=["f1", "f2", "asset", "t"]).assign(**{k: row[k] for k in keys})
+    takes no dates from the regressions without it. One that can't be fitted has no t. The sums of products are blocked
+    products of matrices (operators/blocks.py): a task has three blocks of `width` series, a chunk of dates at a time."""
+    held = blocks.blocked(df, value, series, keys, market, width)
+    return blocks.named(held, blocks.triple_alphas(held), "f1", "f2", "asset").select(*keys, "f1", "f2", "asset", "t")
 
-    out = _blocks(df, value, market, series, keys).mapInPandas(solve, ", ".join(filter(None, [kinds, "f1 string, f2 string, asset string, t double"])))
-    return out.withColumn("t", F.nanvl("t", F.lit(None).cast("double")))
 
-
-def matched_counts(df: DataFrame, value: str, market: str, hurdle: float = 1.96, series: str = "series", keys: Sequence[str] = ()) -> DataFrame:
+def matched_counts(df: DataFrame, value: str, market: str, hurdle: float = 1.96, series: str = "series", keys: Sequence[str] = (), width: int = blocks.BLOCK) -> DataFrame:
     """(keys, f1, f2, matched, assets): how many of the other series each model prices (|t| of alpha < hurdle); one that
     can't be fitted prices nothing. As model_alphas, with the counts taken where the regressions are."""
-    keys = list(keys)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.to_dict("records"):
-                for f1, names, t in _alphas_of(row["days"], row["block"]):
-                    priced = np.abs(t) < hurdle
-                    out = [(f1, names[j], int(priced[j, rest].sum()), len(rest)) for j, rest in _models(names, f1) if rest]
-                    yield pd.DataFrame(out, columns=["f1", "f2", "matched", "assets"]).assign(**{k: row[k] for k in keys})
-
-    return _blocks(df, value, market, series, keys).mapInPandas(count, ", ".join(filter(None, [kinds, "f1 string, f2 string, matched long, assets long"])))
+    held = blocks.blocked(df, value, series, keys, market, width)
+    counts = blocks.triple_alphas(held, hurdle).groupBy(*keys, "f1", "f2").agg(F.sum("matched").alias("matched"), F.sum("assets").alias("assets"))
+    return blocks.named(held, counts, "f1", "f2").select(*keys, "f1", "f2", "matched", "assets")
 
 
 def rarity_performance(alphas: DataFrame, hurdle: float = 1.96) -> DataFrame:
@@ -191,7 +115,7 @@ def simulated_matches(df: DataFrame, value: str, market: str, planted: Sequence[
     shift = F.when(F.col("__k") <= F.col("planted"), size * F.col("__se") * F.when(F.col("__k") % 2 == 1, 1).otherwise(-1)).otherwise(0.0)
     lots = lots.select("rep", "planted", series, (F.coalesce(shift, F.lit(0.0)) - F.col("alpha")).alias("__shift"))
     drawn = _date_draws(ok.sparkSession, dates, reps, seed).select("rep", "pos", F.col("draw").alias("k")).join(dates, "k").select("rep", "pos", "dt")
-    pseudo = ok.join(F.broadcast(drawn), "dt").join(F.broadcast(lots), ["rep", series])
+    pseudo = ok.join(drawn, "dt").join(lots, ["rep", series])
     pseudo = pseudo.select("rep", "planted", F.col("pos").alias("dt"), series, (col(value) + F.col("__shift")).alias(value), market)
     counts = matched_counts(pseudo, value, market, series=series, keys=["rep", "planted"])
     share = lambda d, *k: d.groupBy(*k, "matched").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*k)))
@@ -258,25 +182,22 @@ def spanning_test(df: DataFrame, assets: Sequence[str], factors: Sequence[str],
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("f", "p")})
 
 
-def principal_components(df: DataFrame, value: str, k: int, series: str = "series") -> DataFrame:
+def principal_components(df: DataFrame, value: str, k: int, series: str = "series", width: int = blocks.PAIR_BLOCK) -> DataFrame:
     """(component, series, loading, share of variance) of centred series; the loading of greatest size is positive.
 
     Each covariance is taken over the dates that its two series share (0 where those are fewer than two), so with gaps
-    the least shares may be below zero. They are aggregated by Spark and the spectrum taken in one task: it has as many
-    entries as squared series, not as rows."""
-
-    def spectrum(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.assign(c=np.where(g["n"] > 1, (g["p"] - g["sa"] * g["sb"] / g["n"]) / np.maximum(g["n"] - 1, 1), 0.0))
-        m = g.pivot(index="a", columns="b", values="c").sort_index().sort_index(axis=1).fillna(0.0)
-        share, vectors = np.linalg.eigh(m.to_numpy())
-        out = []
-        for c, i in enumerate(np.argsort(-share)[:k]):
-            v = vectors[:, i] * np.sign(vectors[np.argmax(np.abs(vectors[:, i])), i])
-            out += [(c + 1, s, float(z), float(share[i] / share.sum())) for s, z in zip(m.index, v, strict=True)]
-        return pd.DataFrame(out, columns=["component", "series", "loading", "share"])
-
-    sums = gram(cross_sections(df, value, series))
-    return sums.groupBy().applyInPandas(spectrum, "component int, series string, loading double, share double")
+    the least shares may be below zero. The covariances stay a table of blocks; the leading vectors come from a subspace
+    that grows by distributed products of the blocks with thin matrices (blocks.leading)."""
+    held = blocks.blocked(df, value, series, width=width)
+    cov = stored(blocks.covariance_blocks(held), "covariances")
+    total = cov.agg(F.sum("trace")).first()[0]
+    schema = "component int, sid int, loading double, share double"
+    if not held.count:
+        return blocks.named(held, df.sparkSession.createDataFrame([], schema), "sid").select("component", F.col("sid").alias("series"), "loading", "share")
+    share, vectors = blocks.leading(cov, held.count, width, min(k, held.count))
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
+    rows = pd.DataFrame([(c + 1, i, v, share[c] / total) for c in range(vectors.shape[1]) for i, v in enumerate(vectors[:, c])], columns=["component", "sid", "loading", "share"])
+    return blocks.named(held, df.sparkSession.createDataFrame(rows, schema), "sid").select("component", F.col("sid").alias("series"), "loading", "share")
 
 
 def model_performance(matched: DataFrame) -> DataFrame:

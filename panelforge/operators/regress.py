@@ -54,10 +54,10 @@ def draws(positions: DataFrame, length: int | str, seed: int, by: str | None = N
     return out.withColumn("draw", F.col("__z") % (F.col(length) if isinstance(length, str) else length)).drop("__z")
 
 
-def _lots(reps: int, pos: np.ndarray, seed: int) -> np.ndarray:
-    """The numbers that draws() takes modulo a length, for reps x pos."""
+def _lots(reps: int, pos: np.ndarray, seed: int, first: int = 0) -> np.ndarray:
+    """The numbers that draws() takes modulo a length, for reps (from `first` on) x pos."""
     p = 2147483647
-    z = (np.arange(reps, dtype=np.int64)[:, None] * 1000003 + pos[None, :] * 7919 + seed) % p
+    z = (np.arange(first, first + reps, dtype=np.int64)[:, None] * 1000003 + pos[None, :] * 7919 + seed) % p
     for m in (48271, 69621, 16807):
         z = (z * m + 12345) % p
         z = z * (z % 65521 + 1) % p
@@ -145,39 +145,68 @@ def bootstrap_residuals(df: DataFrame, y: str, x: str, reps: int, seed: int = 7)
     return _per_entity(rows, fit)
 
 
+#: Numbers that a task holds of the replicates of one entity at a time.
+_HELD = 1 << 21
+
+
+def _by_dates(df: DataFrame, y: str, x: str) -> tuple[DataFrame, dict, np.ndarray]:
+    """(complete rows; the rank of each date; the factor of each date, NaN where it has none)."""
+    # one row per date: small by nature
+    seen = df.groupBy("dt").agg(F.max(col(x).cast("double")).alias("fx")).orderBy("dt").collect()
+    rows = df.where(col(y).isNotNull() & col(x).isNotNull()).select("entity", "dt", col(y).cast("double").alias("y"), col(x).cast("double").alias("x"))
+    return rows, {r["dt"]: i for i, r in enumerate(seen)}, np.array([np.nan if r["fx"] is None else r["fx"] for r in seen])
+
+
+def _replicated(g: pd.DataFrame, place: dict, reps: int, pseudo) -> pd.DataFrame:
+    """Fits of all replicates of an entity: pseudo(rank of each date, beta, residuals, first replicate, how many) gives the
+    returns and the factor, replicates x dates, NaN where one has none. So many replicates at a time as memory is
+    meant for; no row is repeated outside the task."""
+    g = g.sort_values("dt")
+    (alpha, beta), key, mx = _line(g), g["entity"].iloc[0], g["x"].mean()
+    if np.isnan(beta):
+        return _fits(key, np.zeros(0), {c: np.zeros(0) for c in ("x", "y", "xx", "xy", "yy")}, 0.0, 0.0, np.zeros(0, bool))
+    k, e = np.array([place[d] for d in g["dt"]], dtype=np.int64), g["y"].to_numpy() - alpha - beta * g["x"].to_numpy()
+    out, step = [], max(1, _HELD // len(g))
+    for first in range(0, reps, step):
+        y, f = pseudo(g["x"].to_numpy(), k, beta, e, first, min(step, reps - first))
+        ok = ~(np.isnan(y) | np.isnan(f))
+        a, b = np.where(ok, f - mx, 0.0), np.where(ok, y - beta * mx, 0.0)
+        n = ok.sum(axis=1)
+        sums = {"x": a.sum(axis=1), "y": b.sum(axis=1), "xx": (a * a).sum(axis=1), "xy": (a * b).sum(axis=1), "yy": (b * b).sum(axis=1)}
+        fits = _fits(key, n.astype(float), sums, mx, beta * mx, n < 2)
+        out.append(fits.assign(rep=fits["rep"] + first))
+    return pd.concat(out)
+
+
 def bootstrap_cross_section(df: DataFrame, y: str, x: str, reps: int, seed: int = 7) -> DataFrame:
     """For each (rep, entity) the regression on the factor of beta x plus the residual of a drawn date, the same draw for
     all entities, which keeps how residuals go together; dates without a residual of the entity are left out."""
-    rows, dates = _residual_rows(df, y, x)
-    grid = _date_draws(df.sparkSession, dates, reps, seed)
-    drawn = rows.select("entity", "beta", F.col("k").alias("pos"), x).join(F.broadcast(grid), "pos")
-    drawn = drawn.join(rows.select("entity", F.col("k").alias("draw"), "__e"), ["entity", "draw"])
-    return ols(drawn.withColumn(y, F.col("beta") * col(x) + F.col("__e")), y, x, "rep", "entity")
+    rows, place, _ = _by_dates(df, y, x)
+
+    def pseudo(own, k, beta, e, first, count):
+        residual = np.full(len(place), np.nan)
+        residual[k] = e
+        return beta * own + residual[_lots(count, k, seed, first) % len(place)], np.broadcast_to(own, (count, len(own)))
+
+    return _per_entity(rows, lambda g: _replicated(g, place, reps, pseudo))
 
 
 def bootstrap_residual_and_factor(df: DataFrame, y: str, x: str, reps: int, seed: int = 7, on_drawn: bool = False) -> DataFrame:
     """As bootstrap_residuals, with the factor drawn too: one draw of dates for all entities and another stream of
     residuals for each. The pseudo returns are regressed on the factor as it was, or as it was drawn."""
-    rows, dates = _residual_rows(df, y, x)
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("entity").orderBy("k")).cast("long") - 1)
-    grid = rows.select("entity", "beta", "k", "pos", "__n", x).withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
-    own = draws(grid, "__n", seed, "entity").join(rows.select("entity", F.col("pos").alias("draw"), "__e"), ["entity", "draw"]).drop("draw")
-    # the factor of each (rep, date): replicates times dates
-    factor = dates.join(df.where(col(x).isNotNull()).groupBy("dt").agg(F.max(x).alias("__fx")), "dt").select(F.col("k").alias("draw"), "__fx")
-    drawn = _date_draws(df.sparkSession, dates, reps, seed + 6).join(factor, "draw").select("rep", F.col("pos").alias("k"), "__fx")
-    own = own.join(F.broadcast(drawn), ["rep", "k"])
-    out = own.withColumn(y, F.col("beta") * F.col("__fx") + F.col("__e"))
-    return ols(out, y, "__fx" if on_drawn else x, "rep", "entity")
-
-
-def _residual_rows(df: DataFrame, y: str, x: str) -> tuple[DataFrame, DataFrame]:
-    """(entity, k, x, beta, __n, __e of each complete row, k being the rank of its date; dates and their ranks)."""
-    ok = df.where(col(y).isNotNull() & col(x).isNotNull())
-    # one row per date: small by nature
-    dates = df.select("dt").distinct().withColumn("k", F.row_number().over(Window.orderBy("dt")).cast("long") - 1)
-    fit = ols(ok, y, x, "entity").where(F.col("beta").isNotNull()).select("entity", "alpha", "beta", F.col("n").alias("__n"))
-    rows = ok.join(fit, "entity").join(F.broadcast(dates), "dt")
-    return rows.select("entity", "k", x, "beta", "__n", (col(y) - F.col("alpha") - F.col("beta") * col(x)).alias("__e")), dates
+    rows, place, factor = _by_dates(df, y, x)
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        stream = seed + int(g["entity"].iloc[0]) * 50021
+
+        def pseudo(own, k, beta, e, first, count):
+            drawn = factor[_lots(count, k, seed + 6, first) % len(place)]
+            residual = e[_lots(count, np.arange(len(e), dtype=np.int64), stream, first) % len(e)]
+            return beta * drawn + residual, drawn if on_drawn else np.broadcast_to(own, drawn.shape)
+
+        return _replicated(g, place, reps, pseudo)
+
+    return _per_entity(rows, fit)
 
 
 def _date_draws(spark, dates: DataFrame, reps: int, seed: int) -> DataFrame:

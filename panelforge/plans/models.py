@@ -99,7 +99,7 @@ mt AS (SELECT f1, f2, CAST(sum(p) AS BIGINT) AS matched, count(*) AS assets FROM
 
 @add("reg10_covariances", f"WITH {_ST}, sr AS (SELECT CAST(industry AS VARCHAR) AS s, st.dt, ret FROM st JOIN mk ON mk.dt = st.dt) SELECT a.s AS a, b.s AS b, count(*) AS n, round(covar_samp(a.ret, b.ret), 9) + 0.0 AS cov FROM sr a JOIN sr b ON b.dt = a.dt GROUP BY 1, 2")
 def reg10b(s, d):
-    g = md.gram(md.cross_sections(_series(s, d), "ret"))
+    g = md.gram(_series(s, d), "ret")
     return g.select("a", "b", "n", r((F.col("p") - F.col("sa") * F.col("sb") / F.col("n")) / (F.col("n") - 1), 9).alias("cov"))
 
 
@@ -120,8 +120,7 @@ def mod4b(s, d):
 
 @add("mod3_simulated_matches", None)
 def mod3(s, d):
-    x = _series(s, d).where("cast(series as int) < 10")
-    out = md.simulated_matches(x, "ret", "mkt", [0, 3], 20)
+    out = md.simulated_matches(_series(s, d), "ret", "mkt", [0, 3, 10], 20)
     return out.select("planted", "matched", *[r(c).alias(c) for c in ("low", "mid", "high", "real")])
 
 

@@ -62,6 +62,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that what several jobs read is computed once and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Catalog:
     """Field to table dictionary over named frames; a field in two tables is an error."""
 
