@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.core import by_entity, col, guarded, ratio
 from panelforge.operators.clean import event_windows
+from panelforge.operators.frames import framed, rating_kernel
 from panelforge.operators.ts import nav
 
 
@@ -20,27 +22,15 @@ def variants(df: DataFrame, x: str, windows: Sequence[int], *keys: str) -> DataF
     return signed.select("s.window", "sign", *keys, "dt", (F.col("sign") * F.col("s.v")).alias("value"))
 
 
-def _worst(returns: Column) -> Column:
-    """Deepest fall of the value that a short array of returns builds up from 1."""
-    start = F.struct(F.lit(1.0).alias("v"), F.lit(1.0).alias("top"), F.lit(0.0).alias("dd"))
-
-    def step(s: Column, r: Column) -> Column:
-        v = s["v"] * (1 + r)
-        top = F.greatest(s["top"], v)
-        return F.struct(v.alias("v"), top.alias("top"), F.least(s["dd"], v / F.nullif(top, F.lit(0.0)) - 1).alias("dd"))
-
-    return F.aggregate(returns, start, step, lambda s: s["dd"])
-
-
 def ratings(df: DataFrame, ret: str, rows: int, coverage: float = 0.95, *keys: str) -> DataFrame:
     """Over the trailing rows of each strategy: total (compound return), calm (total over the deepest fall) and sharpe
-    (mean over deviation); null where less than `coverage` of the rows have a return."""
-    w = by_entity(rows, *keys)
-    enough = F.count(ret).over(w) >= F.ceil(F.lit(rows * coverage))
-    total = F.product(1 + col(ret)).over(w) - 1
-    out = df.select(*keys, "dt", enough.alias("ok"), total.alias("total"), F.collect_list(ret).over(w).alias("__r"), ratio(F.avg(ret).over(w), F.stddev_samp(ret).over(w)).alias("sharpe"))
-    calm = ratio("total", -_worst(F.col("__r")))
-    return out.select(*keys, "dt", *[F.when(F.col("ok"), c).alias(n) for n, c in (("total", F.col("total")), ("calm", calm), ("sharpe", F.col("sharpe")))])
+    (mean over deviation); null where less than `coverage` of the rows have a return. The cost of a row doesn't grow with
+    the frame (frames.rating_kernel)."""
+    names = ("count", "total", "fall", "mean", "deviation")
+    out = framed(df.select(*keys, "dt", ret), ret, rows, rating_kernel, dict.fromkeys(names, "double"), *keys)
+    ok = F.col("count") >= math.ceil(rows * coverage)
+    calm, sharpe = ratio("total", -F.col("fall")), ratio("mean", "deviation")
+    return out.select(*keys, "dt", *[F.when(ok, c).alias(n) for n, c in (("total", F.col("total")), ("calm", calm), ("sharpe", sharpe))])
 
 
 def choose(graded: DataFrame, score: str, name: str, category: str, top: int, weigh: str = "equal") -> DataFrame:

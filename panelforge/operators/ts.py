@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.core import by_entity, col, corr, ffill, guarded, ratio
+from panelforge.operators.frames import framed, rank_kernel
 
 W = by_entity
 
@@ -58,12 +59,11 @@ def ts_argmin(df: DataFrame, x: str, n: int) -> DataFrame:
     return _age(df, x, n, -1, "argmin")
 
 
-def ts_rank(x: str, n: int) -> Column:
-    """Average rank of the newest of n values as a share of n. A row holds the n values of its window while it is
-    worked on: meant for windows of up to some hundreds of rows."""
-    held = F.collect_list(x).over(W(n))
-    below, same = F.size(F.filter(held, lambda v: v < col(x))), F.size(F.filter(held, lambda v: v == col(x)))
-    return F.when(F.count(x).over(W(n)) >= n, (below + (same + 1) / 2) / n)
+def ts_rank(df: DataFrame, x: str, n: int, *keys: str, name: str = "rank") -> DataFrame:
+    """Adds the average rank of the newest of n values as a share of n, where all n are there. The cost doesn't depend on n
+    (frames.counted_below)."""
+    keys = keys or ("entity",)
+    return framed(df, x, n, lambda v, m: {name: rank_kernel(v, m)["rank"]}, {name: "double"}, *keys)
 
 
 def ts_sum(x: str, n: int) -> Column:

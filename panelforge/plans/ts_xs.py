@@ -85,7 +85,7 @@ def ts7b(s, d):
 SELECT a.entity, a.dt, round(CASE WHEN count(*) >= 10 THEN (count(*) FILTER (WHERE b.close < a.close) + (count(*) FILTER (WHERE b.close = a.close) + 1) / 2.0) / 10.0 END, 6) + 0.0 AS value
 FROM n a JOIN n b ON b.entity = a.entity AND b.n BETWEEN a.n - 9 AND a.n GROUP BY a.entity, a.dt, a.close""")
 def ts8(s, d):
-    return t.px_d(s, d).select("entity", "dt", r(ts.ts_rank("close", 10)).alias("value"))
+    return ts.ts_rank(t.px_d(s, d).select("entity", "dt", "close"), "close", 10).select("entity", "dt", r("rank").alias("value"))
 
 
 _sm = [10, 20, 40, 80]
