@@ -10,6 +10,10 @@ What the tasks must know is when a word or a pair reached the threshold. That is
 a hash of the phrase, whatever the corpus. Phrases that share a place share the earlier step: some are counted that need
 not be, none is counted in part, since a place keeps its first step. Counts are keyed by the phrase itself.
 
+Most pairs of frequent words are rare, and would fill the table of counts. So the first cycle also adds up the pairs by
+hash alone, in 2**BUCKET_BITS places, and a pair waits until its place has reached the threshold, too: its own count
+can't have before. All places are added up when the first cycle ends, so no pair that reaches the threshold is missed.
+
 Defined results: a null text is empty, a null lang is `und`; documents without words add nothing; rows that repeat count
 one by one; ties are broken as stated at `collocations`; an empty table gives an empty result; other columns are
 ignored. A text of any length is worked on in blocks that share two words, so that no phrase is lost or counted twice.
@@ -27,17 +31,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import drop, mix, new_path, powers, read, small_batches, text_of, written
-from panelforge.llm.runs import CHUNK, LOWER, Runs, chunks, joined
+from panelforge.llm.runs import LOWER, Runs, chunks, joined
 
-SHARDS, LEAST, SHARE, TOP, BITS = 3, 10, 50, 2000, 24
+SHARDS, LEAST, SHARE, TOP, BITS, BUCKET_BITS = 3, 10, 50, 2000, 24, 25
+#: Places of a row of added-up pairs.
+ROW = 1 << 16
 NEVER = 255
+#: Bytes of text that a task works on at a time; its arrays take some fifty times as much.
+CHUNK = 4 << 20
 #: Bytes that end a piece, and bytes that end a word.
 PIECE_ENDS, WORD_ENDS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(WORD_ENDS)] = 1
 _KIND[list(PIECE_ENDS)] = 2
-_GRAMS = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("slot", pa.int32()), ("start", pa.int32()), ("f", pa.int64())])
-GRAMS = "lang string, words int, phrase string, slot int, start int, f long"
+_GRAMS = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("slot", pa.int32()), ("start", pa.int32()), ("f", pa.int64()), ("places", pa.binary()), ("counts", pa.binary())])
+#: Rows of phrases, and (words = PLACES, slot = row of places) of pairs by place.
+GRAMS, SCANNED, PLACES = "lang string, words int, phrase string, slot int, start int, f long", ", places binary, counts binary", -1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,12 +78,13 @@ def blocks(b: np.ndarray, ends: np.ndarray, size: int = CHUNK) -> tuple[np.ndarr
 
 @dataclass(frozen=True)
 class Scan:
-    """One step: which it is, and when the words and pairs of each place reached the threshold."""
+    """One step: which it is, and when the words, the pairs, and all pairs of a place reached the threshold."""
 
     step: int
     shards: int
     word_step: np.ndarray
     pair_step: np.ndarray
+    bucket_step: np.ndarray
     size: int = CHUNK
 
     def _live(self, start: np.ndarray) -> np.ndarray:
@@ -98,16 +108,21 @@ class Scan:
         fresh = place >= lead[runs.text]
         langs = pc.dictionary_encode(lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang)
         code = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[of][runs.text]
-        within = np.arange(len(runs.data)) - np.repeat(runs.at[:-1], runs.length)
+        within = np.arange(len(runs.data), dtype=np.int32) - np.repeat(runs.at[:-1].astype(np.int32), runs.length)
         salt = mix(np.array([hash_bytes(x) for x in langs.dictionary.to_pylist()], dtype=np.uint64))
-        h = mix(np.add.reduceat((runs.data.astype(np.uint64) + np.uint64(1)) * powers(int(runs.length.max()) + 1)[within], runs.at[:-1]) ^ salt[code])
+        value = powers(int(runs.length.max()) + 1)[within]
+        del within
+        value *= runs.data + np.uint64(1)
+        h = mix(np.add.reduceat(value, runs.at[:-1]) ^ salt[code])
+        del value
         at = lambda x, table: (x >> np.uint64(64 - int(np.log2(len(table))))).astype(np.int64)
         # a phrase is named by its last word
         reached = self.word_step[at(h, self.word_step)].astype(np.int32)
         pair_start = np.full(n, NEVER, np.int32)
-        pair_start[1:] = np.where(follows[1:], np.maximum(reached[1:], reached[:-1]), NEVER)
         pair_hash = np.zeros(n, np.uint64)
         pair_hash[1:] = mix(h[:-1] * _ODD + h[1:])
+        bucket = at(pair_hash, self.bucket_step)
+        pair_start[1:] = np.where(follows[1:], np.maximum(np.maximum(reached[1:], reached[:-1]), self.bucket_step[bucket[1:]]), NEVER)
         reached = np.where(follows, self.pair_step[at(pair_hash, self.pair_step)].astype(np.int32), NEVER)
         triple_start = np.full(n, NEVER, np.int32)
         triple_start[2:] = np.where(follows[2:] & follows[1:-1], np.maximum(reached[2:], reached[1:-1]), NEVER)
@@ -134,15 +149,20 @@ class Scan:
             parts = [spelled.take(pa.array(of_word[last - back])) for back in range(size - 1, -1, -1)]
             phrase = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
             slot = at(hashes[last], table) if hashes is not None else np.zeros(len(last), np.int64)
-            columns = [spoken.take(pa.array(of_word[last])), np.full(len(last), size), phrase, slot, start[last], count]
-            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _GRAMS, strict=True)], schema=_GRAMS)
+            return _rows(spoken.take(pa.array(of_word[last])), size, phrase, slot, start[last], count)
 
         if counts_words:
             new = np.flatnonzero(fresh)
             yield rows(1, new, of_word[new], np.zeros(n, np.int32), h, self.word_step)
             total = np.bincount(code[new], minlength=len(langs.dictionary))
-            k = len(total)
-            yield pa.RecordBatch.from_arrays([langs.dictionary.cast(pa.string()), pa.array([0] * k, pa.int32()), pa.array([""] * k), pa.array([0] * k, pa.int32()), pa.array([0] * k, pa.int32()), pa.array(total, pa.int64())], schema=_GRAMS)
+            yield _rows(langs.dictionary.cast(pa.string()), 0, pa.array([""] * len(total)), np.zeros(len(total)), np.zeros(len(total)), total)
+            place, count = np.unique(bucket[follows & fresh], return_counts=True)
+            row, first = np.unique(place // ROW, return_index=True)
+            ends = np.r_[first[1:], len(place)]
+            place, count = (place % ROW).astype(np.uint16), np.minimum(count, 255).astype(np.uint8)
+            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())
+            empty = pa.nulls(len(row), pa.string())
+            yield _rows(empty, PLACES, empty, row, np.zeros(len(row)), np.zeros(len(row)), cut(place), cut(count))
         if len(pair):
             yield rows(2, pair, of_word[pair - 1] * u + of_word[pair], pair_start, pair_hash, self.pair_step)
         if len(triple):
@@ -150,6 +170,13 @@ class Scan:
             yield rows(3, triple, head * u + of_word[triple], triple_start, None, self.pair_step)
 
 
+def _rows(lang: pa.Array, words: int, phrase: pa.Array, slot: np.ndarray, start: np.ndarray, f: np.ndarray, places: pa.Array | None = None, counts: pa.Array | None = None) -> pa.RecordBatch:
+    n = len(lang)
+    more = [places or pa.nulls(n, pa.binary()), counts or pa.nulls(n, pa.binary())]
+    numbers = [pa.array(np.asarray(x).astype(t)) for x, t in ((slot, np.int32), (start, np.int32), (f, np.int64))]
+    return pa.RecordBatch.from_arrays([lang, pa.array(np.full(n, words, np.int32)), phrase, *numbers, *more], schema=_GRAMS)
+
+
 def hash_bytes(text: str) -> int:
     """64-bit number of a language's name."""
     out = 1469598103934665603
@@ -169,46 +196,89 @@ def _noted(table: np.ndarray, rows: DataFrame, step: int) -> int:
     return len(maps)
 
 
-def frequent_phrases(docs: DataFrame, scratch: list[str], shards: int = SHARDS, least: int = LEAST, bits: int = BITS, size: int = CHUNK) -> DataFrame:
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by place, in order of their rows, to one row of counts each (255 stands for all above)."""
+    at, total = None, np.zeros(ROW, np.int64)
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])], names=["slot", "counts"])
+    for batch in batches:
+        for slot, places, counts in zip(*[batch.column(c) for c in ("slot", "places", "counts")], strict=True):
+            if slot.as_py() != at:
+                if at is not None:
+                    yield row()
+                at, total = slot.as_py(), np.zeros(ROW, np.int64)
+            n = np.frombuffer(counts.as_buffer(), np.uint8)
+            # a row of chunk's places has each once; one of sums has them all
+            total[np.frombuffer(places.as_buffer(), np.uint16) if places.is_valid else slice(None)] += n
+    if at is not None:
+        yield row()
+
+
+def _full(least: int):
+    """Rows of counts to the places of each that have reached the threshold, a bit each."""
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(c.as_buffer(), np.uint8) >= min(least, 255)).tobytes() for c in batch.column("counts")]
+            yield pa.RecordBatch.from_arrays([batch.column("slot"), pa.array(bits, pa.binary())], names=["slot", "bits"])
+
+    return full
+
+
+def frequent_phrases(docs: DataFrame, scratch: list[str], shards: int = SHARDS, least: int = LEAST, bits: int = BITS, size: int = CHUNK, bucket_bits: int = BUCKET_BITS) -> DataFrame:
     """lang, words (1 to 3), phrase, f of all phrases with f >= least; rows of 0 words have all words of a language in f.
 
-    Exact for any number of shards and bits; tables in the shared folder, whose paths are added to scratch."""
+    Exact for any number of shards and bits (at least 16 for buckets); tables in the shared folder, whose paths are added
+    to scratch."""
     if not 1 <= shards <= 80:
         raise ValueError("from 1 to 80 shards")  # steps are bytes
     spark = docs.sparkSession
     small_batches(spark)
+
+    def kept(df: DataFrame, name: str, by: str, held: list[str]) -> DataFrame:
+        path = new_path(spark, name)
+        held.append(path)
+        df.write.partitionBy(by).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     dealt = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
-    path = new_path(spark, "collocations-shards")
-    scratch.append(path)
-    dealt.write.partitionBy("shard").parquet(path)
-    texts = spark.read.schema(dealt.schema).parquet(path)
-    state_schema = GRAMS + ", reached int, over int"
-    word_step, pair_step = np.full(1 << bits, NEVER, np.uint8), np.full(1 << bits, NEVER, np.uint8)
-    live, done, held, step, last = None, [], [], 0, shards - 1
+    texts = kept(dealt, "collocations-shards", "shard", scratch)
+    word_step, pair_step, bucket_step = (np.full(1 << b, NEVER, np.uint8) for b in (bits, bits, bucket_bits))
+    live, places, done, step, last = None, None, [], 0, shards - 1
     while step <= last:
-        tables = spark.sparkContext.broadcast((word_step, pair_step))
+        tables = spark.sparkContext.broadcast((word_step, pair_step, bucket_step))
 
         def scan(batches: Iterator[pa.RecordBatch], step: int = step, tables=tables) -> Iterator[pa.RecordBatch]:
             now = Scan(step, shards, *tables.value, size)
             for table in chunks(batches, size):
                 yield from now.grams(table["lang"], table["text"])
 
-        counts = texts.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(scan, GRAMS).withColumn("reached", F.lit(None).cast("int"))
-        rows = counts if live is None else counts.unionByName(live)
+        found = texts.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(scan, GRAMS + SCANNED)
+        mine: list[str] = []
+        if step < shards:  # a cycle of added-up pairs, beside the phrases
+            found = kept(found.withColumn("kind", (F.col("words") == PLACES).cast("int")), f"collocations-scan{step}", "kind", mine)
+            new = found.where("kind = 1").select("slot", "places", "counts")
+            new = new if places is None else new.unionByName(places.select("slot", F.lit(None).cast("binary").alias("places"), "counts"))
+            places = written(new.repartition("slot").sortWithinPartitions("slot").mapInArrow(_added, "slot int, counts binary"), f"collocations-places{step}", scratch)
+            for r in places.mapInArrow(_full(least), "slot int, bits binary").collect():
+                now = bucket_step[r["slot"] * ROW : (r["slot"] + 1) * ROW]
+                reached = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8)).astype(bool) & (now == NEVER)
+                now[reached] = step + 1
+                last = max(last, step + shards) if reached.any() else last
+            found = found.where("kind = 0")
+        rows = found.select("lang", "words", "phrase", "slot", "start", "f", F.lit(None).cast("int").alias("reached"))
+        rows = rows if live is None else rows.unionByName(live)
         rows = rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"), F.min("slot").alias("slot"), F.min("start").alias("start"), F.min("reached").alias("reached"))
         rows = rows.withColumn("reached", F.coalesce("reached", F.when(F.col("f") >= least, step + 1)))
         rows = rows.withColumn("over", (F.col("start") + shards <= step + 1).cast("int")).where("over = 0 or words = 0 or f >= %d" % least)
-        path = new_path(spark, f"collocations-step{step}")
-        rows.write.partitionBy("over").parquet(path)
+        state = kept(rows, f"collocations-step{step}", "over", scratch)
         tables.destroy()
-        state = spark.read.schema(state_schema).parquet(path)
+        drop(spark, mine)
         new = state.where(F.col("reached") == step + 1)
         # what reached the threshold here starts longer phrases at the next step, and those take a cycle
         if _noted(word_step, new.where("words = 1"), step + 1) + _noted(pair_step, new.where("words = 2"), step + 1):
             last = max(last, step + shards)
         done.append(state.where("over = 1").select("lang", "words", "phrase", "f"))
         live = state.where("over = 0").select("lang", "words", "phrase", "slot", "start", "f", "reached")
-        scratch.append(path)
         step += 1
     out = done[0]
     for d in done[1:]:
