@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.core import by_entity, col
+from panelforge.operators.resample import next_trading_day
 
 
 def parse_yyyymmdd(x: Column | str, numeric: bool = True) -> Column:
@@ -41,10 +42,28 @@ def single_quarters(df: DataFrame, x: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.col("__n") == 4, col(x) - F.coalesce(F.lag(x).over(w.orderBy("dt")), F.lit(0.0)))).drop("__n")
 
 
+def laid_out(spans: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The columns of spans(first, last, ...) on each trading day dt from first to last; a null last is the calendar's end.
+
+    Both ends are moved to ranks of trading days by equal dates, and the ranks between them are written out: nothing is
+    joined by a range, and the rows made are those of the result. The calendar is one row per day."""
+    days = calendar.select("dt", F.row_number().over(Window.orderBy("dt")).alias("k"))
+    size = F.max("k").over(Window.partitionBy())
+    days = days.withColumn("size", size)
+    # ranks of all days of the calendar's years; a day before them has the first rank, one after them is past the end
+    at = next_trading_day(calendar, back=40_000).join(days, F.col("trading") == F.col("dt"))
+    start = spans.join(at.select(F.col("day").alias("first"), "k", "size"), "first")
+    ends = at.select(F.col("day").alias("last"), F.when(F.col("day") == F.col("trading"), F.col("k")).otherwise(F.col("k") - 1).alias("__end"))
+    out = start.join(ends, "last", "left").withColumn("__end", F.coalesce("__end", "size")).where("k <= __end")
+    out = out.withColumn("k", F.explode(F.sequence("k", "__end"))).drop("size", "__end")
+    return out.join(days.select("k", "dt"), "k").drop("k")
+
+
 def listing_grid(calendar: DataFrame, listed: DataFrame) -> DataFrame:
     """Every trading day of every entity from its listing on; `listed` is one row per entity and may be long, the
     calendar is one row per day."""
-    return listed.join(F.broadcast(calendar), F.col("dt") >= F.col("listdate")).select("entity", "dt", (F.col("dt") <= F.date_add("listdate", 365)).alias("young"))
+    spans = listed.select("entity", F.col("listdate").alias("first"), F.lit(None).cast("date").alias("last"))
+    return laid_out(spans, calendar).select("entity", "dt", (F.col("dt") <= F.date_add("first", 365)).alias("young"))
 
 
 def edge_flags(df: DataFrame, n: int) -> DataFrame:

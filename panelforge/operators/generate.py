@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.core import by_entity, col, ffill, ratio
+from panelforge.functions.registry import operator, register_operator
 from panelforge.operators import accounting as acc
 
 #: Indicators of one field: name, and what adds column `out` to a panel.
@@ -56,21 +57,32 @@ def quarterly_family(df: DataFrame, fields: Sequence[str], bases: Sequence[str],
     return named(one, "entity.field").unionByName(named(two, "entity.field", "entity.base"))
 
 
+def _of_one(f: Callable) -> Callable:
+    return lambda df, x, out, q=8: f(df, x, out, q)
+
+
+def _of_two(f: Callable) -> Callable:
+    return lambda df, x, y, out, q=8: f(df, x, y, out, q)
+
+
+for _name, _f in ONE.items():
+    register_operator(_name, _of_one(_f))
+for _name, _f in TWO.items():
+    register_operator(_name, _of_two(_f))
+
+
 def from_rows(df: DataFrame, rows: Iterable[dict]) -> DataFrame:
     """(indicator, entity, dt, value) of indicators that a sheet names: each row has type, name, numerator, denominator,
-    function and its span q. Functions are looked up, never evaluated; an unknown one is an error. The name of an
-    indicator is its type, two underscores and its name; numerator and denominator are signed sums of fields."""
+    function and its span q. Functions are those of functions.registry, the user's among them: looked up, checked, never
+    evaluated; an unknown one is an error. The name of an indicator is its type, two underscores and its name; numerator
+    and denominator are signed sums of fields."""
     made = []
     for row in rows:
-        out = f"{row['type']}__{row['name']}"
+        out, op = f"{row['type']}__{row['name']}", operator(row["function"])
         df = df.withColumn("__a", acc.equation(row["numerator"]))
-        if row["function"] in ONE:
-            df = ONE[row["function"]](df, "__a", out, row.get("q", 8))
-        elif row["function"] in TWO:
-            df = TWO[row["function"]](df.withColumn("__b", acc.equation(row["denominator"])), "__a", "__b", out, row.get("q", 8)).drop("__b")
-        else:
-            raise ValueError(f"no such function: {row['function']}")
-        df = df.drop("__a")
+        if op.inputs == 2:
+            df = df.withColumn("__b", acc.equation(row["denominator"]))
+        df = op.add(df, out, *("__a", "__b")[: op.inputs], q=row.get("q")).drop("__a", "__b")
         made.append(out)
     return df.unpivot(["entity", "dt"], made, "indicator", "value")
 

@@ -71,12 +71,13 @@ def as_of_daily(stmt: DataFrame, calendar: DataFrame, value: str, limit: int) ->
     return at.join(days, "k").select("entity", "dt", value)
 
 
-def next_trading_day(calendar: DataFrame) -> DataFrame:
-    """(day, trading): for each calendar day up to the last trading day the first trading day on or after it.
+def next_trading_day(calendar: DataFrame, back: int = 366) -> DataFrame:
+    """(day, trading): for each calendar day up to the last trading day, from `back` days before the first one on, the first
+    trading day on or after it.
 
     The calendar is one row per day, so its window is small by nature."""
     c = calendar.select(F.col("dt").alias("trading")).withColumn("before", F.lag("trading").over(Window.orderBy("trading")))
-    first = F.coalesce(F.date_add("before", 1), F.date_sub("trading", 366))
+    first = F.coalesce(F.date_add("before", 1), F.date_sub("trading", back))
     return c.select(F.explode(F.sequence(first, F.col("trading"))).alias("day"), "trading")
 
 

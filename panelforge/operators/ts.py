@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelforge.functions.core import by_entity, col, corr, ffill, guarded, ratio
+from panelforge.operators.clean import laid_out
 from panelforge.operators.frames import framed, rank_kernel
 
 W = by_entity
@@ -117,15 +118,38 @@ def rolling_beta(df: DataFrame, y: str, x: str, n: int, least: int | None = None
     """Adds beta and idio: regression of y on x over n rows of a dense calendar, where missing y count as the mean of
     those present (at least half, or `least`). idio is the deviation of the residuals with divisor n. All are differences
     of running sums, so errors are relative to the largest sum of an entity's history, not of the window."""
+    return _beta(_differences(df, {**_own_sums(y, x), **_market_sums(x)}, n, W()), n, least)
+
+
+def rolling_beta_on(df: DataFrame, market: DataFrame, y: str, x: str, n: int, least: int | None = None) -> DataFrame:
+    """(entity, dt, beta, idio) on each date of market(dt, x) from an entity's first row to its last: as rolling_beta over
+    all dates of the market, whose own sums are taken once and not once per entity."""
+    held = _differences(market.withColumn("entity", F.lit(0)), _market_sums(x), n, W()).drop("entity")
+    spans = df.groupBy("entity").agg(F.min("dt").alias("first"), F.max("dt").alias("last"))
+    grid = laid_out(spans, market.select("dt")).select("entity", "dt").join(df.select("entity", "dt", y), ["entity", "dt"], "left").join(held, "dt")
+    return _beta(_differences(grid, _own_sums(y, x), n, W()), n, least).select("entity", "dt", "beta", "idio")
+
+
+def _own_sums(y: str, x: str) -> dict[str, Column]:
     v = F.when(col(y).isNotNull(), col(x))
-    s = {"nv": F.count(y), "sy": F.sum(y), "sxy": F.sum(v * col(y)), "sxv": F.sum(v), "sx": F.sum(x), "sxx": F.sum(col(x) * col(x)), "syy": F.sum(col(y) * col(y)), "na": F.count(x)}
-    # running sums cost one addition a row; a sliding frame would add up n rows for each
-    upto = W().rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({f"__{k}": F.coalesce(a.over(upto), F.lit(0)) for k, a in s.items()})
-    df = df.withColumns({f"__{k}": F.col(f"__{k}") - F.coalesce(F.lag(f"__{k}", n).over(W()), F.lit(0)) for k in s})
+    return {"nv": F.count(y), "sy": F.sum(y), "sxy": F.sum(v * col(y)), "sxv": F.sum(v), "syy": F.sum(col(y) * col(y))}
+
+
+def _market_sums(x: str) -> dict[str, Column]:
+    return {"sx": F.sum(x), "sxx": F.sum(col(x) * col(x)), "na": F.count(x)}
+
+
+def _differences(df: DataFrame, sums: dict[str, Column], n: int, w: WindowSpec) -> DataFrame:
+    """Adds __k, the sum k over n rows. Running sums cost one addition a row; a sliding frame would add up n for each."""
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"__{k}": F.coalesce(a.over(upto), F.lit(0)) for k, a in sums.items()})
+    return df.withColumns({f"__{k}": F.col(f"__{k}") - F.coalesce(F.lag(f"__{k}", n).over(w), F.lit(0)) for k in sums})
+
+
+def _beta(df: DataFrame, n: int, least: int | None) -> DataFrame:
     mean = ratio("__sy", "__nv")
     num, den = F.col("__sxy") - mean * F.col("__sxv"), F.col("__sxx") - F.col("__sx") * F.col("__sx") / n
     full = (F.col("__na") >= n) & (F.col("__nv") >= (n // 2 if least is None else least))
     beta = F.when(full, ratio(num, den))
     idio = F.sqrt(F.greatest(F.lit(0.0), (F.col("__syy") - F.col("__nv") * mean * mean - beta * num) / n))
-    return df.withColumns({"beta": beta, "idio": F.when(beta.isNotNull(), idio)}).drop(*[f"__{k}" for k in s])
+    return df.withColumns({"beta": beta, "idio": F.when(beta.isNotNull(), idio)}).drop(*[c for c in df.columns if c in {f"__{k}" for k in ("nv", "sy", "sxy", "sxv", "syy", "sx", "sxx", "na")}])

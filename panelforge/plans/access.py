@@ -94,6 +94,41 @@ def src7(s, d):
     return t.delimited(s, path, "c_custkey long, c_name string, c_acctbal double")
 
 
+# files with two descriptor rows under the header, in a one-byte encoding whose letters UTF-8 spells otherwise
+@add("src7_described_files", "SELECT c_custkey, 'é' || c_name AS c_name, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal FROM customer")
+def src7b(s, d):
+    path = t.scratch(s, "src7b")
+    c = t.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), F.concat(F.lit("é"), "c_name").alias("c_name"), F.when(F.col("c_custkey") % 7 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal"))
+    # one file a nation, so that every file has its own header and descriptors
+    rows = c.withColumn("part", F.pmod(F.col("c_custkey").cast("long"), F.lit(5))).withColumn("place", F.lit(2))
+    described = s.createDataFrame([(a, b, e, p, i) for p in range(5) for i, (a, b, e) in enumerate((("customer", "name", "balance"), ("number", "text é", "money")))], "c_custkey string, c_name string, c_acctbal string, part long, place int")
+    lines = rows.unionByName(described).repartition(5, "part").sortWithinPartitions("part", "place")
+    lines.select("c_custkey", "c_name", "c_acctbal", "part").write.partitionBy("part").option("sep", "|").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return t.delimited(s, f"{path}/part=*", "c_custkey long, c_name string, c_acctbal double", "|", "ISO-8859-1", skip=2)
+
+
+# the dictionary of fields: where each is found, and what each table holds
+@add("cat1_field_owners", "SELECT column_name AS field, table_name AS owner FROM information_schema.columns WHERE table_name IN ('supplier', 'customer', 'part') AND column_name NOT IN ('s_suppkey', 'c_custkey', 'p_partkey')")
+def cat1(s, d):
+    return _catalog(s, d).owners()
+
+
+def _catalog(s, d):
+    key = {"supplier": "s_suppkey", "customer": "c_custkey", "part": "p_partkey"}
+    return t.Catalog({n: t.table(s, d, n).withColumnRenamed(k, "k") for n, k in key.items()}, ["k"])
+
+
+_TYPES = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END"
+
+
+@add("cat3_column_listing", f"""SELECT table_name AS "table", column_name AS field, {_TYPES} AS type, CAST(ordinal_position - 1 AS INTEGER) AS place, CASE WHEN column_name LIKE '%key' THEN 'key' END AS category
+FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part')""")
+def cat3(s, d):
+    frames = {n: t.table(s, d, n) for n in ("region", "nation", "customer", "supplier", "part")}
+    keys = sorted({c for df in frames.values() for c in df.columns if c.endswith("key")})
+    return ac.column_listing(frames, s.createDataFrame([(k, "key") for k in keys], "field string, category string")).select("table", "field", "type", "place", "category")
+
+
 @add("src8_column_store", f"WITH {PXD} SELECT entity, dt, close, volume FROM px_d")
 def src8(s, d):
     path = t.scratch(s, "src8")

@@ -114,12 +114,12 @@ s AS (SELECT entity, dt, count(ret) OVER {we(60)} AS nv, sum(ret) OVER {we(60)}
   sum(CASE WHEN ret IS NOT NULL THEN mkt END) OVER {we(60)} AS sxv, sum(mkt) OVER {we(60)} AS sx, sum(mkt * mkt) OVER {we(60)} AS sxx,
   sum(ret * ret) OVER {we(60)} AS syy, count(mkt) OVER {we(60)} AS na FROM g),
 b AS (SELECT *, CASE WHEN na >= 60 AND nv >= 10 THEN (sxy - sy / nullif(nv, 0) * sxv) / nullif(sxx - sx * sx / 60, 0) END AS beta FROM s)
-SELECT entity, dt, round(beta, 5) + 0.0 AS beta, round(CASE WHEN beta IS NOT NULL THEN sqrt(greatest(0, (syy - nv * (sy / nullif(nv, 0)) * (sy / nullif(nv, 0)) - beta * (sxy - sy / nullif(nv, 0) * sxv)) / 60)) END, 5) + 0.0 AS idio FROM b""")
+SELECT entity, dt, round(beta, 5) + 0.0 AS beta, round(CASE WHEN beta IS NOT NULL THEN sqrt(greatest(0, (syy - nv * (sy / nullif(nv, 0)) * (sy / nullif(nv, 0)) - beta * (sxy - sy / nullif(nv, 0) * sxv)) / 60)) END, 5) + 0.0 AS idio FROM b
+JOIN (SELECT entity, min(dt) AS first, max(dt) AS last FROM ret_d GROUP BY 1) USING (entity) WHERE dt BETWEEN first AND last""")
 def reg3(s, d):
     px = t.ret_d(s, d).select("entity", "dt", "ret")
     mk = px.where(F.col("ret").isNotNull()).groupBy("dt").agg(F.round(F.avg("ret"), 8).alias("mkt"))
-    grid = px.select("entity").distinct().crossJoin(F.broadcast(mk)).join(px, ["entity", "dt"], "left")
-    out = ts.rolling_beta(grid, "ret", "mkt", 60, least=10)
+    out = ts.rolling_beta_on(px, mk, "ret", "mkt", 60, least=10)
     return out.select("entity", "dt", r("beta", 5).alias("beta"), r("idio", 5).alias("idio"))
 
 

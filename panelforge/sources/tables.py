@@ -18,11 +18,6 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def jdbc_table(spark: SparkSession, url: str, name: str, column: str, lower, upper, parts: int, **options: str) -> DataFrame:
-    """A database table, read in parallel by ranges of a column; credentials come with the options."""
-    return spark.read.jdbc(url, name, column=column, lowerBound=lower, upperBound=upper, numPartitions=parts, properties=options)
-
-
 def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t", encoding: str = "UTF-8", skip: int = 0) -> DataFrame:
     """A text table with a header and `skip` descriptor rows under it; fields that don't fit the schema are null.
 
@@ -81,6 +76,11 @@ class Catalog:
                         raise ValueError(f"field {c} is in {self.owner[c]} and {name}")
                     self.owner[c] = name
 
+    def owners(self) -> DataFrame:
+        """(field, owner) of all fields."""
+        spark = next(iter(self.frames.values())).sparkSession
+        return spark.createDataFrame(sorted(self.owner.items()), "field string, owner string")
+
     def fields(self, *names: str) -> DataFrame:
         """The keys and fields, from an inner join of the tables that own them."""
         owners = list(dict.fromkeys(self.owner[n] for n in names))

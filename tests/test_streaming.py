@@ -45,3 +45,31 @@ def test_streamed_signals_are_those_of_the_whole(spark, tmp_path):
         append_signals(stream, at["panel"], at["signals"], at["state"], "x", 4).awaitTermination(120)
     got = sorted(tuple(r)[:3] for r in spark.read.parquet(at["signals"]).select("entity", "dt", "signal").collect())
     assert got == sorted(tuple(r) for r in signal(whole, "x", 3).select("entity", "dt", "signal").collect()) and len(got) > 100
+
+
+def test_late_rows_change_the_dates_that_they_touch(spark, tmp_path):
+    """Batches in any order, late rows of old dates, a date that reaches the least number of rows late, one batch twice."""
+    import datetime as dt
+    import random
+
+    from panelforge.operators.xs import signal
+    from panelforge.streaming.append import grow_signals
+
+    r = random.Random(4)
+    days = [dt.date(2021, 1, 1) + dt.timedelta(days=2 * i) for i in range(12)]
+    rows = [(e, d, None if r.random() < 0.1 else r.gauss(0, 1)) for d in days for e in range(7)]
+    late = [(9, days[3], 0.3), (8, days[3], 5.0), (8, days[7], -1.0)]
+    thin = [x for x in rows if x[1] == days[5]]
+    batches = [[x for x in rows if x[1] < days[5]], [x for x in rows if x[1] > days[8]], thin[:2], [x for x in rows if days[5] < x[1] <= days[8]], late, thin[2:], [], [(1, None, 1.0)]]
+    panel, signals = str(tmp_path / "panel"), str(tmp_path / "signals")
+    frame = lambda b: spark.createDataFrame(b, "entity int, dt date, x double")
+    seen = []
+    for i, b in enumerate(batches):
+        seen += b
+        for _ in range(2 if i in (3, 4) else 1):
+            wrote = grow_signals(frame(b), i, panel, signals, "x", 4)
+        got = sorted((x["entity"], x["dt"], round(x["signal"], 9)) for x in spark.read.parquet(signals).collect())
+        want = sorted((x["entity"], x["dt"], round(x["signal"], 9)) for x in signal(frame([x for x in seen if x[1]]), "x", 3).collect())
+        assert got == want
+        assert len(wrote) <= 2 * len({x[1] for x in b})
+    assert len(got) > 60
