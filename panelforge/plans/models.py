@@ -70,15 +70,39 @@ def _series(s, d):
     return _st(s, d).join(_factors(s, d).select("dt", "mkt"), "dt").select(F.col("industry").cast("string").alias("series"), "dt", "ret", "mkt")
 
 
-# spectral, or of whole matrices: checked against numpy in tests/test_models.py
-@add("reg9_spanning_test", None)
-def reg9(s, d):
+def _spanning_sql(assets: int) -> str:
+    """The table of moments of factors, assets and 1 is reduced a variable at a time; what is left of the 1 after the
+    factors, and after the assets too, gives the F. With an even number of assets its tail is a finite sum."""
+    names = ["mkt", "smb", *[f"a{i}" for i in range(assets)], "1.0"]
+    wide = ", ".join(f"max(CASE WHEN sector = {i} THEN ret END) AS a{i}" for i in range(assets))
+    full = " AND ".join(f"a{i} IS NOT NULL" for i in range(assets))
+    long = ", ".join(f"({i}, {c})" for i, c in enumerate(names))
+    out = f"""WITH {_ST}, sc AS (SELECT sector, dt, avg(rm) AS ret FROM x GROUP BY 1, 2), wd AS (SELECT w.*, mkt, smb FROM (SELECT dt, {wide} FROM sc GROUP BY dt) w JOIN mk ON mk.dt = w.dt JOIN sz ON sz.dt = w.dt WHERE smb IS NOT NULL AND {full}),
+lo AS (SELECT dt, i, v FROM wd, LATERAL (VALUES {long}) AS t(i, v)), m0 AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM lo a JOIN lo b ON b.dt = a.dt GROUP BY 1, 2)"""
+    for k in range(len(names) - 1):
+        out += f", m{k + 1} AS (SELECT a.i, a.j, a.v - b.v * c.v / p.v AS v FROM m{k} a JOIN m{k} b ON b.i = a.i AND b.j = {k} JOIN m{k} c ON c.i = {k} AND c.j = a.j JOIN m{k} p ON p.i = {k} AND p.j = {k} WHERE a.i > {k} AND a.j > {k})"
+    last = len(names) - 1
+    return out + f", f AS (SELECT (SELECT count(*) FROM wd) AS n, ((SELECT v FROM m2 WHERE i = {last} AND j = {last}) / (SELECT v FROM m{last}) - 1) AS g)"
+
+
+def _spanning(s, d, assets):
     sectors = _x(s, d).groupBy("sector", "dt").agg(F.avg("rm").alias("ret"))
     wide = sectors.groupBy("dt").pivot("sector", [0, 1, 2, 3, 4]).agg(F.first("ret")).join(_factors(s, d), "dt")
     wide = wide.select("dt", "mkt", "smb", *[F.col(str(i)).alias(f"a{i}") for i in range(5)])
-    return md.spanning_test(wide.withColumn("study", F.lit("sectors")), ["a0", "a1", "a2", "a3"], ["mkt", "smb"], "study").select("study", "n", r("f").alias("f"), r("p").alias("p"))
+    return md.spanning_test(wide.withColumn("study", F.lit("sectors")), [f"a{i}" for i in range(assets)], ["mkt", "smb"], "study")
+
+
+@add("reg9_spanning_test", _spanning_sql(4) + " SELECT 'sectors' AS study, n, round((n - 6) / 4.0 * g, 6) AS f, round(pow(1 / (1 + g), (n - 6) / 2.0) * (1 + (n - 6) / 2.0 * (1 - 1 / (1 + g))), 6) AS p FROM f")
+def reg9(s, d):
+    return _spanning(s, d, 4).select("study", "n", r("f").alias("f"), r("p").alias("p"))
+
+
+@add("reg9_spanning_test_all_sectors", _spanning_sql(5) + " SELECT 'sectors' AS study, n, round((n - 7) / 5.0 * g, 5) AS f FROM f")
+def reg9b(s, d):
+    return _spanning(s, d, 5).select("study", "n", r("f", 5).alias("f"))
 
 
+# spectral: checked against numpy in tests/test_models.py
 @add("reg10_principal_components", None)
 def reg10(s, d):
     x = _series(s, d)
