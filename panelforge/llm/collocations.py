@@ -59,8 +59,9 @@ def blocks(b: np.ndarray, ends: np.ndarray, size: int = CHUNK) -> tuple[np.ndarr
     parts, text, seen = [], [], []
     for i in range(len(ends) - 1):
         at, stop, lead = int(ends[i]), int(ends[i + 1]), 0
+        cut = at
         while True:
-            cut = min(at + size, stop)
+            cut = min(cut + size, stop)  # so many new bytes, however long the two words before them are
             while cut < stop and not (gap := np.flatnonzero(_KIND[b[cut : cut + 4096]])).size:
                 cut = min(cut + 4096, stop)
             cut += int(gap[0]) if cut < stop else 0
@@ -302,14 +303,14 @@ def first_by(df: DataFrame, key: str, least: int, *order: Column, deal: Column,
     return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= least)
 
 
-def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, share: int = SHARE, shards: int = SHARDS, bits: int = BITS, scratch: list[str] | None = None) -> DataFrame:
+def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, share: int = SHARE, shards: int = SHARDS, bits: int = BITS, bucket_bits: int = BUCKET_BITS, scratch: list[str] | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first phrases of two or three words, by score and a
     descending and the phrase ascending.
 
     The cut with the lowest score counts, of equal ones the first. A pair inside a triple that has at least `share`
     hundredths of its occurrences goes, whether or not the triple stays."""
     mine: list[str] = []
-    f = written(frequent_phrases(docs, mine, shards, least, bits), "collocations-counts", mine)
+    f = written(frequent_phrases(docs, mine, shards, least, bits, bucket_bits=bucket_bits), "collocations-counts", mine)
     n = f.where("words = 0").groupBy("lang").agg(F.sum("f").alias("n"))
     phrases = f.where("words > 1").select("lang", "words", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     sub = lambda i, k: F.array_join(F.slice("w", i, k), " ")

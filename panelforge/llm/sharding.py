@@ -95,9 +95,10 @@ class SlotMap:
         return self if tuple(shard_of) == self.shard_of else SlotMap(self.version + 1, self.shards, tuple(shard_of))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Append this version to a table; versions that are there stay."""
-        rows = [(self.version, self.shards, i, s) for i, s in enumerate(self.shard_of)]
-        spark.createDataFrame(rows, "version int, shards int, slot int, shard int").coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Add this version to a table; versions that are there stay, and one that is there already is an error, so that of
+        two writers of one version the second fails and has to read the first one's map."""
+        rows = [(self.shards, i, s) for i, s in enumerate(self.shard_of)]
+        spark.createDataFrame(rows, "shards int, slot int, shard int").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -105,6 +106,8 @@ class SlotMap:
         table = spark.read.parquet(path)
         v = table.agg(F.max("version")).first()[0] if version is None else version
         rows = sorted(table.where(F.col("version") == v).select("slot", "shard", "shards").collect())
+        if [r["slot"] for r in rows] != list(range(len(rows))):
+            raise ValueError(f"version {v} of {path} isn't whole")
         return SlotMap(v, rows[0]["shards"], tuple(r["shard"] for r in rows))
 
 

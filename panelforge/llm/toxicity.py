@@ -9,8 +9,10 @@ the posteriors alone. Labels propose voters and set one number, the level that t
 The classifier is fitted on at most `limit` labelled rows (the ones with the least hash of their id); at most MINED
 voters are proposed; scoring covers every word of every row. Texts stay on the executors: the driver gets counts of
 terms and the votes of the training rows. Defined results: a null or empty text has the score of the intercept alone;
-null doc_ids are never in the training rows and not held out; repeated rows get equal scores; without labels of both
-classes the stated lexicon alone decides; empty tables give empty results; other columns are ignored.
+null doc_ids are never in the training rows and not held out; repeated rows get equal scores; empty tables give empty
+results; other columns are ignored. Without labels of both classes the same label model and classifier are fitted on
+`limit` rows of the documents (the ones with the least hash of their text), twice: first with the stated lexicon and the
+patterns, then with the terms too that the first posteriors propose; the posteriors set the level.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import read, small_batches, text_of, written
+from panelforge.llm.common import drop, read, small_batches, text_of, written
 
 #: Common insults, as voters of their own.
 LEXICON = (
@@ -192,13 +194,18 @@ class ToxicityModel:
 
 
 def fit(terms: list[str], votes: np.ndarray, label: np.ndarray) -> ToxicityModel:
-    """The label model weighs the votes, a logistic regression learns its posteriors, the labels set the level."""
+    """The label model weighs the votes, a logistic regression learns its posteriors, the labels set the level; where
+    there are not both labels, the posteriors do, and where they find nothing toxic, or there are no rows, nothing does."""
     stated = Voters(terms).stated
-    if not len(votes) or not 0 < label.sum() < len(label):
-        return ToxicityModel(terms, np.r_[np.zeros(votes.shape[1]), 6.0, 0.0], -2.0)
+    if not len(votes):
+        return ToxicityModel(terms, np.zeros(votes.shape[1] + 2), -5.0)
     posterior, _, _ = label_model(votes)
     x = features(votes, stated)
     w, b = logistic(x, posterior)
+    if not 0 < label.sum() < len(label):
+        label = (posterior >= 0.5).astype(float)
+    if not 0 < label.sum() < len(label):
+        return ToxicityModel(terms, w, b)
     return ToxicityModel(terms, w, b - level(x @ w + b, label) + float(np.log(THRESHOLD / (1 - THRESHOLD))))
 
 
@@ -237,13 +244,8 @@ def mine(rows: DataFrame, toxic: int, clean: int, most: int = MINED) -> list[str
     return [r["term"] for r in found.orderBy(F.desc("gain"), "term").limit(most).collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> ToxicityModel:
-    """Three passes over the bounded training rows: their labels, their terms, their votes."""
-    small_batches(docs.sparkSession)
-    rows = written(training_rows(docs, labels, "toxic", ~held_out(3, 1), limit), "toxicity-rows")
-    sizes = {int(r["y"]): r["n"] for r in rows.groupBy((F.col("label") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    mined = mine(rows, sizes.get(1, 0), sizes.get(0, 0)) if len(sizes) == 2 else []
-    terms = list(dict.fromkeys([*LEXICON, *mined]))
+def _votes(rows: DataFrame, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(votes, labels) of the training rows, in an order of their own."""
     voters = Voters(terms)
 
     @F.pandas_udf("array<int>")
@@ -255,7 +257,31 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> ToxicityMod
     votes = np.zeros((len(got), voters.size))
     for i, r in enumerate(got):
         votes[i, r["at"]] = 1
-    return fit(terms, votes, np.array([float(r["label"] > 0) for r in got]))
+    return votes, np.array([float(r["label"] > 0) for r in got])
+
+
+def _sizes(rows: DataFrame) -> dict[int, int]:
+    return {int(r["y"]): r["n"] for r in rows.groupBy((F.col("label") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> ToxicityModel:
+    """Three passes over the bounded training rows: their labels, their terms, their votes."""
+    spark, scratch = docs.sparkSession, []
+    small_batches(spark)
+    rows = written(training_rows(docs, labels, "toxic", ~held_out(3, 1), limit), "toxicity-rows", scratch)
+    sizes, terms = _sizes(rows), list(LEXICON)
+    if len(sizes) < 2:
+        # what the stated voters make of any rows stands in for labels, to propose further voters
+        texts = docs.select(text_of().alias("text")).distinct()
+        some = written(texts.orderBy(F.xxhash64("text"), "text").limit(limit).withColumn("label", F.lit(0)), "toxicity-rows", scratch)
+        first = fit(terms, *_votes(some, terms))
+        rows = written(some.withColumn("label", (toxicity_score(spark, first)("text") >= THRESHOLD).cast("int")), "toxicity-rows", scratch)
+        sizes = _sizes(rows)
+    if len(sizes) == 2:
+        terms = list(dict.fromkeys([*terms, *mine(rows, sizes[1], sizes[0])]))
+    out = fit(terms, *_votes(rows, terms))
+    drop(spark, scratch)
+    return out
 
 
 def toxicity_score(spark: SparkSession, model: ToxicityModel):

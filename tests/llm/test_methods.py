@@ -289,6 +289,14 @@ def test_shards_against_brute_force(spark, tmp_path):
     assert edited.version == table.version + 1 and 0 < sum(a != b for a, b in zip(table.shard_of, edited.shard_of, strict=True)) < 40
 
 
+def test_a_version_is_written_once(spark, tmp_path):
+    path = str(tmp_path / "map")
+    sharding.SlotMap.even(16, 4).save(spark, path)
+    with pytest.raises(Exception, match="exist"):
+        sharding.SlotMap(1, 4, (0,) * 16).save(spark, path)
+    assert sharding.SlotMap.load(spark, path) == sharding.SlotMap.even(16, 4)
+
+
 def test_rebalancing_moves_little():
     rng = random.Random(5)
     weight = [rng.randint(0, 1000) for _ in range(512)]

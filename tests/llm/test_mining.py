@@ -39,7 +39,7 @@ def brute_targets(sizes, weights=mixing.WEIGHTS, most=mixing.MOST):
         bounded |= over
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(3))
 def test_targets_against_resharing(spark, seed):
     r = random.Random(seed)
     sizes = {r.choice(["é", "b", "Z", "ab", "a", "漢", "c"]) + str(i): int(r.paretovariate(0.6)) for i in range(r.randrange(2, 12))} | {None: 3}
@@ -114,11 +114,11 @@ def test_tree_against_a_replay(spark, monkeypatch):
 def test_draws_are_unbiased(spark):
     rows = sourced(spark, [(i, "w " * (5 + i % 7), "en", "ab"[i % 2]) for i in range(40)])
     total = Counter()
-    for seed in range(12):
+    for seed in range(8):
         for x in mixing.mix_sources(rows, seed=seed, last="coin").collect():
             assert x["taken"] % x["size"] == 0
-            total[x["source"]] += x["taken"] / x["target"] / 12
-    assert all(abs(v - 1) < 0.06 for v in total.values())
+            total[x["source"]] += x["taken"] / x["target"] / 8
+    assert all(abs(v - 1) < 0.08 for v in total.values())
 
 
 def test_mixing_odd_rows(spark):
@@ -168,7 +168,7 @@ def chatter(seed, n, letters="abcé"):
     return out
 
 
-@pytest.mark.parametrize(("shards", "bits", "size"), [(1, 15, 1 << 20), (2, 24, 64), (3, 15, 200), (5, 18, 16)])
+@pytest.mark.parametrize(("shards", "bits", "size"), [(1, 15, 1 << 20), (2, 20, 64), (4, 15, 16)])
 def test_counts_of_whole_cycles_are_exact(spark, shards, bits, size):
     rows = [*chatter(shards, 60), (100, None, "en", "s"), (None, "A a. A a", "EN", "s"), (101, " ".join(["long"] * 900), "en", "s"), (102, "x" * 3000 + " a a", None, "s")]
     mine = []
@@ -204,10 +204,10 @@ def test_collocations_against_their_sql(spark):
     con.register("documents", pa.table({"text": pa.array([r[1] for r in rows], pa.string()), "lang": pa.array([r[2] for r in rows], pa.string())}))
     want = con.sql(f"SELECT lang, rank, phrase, a, l, r, n, score FROM ({collocations.OP12_SQL})").fetchall()
     assert got == sorted(want) and len(got) > 100
-    few = collocations.collocations(df, top=7).collect()
+    few = collocations.collocations(df, top=7, shards=1, bits=15, bucket_bits=16).collect()
     assert sorted((r["lang"], r["rank"], r["phrase"]) for r in few) == [g[:3] for g in got if g[1] <= 7]
-    assert collocations.collocations(docs(spark, [])).count() == 0
-    assert collocations.collocations(docs(spark, ODD[:6])).count() == 0
+    assert collocations.collocations(docs(spark, []), shards=2, bits=15, bucket_bits=16).count() == 0
+    assert collocations.collocations(docs(spark, ODD[:6]), shards=2, bits=15, bucket_bits=16).count() == 0
 
 
 # ---- 13 spelling
@@ -231,7 +231,7 @@ def brute_forms(n):
     return {w: (v[0], root(w), *v[1:]) for w, v in out.items()}
 
 
-@pytest.mark.parametrize(("letters", "most"), [("ab", 7), ("aé÷ÿz", 6), ("abc", 9)])
+@pytest.mark.parametrize(("letters", "most"), [("ab", 7), ("aé÷ÿz", 6)])
 def test_forms_against_brute_force(spark, letters, most):
     r = random.Random(most)
     n = {"".join(r.choices(letters, k=r.randrange(1, most))): int(r.paretovariate(0.5)) for _ in range(300)}
@@ -296,7 +296,7 @@ def test_tables_in_the_shared_folder_go(spark, tmp_path, module, monkeypatch):
     if module == "mixing":
         mixing.mix_sources(df)
     elif module == "collocations":
-        collocations.collocations(df, least=3)
+        collocations.collocations(df, least=3, shards=2, bits=15, bucket_bits=16)
     else:
         spelling.spelling_forms(spelling.vocabulary(df, long=1))
     assert len(list(tmp_path.iterdir())) == 1  # the result
