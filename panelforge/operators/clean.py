@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.core import by_entity, col
 from panelforge.operators.resample import next_trading_day
+from panelforge.sources.tables import stored
 
 
 def parse_yyyymmdd(x: Column | str, numeric: bool = True) -> Column:
@@ -48,10 +49,9 @@ def laid_out(spans: DataFrame, calendar: DataFrame) -> DataFrame:
     Both ends are moved to ranks of trading days by equal dates, and the ranks between them are written out: nothing is
     joined by a range, and the rows made are those of the result. The calendar is one row per day."""
     days = calendar.select("dt", F.row_number().over(Window.orderBy("dt")).alias("k"))
-    size = F.max("k").over(Window.partitionBy())
-    days = days.withColumn("size", size)
+    days = stored(days.withColumn("size", F.max("k").over(Window.partitionBy())), "calendar")  # read four times
     # ranks of all days of the calendar's years; a day before them has the first rank, one after them is past the end
-    at = next_trading_day(calendar, back=40_000).join(days, F.col("trading") == F.col("dt"))
+    at = next_trading_day(days, back=40_000).join(days, F.col("trading") == F.col("dt"))
     start = spans.join(at.select(F.col("day").alias("first"), "k", "size"), "first")
     ends = at.select(F.col("day").alias("last"), F.when(F.col("day") == F.col("trading"), F.col("k")).otherwise(F.col("k") - 1).alias("__end"))
     out = start.join(ends, "last", "left").withColumn("__end", F.coalesce("__end", "size")).where("k <= __end")

@@ -32,8 +32,13 @@ def monthly_bars(px: DataFrame) -> DataFrame:
         F.sum("volume").alias("volume"), F.min_by("close", "dt").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", "dt").alias("close"), (F.sum(F.round(F.col("amount") * 100).cast("long")).cast("double") / 100.0).alias("amount"), F.max("dt").alias("trd_dt"),
     )
-    out = densify(bars, month_grid(bars), "entity", "month_end")
+    # each bar is followed by the empty months up to the next one: the bars are made once, and one window sees them
     w = by_entity(None, "entity", order="month_end")
+    start = F.trunc("month_end", "month")
+    until = F.coalesce(F.add_months(F.trunc(F.lead("month_end").over(w), "month"), -1), start)
+    out = bars.withColumn("__until", until).withColumn("__month", F.explode(F.sequence(start, "__until", F.expr("interval 1 month"))))
+    here = F.col("__month") == start
+    out = out.select("entity", F.last_day("__month").alias("month_end"), *[F.when(here, F.col(c)).alias(c) for c in bars.columns if c not in ("entity", "month_end")])
     out = out.withColumn("__last", ffill("close", w))
     out = out.withColumn("ret_m", F.when(F.col("close").isNotNull(), ratio("close", F.lag("__last").over(w)) - 1)).drop("__last")
     return out.withColumn("ret_1m", F.lead("ret_m").over(w))

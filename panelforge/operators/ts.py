@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.core import by_entity, col, corr, ffill, guarded, ratio
 from panelforge.operators.clean import laid_out
 from panelforge.operators.frames import framed, rank_kernel
+from panelforge.sources.tables import stored
 
 W = by_entity
 
@@ -124,9 +125,9 @@ def rolling_beta(df: DataFrame, y: str, x: str, n: int, least: int | None = None
 def rolling_beta_on(df: DataFrame, market: DataFrame, y: str, x: str, n: int, least: int | None = None) -> DataFrame:
     """(entity, dt, beta, idio) on each date of market(dt, x) from an entity's first row to its last: as rolling_beta over
     all dates of the market, whose own sums are taken once and not once per entity."""
-    held = _differences(market.withColumn("entity", F.lit(0)), _market_sums(x), n, W()).drop("entity")
+    held = stored(_differences(market.withColumn("entity", F.lit(0)), _market_sums(x), n, W()).drop("entity"), "market")
     spans = df.groupBy("entity").agg(F.min("dt").alias("first"), F.max("dt").alias("last"))
-    grid = laid_out(spans, market.select("dt")).select("entity", "dt").join(df.select("entity", "dt", y), ["entity", "dt"], "left").join(held, "dt")
+    grid = laid_out(spans, held.select("dt")).select("entity", "dt").join(df.select("entity", "dt", y), ["entity", "dt"], "left").join(held, "dt")
     return _beta(_differences(grid, _own_sums(y, x), n, W()), n, least).select("entity", "dt", "beta", "idio")
 
 

@@ -233,7 +233,7 @@ _OLS = """SELECT {k}, n, round(my - beta * mx, 6) + 0.0 AS alpha, round(beta, 5)
 
 
 def _mk(s, d):
-    x = _x(s, d)
+    x = t.stored(_x(s, d), "panel")  # read by the rows and by their market
     return x.join(F.broadcast(x.groupBy("dt").agg(F.avg("ret_m").alias("mkt"))), "dt")
 
 
@@ -423,9 +423,11 @@ def pf6(s, d):
 _NET = _COST + """, gr AS (SELECT book.dt, sum(weight * coalesce(ret_1m, 0)) AS gross FROM book JOIN x ON x.dt = book.dt AND x.entity = book.entity GROUP BY 1), nt AS (SELECT gr.dt, gross, gross - coalesce(cost, 0) AS net FROM gr LEFT JOIN ct ON ct.dt = gr.dt)"""
 
 
-def _net(s, d):
-    b = _book(s, d)
-    return pf.book_returns(b, _x(s, d), "ret_1m", pf.trading_costs(pf.orders(b)))
+def _net(s, d, x=None):
+    # the panel is read by the book and the returns, the book by the orders and the returns
+    x = t.stored(_x(s, d).select("dt", "entity", "sig", "ret_1m"), "panel") if x is None else x
+    b = t.stored(pf.weights(pf.top_n(x, "sig", 10), "sig", 3).select("dt", "entity", "weight"), "book")
+    return pf.book_returns(b, x, "ret_1m", pf.trading_costs(pf.orders(b)))
 
 
 @add("pf7_book_returns", f"WITH {_NET} SELECT dt, round(gross, 6) + 0.0 AS gross, round(net, 6) + 0.0 AS net FROM nt")
@@ -437,8 +439,9 @@ _STR = _NET + ", bm AS (SELECT dt, avg(ret_1m) AS bench FROM x GROUP BY 1), st A
 
 
 def _strategy(s, d):
-    bench = _x(s, d).groupBy("dt").agg(F.avg("ret_1m").alias("bench"))
-    return _net(s, d).join(bench, "dt").select(F.lit("top").alias("strategy"), "dt", (F.col("net") / 5).alias("net"), (F.col("bench") / 5).alias("bench"))
+    x = t.stored(_x(s, d).select("dt", "entity", "sig", "ret_1m"), "panel")
+    bench = x.groupBy("dt").agg(F.avg("ret_1m").alias("bench"))
+    return _net(s, d, x).join(bench, "dt").select(F.lit("top").alias("strategy"), "dt", (F.col("net") / 5).alias("net"), (F.col("bench") / 5).alias("bench"))
 
 
 @add("pf8_hedged", f"""WITH {_STR}, a AS (SELECT *, (row_number() OVER (PARTITION BY strategy ORDER BY dt) - 1) // 12 AS seg FROM st),

@@ -67,7 +67,9 @@ def reg1b(s, d):
 
 
 def _series(s, d):
-    return _st(s, d).join(_factors(s, d).select("dt", "mkt"), "dt").select(F.col("industry").cast("string").alias("series"), "dt", "ret", "mkt")
+    x = t.stored(_x(s, d), "panel")
+    st, mk = x.groupBy("sector", "industry", "dt").agg(F.avg("rm").alias("ret")), x.groupBy("dt").agg(F.avg("rm").alias("mkt"))
+    return st.join(mk, "dt").select(F.col("industry").cast("string").alias("series"), "dt", "ret", "mkt")
 
 
 def _spanning_sql(assets: int) -> str:

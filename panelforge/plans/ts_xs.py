@@ -117,7 +117,7 @@ b AS (SELECT *, CASE WHEN na >= 60 AND nv >= 10 THEN (sxy - sy / nullif(nv, 0) *
 SELECT entity, dt, round(beta, 5) + 0.0 AS beta, round(CASE WHEN beta IS NOT NULL THEN sqrt(greatest(0, (syy - nv * (sy / nullif(nv, 0)) * (sy / nullif(nv, 0)) - beta * (sxy - sy / nullif(nv, 0) * sxv)) / 60)) END, 5) + 0.0 AS idio FROM b
 JOIN (SELECT entity, min(dt) AS first, max(dt) AS last FROM ret_d GROUP BY 1) USING (entity) WHERE dt BETWEEN first AND last""")
 def reg3(s, d):
-    px = t.ret_d(s, d).select("entity", "dt", "ret")
+    px = t.stored(t.ret_d(s, d).select("entity", "dt", "ret"), "panel")
     mk = px.where(F.col("ret").isNotNull()).groupBy("dt").agg(F.round(F.avg("ret"), 8).alias("mkt"))
     out = ts.rolling_beta_on(px, mk, "ret", "mkt", 60, least=10)
     return out.select("entity", "dt", r("beta", 5).alias("beta"), r("idio", 5).alias("idio"))
@@ -186,7 +186,7 @@ _NEXT = "nx AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS next_dt FROM (SELECT D
 
 @add("xs12_signal_monthly", f"WITH {FDMT}, {_BIG}, {mad('big', 'ret_m')}, {_Z}, {_NEXT.format('z')} SELECT entity, next_dt AS dt, round(ret_m, 6) + 0.0 AS signal FROM z JOIN nx ON nx.dt = z.dt WHERE next_dt IS NOT NULL")
 def xs12(s, d):
-    return xs.signal(t.fdmt_m(s, d), "ret_m", 5).select("entity", "dt", r("signal").alias("signal"))
+    return xs.signal(t.stored(t.fdmt_m(s, d).select("entity", "dt", "ret_m"), "panel"), "ret_m", 5).select("entity", "dt", r("signal").alias("signal"))
 
 
 @add("xs13_signal_neutral", f"WITH {FDMT}, {_BIG}, {mad('big', 'ret_m')}, {_Z}, {_neutral('ret_m', 'z')}, {_NEXT.format('nr')} SELECT entity, next_dt AS dt, round(ret_m, 5) + 0.0 AS signal FROM nr JOIN nx ON nx.dt = nr.dt WHERE next_dt IS NOT NULL")
