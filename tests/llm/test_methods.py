@@ -119,7 +119,27 @@ def test_toxicity_learns_from_rows_that_are_not_held_out(spark):
     assert len(got) == rows.count() and all(0 <= r["s"] <= 1 for r in got)
     for odd in (lab.limit(0), lab.where("toxic = 0")):
         plain = toxicity.train(rows, odd)
-        assert plain.score("an idiot") > toxicity.THRESHOLD > plain.score(None)
+        # no hand-set weights: what the posteriors of these rows make of stated words
+        assert plain.score("you worthless idiot, pathetic liar, stupid coward") > plain.score("an idiot") > plain.score("a day") and plain.score(None) < toxicity.THRESHOLD
+
+
+def test_toxicity_without_labels(spark):
+    """Texts that several stated words speak for are found, with words of theirs that nobody stated; an empty table too."""
+    r = random.Random(8)
+    plain = "the a report of week shows sales in north were higher than expected and team will meet again soon".split()
+    texts = []
+    for i in range(400):
+        w = r.choices(plain, k=30)
+        if i % 8 == 0:
+            for x in [*r.sample(["idiot", "stupid", "worthless", "liar", "pathetic", "scum"], 4), "grobnik", "grobnik"]:
+                w.insert(r.randrange(len(w)), x)
+        texts.append((i, " ".join(w)))
+    lab = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.train(docs(spark, texts), lab)
+    got = [model.score(t) >= toxicity.THRESHOLD for _, t in texts]
+    assert got == [i % 8 == 0 for i, _ in texts] and any(t.startswith("grob") for t in model.terms)
+    empty = toxicity.train(docs(spark, []), lab)
+    assert 0 <= empty.score("an idiot") < toxicity.THRESHOLD
 
 
 # ---- 5 packing
