@@ -84,6 +84,12 @@ def _medcouples(values: pd.Series) -> pd.Series:
     return values.map(medcouple).astype(float)
 
 
+def fences(q: Column, mc: Column) -> tuple[Column, Column]:
+    """Ends of the skewness-adjusted boxplot, by the quartiles and the medcouple."""
+    iqr = q[2] - q[0]
+    return q[0] - 1.5 * F.exp(F.when(mc >= 0, -3.5).otherwise(-4.0) * mc) * iqr, q[2] + 1.5 * F.exp(F.when(mc >= 0, 4.0).otherwise(3.5) * mc) * iqr
+
+
 def adjusted_boxplot(df: DataFrame, x: str, *keys: str) -> DataFrame:
     """Clamp to the greatest and least values inside a skewness-adjusted boxplot (medcouple)."""
     keys = keys or ("dt",)
@@ -91,9 +97,7 @@ def adjusted_boxplot(df: DataFrame, x: str, *keys: str) -> DataFrame:
     q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     stats = df.groupBy(*keys).agg(q.alias("q"), F.collect_list(col(x).cast("double")).alias("v"))
     lim = stats.select(*keys, "q", _medcouples("v").alias("mc"))
-    iqr = F.col("q")[2] - F.col("q")[0]
-    lo = F.col("q")[0] - 1.5 * F.exp(F.when(F.col("mc") >= 0, -3.5).otherwise(-4.0) * F.col("mc")) * iqr
-    hi = F.col("q")[2] + 1.5 * F.exp(F.when(F.col("mc") >= 0, 4.0).otherwise(3.5) * F.col("mc")) * iqr
+    lo, hi = fences(F.col("q"), F.col("mc"))
     df = df.join(lim.select(*keys, lo.alias("__lo"), hi.alias("__hi")), list(keys))
     inside = F.when(col(x).between(F.col("__lo"), F.col("__hi")), col(x))
     df = df.withColumn("__in", inside).withColumns({"__a": F.min("__in").over(w), "__b": F.max("__in").over(w)})

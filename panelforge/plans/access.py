@@ -42,30 +42,30 @@ def src1(s, d):
     return t.table(s, d, "supplier")
 
 
-@add("src3_stock_read", "SELECT entity, dt, close, volume FROM (WITH " + PXD + " SELECT * FROM px_d) WHERE entity IN (2, 4, 6) AND dt BETWEEN DATE '1995-01-01' AND DATE '1997-12-31' ORDER BY dt, entity")
+@add("src3_stock_read", "SELECT entity, dt, close, volume FROM (WITH " + PXD + " SELECT * FROM px_d) WHERE dt BETWEEN DATE '1995-01-01' AND DATE '1997-12-31' ORDER BY dt, entity")
 def src3(s, d):
-    return t.keyed_read(t.px_d(s, d), ["close", "volume"], "entity", "dt", [2, 4, 6], dt_.date(1995, 1, 1), dt_.date(1997, 12, 31)).orderBy("dt", "entity")
+    return t.keyed_read(t.px_d(s, d), ["close", "volume"], "entity", "dt", None, dt_.date(1995, 1, 1), dt_.date(1997, 12, 31)).orderBy("dt", "entity")
 
 
-@add("src4_futures_read", "SELECT l_partkey AS product, CAST(l_shipdate AS DATE) AS dt, l_linenumber AS code, l_quantity, l_extendedprice FROM lineitem WHERE l_partkey <= 40 AND l_shipdate >= TIMESTAMP '1996-06-01'")
+@add("src4_futures_read", "SELECT l_partkey AS product, CAST(l_shipdate AS DATE) AS dt, l_linenumber AS code, l_quantity, l_extendedprice FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-06-01'")
 def src4(s, d):
     rows = t.table(s, d, "lineitem").select(F.col("l_partkey").alias("product"), F.to_date("l_shipdate").alias("dt"), F.col("l_linenumber").alias("code"), "l_quantity", "l_extendedprice")
-    return t.keyed_read(rows, ["code", "l_quantity", "l_extendedprice"], "product", "dt", list(range(41)), dt_.date(1996, 6, 1))
+    return t.keyed_read(rows, ["code", "l_quantity", "l_extendedprice"], "product", "dt", None, dt_.date(1996, 6, 1))
 
 
-_LVL = PXD + ", " + IND + ", lv AS (SELECT dt, " + ", ".join(f"CAST(sum(CAST(round(amount * 100) AS BIGINT)) FILTER (WHERE sector = {i}) AS DOUBLE) / sum(volume) FILTER (WHERE sector = {i}) AS index_{i}" for i in range(3)) + " FROM px_d p JOIN ind ON ind.entity = p.entity GROUP BY 1)"
+_LVL = PXD + ", " + IND + ", lv AS (SELECT dt, " + ", ".join(f"CAST(sum(CAST(round(amount * 100) AS BIGINT)) FILTER (WHERE sector = {i}) AS DOUBLE) / sum(volume) FILTER (WHERE sector = {i}) AS index_{i}" for i in range(5)) + " FROM px_d p JOIN ind ON ind.entity = p.entity GROUP BY 1)"
 
 
 def _levels(s, d):
     p = t.px_d(s, d).join(t.industries(s, d), "entity")
     own = lambda i, c: F.sum(F.when(F.col("sector") == i, c))
     cents = F.round(F.col("amount") * 100).cast("long")
-    return p.groupBy("dt").agg(*[(own(i, cents).cast("double") / own(i, F.col("volume"))).alias(f"index_{i}") for i in range(3)])
+    return p.groupBy("dt").agg(*[(own(i, cents).cast("double") / own(i, F.col("volume"))).alias(f"index_{i}") for i in range(5)])
 
 
-@add("src5_index_read", f"WITH {_LVL} SELECT dt, index_0, index_2 FROM lv WHERE dt >= DATE '1996-01-01' AND dt <= DATE '1998-06-30'")
+@add("src5_index_read", f"WITH {_LVL} SELECT dt, index_0, index_1, index_2, index_3, index_4 FROM lv WHERE dt >= DATE '1996-01-01' AND dt <= DATE '1998-06-30'")
 def src5(s, d):
-    return t.keyed_read(_levels(s, d), ["index_0", "index_2"], None, "dt", None, dt_.date(1996, 1, 1), dt_.date(1998, 6, 30))
+    return t.keyed_read(_levels(s, d), [f"index_{i}" for i in range(5)], None, "dt", None, dt_.date(1996, 1, 1), dt_.date(1998, 6, 30))
 
 
 @add("src6_first_root", "SELECT c_custkey, c_acctbal FROM customer")
@@ -222,12 +222,12 @@ def jn1(s, d):
     return ac.inner_align(t.px_d(s, d).select("entity", "dt", "close"), q.select("entity", "dt", "revenue"), q.select("entity", "dt", "tax"))
 
 
-_AB = f"WITH {PXD}, a AS (SELECT entity, dt, close FROM px_d WHERE entity % 2 = 0 AND year(dt) < 1997), b AS (SELECT entity, dt, volume FROM px_d WHERE entity % 3 = 0 AND year(dt) > 1995 AND entity <= 30)"
+_AB = f"WITH {PXD}, a AS (SELECT entity, dt, close FROM px_d WHERE close > 150), b AS (SELECT entity, dt, volume FROM px_d WHERE volume > 20)"
 
 
 def _ab(s, d):
     p = t.px_d(s, d)
-    return p.where("entity % 2 = 0 and year(dt) < 1997").select("entity", "dt", "close"), p.where("entity % 3 = 0 and year(dt) > 1995 and entity <= 30").select("entity", "dt", "volume")
+    return p.where("close > 150").select("entity", "dt", "close"), p.where("volume > 20").select("entity", "dt", "volume")
 
 
 @add("jn2_outer_align", f"{_AB} SELECT entity, dt, close, volume FROM a FULL JOIN b USING (entity, dt) WHERE volume IS NOT NULL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelforge.functions.core import by_entity, ffill
-from panelforge.operators import resample, ts, xs
+from panelforge.operators import boxplots, resample, ts, xs
 from panelforge.plans.base_sql import FDMT, PXD, PXM, RETD, STMT, WE, bucket, guard, mad, we
 from panelforge.sources import tables as t
 
@@ -161,6 +161,17 @@ def xs9(s, d):
     return xs.adjusted_boxplot(t.fdmt_m(s, d), "ret_m").select("entity", "dt", r("ret_m").alias("value"))
 
 
+@add("xs9_adjusted_boxplot_large", f"""WITH {FDMT}, y AS (SELECT entity, dt, ret_m, year(dt) AS yr, row_number() OVER (ORDER BY entity, dt) AS k FROM fdmt), st AS (SELECT yr, quantile_cont(ret_m, 0.25) AS q1, quantile_cont(ret_m, 0.5) AS q2, quantile_cont(ret_m, 0.75) AS q3 FROM y GROUP BY 1),
+v AS (SELECT y.yr, k, ret_m AS v, q2 AS m FROM y JOIN st ON st.yr = y.yr WHERE ret_m IS NOT NULL),
+h AS (SELECT a.yr, median(CASE WHEN a.v > b.v THEN ((a.v - a.m) - (a.m - b.v)) / (a.v - b.v) ELSE sign(a.k - b.k) END) AS mc FROM v a JOIN v b ON a.yr = b.yr AND a.v >= a.m AND b.v <= b.m GROUP BY 1),
+l AS (SELECT st.yr, q1 - 1.5 * exp((CASE WHEN mc >= 0 THEN -3.5 ELSE -4.0 END) * mc) * (q3 - q1) AS lo, q3 + 1.5 * exp((CASE WHEN mc >= 0 THEN 4.0 ELSE 3.5 END) * mc) * (q3 - q1) AS hi FROM st LEFT JOIN h ON h.yr = st.yr),
+i AS (SELECT entity, dt, y.yr, ret_m, CASE WHEN ret_m BETWEEN lo AND hi THEN ret_m END AS i FROM y JOIN l ON l.yr = y.yr)
+SELECT entity, dt, round(CASE WHEN ret_m IS NOT NULL THEN least(greatest(ret_m, min(i) OVER (PARTITION BY yr)), max(i) OVER (PARTITION BY yr)) END, 6) + 0.0 AS value FROM i""")
+def xs9_large(s, d):
+    years = t.fdmt_m(s, d).withColumn("yr", F.year("dt"))
+    return boxplots.adjusted_boxplot_large(years, "ret_m", "yr", few=512, block=128).select("entity", "dt", r("ret_m").alias("value"))
+
+
 def _neutral(x: str, table: str) -> str:
     return f"""ng AS (SELECT *, CASE WHEN {x} IS NOT NULL AND cap > 0 THEN {x} END AS ny, CASE WHEN {x} IS NOT NULL AND cap > 0 THEN ln(cap) END AS nx FROM {table}),
 nd AS (SELECT * EXCLUDE (ny, nx), ny - avg(ny) OVER (PARTITION BY dt, industry) AS ny, nx - avg(nx) OVER (PARTITION BY dt, industry) AS nx FROM ng),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.core import by_entity, ffill, pct_change
 from panelforge.operators import accounting, clean, resample, ts, xs
+from panelforge.sources import tables
 
 
 def panel(spark, values, entity=1):
@@ -89,3 +90,10 @@ def test_limits(spark):
     up, down = clean.limit_flags("x")
     got = panel(spark, [10.0, 11.0, 9.0]).select("dt", up.alias("u"), down.alias("d")).orderBy("dt").collect()
     assert [(r["u"], r["d"]) for r in got] == [(False, False), (True, False), (False, True)]
+
+
+def test_keyed_read_of_keys_and_dates(spark):
+    df = spark.createDataFrame([(k, dt.date(2020, 1, d), k * 1.0, "n") for k in range(5) for d in range(1, 6)], "entity int, dt date, close double, other string")
+    got = tables.keyed_read(df, ["close"], "entity", "dt", [1, 3], dt.date(2020, 1, 2), dt.date(2020, 1, 3))
+    assert got.columns == ["entity", "dt", "close"] and sorted((r["entity"], r["dt"].day) for r in got.collect()) == [(1, 2), (1, 3), (3, 2), (3, 3)]
+    assert tables.keyed_read(df, ["close"], "entity", "dt", []).count() == 0 and tables.keyed_read(df, ["close"]).columns == ["close"]

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions.core import bucket
-from panelforge.operators import quantiles, xs
+from panelforge.operators import boxplots, quantiles, xs
 
 
 def panel(spark, seed=1):
@@ -36,5 +37,30 @@ def test_operators_of_large_dates(spark):
     assert sorted(key(rows2(quantiles.buckets_large(df, "x", 5, few=50), "bucket"))) == sorted(key(rows2(b, "bucket")))
 
 
+@pytest.mark.parametrize("few, block", [(50, 7), (1 << 16, 64)])
+def test_boxplot_of_large_dates(spark, few, block):
+    r = random.Random(4)
+    skewed = [(i, 6, r.lognormvariate(0, 1)) for i in range(1500)] + [(i, 7, 5.0) for i in range(200)] + [(i, 8, float(max(r.randrange(-9, 30), 0))) for i in range(801)]
+    df = panel(spark).unionByName(spark.createDataFrame(skewed, "entity int, dt int, x double")).repartition(6)
+    held = {}
+    for row in df.where("x is not null").collect():
+        held.setdefault(row["dt"], []).append(row["x"])
+    got = {m["dt"]: m for m in boxplots.medcouples(df, "x", "dt", few=few, block=block).collect()}
+    assert got.keys() == held.keys()
+    for k, v in held.items():
+        assert got[k]["n"] == len(v) and got[k]["mc"] == pytest.approx(xs.medcouple(np.array(v)), abs=1e-12)
+    df = df.where("dt is not null").withColumn("q", F.lit("clash"))
+    key = lambda v: sorted((a, b, c is None, c or 0) for a, b, c in v)
+    large = boxplots.adjusted_boxplot_large(df, "x", few=few, block=block)
+    assert large.columns == df.columns and key(rows2(large, "x")) == key(rows2(xs.adjusted_boxplot(df, "x"), "x"))
+
+
+def test_boxplot_without_values(spark):
+    empty = panel(spark).where("false")
+    assert boxplots.adjusted_boxplot_large(empty, "x", few=5).count() == 0
+    none = boxplots.adjusted_boxplot_large(panel(spark).where("dt = 3"), "x", few=5).collect()
+    assert len(none) == 4 and all(r["x"] is None for r in none)
+
+
 def rows2(d, c):
     return [(r["dt"], r["entity"], None if r[c] is None else round(r[c], 9)) for r in d.collect()]
