@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.core import bucket, by_entity, col, ratio
+from panelforge.operators import blocks
 from panelforge.operators.clean import limit_flags
 from panelforge.operators.xs import clip_mad, signal, zscore
+from panelforge.sources.tables import stored
 
 
 def young(listdate: str = "listdate", days: int = 365, date: str = "dt") -> Column:
@@ -158,14 +160,18 @@ def rank_factors(ic: DataFrame, value: str, top: int, key: str = "indicator") ->
     return a.withColumn("place", place).where(F.col("place") <= top).select(key, "n", "mean", "std", ratio("mean", "std").alias("ir"), "place")
 
 
-def pair_correlations(df: DataFrame, value: str, key: str = "indicator", date: str = "dt") -> DataFrame:
+def pair_correlations(df: DataFrame, value: str, key: str = "indicator", date: str = "dt", width: int = blocks.PAIR_BLOCK) -> DataFrame:
     """(a, b, n, corr) of the series of each pair of keys over the dates that all keys have; null where one is constant."""
     ok = df.where(col(value).isNotNull())
     full = ok.groupBy(date).agg(F.count_distinct(key).alias("k")).join(ok.agg(F.count_distinct(key).alias("all_")), F.col("k") == F.col("all_")).select(date)
-    x = ok.join(full, date).select(date, F.col(key).alias("a"), col(value).alias("x"))
-    y = x.select(date, F.col("a").alias("b"), F.col("x").alias("y"))
-    j = x.join(y, date).where("a < b")
-    return j.groupBy("a", "b").agg(F.count("*").alias("n"), ratio(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")).alias("corr"))
+    x = stored(ok.join(full, date).select(F.col(date).alias("dt"), F.col(key).alias("series"), col(value).cast("double").alias("x")), "series")
+    # one row per series; standardised, a correlation is a sum of products, which blocks of series add up a chunk of dates at a time
+    own = stored(x.groupBy("series").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.count("*").alias("n")), "moments")
+    z = x.join(own, "series").select("series", "dt", F.coalesce(ratio(F.col("x") - F.col("mean"), "sd"), F.lit(0.0)).alias("z"))
+    sums = blocks.pair_sums(blocks.blocked(z, "z", width=width)).select(F.col("a").alias("sa_"), F.col("b").alias("sb_"), "p")
+    side = lambda c: own.select(F.col("series").alias(c), F.col("series").cast("string").alias(f"s{c}_"), F.col("sd").alias(f"sd_{c}"), F.col("n"))
+    j = sums.join(side("a"), "sa_").join(side("b").drop("n"), "sb_").where("a < b")
+    return j.select("a", "b", "n", F.when((F.col("sd_a") > 0) & (F.col("sd_b") > 0), ratio("p", F.col("n") - 1)).alias("corr"))
 
 
 def forward_returns(df: DataFrame, x: str, price: str, groups: int, horizons: Sequence[int]) -> DataFrame:

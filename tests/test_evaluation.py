@@ -226,3 +226,17 @@ def test_dated_marks(spark):
     names = panel(spark, [("Acme", "c1")], "name string, code string")
     got = clean.dated_marks(docs, names, r"(\S+)\s:\s(\d+)", r"(\d{4}.\d{2}.\d{2})")
     assert sorted((r["date"], r["code"], r["mark"], r["doc_id"]) for r in got.collect()) == [("", "c1", "1", 3), ("2020.01.02", "c1", "7", 2)]
+
+
+def test_correlations_of_all_pairs_of_series(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 11)) + 1e6 * np.arange(11)
+    x[:, 4], x[:, 5] = 0.1, -2 * x[:, 3]
+    rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(d), float(x[d, s])) for d in range(700) for s in range(11) if not (s == 2 and d % 50 == 7)]
+    df = spark.createDataFrame([*rows, (1, dt.date(2019, 1, 1), 5.0), (1, dt.date(2019, 1, 2), None)], "s int, day date, x double")
+    got = {(r["a"], r["b"]): r for r in universe.pair_correlations(df, "x", "s", "day", width=4).collect()}
+    full = x[[d for d in range(700) if d % 50 != 7]]
+    assert got.keys() == {(a, b) for a in range(11) for b in range(a + 1, 11)} and {r["n"] for r in got.values()} == {len(full)}
+    for (a, b), r in got.items():
+        assert r["corr"] is None if 4 in (a, b) else r["corr"] == pytest.approx(np.corrcoef(full[:, a], full[:, b])[0, 1], abs=1e-9)
+    assert universe.pair_correlations(df.where("false"), "x", "s", "day").count() == 0

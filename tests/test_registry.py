@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from panelforge.plans import registry
 
 ROOT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = ["ts8_rank", "ts7_argmax", "xs10_neutralize", "xs16_quantile", "rsp1_monthly_bars", "cln5_two_level", "jn6_as_of", "acc5_growth", "srt1_spread", "reg1_pricing", "pf8_hedged", "evt3_event_time_average", "flt1_universe", "pf3_executed_orders", "xs14_signal_after", "xs17_alpha008", "dia2_weighted_slopes", "dia6_layer_description", "srt5_composite", "acc22_quarterly_family", "ind16_window_idio_vol", "ind18_consensus_monthly", "reg5_fama_macbeth_controls", "bst3_residual_and_factor", "mod5_scaled_intercept_p", "cmb7_parameter_sweep", "jn7_forward_as_of", "ts14_rolling_two", "mkt3_timing_grid", "reg3_ind13_rolling_beta", "rsp6_cln8_statement_to_daily", "xs9_adjusted_boxplot_large", "jn2_outer_align", "jn9_shared_index", "jn9_union_frame", "src3_stock_read", "src4_futures_read", "src5_index_read"]
+NAMES = ["ts8_rank", "ts7_argmax", "xs10_neutralize", "xs16_quantile", "rsp1_monthly_bars", "cln5_two_level", "jn6_as_of", "acc5_growth", "srt1_spread", "reg1_pricing", "pf8_hedged", "evt3_event_time_average", "flt1_universe", "pf3_executed_orders", "xs14_signal_after", "xs17_alpha008", "dia2_weighted_slopes", "dia6_layer_description", "srt5_composite", "acc22_quarterly_family", "ind16_window_idio_vol", "ind18_consensus_monthly", "reg5_fama_macbeth_controls", "bst3_residual_and_factor", "mod5_scaled_intercept_p", "cmb7_parameter_sweep", "jn7_forward_as_of", "ts14_rolling_two", "mkt3_timing_grid", "reg3_ind13_rolling_beta", "rsp6_cln8_statement_to_daily", "xs9_adjusted_boxplot_large", "jn2_outer_align", "jn9_shared_index", "jn9_union_frame", "src3_stock_read", "src4_futures_read", "src5_index_read", "agg8_correlations"]
 
 
 @pytest.fixture(scope="module")
