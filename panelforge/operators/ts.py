@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelforge.functions.core import by_entity, col, corr, ffill, guarded, ratio
-from panelforge.operators.clean import laid_out
 from panelforge.operators.frames import framed, rank_kernel
 from panelforge.sources.tables import stored
 
@@ -123,11 +122,16 @@ def rolling_beta(df: DataFrame, y: str, x: str, n: int, least: int | None = None
 
 
 def rolling_beta_on(df: DataFrame, market: DataFrame, y: str, x: str, n: int, least: int | None = None) -> DataFrame:
-    """(entity, dt, beta, idio) on each date of market(dt, x) from an entity's first row to its last: as rolling_beta over
-    all dates of the market, whose own sums are taken once and not once per entity."""
-    held = stored(_differences(market.withColumn("entity", F.lit(0)), _market_sums(x), n, W()).drop("entity"), "market")
-    spans = df.groupBy("entity").agg(F.min("dt").alias("first"), F.max("dt").alias("last"))
-    grid = laid_out(spans, held.select("dt")).select("entity", "dt").join(df.select("entity", "dt", y), ["entity", "dt"], "left").join(held, "dt")
+    """(entity, dt, beta, idio) of each entity on each date of market(dt, x): as rolling_beta over all dates of the market,
+    whose own sums are taken once and not once per entity. An entity's window goes on after its last row."""
+    spark = df.sparkSession
+    sums = _differences(market.withColumn("entity", F.lit(0)), _market_sums(x), n, W())
+    held = stored(sums.withColumn("__day", F.row_number().over(W())).drop("entity"), "market")
+    # days are written out by number, in as many tasks as there are partitions: few entities make many rows
+    entities = df.select("entity").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "entity")
+    days = F.explode(F.sequence(F.lit(1), F.lit(held.count()).cast("int"))).alias("__day")
+    grid = entities.select("entity", days).join(held, "__day").drop("__day")
+    grid = grid.join(df.select("entity", "dt", y), ["entity", "dt"], "left")
     return _beta(_differences(grid, _own_sums(y, x), n, W()), n, least).select("entity", "dt", "beta", "idio")
 
 

@@ -57,6 +57,28 @@ def test_rolling_beta_against_numpy(spark):
         assert got[i]["beta"] == pytest.approx(beta) and got[i]["idio"] == pytest.approx((b - b.mean() - beta * (a - a.mean())).std())
 
 
+def test_rolling_beta_on_all_dates_of_the_market(spark):
+    """An entity's window goes on after its last row, and begins before its first."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(0, 0.02, 100), rng.normal(0, 0.02, 100)
+    market = panel(spark, [(D[i], float(x[i])) for i in range(100)], "dt date, x double")
+    rows = [(1, D[i], float(y[i])) for i in range(20, 70)] + [(2, D[i], float(y[i])) for i in range(100)]
+    df = panel(spark, rows, "entity int, dt date, y double")
+    got = {(r["entity"], r["dt"]): (r["beta"], r["idio"]) for r in ts.rolling_beta_on(df, market, "y", "x", 30, least=10).collect()}
+    assert set(got) == {(e, d) for e in (1, 2) for d in D[:100]}
+    for i in range(100):
+        there = np.arange(max(i - 29, 20), min(i, 69) + 1)
+        if i < 29 or len(there) < 10:
+            assert got[1, D[i]] == (None, None)
+            continue
+        a, b = x[i - 29 : i + 1], np.full(30, y[there].mean())
+        b[there - (i - 29)] = y[there]
+        beta = np.cov(a, b, ddof=0)[0, 1] / a.var()
+        assert got[1, D[i]] == (pytest.approx(beta), pytest.approx((b - b.mean() - beta * (a - a.mean())).std()))
+    assert got[1, D[89]][0] is not None and got[1, D[90]][0] is None
+    assert ts.rolling_beta_on(df, market.limit(0), "y", "x", 30).count() == 0
+
+
 # ---- universe and trading
 
 
