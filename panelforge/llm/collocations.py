@@ -37,8 +37,10 @@ SHARDS, LEAST, SHARE, TOP, BITS, BUCKET_BITS = 3, 10, 50, 2000, 24, 25
 #: Places of a row of added-up pairs.
 ROW = 1 << 16
 NEVER = 255
-#: Bytes of text that a task works on at a time; its arrays take some fifty times as much.
+#: Bytes of text that a task works on at a time; its arrays take some twenty times as much.
 CHUNK = 4 << 20
+#: Words that are hashed at a time, and phrases of a batch: what is made of them is larger than what stays.
+SLICE = 1 << 15
 #: Bytes that end a piece, and bytes that end a word.
 PIECE_ENDS, WORD_ENDS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _KIND = np.zeros(256, np.uint8)
@@ -102,73 +104,93 @@ class Scan:
         if not n:
             return
         # words that follow one another in a piece, and words that the block before hasn't counted
-        piece = np.cumsum(kind == 2)[runs.start]
+        piece = np.searchsorted(np.flatnonzero(kind == 2), runs.start).astype(np.int32)
         follows = np.zeros(n, bool)
         follows[1:] = (runs.text[1:] == runs.text[:-1]) & (piece[1:] == piece[:-1])
-        place = np.arange(n) - np.searchsorted(runs.text, runs.text)
-        fresh = place >= lead[runs.text]
+        del b, kind, piece
+        fresh = np.arange(n) - np.searchsorted(runs.text, np.arange(len(lead)))[runs.text] >= lead[runs.text]
         langs = pc.dictionary_encode(lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang)
-        code = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[of][runs.text]
-        within = np.arange(len(runs.data), dtype=np.int32) - np.repeat(runs.at[:-1].astype(np.int32), runs.length)
+        code = langs.indices.to_numpy(zero_copy_only=False).astype(np.int32)[of][runs.text]
         salt = mix(np.array([hash_bytes(x) for x in langs.dictionary.to_pylist()], dtype=np.uint64))
-        value = powers(int(runs.length.max()) + 1)[within]
-        del within
-        value *= runs.data + np.uint64(1)
-        h = mix(np.add.reduceat(value, runs.at[:-1]) ^ salt[code])
-        del value
+        h = mix(_hashes(runs) ^ salt[code])
         at = lambda x, table: (x >> np.uint64(64 - int(np.log2(len(table))))).astype(np.int64)
         # a phrase is named by its last word
-        reached = self.word_step[at(h, self.word_step)].astype(np.int32)
-        pair_start = np.full(n, NEVER, np.int32)
+        reached = self.word_step[at(h, self.word_step)].astype(np.int16)
+        pair_start = np.full(n, NEVER, np.int16)
         pair_hash = np.zeros(n, np.uint64)
         pair_hash[1:] = mix(h[:-1] * _ODD + h[1:])
         bucket = at(pair_hash, self.bucket_step)
         pair_start[1:] = np.where(follows[1:], np.maximum(np.maximum(reached[1:], reached[:-1]), self.bucket_step[bucket[1:]]), NEVER)
-        reached = np.where(follows, self.pair_step[at(pair_hash, self.pair_step)].astype(np.int32), NEVER)
-        triple_start = np.full(n, NEVER, np.int32)
+        reached = np.where(follows, self.pair_step[at(pair_hash, self.pair_step)].astype(np.int16), NEVER)
+        triple_start = np.full(n, NEVER, np.int16)
         triple_start[2:] = np.where(follows[2:] & follows[1:-1], np.maximum(reached[2:], reached[1:-1]), NEVER)
         pair, triple = np.flatnonzero(self._live(pair_start) & fresh), np.flatnonzero(self._live(triple_start) & fresh)
         counts_words = self.step < self.shards
+        if counts_words:
+            yield self._places(bucket[follows & fresh])
+        del bucket, reached
         need = np.full(n, counts_words)
         for back in (0, 1):
             need[pair - back] = True
         for back in (0, 1, 2):
             need[triple - back] = True
         words = pc.dictionary_encode(runs.strings(need))
+        del runs
         m = max(len(words.dictionary), 1)
         # (language, word) as one number, exact
-        name, word = np.unique(code[need] * m + words.indices.to_numpy(zero_copy_only=False), return_inverse=True)
-        of_word = np.full(n, -1, np.int64)
+        name, word = np.unique(code[need] * np.int64(m) + words.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        of_word = np.full(n, -1, np.int32)
         of_word[need] = word
         spelled = words.dictionary.take(pa.array(name % m)).cast(pa.string())
         spoken = langs.dictionary.take(pa.array(name // m)).cast(pa.string())
-        u = max(len(name), 1)
+        u = np.int64(max(len(name), 1))
+        del need, words, name, word
 
-        def rows(size: int, last: np.ndarray, key: np.ndarray, start: np.ndarray, hashes: np.ndarray | None, table: np.ndarray) -> pa.RecordBatch:
+        def rows(size: int, last: np.ndarray, key: np.ndarray, start: np.ndarray, hashes: np.ndarray | None, table: np.ndarray) -> Iterator[pa.RecordBatch]:
             _, first, count = np.unique(key, return_index=True, return_counts=True)
-            last = last[first]
-            parts = [spelled.take(pa.array(of_word[last - back])) for back in range(size - 1, -1, -1)]
-            phrase = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
-            slot = at(hashes[last], table) if hashes is not None else np.zeros(len(last), np.int64)
-            return _rows(spoken.take(pa.array(of_word[last])), size, phrase, slot, start[last], count)
+            found = last[first]
+            del key, last, first
+            for i in range(0, len(found), SLICE):
+                last = found[i : i + SLICE]
+                parts = [spelled.take(pa.array(of_word[last - back])) for back in range(size - 1, -1, -1)]
+                phrase = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
+                slot = at(hashes[last], table) if hashes is not None else np.zeros(len(last), np.int64)
+                yield _rows(spoken.take(pa.array(of_word[last])), size, phrase, slot, start[last], count[i : i + SLICE])
 
         if counts_words:
             new = np.flatnonzero(fresh)
-            yield rows(1, new, of_word[new], np.zeros(n, np.int32), h, self.word_step)
             total = np.bincount(code[new], minlength=len(langs.dictionary))
             yield _rows(langs.dictionary.cast(pa.string()), 0, pa.array([""] * len(total)), np.zeros(len(total)), np.zeros(len(total)), total)
-            place, count = np.unique(bucket[follows & fresh], return_counts=True)
-            row, first = np.unique(place // ROW, return_index=True)
-            ends = np.r_[first[1:], len(place)]
-            place, count = (place % ROW).astype(np.uint16), np.minimum(count, 255).astype(np.uint8)
-            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())
-            empty = pa.nulls(len(row), pa.string())
-            yield _rows(empty, PLACES, empty, row, np.zeros(len(row)), np.zeros(len(row)), cut(place), cut(count))
+            yield from rows(1, new, of_word[new], np.zeros(n, np.int16), h, self.word_step)
+            del new
+        del h, code, fresh, follows
         if len(pair):
-            yield rows(2, pair, of_word[pair - 1] * u + of_word[pair], pair_start, pair_hash, self.pair_step)
+            yield from rows(2, pair, of_word[pair - 1] * u + of_word[pair], pair_start, pair_hash, self.pair_step)
         if len(triple):
             _, head = np.unique(of_word[triple - 2] * u + of_word[triple - 1], return_inverse=True)
-            yield rows(3, triple, head * u + of_word[triple], triple_start, None, self.pair_step)
+            yield from rows(3, triple, head * u + of_word[triple], triple_start, None, self.pair_step)
+
+    def _places(self, bucket: np.ndarray) -> pa.RecordBatch:
+        """How often each place of a pair was met, by rows of places."""
+        place, count = np.unique(bucket, return_counts=True)
+        row, first = np.unique(place // ROW, return_index=True)
+        ends = np.r_[first[1:], len(place)]
+        place, count = (place % ROW).astype(np.uint16), np.minimum(count, 255).astype(np.uint8)
+        cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())
+        empty = pa.nulls(len(row), pa.string())
+        return _rows(empty, PLACES, empty, row, np.zeros(len(row)), np.zeros(len(row)), cut(place), cut(count))
+
+
+def _hashes(runs: Runs) -> np.ndarray:
+    """A number of each word from its bytes."""
+    out, table = np.empty(len(runs.start), np.uint64), powers(int(runs.length.max()) + 1)
+    for i in range(0, len(out), SLICE):
+        at = runs.at[i : i + SLICE + 1]
+        first = at[:-1] - at[0]
+        value = table[np.arange(at[-1] - at[0]) - np.repeat(first, runs.length[i : i + SLICE])]
+        value *= runs.data[at[0] : at[-1]] + np.uint64(1)
+        out[i : i + SLICE] = np.add.reduceat(value, first)
+    return out
 
 
 def _rows(lang: pa.Array, words: int, phrase: pa.Array, slot: np.ndarray, start: np.ndarray, f: np.ndarray, places: pa.Array | None = None, counts: pa.Array | None = None) -> pa.RecordBatch:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -190,6 +191,28 @@ def test_a_pair_is_counted_from_the_step_its_words_are_known():
     assert sizes(step=3, word_step=known, pair_step=np.full(1 << 15, 2, np.uint8), bucket_step=some) == [3]
 
 
+def test_a_chunk_takes_bounded_memory_and_leaves_in_small_batches():
+    r = np.random.default_rng(7)
+    words = np.array(["".join(chr(97 + c) for c in r.integers(0, 26, k)) for k in r.integers(2, 10, 9000)])
+    text = [" ".join(words[(r.random(600) ** 2 * len(words)).astype(int)]) for _ in range(500)]
+    lang, chunk, size = pa.array(["en"] * len(text)), pa.array(text), sum(map(len, text))
+    known = np.full(1 << 15, 1, np.uint8)
+    scan = collocations.Scan(step=2, shards=3, word_step=known, pair_step=known, bucket_step=np.full(1 << 17, 1, np.uint8))
+    list(scan.grams(lang, chunk))
+    pool = pa.default_memory_pool()
+    tracemalloc.start()
+    try:
+        before, sizes, arrow = pool.bytes_allocated(), [], 0
+        for b in scan.grams(lang, chunk):
+            sizes.append(b.num_rows)
+            arrow = max(arrow, pool.bytes_allocated() - before)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) > 500_000 and max(sizes) <= 1 << 15
+    assert peak < 26 * size and arrow < 8 * size, (peak / size, arrow / size)
+
+
 def test_scores_are_exact(spark):
     rows = [(a, left, right) for a in (10, 12_345_678_901, 999_999_999_937) for left in (a, a + 1, 3 * a + 7) for right in (a, 2 * a + 1)]
     df = spark.createDataFrame(rows, "a long, l long, r long").withColumn("s", collocations.score())
