@@ -146,10 +146,11 @@ def snk1(s, d):
 
 @add("snk2_missing_keys", f"WITH {STMT} SELECT dt, units, CASE WHEN entity % 2 = 0 THEN revenue ELSE -revenue END AS revenue, CAST(entity AS INTEGER) AS entity FROM stmt")
 def snk2(s, d):
-    path, q = t.scratch(s, "snk2"), t.stmt_q(s, d).select("entity", "dt", "units", "revenue")
+    # both stores read the statements
+    path, q = t.scratch(s, "snk2"), t.stored(t.stmt_q(s, d).select("entity", "dt", "units", "revenue"), "statements")
     t.store_missing(q.where("entity % 2 = 0"), path, "entity")
     t.store_missing(q.withColumn("revenue", -F.col("revenue")), path, "entity")
-    return s.read.parquet(path)
+    return s.read.parquet(path).withColumn("entity", F.col("entity").cast("int"))
 
 
 @add("snk3_result_bundle", f"WITH {FDMT} SELECT 'navs' AS frame, industry AS strategy, dt, round(avg(ret_m), 6) + 0.0 AS value FROM fdmt WHERE ret_m IS NOT NULL GROUP BY 2, 3 UNION ALL SELECT 'sizes', industry, dt, round(sum(cap), 2) FROM fdmt GROUP BY 2, 3")

@@ -230,6 +230,33 @@ def test_tables_that_hold_a_key_are_left(spark, tmp_path):
         access.first_found(spark, [path], "none")
 
 
+def test_many_missing_keys_are_few_files(spark, tmp_path):
+    path, parts = tmp_path / "t", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(300).selectExpr("id as k", "cast(id as int) as v").unionByName(panel(spark, [(None, -1)], "k long, v int"))
+    tables.store_missing(df.where("k % 2 = 0 or k is null"), str(path), "k")
+    for _ in range(2):
+        tables.store_missing(df.selectExpr("cast(k as int) as k", "-v as v"), str(path), "k")
+    assert len(list(path.rglob("*.parquet"))) <= 3 * parts
+    got = spark.read.parquet(str(path))
+    assert got.dtypes == [("v", "int"), ("k", "bigint")]
+    assert sorted((r["k"], r["v"]) for r in got.where("k is not null").collect()) == [(k, -k if k % 2 else k) for k in range(300)]
+    assert [r["v"] for r in got.where("k is null").collect()] == [-1]
+
+
+def test_missing_keys_of_an_empty_table(spark, tmp_path):
+    path, df = str(tmp_path / "t"), panel(spark, [(1, 1), (2, 2)], "k int, v int")
+    for few in (df.where("false"), df.where("k = 1"), df):
+        tables.store_missing(few, path, "k")
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, 1), (2, 2)]
+
+
+def test_missing_keys_of_a_table_with_folders(spark, tmp_path):
+    path, df = str(tmp_path / "t"), panel(spark, [(1, 1), (2, 2)], "k int, v int")
+    tables.store(df.where("k = 1"), path, "k")
+    tables.store_missing(df.withColumn("v", F.col("v") + 10), path, "k")
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, 1), (2, 12)]
+
+
 def test_column_store_and_bundle(spark, tmp_path):
     df = panel(spark, [(1, D[0], 1.0, 2), (1, D[1], None, 3)], "entity int, dt date, a double, b int")
     tables.column_store(df, str(tmp_path / "c"), "a", "b")
