@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.core import ratio
 from panelforge.operators import clean as cl
 from panelforge.operators.portfolio import weighted_mean
+from panelforge.operators.quantiles import distribution_with_total
 from panelforge.plans.base_sql import FDMT, IND, PXD, RETD, STMT, WE
 from panelforge.sources import tables as t
 
@@ -162,9 +163,8 @@ def agg4(s, d):
 
 @add("agg7_distribution_with_total", f"WITH {RETD}, {IND} SELECT coalesce(CAST(sector AS VARCHAR), 'all') AS sector, count(ret) AS n, round(avg(ret), 6) + 0.0 AS mean, round(median(ret), 6) + 0.0 AS median, round(stddev_samp(ret), 6) AS std, round(min(ret), 6) + 0.0 AS lo, round(max(ret), 6) + 0.0 AS hi, count(*) FILTER (WHERE abs(ret) > 0.5) AS large FROM ret_d JOIN ind ON ind.entity = ret_d.entity GROUP BY ROLLUP (sector)")
 def agg7(s, d):
-    x = t.ret_d(s, d).join(t.industries(s, d), "entity")
-    a = x.rollup("sector").agg(F.count("ret").alias("n"), r(F.avg("ret")).alias("mean"), r(F.percentile("ret", 0.5)).alias("median"), r(F.stddev_samp("ret")).alias("std"), r(F.min("ret")).alias("lo"), r(F.max("ret")).alias("hi"), F.count_if(F.abs("ret") > 0.5).alias("large"))
-    return a.withColumn("sector", F.coalesce(F.col("sector").cast("string"), F.lit("all")))
+    a = distribution_with_total(t.ret_d(s, d).join(t.industries(s, d), "entity"), "ret", "sector", 0.5)
+    return a.select(F.coalesce(F.col("sector").cast("string"), F.lit("all")).alias("sector"), "n", *[r(c).alias(c) for c in ("mean", "median", "std", "lo", "hi")], "large")
 
 
 @add("agg10_top_per_group", f"WITH {FDMT} SELECT dt, industry, entity, cap FROM (SELECT *, row_number() OVER (PARTITION BY dt, industry ORDER BY cap DESC, entity) AS n FROM fdmt) WHERE n <= 2")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.core import bucket
 from panelforge.operators import boxplots, quantiles, xs
+from panelforge.plans.misc import QUERIES
 
 
 def panel(spark, seed=1):
@@ -27,6 +28,33 @@ def test_exact_quantiles(spark, few):
         assert got[r["dt"]][0] == r["n"] and got[r["dt"]][1] == pytest.approx(r["q"], rel=1e-12, abs=1e-300)
 
 
+@pytest.mark.parametrize("few, sketch, aside", [(1, 8, 0.0), (40, 8, 0.05), (40, 1 << 14, 0.01), (1 << 16, 1 << 14, 0.001)])
+def test_distribution_with_total(spark, monkeypatch, few, sketch, aside):
+    """Also where brackets miss the median: a rough sketch, a bracket of one value."""
+    monkeypatch.setattr(quantiles, "SKETCH", sketch)
+    monkeypatch.setattr(quantiles, "ASIDE", aside)
+    df = panel(spark)
+    out = quantiles.distribution_with_total(df, "x", "dt", 0.5, few=few)
+    figures = [F.count("x"), F.avg("x"), F.percentile("x", 0.5), F.stddev_samp("x"), F.min("x"), F.max("x"), F.count_if(F.abs("x") > 0.5)]
+    want = {(r[0], False): tuple(r[1:]) for r in df.groupBy("dt").agg(*figures).collect()} | {(None, True): tuple(df.agg(*figures).first())}
+    got = {(r["dt"], r["total"]): tuple(r[2:]) for r in out.collect()}
+    assert out.columns == ["dt", "total", "n", "mean", "median", "std", "lo", "hi", "large"] and got.keys() == want.keys()
+    for k, v in want.items():
+        assert [a is None for a in got[k]] == [a is None for a in v]
+        assert [a for a in got[k] if a is not None] == pytest.approx([a for a in v if a is not None], rel=1e-9, abs=1e-300)
+
+
+def test_registered_distribution_holds_no_group_in_a_task(spark, tmp_path):
+    """Before: the built-in percentile, which gathers the values of a group in one task; no total of no rows."""
+    full, empty = "/root/testdata/sf0.001", str(tmp_path)
+    agg7 = QUERIES["agg7_distribution_with_total"]
+    assert "percentile(" not in agg7(spark, full)._jdf.queryExecution().toString()
+    for name in ("supplier", "nation", "lineitem"):
+        t = spark.read.parquet(f"{full}/{name}.parquet")
+        t.where("false" if name == "lineitem" else "true").write.parquet(f"{empty}/{name}.parquet")
+    assert [tuple(r) for r in agg7(spark, empty).collect()] == [("all", 0, None, None, None, None, None, 0)]
+
+
 def test_operators_of_large_dates(spark):
     df = panel(spark).where("dt is not null").withColumn("__k0", F.lit("clash")).drop("__k0")
     key = lambda v: [(a, b, c is None, c or 0) for a, b, c in v]
